@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._arrow import cut, key_groups, map_arrow, raw, slices, texts
@@ -210,3 +210,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = sig.join(rep, "digest", "left").join(final, F.col("doc") == F.col("id"), "left")
     comp = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each group, with all columns; rows with a null doc_id stay."""
+    cols = docs.columns
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    first = Window.partitionBy("doc_id").orderBy("text")
+    at = "__nth"
+    while at in cols:
+        at += "_"
+    one = docs.join(kept, "doc_id").withColumn(at, F.row_number().over(first)).where(F.col(at) == 1).select(cols)
+    return one.unionByName(docs.where("doc_id is null"))

@@ -26,3 +26,56 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .word_shuffle_bpe import encode_decode
 
     return encode_decode(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op2_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import flac
+
+    return flac.features(flac.store(_read(spark, sf_dir, "documents")))
+
+
+def op3_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bottomk import edited_neighbours
+
+    return edited_neighbours(_read(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(_read(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_round_trip
+
+    return archive_round_trip(_read(spark, sf_dir, "pages"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import gbdt
+
+    docs = _read(spark, sf_dir, "documents")
+    return gbdt.score(docs, gbdt.train(docs, _read(spark, sf_dir, "labels")))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import skipchain
+
+    docs = _read(spark, sf_dir, "documents")
+    return skipchain.find(docs, skipchain.learn(docs))
+
+
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    return remove_repeats(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_near_dedup, op2_flac, op3_bottom_k, op4_token_counts, op5_quality, op6_pii, op7_mixing, op8_repeats, op9_byte_bpe, op10_warc)
+}
+
+#: DuckDB SQL where it can express an operator.
+ORACLES: dict[str, str] = {}
