@@ -1,24 +1,27 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
 1. Each scan task splits its texts into pre-tokens. A *block* is a run of its
-   documents with at most ``BLOCK_WORDS`` distinct pre-tokens; a document
+   documents with about ``BLOCK_WORDS`` distinct pre-tokens at most; a document
    becomes the positions' indices into its block's word list.
-2. The (word, block, index) rows are shuffled by word: each distinct word is
-   encoded once, and its ids go back to every block that holds it. A word has
-   one row for each block at most, so no word is hot.
+2. Words are dealt out by their hash, those of a block for one task packed in a
+   row with their indices. The task encodes each distinct word once and sends
+   its ids back to every block that holds it; a block holds a word once, so no
+   word is hot.
 3. Words' ids and documents' index sequences meet by block, where the documents
    are put together by position. Decoding joins ids with the token-byte table
    (one row for each vocabulary entry).
 
-What is shuffled is one row per distinct word and block plus about two bytes
-per pre-token; texts are not shuffled. Null text counts as empty. Each input row
-gives one result row; repeated rows and null ids give results alike.
+What is shuffled is a few bytes per distinct word and block, and about two bytes
+per pre-token; texts are not shuffled but split twice. Null text counts as empty.
+Each input row gives one result row; repeated rows and null ids give results
+alike; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +36,6 @@ BLOCK_WORDS = 300_000
 #: Characters of texts in a block at most, but for a longer single text.
 BLOCK_CHARS = 32 << 20
 
-WORD, DOC = 0, 1
-_MIDWAY = "kind int, word binary, block long, seq long, doc_id long, body binary"
-
-
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -72,97 +71,134 @@ class _Words(dict):
         return n
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], step) -> Iterator:
+    """Call step(block, doc ids, split texts, words so far) for the texts of a batch that are in one block, and
+    step(block, None, None, words) at each block's end; pass on what it yields. Blocks depend on the texts alone."""
     split, words, chars, blocks, part = by_tiktoken(), _Words(), 0, 0, 0
-
-    def flush():
-        keys = [w.encode() for w in words]
-        for i in range(0, len(keys), 1 << 16):
-            k = keys[i : i + (1 << 16)]
-            yield _midway(WORD, k, part + blocks, np.arange(i, i + len(k)), None, None)
-
     for batch in batches:
+        if not batch.num_rows:
+            continue
         ids, col = batch.column(0), texts(batch)
-        part = batch.column(2)[0].as_py() << 24 if batch.num_rows else part
-        start, bodies = 0, []
+        part = batch.column(2)[0].as_py() << 24
+        start, got = 0, []
         for i, t in enumerate(col.to_pylist()):
             if words and (len(words) > BLOCK_WORDS or chars + len(t) > BLOCK_CHARS):
-                if bodies:
-                    yield _midway(DOC, None, part + blocks, np.arange(len(bodies)), ids.slice(start, i - start), bodies)
-                yield from flush()
-                words.clear()
-                start, bodies, chars, blocks = i, [], 0, blocks + 1
+                if got:
+                    yield from step(part + blocks, ids.slice(start, i - start), got, words)
+                yield from step(part + blocks, None, None, words)
+                words, start, got, chars, blocks = _Words(), i, [], 0, blocks + 1
             chars += len(t)
-            got = split(t)
-            bodies.append(pack(np.fromiter(map(words.__getitem__, got), np.uint32, len(got))))
-        if bodies:
-            yield _midway(DOC, None, part + blocks, np.arange(len(bodies)), ids.slice(start), bodies)
-    yield from flush()
+            pieces = split(t)
+            got.append(np.fromiter(map(words.__getitem__, pieces), np.uint32, len(pieces)))
+        if got:
+            yield from step(part + blocks, ids.slice(start), got, words)
+    if words:
+        yield from step(part + blocks, None, None, words)
 
 
-def _midway(kind, word, block, seq, ids, body) -> pa.RecordBatch:
-    n = len(seq)
-    none = lambda t: pa.nulls(n, t)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(n, kind, np.int32)), none(pa.binary()) if word is None else pa.array(word, pa.binary()), pa.array(np.full(n, block, np.int64)),
-            pa.array(np.asarray(seq, np.int64)), none(pa.int64()) if ids is None else ids.cast(pa.int64()), none(pa.binary()) if body is None else pa.array(body, pa.binary()),
-        ],
-        ["kind", "word", "block", "seq", "doc_id", "body"],
-    )
+def ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """flat[start:start + size] for each pair, one after another."""
+    at = np.repeat(start - (np.cumsum(size) - size), size)
+    return flat[at + np.arange(len(at))]
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids (packed), and digests of the ids and of the decoded bytes."""
+    """doc_id, n_tokens, and digests of the ids and of the decoded bytes."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def words_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (hash, block, indices, lengths, words): a block's words of one hash, in order of index."""
+
+        def step(block, ids, got, words):
+            if got is not None:
+                return
+            keys = [w.encode() for w in words]
+            size = np.fromiter(map(len, keys), np.int64, len(keys))
+            to = np.fromiter(map(zlib.crc32, keys), np.int64, len(keys)) % parts
+            order = np.argsort(to, kind="stable")
+            cut = np.searchsorted(to[order], np.arange(parts + 1))
+            rows = []
+            for h in range(parts):
+                idx = order[cut[h] : cut[h + 1]]
+                if len(idx):
+                    body = b"".join([keys[i] for i in idx.tolist()])
+                    rows.append((h, block, pack(np.diff(idx, prepend=0)), pack(size[idx]), zlib.compress(body, 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["hash", "block", "index", "size", "body"])
+
+        return _blocks(batches, step)
+
+    def docs_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def step(block, ids, got, words):
+            if got is not None:
+                n = len(got)
+                none = pa.nulls(n, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.ones(n, np.int32)), ids.cast(pa.int64()), pa.array([pack(x) for x in got], pa.binary()), none, none], ["block", "kind", "doc_id", "index", "size", "body"])
+
+        return _blocks(batches, step)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by word: each distinct word is encoded when it is first met."""
+        """A task has all rows of a hash: each of its distinct words is encoded when first met."""
         import tiktoken
 
         enc = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=read_ranks(vocabulary), special_tokens={})
-        last, ids = None, b""
+        known: dict[bytes, list[int]] = {}
         for batch in batches:
-            out = []
-            for w in batch.column(0).to_pylist():
-                if w != last:
-                    last, ids = w, pack(np.array(enc._encode_single_piece(w), np.uint32))
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out, pa.binary())], ["block", "seq", "body"])
+            counts, flat = [], []
+            for size, body in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                body, at, n, ids = zlib.decompress(body), 0, [], []
+                for k in unpack(size).tolist():
+                    w = body[at : at + k]
+                    at += k
+                    got = known.get(w)
+                    if got is None:
+                        got = known[w] = enc._encode_single_piece(w)
+                    n.append(len(got))
+                    ids += got
+                counts.append(pack(np.array(n)))
+                flat.append(pack(np.array(ids)))
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int64()), batch.column(2), pa.array(counts, pa.binary()), pa.array(flat, pa.binary())], ["block", "kind", "doc_id", "index", "size", "body"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by block, words before documents."""
-        table = {i: b for b, i in read_ranks(vocabulary).items()}
-        at, spelled, decoded, counts = None, [], [], []
+        """Rows sorted by block, words' ids before documents."""
+        ranks = read_ranks(vocabulary)
+        table, spelled = [b""] * (max(ranks.values()) + 1), [str(i) for i in range(max(ranks.values()) + 1)]
+        for b, i in ranks.items():
+            table[i] = b
+        at, pieces, start, count, flat = None, [], None, None, None
+
+        def gather():
+            index = np.concatenate([p[0] for p in pieces]) if pieces else np.zeros(0, np.int64)
+            n = np.concatenate([p[1] for p in pieces]) if pieces else index
+            out = [np.zeros(len(index), np.int64), np.zeros(len(index), np.int64)]
+            out[0][index], out[1][index] = np.cumsum(n) - n, n
+            return *out, np.concatenate([p[2] for p in pieces]) if pieces else index
+
         for batch in batches:
-            block, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            ids, bodies = batch.column(3), batch.column(4).to_pylist()
+            block, kind = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, index, size, body = (batch.column(i) for i in (2, 3, 4, 5))
             res: list[list] = [[], [], [], []]
-            for i, (b, k) in enumerate(zip(block.tolist(), kind.tolist(), strict=True)):
+            for i, (b, k) in enumerate(zip(block, kind, strict=True)):
                 if b != at:
-                    at, spelled, decoded, counts = b, [], [], []
-                if k == WORD:
-                    got = unpack(bodies[i]).tolist()
-                    spelled.append(",".join(map(str, got)))
-                    decoded.append(b"".join(map(table.__getitem__, got)))
-                    counts.append(len(got))
+                    at, pieces, start = b, [], None
+                if k == 0:
+                    pieces.append((np.cumsum(unpack(index[i].as_py())), unpack(size[i].as_py()), unpack(body[i].as_py()).astype(np.int32)))
                     continue
-                seq = unpack(bodies[i]).tolist()
-                res[0].append(ids[i])
-                res[1].append(sum(map(counts.__getitem__, seq)))
-                res[2].append(hashlib.sha256(",".join(map(spelled.__getitem__, seq)).encode()).hexdigest())
-                res[3].append(hashlib.sha256(b"".join(map(decoded.__getitem__, seq))).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(res[0], pa.int64()), pa.array(res[1], pa.int64()), pa.array(res[2], pa.string()), pa.array(res[3], pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+                if start is None:
+                    start, count, flat = gather()
+                    pieces = []
+                seq = unpack(index[i].as_py())
+                got = ragged(flat, start[seq], count[seq]).tolist()
+                res[0].append(ids[i].as_py())
+                res[1].append(len(got))
+                res[2].append(hashlib.sha256(",".join(map(spelled.__getitem__, got)).encode()).hexdigest())
+                res[3].append(hashlib.sha256(b"".join(map(table.__getitem__, got))).hexdigest())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(res, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     # the scan's own partition number, the same for both reads of it, names the blocks
-    midway = map_arrow(docs.select(F.col("doc_id").cast("long"), "text", F.spark_partition_id().alias("part")), _split, _MIDWAY)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = midway.where(f"kind = {WORD}").select("word", "block", "seq").repartition(parts, "word").sortWithinPartitions("word")
-    words = map_arrow(words, encode, "block long, seq long, body binary")
-    both = words.select("block", F.lit(WORD).alias("kind"), "seq", F.lit(None).cast("long").alias("doc_id"), "body").unionByName(
-        midway.where(f"kind = {DOC}").select("block", "kind", "seq", "doc_id", "body")
-    )
-    both = both.repartition(parts, "block").sortWithinPartitions("block", "kind", "seq")
+    source = docs.select(F.col("doc_id").cast("long"), "text", F.spark_partition_id().alias("part"))
+    words = map_arrow(source, words_out, "hash int, block long, index binary, size binary, body binary").repartition(parts, "hash")
+    midway = "block long, kind int, doc_id long, index binary, size binary, body binary"
+    both = map_arrow(words, encode, midway).unionByName(map_arrow(source, docs_out, midway))
+    both = both.repartition(parts, "block").sortWithinPartitions("block", "kind")
     return map_arrow(both, assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
