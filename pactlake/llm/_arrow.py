@@ -3,6 +3,7 @@ partitions, and cutting lineage in the folder every executor can see."""
 
 from __future__ import annotations
 
+import gc
 import shutil
 import tempfile
 from collections.abc import Callable, Iterator
@@ -73,6 +74,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files that nothing refers to any more.
+
+    Iterative jobs would else keep those of all rounds until the driver's heap
+    happens to be collected.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     """A string column with nulls as empty strings."""
     col = batch.column(batch.schema.get_field_index(name))

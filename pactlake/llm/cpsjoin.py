@@ -5,8 +5,9 @@ drawn for each distinct set. Independent trees branch on selected tokens: a
 root branches on one coordinate of the pool, an inner node on ``BRANCHES``
 coordinates chosen by the node's own path, so that sets with a common token
 follow the same branch. Nodes of at most ``LEAF`` sets are compared
-exhaustively by their pools; larger ones branch again, and those still large
-at the last level are joined whole. ``TREES`` trees bring the recall of a pair
+exhaustively by their pools; larger ones branch again, unless SAME of their sets
+are like their smallest one: these, and those still large at the last level, are
+joined whole. ``TREES`` trees bring the recall of a pair
 at similarity 0.75 above 0.999 (a pair of sets survives a root with
 probability equal to its similarity).
 
@@ -24,6 +25,7 @@ doc_id are one vertex. Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -32,11 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._arrow import cut, key_groups, map_arrow, raw, slices, texts
+from ._arrow import cut, key_groups, map_arrow, raw, release, slices, texts
 from ._bytes import shingle_sets
 from .components import components
 
 POOL, TREES, BRANCHES, LEAF, LEVELS = 64, 10, 3, 64, 4
+SAME, PROBE = 0.8, 16
 #: Pools agree in at least this share of coordinates, five deviations below 0.75.
 PLAUSIBLE = 0.45
 #: Sets and shingles of a chunk of a family.
@@ -146,23 +149,31 @@ def _trees(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Leaves (node, doc) and edges of nodes that stay large."""
     token = lambda c: F.expr(f"substring(pool, {4 * c + 1}, 4)")
     nodes = reps.select(F.col("doc"), F.explode(F.array(*[F.xxhash64(F.lit(t), token(c)) for t, c in enumerate(_ROOTS)])).alias("node"))
-    leaves, rest = [], None
+    leaves, rest = [], []
+    alike = F.expr(f"aggregate(sequence(0, {PROBE - 1}), 0, (n, i) -> n + cast(substring(pool, 4 * i + 1, 4) = substring(least_pool, 4 * i + 1, 4) as int)) >= {PLAUSIBLE * PROBE}")
     for level in range(LEVELS):
-        size = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("doc").alias("least"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("members")).where("n > 1")
+        size = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("doc").alias("least"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("members"))
+        size = cut(size.where("n > 1"))
         # trees often find the same members; one node for each set of members is enough
         small = size.where(F.col("n") <= LEAF).groupBy("n", "members").agg(F.min("node").alias("node"))
-        nodes = cut(nodes.join(size.select("node", "n", "least"), "node"))
-        leaves.append(nodes.select("node", "doc").join(small.select("node"), "node", "left_semi"))
-        large = nodes.where(F.col("n") > LEAF)
-        if level == LEVELS - 1:
-            rest = large.where("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b"))
+        leaves.append(cut(nodes.join(small.select("node"), "node").select("node", "doc")))
+        big = size.where(F.col("n") > LEAF).select("node", "least")
+        if big.isEmpty():
             break
-        child = F.explode(F.array(*[F.xxhash64(F.col("node"), F.lit(i), F.expr(f"substring(pool, 4 * cast(pmod(xxhash64(node, {i}), {POOL}) as int) + 1, 4)")) for i in range(BRANCHES)]))
-        nodes = large.select("node", "doc").join(reps.select("doc", "pool"), "doc").select("doc", child.alias("node")).distinct()
-    every = leaves[0]
-    for x in leaves[1:]:
-        every = every.unionByName(x)
-    return every, rest
+        large = nodes.join(big, "node")
+        if level < LEVELS - 1:
+            least = big.join(reps.select(F.col("doc").alias("least"), F.col("pool").alias("least_pool")), "least").select("node", "least_pool")
+            large = cut(large.join(reps.select("doc", "pool"), "doc").join(least, "node").select("node", "doc", "least", "pool", alike.alias("alike")))
+            one = cut(large.groupBy("node").agg(F.avg(F.col("alike").cast("int")).alias("share")).where(F.col("share") >= SAME).select("node"))
+            rest.append(large.join(one, "node", "left_semi").select("least", "doc"))
+            child = F.explode(F.array(*[F.xxhash64(F.col("node"), F.lit(i), F.expr(f"substring(pool, 4 * cast(pmod(xxhash64(node, {i}), {POOL}) as int) + 1, 4)")) for i in range(BRANCHES)]))
+            nodes = cut(large.join(one, "node", "left_anti").select("doc", child.alias("node")))
+        else:
+            rest.append(large.select("least", "doc"))
+        release(reps.sparkSession)
+    every = functools.reduce(DataFrame.unionByName, leaves)
+    joined = functools.reduce(DataFrame.unionByName, rest) if rest else reps.select(F.col("doc").alias("least"), "doc").limit(0)
+    return every, joined.where("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -192,6 +203,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def confirm(parted: DataFrame) -> DataFrame:
         return map_arrow(parted.select("part", "doc", "shingles").repartition(parts, "part").sortWithinPartitions("part", "doc"), _confirm, "a long, b long")
 
+    release(spark)
     links = confirm(dealt.withColumn("part", F.xxhash64("family", "chunk")))
     if several:
         links = cut(links)

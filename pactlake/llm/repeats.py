@@ -22,7 +22,6 @@ and shards larger than memory spill.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import cut, key_groups, map_arrow, raw, slices, texts
+from ._arrow import cut, key_groups, map_arrow, raw, release, slices, texts
 from ._bytes import SpanHash
 from .induced import suffixes
 
@@ -266,12 +265,6 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def _release(df: DataFrame) -> None:
-    """Let Spark drop shuffle files that nothing refers to any more."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-
-
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -283,7 +276,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found = found.repartition(parts, "gram").sortWithinPartitions("gram", "own", "doc", "row", "at")
     resolved = cut(map_arrow(found, _resolve, _RESOLVED))
     del found
-    _release(docs)
+    release(docs.sparkSession)
 
     none = lambda kind: F.lit(None).cast(kind)
     wanted = resolved.where(f"kind = {FETCH}").select("row", F.lit(0).alias("step"), "gram", "doc", "at", "n", none("string").alias("text"))
@@ -293,7 +286,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     fetched = fetched.repartition(parts, "gram").sortWithinPartitions("gram")
     sorted_repeats = cut(map_arrow(fetched, _sort_shards, "row long, at int, n int"))
     del both, fetched
-    _release(docs)
+    release(docs.sparkSession)
 
     repeats = resolved.where(f"kind = {REPEAT}").select("row", "at", "n").unionByName(sorted_repeats)
     marks = repeats.select("row", F.lit(0).alias("step"), "at", "n", none("long").alias("doc_id"), none("string").alias("text"))
