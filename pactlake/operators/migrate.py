@@ -1,0 +1,105 @@
+"""Moving rows to canonical shapes, with the ones that don't fit put aside."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import relative_to, utc_z, uuid5
+
+#: Payload times that say when an event occurred, by preference; fixed values.
+AT_PRIORITY = {
+    "submitted_at": 10, "uploaded_at": 15, "added_at": 18, "validated_at": 20, "started_at": 22, "initiated_at": 24, "created_at": 26, "opened_at": 28, "consumed_at": 30, "completed_at": 35,
+    "generated_at": 38, "assessed_at": 40, "ready_at": 42, "requested_at": 44, "written_at": 46, "evaluated_at": 48, "reviewed_at": 70, "declined_at": 72, "approved_at": 74,
+}
+OTHER_AT = 55
+_AWARE = r"(Z|[+-]\d{2}:?\d{2})$"
+
+
+def split(df: DataFrame, reasons: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(good, bad): bad rows with the first reason that holds."""
+    reason = F.lit(None).cast("string")
+    for name, cond in reversed(list(reasons.items())):
+        reason = F.when(F.coalesce(cond, F.lit(False)), name).otherwise(reason)
+    marked = df.withColumn("reason", reason)
+    return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
+
+
+def occurred_at(payload: Column, recorded: Column) -> Column:
+    """From a map of strings: the preferred ``*_at`` with a zone and not after ``recorded``; else ``recorded``."""
+    at = F.create_map(*[x for k, v in AT_PRIORITY.items() for x in (F.lit(k), F.lit(v))])
+    entries = F.filter(F.map_entries(payload), lambda e: F.endswith(e["key"], F.lit("_at")) & e["value"].rlike(_AWARE) & (F.try_to_timestamp(e["value"]) <= F.try_to_timestamp(recorded)))
+    ranked = F.array_sort(F.transform(entries, lambda e: F.struct(F.coalesce(F.try_element_at(at, e["key"]), F.lit(OTHER_AT)).alias("p"), e["key"].alias("k"), e["value"].alias("v"))))
+    return utc_z(F.coalesce(F.try_element_at(ranked, F.lit(1))["v"], recorded))
+
+
+def money(payload: Column) -> Column:
+    """A map's ``*_usd`` strings as doubles: a map of them; null where one can't be cast."""
+    return F.transform_values(F.map_filter(payload, lambda k, _: F.endswith(k, F.lit("_usd"))), lambda _, v: v.try_cast("double"))
+
+
+def events(raw: DataFrame, namespace: str) -> tuple[DataFrame, DataFrame]:
+    """(stream_id, event_type, payload map, recorded_at) -> the event envelope.
+
+    Sequences are assigned before rows are put aside, so these leave gaps.
+    """
+    ns = {k: uuid.uuid5(uuid.NAMESPACE_URL, f"{namespace}/{k}") for k in ("event_id", "aggregate_id", "correlation_id")}
+    app, session = F.nullif(F.try_element_at("payload", F.lit("application_id")), F.lit("")), F.nullif(F.try_element_at("payload", F.lit("session_id")), F.lit(""))
+    stream = F.concat(F.lit("stream:"), F.col("stream_id"))
+    kind = F.when(app.isNotNull(), "LoanApplication").when(F.startswith("stream_id", F.lit("docpkg-")), "DocumentPackage").when(F.startswith("stream_id", F.lit("agent-")), "AgentSession").otherwise("SystemAggregate")
+    e = raw.withColumn("line", F.monotonically_increasing_id()).withColumn("aggregate_id", uuid5(ns["aggregate_id"], F.coalesce(F.concat(F.lit("app:"), app), stream)))
+    e = e.withColumn("sequence_number", F.row_number().over(Window.partitionBy("aggregate_id").orderBy("recorded_at", "line")).cast("long"))
+    usd = money(F.col("payload"))
+    good, bad = split(e, {"usd_cast_failed": F.exists(F.map_values(usd), lambda v: v.isNull()), "recorded_at": utc_z(F.col("recorded_at")).isNull()})
+    return good.select(
+        uuid5(ns["event_id"], F.concat_ws(":", "aggregate_id", F.col("sequence_number").cast("string"), "event_type")).alias("event_id"), "event_type", "aggregate_id", kind.alias("aggregate_type"), "sequence_number", "payload", usd.alias("amounts"),
+        F.struct(uuid5(ns["correlation_id"], F.coalesce(F.concat(F.lit("session:"), session), stream)).alias("correlation_id"), F.col("stream_id").alias("source_service")).alias("metadata"),
+        occurred_at(F.col("payload"), F.col("recorded_at")).alias("occurred_at"), utc_z(F.col("recorded_at")).alias("recorded_at"),
+    ), bad
+
+
+def extractions(raw: DataFrame, namespace: str, placeholder: str = "doc123") -> tuple[DataFrame, DataFrame]:
+    """Raw extraction rows -> canonical ones with one fact each; placeholder ids are put aside."""
+    ns = uuid.uuid5(uuid.NAMESPACE_URL, f"{namespace}/doc_id")
+    good, bad = split(raw, {"placeholder_doc_id": F.col("doc_id") == placeholder})
+    doc = uuid5(ns, F.col("doc_id"))
+    fact = F.struct(uuid5(ns, F.concat(F.col("doc_id"), F.lit(":fact:0"))).alias("fact_id"), F.col("document_name").alias("text"), F.array().cast("array<string>").alias("entity_refs"), F.col("confidence_score").cast("double").alias("confidence"))
+    return good.select(doc.alias("doc_id"), F.col("document_name").alias("source_path"), F.array(fact).alias("extracted_facts"), F.col("processing_time_ms").cast("long").alias("processing_time_ms"), F.col("final_strategy").alias("extraction_model"), F.col("timestamp").alias("extracted_at")), bad
+
+
+def lineage(snapshot: DataFrame, root: str) -> DataFrame:
+    """Node ids and both ends of edges relative to ``root``."""
+    return snapshot.withColumn("nodes", F.transform("nodes", lambda n: n.withField("node_id", relative_to(n["node_id"], root)))).withColumn(
+        "edges", F.transform("edges", lambda e: e.withField("source", relative_to(e["source"], root)).withField("target", relative_to(e["target"], root)))
+    )
+
+
+def flatten_outer(df: DataFrame, array: str, prefix: str) -> DataFrame:
+    """One row for each element of an array of structs, and one for a row without; elements' fields get a prefix."""
+    inner = df.schema[array].dataType.elementType.fieldNames()
+    rest = [c for c in df.columns if c != array]
+    return df.select(*rest, F.explode_outer(array).alias("__e")).select(*rest, *[F.col(f"__e.{f}").alias(prefix + f) for f in inner])
+
+
+class Upcasters:
+    """(event_type, schema_version) -> a function of DataFrames; rows without one stay as they are."""
+
+    def __init__(self):
+        self._fns: dict = {}
+
+    def register(self, event_type: str, version: str, fn) -> None:
+        self._fns[event_type, version] = fn
+
+    def get(self, event_type: str, version: str):
+        return self._fns.get((event_type, version))
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        out, known = None, F.lit(False)
+        for (t, v), fn in self._fns.items():
+            mine = F.col("event_type").eqNullSafe(F.lit(t)) & F.col("schema_version").eqNullSafe(F.lit(v))
+            part, known = fn(df.where(mine)), known | mine
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        rest = df.where(~known)
+        return rest if out is None else rest.unionByName(out, allowMissingColumns=True)
