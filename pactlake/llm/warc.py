@@ -9,8 +9,10 @@ Reading: splits of the files are cut at every magic ``WARC/1.1`` line, also at
 those inside payloads. Each piece is a candidate record with a byte offset (a
 prefix sum over the splits of its file) and, from its length header, the offset
 of its successor. Pointer jumping from offset 0 of each file keeps the
-candidates that are reached; all other pieces are parts of payloads and are put
-back into them. No task needs a file in one piece, and there is no Python.
+candidates that are reached; all other pieces are parts of payloads. The digest
+of a piece that is as long as it says is taken where it is read, so only
+payloads that hold a magic are put together, in a second read. No task needs a
+file in one piece, and there is no Python.
 
 Null html counts as empty. A null page_id writes a record without one and reads
 back as null; it ranks after all others as the first of equal payloads. Of rows
@@ -25,13 +27,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._arrow import cut, shared_dir
+from ._arrow import cut, release, shared_dir
 
 MAGIC = "WARC/1.1\r\n"
 RECORD_END = "\r\n\r\n"
 MIN_DUPLICATE = 100
 #: Rows of a file at most; bounds files, not what is read.
 FILE_RECORDS = 10_000
+#: Revisits, or pieces of payloads, that are broadcast (pairs of numbers); more are joined by shuffle.
+FEW = 100_000
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -47,9 +51,13 @@ def write_warc(pages: DataFrame, path: str) -> None:
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("digest", F.sha2("html", 256)).withColumn("bytes", F.octet_length("html").cast("long"))
     p = p.withColumn("row", F.monotonically_increasing_id())
-    first = p.where(F.col("bytes") >= MIN_DUPLICATE).groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull(), "page_id", "row")).alias("first"))
-    p = p.join(first, "digest", "left")
-    revisit = F.coalesce(F.col("row") != F.col("first.row"), F.lit(False))
+    # only digests are shuffled; the rows that revisit another are joined back, by broadcast if they are few
+    known = cut(p.where(F.col("bytes") >= MIN_DUPLICATE).select("digest", "page_id", "row"))
+    first = known.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct(F.col("page_id").isNull(), "page_id", "row")).alias("first")).where("n > 1")
+    again = cut(known.join(first, "digest").where("row <> first.row").select(F.col("row").alias("again"), F.col("first.page_id").alias("first_id")))
+    few = again.limit(FEW + 1).count() <= FEW
+    p = p.join(F.broadcast(again) if few else again, F.col("row") == F.col("again"), "left")
+    revisit = F.col("again").isNotNull()
     uri = F.coalesce("url", F.lit("about:blank"))
     for c in [*range(33), 127]:
         uri = F.replace(uri, F.lit(chr(c)), F.lit(f"%{c:02X}"))
@@ -60,7 +68,7 @@ def write_warc(pages: DataFrame, path: str) -> None:
         F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(":"), F.col("row").cast("string"), F.lit(">")),
         "WARC-Date: 2020-01-01T00:00:00Z",
         F.concat(F.lit("WARC-Target-URI: "), uri),
-        F.concat(opt("WARC-Page-ID", F.col("page_id")), opt("WARC-Refers-To-Page-ID", F.when(revisit, F.col("first.page_id"))), F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")),
+        F.concat(opt("WARC-Page-ID", F.col("page_id")), opt("WARC-Refers-To-Page-ID", F.when(revisit, F.col("first_id"))), F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")),
         F.concat(F.lit("WARC-Payload-Length: "), F.col("bytes").cast("string")),
         "Content-Type: application/http; msgtype=response",
         F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")),
@@ -73,42 +81,65 @@ def _field(name: str) -> Column:
     return F.nullif(F.regexp_extract("head", rf"(?:^|\r\n){name}: ([^\r]*)", 1), F.lit(""))
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, uri, record_type, digest (as declared), declared_bytes, refers_to, payload (string; of responses)."""
-    pieces = spark.read.option("lineSep", MAGIC).text(path).select(
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """What stands between magics, in the order of the file. The piece before a file's first magic is empty."""
+    return spark.read.option("lineSep", MAGIC).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("nth"), "value"
     )
+
+
+def _body(head_and_end: Column, value: str, end: int) -> Column:
+    return F.substring(value, head_and_end + 1, F.length(value) - head_and_end - end)
+
+
+def _headers() -> list[Column]:
+    return [
+        _field("WARC-Page-ID").try_cast("bigint").alias("page_id"), _field("WARC-Type").alias("record_type"), F.regexp_replace(_field("WARC-Payload-Digest"), "^sha256:", "").alias("digest"),
+        _field("WARC-Payload-Length").try_cast("bigint").alias("declared_bytes"), _field("WARC-Refers-To-Page-ID").try_cast("bigint").alias("refers_to"),
+    ]
+
+
+def _payload() -> list[Column]:
+    """Bytes and digest of the payload of a whole record in ``value`` with headers ``head``."""
+    body = _body(F.length("head") + len(RECORD_END) + len(HTTP), "value", len(RECORD_END))
+    is_response = _field("WARC-Type") == "response"
+    return [F.when(is_response, F.octet_length(body).cast("long")).alias("n"), F.when(is_response, F.sha2(body, 256)).alias("sha")]
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each record: page_id, record_type, digest and declared_bytes (from its headers), refers_to, n and sha (of the stored payload; of responses)."""
+    head = F.expr(f"case when {_instr()} > 0 then substring(value, 1, {_instr()} - 1) end")
     size = F.octet_length("value").cast("long")
-    whole = pieces.withColumn("size", size)
-    # a piece's own magic stands before its value; the first piece of a file is the empty one before its first magic
+    length = F.regexp_extract("head", "(?:^|\r\n)Content-Length: ([0-9]+)", 1).try_cast("bigint")
+    span = F.octet_length("head") + 2 * len(RECORD_END) + length
+    read = _pieces(spark, path).withColumn("head", head)
+    whole = F.coalesce(span == size, F.lit(False))
+    n, sha = (F.when(whole, c).alias(name) for c, name in zip(_payload(), ("n", "sha"), strict=True))
+    narrow = cut(read.select("file", "split", "nth", size.alias("size"), span.alias("span"), whole.alias("whole"), n, sha, *_headers()))
+    # a piece's own magic stands before it
     in_split = Window.partitionBy("file", "split").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
-    splits = whole.groupBy("file", "split").agg((F.sum("size") + F.count("*") * len(MAGIC)).alias("span"))
-    splits = splits.withColumn("base", F.coalesce(F.sum("span").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - len(MAGIC))
+    splits = narrow.groupBy("file", "split").agg((F.sum("size") + F.count("*") * len(MAGIC)).alias("all"))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("base", F.coalesce(F.sum("all").over(earlier), F.lit(0)) - len(MAGIC)).drop("all")
     before = F.coalesce(F.sum(F.col("size") + len(MAGIC)).over(in_split), F.lit(0))
-    placed = whole.withColumn("before", before).join(splits.select("file", "split", "base"), ["file", "split"])
-    placed = placed.withColumn("at", F.col("base") + F.col("before")).where("at >= 0")
-    cut_at = F.instr("value", RECORD_END)
-    placed = placed.withColumn("head", F.when(cut_at > 0, F.expr(f"substring(value, 1, {_instr()} - 1)")))
-    length = F.expr("try_cast(regexp_extract(head, '(?:^|\\r\\n)Content-Length: ([0-9]+)', 1) as bigint)")
-    placed = cut(placed.withColumn("next", F.col("at") + len(MAGIC) + F.octet_length("head") + len(RECORD_END) + length + len(RECORD_END)))
+    placed = narrow.withColumn("before", before).join(splits, ["file", "split"]).withColumn("at", F.col("base") + F.col("before")).where("at >= 0")
+    placed = cut(placed.drop("before", "base").withColumn("next", F.col("at") + len(MAGIC) + F.col("span")))
+    release(spark)
     reached = _reached(placed.select("file", "at", "next"))
-    marked = placed.join(reached.withColumn("real", F.lit(True)), ["file", "at"], "left")
-    # a piece that isn't reached belongs to the last reached one before it
-    splits_last = marked.where("real").groupBy("file", "split").agg(F.max("at").alias("last"))
-    carried = splits.select("file", "split").join(splits_last, ["file", "split"], "left")
-    carried = carried.withColumn("carry", F.max("last").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)))
-    own = F.max(F.when(F.col("real"), F.col("at"))).over(Window.partitionBy("file", "split").orderBy("at"))
-    owned = marked.withColumn("mine", own).join(carried.select("file", "split", "carry"), ["file", "split"]).withColumn("record", F.coalesce("mine", "carry"))
-    joined = owned.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("parts"), F.max(F.when(F.col("real"), F.struct("head", "next"))).alias("r"))
-    text = F.array_join(F.col("parts.value"), MAGIC)
-    rec = joined.select(text.alias("value"), F.col("r.head").alias("head"))
-    body = F.expr("substring(value, length(head) + 5)")
-    body = F.expr(f"substring(value, length(head) + {1 + len(RECORD_END)}, length(value) - length(head) - {2 * len(RECORD_END)})")
-    payload = F.when(_field("WARC-Type") == "response", F.substring(body, F.lit(len(HTTP) + 1), F.length(body)))
-    return rec.select(
-        _field("WARC-Page-ID").cast("long").alias("page_id"), _field("WARC-Target-URI").alias("uri"), _field("WARC-Type").alias("record_type"), F.regexp_replace(_field("WARC-Payload-Digest"), "^sha256:", "").alias("digest"),
-        _field("WARC-Payload-Length").cast("long").alias("declared_bytes"), _field("WARC-Refers-To-Page-ID").cast("long").alias("refers_to"), payload.alias("payload"),
-    )
+    records = cut(placed.join(reached, ["file", "at"]))
+    broken = records.where("not whole").select("file", F.col("at").alias("record"))
+    done = records.where("whole").drop("file", "split", "nth", "size", "span", "whole", "at", "next")
+    if broken.isEmpty():
+        return done
+    # pieces of one payload: a record's own and the unreached ones after it; files hold a bounded number of records
+    owner = F.max(F.when(F.col("real"), F.col("at"))).over(Window.partitionBy("file").orderBy("at"))
+    marked = placed.select("file", "split", "nth", "at").join(reached.withColumn("real", F.lit(True)), ["file", "at"], "left").withColumn("record", owner)
+    parts = cut(marked.join(broken, ["file", "record"], "left_semi").select("file", "split", "nth", "at", "record"))
+    few = parts.limit(FEW + 1).count() <= FEW
+    found = _pieces(spark, path).join(F.broadcast(parts) if few else parts, ["file", "split", "nth"])
+    joined = found.groupBy("file", "record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), MAGIC).alias("value"))
+    again = joined.withColumn("head", head)
+    return done.unionByName(again.select(*_headers(), *_payload()))
 
 
 def _instr() -> str:
@@ -126,9 +157,10 @@ def _reached(chain: DataFrame) -> DataFrame:
     count = known.count()
     while True:
         onward = known.join(jump, ["file", "at"]).select("file", F.col("next").alias("at"))
-        known = cut(known.unionByName(onward.join(chain.select("file", "at"), ["file", "at"], "left_semi")).distinct())
+        known = cut(known.unionByName(onward).distinct())  # with the end of the file, where no record is
         far = jump.select("file", F.col("at").alias("next"), F.col("next").alias("far"))
         jump = cut(jump.join(far, ["file", "next"]).select("file", "at", F.col("far").alias("next")))
+        release(chain.sparkSession)
         now = known.count()
         if now == count:
             return known
@@ -140,10 +172,10 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(pages, path)
-    back = read_warc(spark, path)
-    back = cut(back.select("page_id", "record_type", "refers_to", F.when(F.col("record_type") == "response", F.octet_length("payload").cast("long")).alias("n"), F.when(F.col("record_type") == "response", F.sha2("payload", 256)).alias("sha"), "digest", "declared_bytes"))
+    release(spark)
+    back = cut(read_warc(spark, path))
     # a revisit has what its response holds: equal digests of equal payloads
-    stored = back.where(F.col("record_type") == "response").where(F.col("n") >= MIN_DUPLICATE).groupBy("sha").agg(F.max("n").alias("stored"))
+    stored = back.where((F.col("record_type") == "response") & (F.col("n") >= MIN_DUPLICATE)).groupBy("sha").agg(F.max("n").alias("stored"))
     out = back.join(stored.withColumnRenamed("sha", "digest"), "digest", "left")
     return out.select(
         "page_id", F.coalesce("n", "stored").alias("payload_bytes"), F.coalesce(F.col("sha"), F.when(F.col("stored").isNotNull(), F.col("digest"))).alias("payload_digest"), "record_type",
