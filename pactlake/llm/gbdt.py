@@ -124,7 +124,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH) ->
     """Boosting of the logistic loss; deterministic."""
     inner = (1 << depth) - 1
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         z = np.zeros((0, inner))
         return Forest(z.astype(np.int64), z, np.zeros((0, inner + 1)), 0.0 if not len(y) else 8.0 if share else -8.0)
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1]).astype(np.float32)) for j in range(x.shape[1])]

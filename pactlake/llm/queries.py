@@ -77,5 +77,31 @@ QUERIES = {
     for f in (op1_near_dedup, op2_flac, op3_bottom_k, op4_token_counts, op5_quality, op6_pii, op7_mixing, op8_repeats, op9_byte_bpe, op10_warc)
 }
 
+_NEAR = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0b\f\r]+') w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w)>=5 THEN list_transform(range(1, len(w)-3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w)>0 THEN [array_to_string(w, ' ')] ELSE [] END) g FROM t),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id x, b.doc_id y, count(*) k FROM s a JOIN s b ON a.g=b.g AND a.doc_id<b.doc_id GROUP BY 1,2),
+l AS (SELECT x, y FROM c JOIN n p ON p.doc_id=x JOIN n q ON q.doc_id=y WHERE 100*k >= 75*(p.n+q.n-k)),
+e AS (SELECT x u, y v FROM l UNION ALL SELECT y, x FROM l),
+r(u, v) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.u, e.v FROM r JOIN e ON r.v=e.u)
+SELECT d.doc_id, coalesce(n.n,0)::BIGINT n_shingles, m.component_id, d.doc_id=m.component_id kept FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT u doc_id, min(v) component_id FROM r GROUP BY 1) m USING (doc_id)
+"""
+_REPEATS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text,''))) h, octet_length(encode(coalesce(text,''))) n FROM documents),
+w AS (SELECT doc_id, p, substr(h, p*2+1, 200) s FROM (SELECT doc_id, h, unnest(range(0, greatest(n-99,0))) p FROM d)),
+f AS (SELECT hash(s) k, s, min((doc_id, p)) m FROM w GROUP BY s HAVING count(*)>1),
+x AS (SELECT w.doc_id, w.p FROM w JOIN f ON w.s=f.s WHERE (w.doc_id, w.p) <> f.m),
+b AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END nw FROM x),
+g AS (SELECT doc_id, min(p) a, max(p)+100 z FROM (SELECT *, sum(nw) OVER (PARTITION BY doc_id ORDER BY p) i FROM b) GROUP BY doc_id, i),
+q AS (SELECT doc_id, a, z, lag(z,1,0) OVER (PARTITION BY doc_id ORDER BY a) pz FROM g),
+o AS (SELECT doc_id, string_agg(substr(h, pz*2+1, (a-pz)*2), '' ORDER BY a) kept, max(z) last, sum(z-a) removed, count(*) spans FROM q JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT n_bytes, coalesce(removed,0)::BIGINT n_removed, coalesce(spans,0)::BIGINT n_spans, sha256(unhex(coalesce(kept,'') || substr(h, coalesce(last,0)*2+1))) kept_sha256 FROM d LEFT JOIN o USING (doc_id)
+"""
+_WARC = """
+WITH b AS (SELECT page_id, octet_length(encode(coalesce(html,'')))::BIGINT n, sha256(coalesce(html,'')) s FROM pages), f AS (SELECT s, min(page_id) m FROM b WHERE n >= 100 GROUP BY s)
+SELECT page_id, n payload_bytes, s payload_digest, CASE WHEN m <> page_id THEN 'revisit' ELSE 'response' END record_type, CASE WHEN m <> page_id THEN m END refers_to FROM b LEFT JOIN f USING (s)
+"""
+
 #: DuckDB SQL where it can express an operator.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_near_dedup": _NEAR, "op8_repeats": _REPEATS, "op10_warc": _WARC}
