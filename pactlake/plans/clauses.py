@@ -35,6 +35,15 @@ def _type_bad(c: Column, want: str, have: str) -> Column:
     return F.lit(not have.startswith({"array": "array", "object": "struct"}.get(want, want)))
 
 
+def _element_values(array: Column, name: str) -> Column:
+    """The numbers that a field has in the elements of an array of structs."""
+    return F.filter(F.transform(array, lambda x: x[name].try_cast("double")), lambda v: v.isNotNull())
+
+
+def _outside(lo: float, hi: float):
+    return lambda v: (v < lo) | (v > hi)
+
+
 def field_clauses(path: str, spec: dict[str, Any], prefix: str, key: Column, have: str = "string") -> list[Clause]:
     """Clauses of one field; nested objects recurse, and array items range over elements."""
     c, cid = F.col(path), f"{prefix}.{path}"
@@ -70,11 +79,11 @@ def field_clauses(path: str, spec: dict[str, Any], prefix: str, key: Column, hav
     for name, sub in (spec.get("items") or {}).items():
         if isinstance(sub, dict) and (sub.get("minimum") is not None or sub.get("maximum") is not None):
             lo, hi = sub.get("minimum", float("-inf")), sub.get("maximum", float("inf"))
-            values = F.filter(F.transform(c, lambda x, n=name: x[n].try_cast("double")), lambda v: v.isNotNull())
+            values, outside = _element_values(c, name), _outside(lo, hi)
             out.append(
                 Clause(
-                    f"{cid}.{name}.range", f"{path}[].{name}", "range", f"[{lo}, {hi}]", bad=F.coalesce(F.exists(values, lambda v, a=lo, b=hi: (v < a) | (v > b)), F.lit(False)),
-                    applies=F.coalesce(F.size(values) > 0, F.lit(False)), sample=key, empty="WARN", params={"count": F.size(F.filter(values, lambda v, a=lo, b=hi: (v < a) | (v > b)))},
+                    f"{cid}.{name}.range", f"{path}[].{name}", "range", f"[{lo}, {hi}]", bad=F.coalesce(F.exists(values, outside), F.lit(False)), applies=F.coalesce(F.size(values) > 0, F.lit(False)),
+                    sample=key, empty="WARN", params={"count": F.size(F.filter(values, outside))},
                 )
             )
     return out

@@ -19,7 +19,7 @@ REGISTRY = (
 
 def read_text(spark: SparkSession, path: str) -> str:
     """A small file by Spark, so from any store it reads."""
-    return spark.read.option("wholetext", True).text(path).first()[0]
+    return spark.read.text(path, wholetext=True).first()[0]
 
 
 def read_yaml(spark: SparkSession, path: str) -> dict[str, Any]:
