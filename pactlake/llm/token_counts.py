@@ -42,7 +42,7 @@ def prove_whole_tokens(vocabulary: str) -> frozenset[str]:
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(vocabulary)
-    split, model = by_tokenizers(tok), tok.model
+    split, model = tok.pre_tokenizer.pre_tokenize_str, tok.model
     back = {c: b for b, c in byte_letters().items()}
     proven = []
     for s in tok.get_vocab(with_added_tokens=False):
@@ -52,7 +52,7 @@ def prove_whole_tokens(vocabulary: str) -> frozenset[str]:
             piece = bytes(back[c] for c in s).decode()
         except UnicodeDecodeError:
             continue  # part of a character: never a pre-token
-        if len(model.tokenize(s)) == 1 and split(piece) == [piece]:
+        if len(model.tokenize(s)) == 1 and len(split(piece)) == 1:
             proven.append(piece)
     return frozenset(proven)
 
