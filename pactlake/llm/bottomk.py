@@ -10,8 +10,8 @@ Texts without words have an empty sketch: its likeness to another empty one is
 doc_id order. Documents are dealt out by doc_id ranges, and the first document
 of each range is also sent to the range before it, so a text is shuffled once
 and no window over all rows is needed. Null texts count as empty. Rows with a
-null doc_id come last in that order; rows with equal doc_ids are ordered by
-their texts. Other columns are ignored.
+null doc_id come last in that order; rows with equal doc_ids are ordered by a
+hash of their texts. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ K = 128
 WIDTH = 5
 _FULL = 1 << (8 * WIDTH)
 SLICE = 1 << 20
+#: Ranges that are told apart by comparing; more parts divide them by width.
+COARSE = 512
 
 
 def sketch(shingles: np.ndarray, k: int = K) -> np.ndarray:
@@ -143,27 +145,46 @@ def _compared(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
+def _part(bounds: list[int], lo: int, hi: int, fine: int):
+    """The part of a doc_id among descending bounds[lo..hi], by halving; ``fine`` equal widths within neighbours."""
+    if hi - lo > 1:
+        mid = (lo + hi) // 2
+        return F.when(F.col("doc_id") > bounds[mid], _part(bounds, lo, mid, fine)).otherwise(_part(bounds, mid, hi, fine))
+    if fine == 1 or len(bounds) < 2:
+        return F.lit(lo * fine)
+    top, low = bounds[lo], bounds[lo + 1]
+    share = (F.lit(top).cast("double") - F.col("doc_id")) / max(1.0, float(top) - float(low)) * fine
+    return F.lit(lo * fine) + F.greatest(F.lit(0), F.least(F.lit(fine - 1), F.floor(share).cast("int")))
+
+
 def edited_neighbours(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likenesses."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    # ranges of about equal rows; the bounds are one number for each shuffle partition
-    bounds = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10000)).first()[0] or []
-    bounds = sorted(set(bounds))
-    above = F.aggregate(F.array(*[F.lit(b).cast("long") for b in bounds]), F.lit(0), lambda n, b: n - (F.col("doc_id") > b).cast("int")) if bounds else F.lit(0)
-    docs = docs.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(above))  # -n for the largest ids, to 0, then 1 for nulls
-    firsts = sorted((r.part, r.first) for r in docs.groupBy("part").agg(F.max("doc_id").alias("first")).collect())
+    docs = docs.withColumn("h", F.xxhash64("text"))
+    # coarse ranges of about equal rows, and equal widths within them: one part for each shuffle partition or more
+    coarse = min(parts, COARSE)
+    fine = -(-parts // coarse)
+    got = docs.agg(F.percentile_approx("doc_id", [i / coarse for i in range(1, coarse)] or [0.5], 10000), F.min("doc_id"), F.max("doc_id")).first()
+    bounds = sorted({got[1], *(got[0] or []), got[2]} - {None}, reverse=True)
+    nulls = max(1, len(bounds) - 1) * fine  # the part of null ids, the last
+    part = F.when(F.col("doc_id").isNull(), nulls).otherwise(_part(bounds, 0, max(1, len(bounds) - 1), fine)).cast("int")
+    docs = docs.withColumn("part", part)
+    # one row for each part comes to the driver
+    firsts = sorted((r.part, r.f.doc_id, r.f.h) for r in docs.groupBy("part").agg(F.min(F.struct(F.bitwise_not("doc_id").alias("order"), "h", "doc_id")).alias("f")).collect())
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_distinct double, contained_in_edited double"
     if not firsts:
         return spark.createDataFrame([], schema)
-    # the first row of a range is the next one of the last row of the range before; that of the first range, of the last row of all
-    before = {p: firsts[i - 1][0] for i, (p, _) in enumerate(firsts)}
-    copies = F.lit(None).cast("int")
-    for p, first in firsts:
-        copies = F.when((F.col("part") == p) & F.col("doc_id").eqNullSafe(F.lit(first).cast("long")), F.lit(before[p])).otherwise(copies)
-    copied = docs.withColumn("part", copies).where("part is not null").withColumn("copy", F.lit(True))
+    # the first row of a part is the next one of the last row of the part before; that of the first part, of the last row of all
+    n = firsts[-1][0] + 1
+    ids, hashes, before = [0] * n, [0] * n, [-1] * n
+    for i, (p, doc, h) in enumerate(firsts):
+        ids[p], hashes[p], before[p] = doc or 0, h, firsts[i - 1][0]
+    at = lambda values, kind: F.element_at(F.lit(values).cast(f"array<{kind}>"), F.col("part") + 1)
+    is_first = (F.col("h") == at(hashes, "bigint")) & (F.col("doc_id").isNull() | (F.col("doc_id") == at(ids, "bigint")))
+    copied = docs.where(is_first).withColumn("part", at(before, "int")).withColumn("copy", F.lit(True))
     every = docs.withColumn("copy", F.lit(False)).unionByName(copied)
-    order = [F.col("part"), F.col("copy"), F.col("doc_id").desc_nulls_last(), F.col("text")]
+    order = [F.col("part"), F.col("copy"), F.col("doc_id").desc_nulls_last(), F.col("h"), F.col("text")]
     dealt = every.repartition(parts, "part").sortWithinPartitions(*order)
     return map_arrow(dealt.select("part", "doc_id", "text", "copy"), _pair, schema)

@@ -260,3 +260,17 @@ def test_pipeline(spark):
     assert not any(brute.personal(t) for t in masked.values())
     want = {i: hashlib.sha256(t.encode()).hexdigest() for i, t in masked.items()}
     assert all(r.decoded_sha256 == want[r.doc_id] for r in out)
+
+
+@pytest.mark.parametrize("coarse", [1, 2, 3])
+def test_ranges_divided_by_width(spark, monkeypatch, coarse):
+    monkeypatch.setattr(bottomk, "COARSE", coarse)
+    rng = random.Random(coarse)
+    rows = [(int(2 ** (k / 5)), "".join(rng.choice("ab c") for _ in range(rng.randint(0, 40)))) for k in range(60, 200)] + [(-(1 << 63) + 5, "least"), ((1 << 63) - 1, "most")]
+    rows = list(dict(rows).items())
+    order = sorted(rows, key=lambda r: -r[0])
+    want = []
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        want.append((i, brute.sha((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode())))
+    same(bottomk.edited_neighbours(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), ["doc_id", "edited_sha256"], want)
