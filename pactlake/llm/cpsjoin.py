@@ -115,30 +115,34 @@ def _compare_pools(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups of sets, sorted by part: links on the full sets that connect all that are connected."""
+    """Groups of sets, sorted by part: who is connected by links on the full sets, as edges from the smallest id."""
     out = []
     for t in key_groups(batches, "part"):
         ids = t.column("doc").to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
         size = np.array([len(s) for s in sets])
-        left, queue = np.flatnonzero(size > 0), []
+        left = np.flatnonzero(size > 0)
         while len(left):
-            k = queue.pop() if queue else None
-            if k is None:
-                k, left = left[0], left[1:]
-            s, n = sets[k], size[left]
-            fit = left[(100 * np.minimum(n, len(s)) >= PERCENT * np.maximum(n, len(s)))]
-            if not len(fit):
-                continue
-            every = np.concatenate([sets[i] for i in fit])
-            at = np.searchsorted(s, every)
-            hit = s[np.minimum(at, len(s) - 1)] == every
-            common = np.add.reduceat(hit, np.cumsum(size[fit]) - size[fit], dtype=np.int64)
-            got = fit[100 * common >= PERCENT * (size[fit] + len(s) - common)]
-            if len(got):
-                out.append((np.full(len(got), ids[k]), ids[got]))
-                queue += got.tolist()
-                left = np.setdiff1d(left, got, assume_unique=True)
+            queue, left = [left[0]], left[1:]
+            found = [queue[0]]
+            while queue and len(left):
+                s = sets[queue.pop()]
+                n = size[left]
+                fit = left[100 * np.minimum(n, len(s)) >= PERCENT * np.maximum(n, len(s))]
+                if not len(fit):
+                    continue
+                every = np.concatenate([sets[i] for i in fit])
+                at = np.searchsorted(s, every)
+                hit = s[np.minimum(at, len(s) - 1)] == every
+                common = np.add.reduceat(hit, np.cumsum(size[fit]) - size[fit], dtype=np.int64)
+                got = fit[100 * common >= PERCENT * (size[fit] + len(s) - common)]
+                if len(got):
+                    queue += got.tolist()
+                    found += got.tolist()
+                    left = np.setdiff1d(left, got, assume_unique=True)
+            if len(found) > 1:
+                mine = np.unique(ids[found])
+                out.append((np.full(len(mine) - 1, mine[0]), mine[1:]))
         if len(out) > 4096:
             yield _edges(out)
             out = []
@@ -192,6 +196,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sizes = sizes.select("family", F.greatest(F.ceil(F.col("sets") / CHUNK_SETS), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
     members = cut(families.join(sizes, "family").distinct())
     several = members.where("chunks > 1").limit(1).count() > 0
+    # a doc_id may stand for several texts; then, and after chunks, components of groups can meet
+    shared = reps.groupBy("doc").count().where("count > 1").limit(1).count() > 0
 
     full = docs.join(members, docs.doc_id == members.doc).select("text", "doc", "family", "chunks")
     full = map_arrow(full, _sets, "doc long, family long, chunks int, shingles binary")
@@ -217,7 +223,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         against = dealt.where("chunks > 1").join(turns, "family").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
         cols = ["family", "chunk", "turn", "doc", "shingles"]
         links = links.unionByName(confirm(odd.select(cols).unionByName(against.select(cols)).dropDuplicates(["family", "chunk", "turn", "doc"]).withColumn("part", F.xxhash64("family", "chunk", "turn"))))
-    final = components(links)
+    final = components(links) if several or shared else links.select(F.col("b").alias("id"), F.col("a").alias("component"))
     rep = classes.select("digest", "doc")
     out = sig.join(rep, "digest", "left").join(final, F.col("doc") == F.col("id"), "left")
     comp = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc", "doc_id"))
