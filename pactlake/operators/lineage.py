@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import recency_score
@@ -61,3 +61,37 @@ def parse_git_log(lines: DataFrame, column: str = "value") -> DataFrame:
     """``hash|author|email|time|subject`` lines as commits."""
     p = F.split(column, r"\|", 5)
     return lines.where(F.size(p) == 5).select(p[0].alias("commit_hash"), p[1].alias("author"), p[2].alias("email"), p[3].alias("commit_time"), p[4].alias("subject"))
+
+
+def nearest(reached: DataFrame, cap: int = 80) -> DataFrame:
+    """The ``cap`` nodes with the fewest hops, for reports with a limit."""
+    return reached.orderBy("hops", "node").limit(cap)
+
+
+def keyword_seeds(failures: DataFrame, nodes: DataFrame, topics: DataFrame, cap: int = 24) -> DataFrame:
+    """(check_id, node): nodes whose id holds a word of a topic that the failure's names touch.
+
+    topics: (trigger, keyword), a table of fixed words and so small. Where no node
+    fits, files and extraction nodes stand in, the first eight by id.
+    """
+    said = F.lower(F.concat_ws(" ", "check_id", "column_name"))
+    words = failures.join(F.broadcast(topics), F.contains(said, F.col("trigger"))).select("check_id", "keyword").distinct()
+    hit = nodes.select("node_id").distinct().join(F.broadcast(words), F.contains(F.lower("node_id"), F.col("keyword"))).select("check_id", F.col("node_id").alias("node")).distinct()
+    hit = hit.withColumn("k", F.row_number().over(Window.partitionBy("check_id").orderBy("node"))).where(F.col("k") <= cap).drop("k")
+    other = nodes.where(F.startswith("node_id", F.lit("file::")) | F.contains(F.lower("node_id"), F.lit("extract"))).select(F.col("node_id").alias("node")).distinct().orderBy("node").limit(8)
+    bare = failures.select("check_id").distinct().join(hit.select("check_id").distinct(), "check_id", "left_anti")
+    return hit.unionByName(bare.crossJoin(F.broadcast(other)).select("check_id", "node"))
+
+
+def repo_path(node: Column) -> Column:
+    """The path that a ``file::`` or ``pipeline::`` node names; null for other kinds."""
+    p = F.split(node, "::", 2)
+    return F.when((F.size(p) == 2) & p[0].isin("file", "pipeline"), F.nullif(F.try_element_at(p, F.lit(2)), F.lit("")))
+
+
+def commit_scores(files: DataFrame, commits: DataFrame, detected: Column, snapshot_rev: str | None = None) -> DataFrame:
+    """files (check_id, path, hops) with their commits (path, commit_hash, author, commit_time); the snapshot's revision if a file has none."""
+    rev = F.lit(snapshot_rev).cast("string")
+    rev = F.when(rev.rlike("(?i)^[0-9a-f]{7,40}$"), rev)
+    j = files.join(commits, "path", "left").withColumn("commit_hash", F.coalesce("commit_hash", rev)).where("commit_hash is not null")
+    return j.withColumn("score", F.round(recency_score(detected, F.col("commit_time"), F.col("hops")), 6)).dropDuplicates(["check_id", "commit_hash", "path"])

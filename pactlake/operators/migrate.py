@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import relative_to, utc_z, uuid5
+from ..functions.text import relative_to, strip_dirty, utc_z, uuid5
 
 #: Payload times that say when an event occurred, by preference; fixed values.
 AT_PRIORITY = {
@@ -69,6 +69,35 @@ def extractions(raw: DataFrame, namespace: str, placeholder: str = "doc123") ->
     return good.select(doc.alias("doc_id"), F.col("document_name").alias("source_path"), F.array(fact).alias("extracted_facts"), F.col("processing_time_ms").cast("long").alias("processing_time_ms"), F.col("final_strategy").alias("extraction_model"), F.col("timestamp").alias("extracted_at")), bad
 
 
+def traces(raw: DataFrame, namespace: str, tag: str = "migrated") -> tuple[DataFrame, DataFrame]:
+    """Raw traces (a variant column v) -> canonical runs; those without objects as inputs and outputs are put aside.
+
+    Metadata and tracing fields are kept within the inputs under ``_migration_source_envelope``. The id
+    is made of the canonical JSON (sorted keys) of what came in, so it is the same in every run.
+    """
+    ns = {k: uuid.uuid5(uuid.NAMESPACE_URL, f"{namespace}/{k}") for k in ("run_id", "session_id")}
+    get = lambda p, k="string": F.try_variant_get("v", f"$.{p}", k)
+    m = "map<string,variant>"
+    good, bad = split(raw, {"inputs_not_object": get("inputs", m).isNull(), "outputs_not_object": get("outputs", m).isNull()})
+    text = lambda p: F.coalesce(get(p, "variant").cast("string"), F.lit("null"))
+    came = F.concat_ws("\n", *[text(p) for p in ("inputs", "outputs", "metadata", "langsmith")])
+    meta, rev = F.coalesce(get("metadata", m), F.create_map().cast(m)), get("metadata.revision_id")
+    clean = F.map_concat(F.map_filter(meta, lambda k, _: ~k.isin("revision_id", "revision_id_original")), F.create_map(F.lit("revision_id"), strip_dirty(rev).cast("variant")))
+    clean = F.when(F.endswith(rev, F.lit("-dirty")), F.map_concat(clean, F.create_map(F.lit("revision_id_original"), rev.cast("variant")))).when(rev.isNotNull(), clean).otherwise(meta)
+    envelope = F.parse_json(F.to_json(F.struct(clean.alias("metadata"), get("langsmith", "variant").alias("langsmith"))))
+    inner = F.map_filter(get("inputs", m), lambda k, _: k != "_migration_source_envelope")
+    session = F.coalesce(get("inputs.session_id"), get("outputs.session_id"))
+    project = F.coalesce(F.nullif(get("langsmith.tracing_project.name"), F.lit("")), F.lit("unknown-project"))
+    named = F.nullif(get("metadata.LANGSMITH_PROJECT"), F.lit(""))
+    none = lambda k, *cs: [F.lit(None).cast(k).alias(c) for c in cs]
+    return good.select(
+        uuid5(ns["run_id"], came).alias("id"), F.concat_ws("/", project, F.coalesce(session, F.lit("no-session"))).alias("name"), F.lit("chain").alias("run_type"),
+        F.map_concat(inner, F.create_map(F.lit("_migration_source_envelope"), envelope)).alias("inputs"), get("outputs", m).alias("outputs"), *none("string", "error", "start_time", "end_time"),
+        *none("bigint", "total_tokens", "prompt_tokens", "completion_tokens"), *none("double", "total_cost"), F.array_distinct(F.array_compact(F.array(named, project, F.lit(tag)))).alias("tags"),
+        *none("string", "parent_run_id"), uuid5(ns["session_id"], F.coalesce(session, F.lit("missing-session"))).alias("session_id"),
+    ), bad
+
+
 def lineage(snapshot: DataFrame, root: str) -> DataFrame:
     """Node ids and both ends of edges relative to ``root``."""
     return snapshot.withColumn("nodes", F.transform("nodes", lambda n: n.withField("node_id", relative_to(n["node_id"], root)))).withColumn(

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import string_pattern, uuid5
-from .operators import drift, evolution, lineage, migrate, profile, registry, report
+from .operators import drift, evolution, history, lineage, migrate, profile, project, registry, report
+from .plans import assemble
 from .plans.validate import validate
 
 EVENT_TYPES = ["click", "view", "purchase", "signup"]
@@ -229,18 +230,110 @@ def json_path_projection(s, d):
 
 
 def uuid5_ids(s, d):
-    return _t(s, d, "events").where("event_type = 'signup'").select("event_id", uuid5("6ba7b811-9dad-11d1-80b4-00c04fd430c8", F.concat(F.lit("event:"), F.col("event_id").cast("string"))).alias("uid"))
+    return _t(s, d, "events").select("event_id", uuid5("6ba7b811-9dad-11d1-80b4-00c04fd430c8", F.concat(F.lit("event:"), F.col("event_id").cast("string"))).alias("uid"))
 
 
 def explode_outer_flatten(s, d):
-    turns = _t(s, d, "conversations").where("turn < 3").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("turns"))
-    docs = _t(s, d, "documents").select(F.col("doc_id").alias("conv_id")).where("conv_id < 400").join(turns, "conv_id", "left")
+    turns = _t(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.char_length("text").alias("chars")))).alias("turns"))
+    docs = _t(s, d, "documents").select(F.col("doc_id").alias("conv_id")).join(turns, "conv_id", "left")
     return migrate.flatten_outer(docs, "turns", "fact_")
 
 
+def event_projection(s, d):
+    e = _t(s, d, "events").select(F.col("event_id").alias("id"), F.try_parse_json("props").alias("v"))
+    return e.select("id", project.at("k", "bigint").alias("k"), F.size(F.map_keys(F.col("v").cast("map<string,variant>"))).alias("keys"))
+
+
+def type_mix(s, d):
+    r = project.type_mix(_t(s, d, "events").select(F.try_parse_json("props").alias("v")), "k")
+    return r.select(F.array_join("kinds", ",").alias("kinds"), "n", "status")
+
+
+def snapshot_pair(s, d):
+    o = _t(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    p = history.latest_pair(o, "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderdate", F.lit("1998-01-01").cast("timestamp_ntz"))
+    return p.select("o_custkey", "o_orderkey", "nth", "status")
+
+
+def rate_history(s, d):
+    e = _t(s, d, "events").withColumn("hour", F.date_trunc("hour", "ts").cast("string"))
+    r = drift.violation_rate(e, "event_type", EVENT_TYPES, by=["user_id", "hour"])
+    return history.rate_history(r, "user_id", "hour").select("user_id", "hour", "violations", "nth")
+
+
+def effective_mode(s, d):
+    e = _t(s, d, "events").select("event_id", "event_type", "ts", "user_id")
+    return history.effective_mode(report.circuit_breaker(e, "user_id", "ts"), "user_id")
+
+
+_TOPICS = [("copper", "copper"), ("size", "small"), ("size", "large"), ("steel", "steel")]
+
+
+def keyword_seeds(s, d):
+    nodes = _t(s, d, "part").select(F.concat(F.lit("file::"), "p_type", F.lit("/"), "p_partkey").alias("node_id"))
+    fails = s.createDataFrame([("part.size.minimum", "p_size"), ("part.metal.enum", "copper"), ("part.other", "p_name")], "check_id string, column_name string")
+    return lineage.keyword_seeds(fails, nodes, s.createDataFrame(_TOPICS, "trigger string, keyword string"), 40)
+
+
+def ambiguous_columns(s, d):
+    e = _t(s, d, "labels").select(F.col("doc_id").alias("id"), "quality", F.lit(1).alias("toxicity_version"), F.nullif("toxic", F.lit(0)).alias("metadata"))
+    return assemble.ambiguous_columns(profile.structural_profile(e)).select("column_name", "score")
+
+
+_NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")
+
+
+def drift_all_columns(s, d):
+    l = _t(s, d, "lineitem")
+    stats = lambda flag: drift.column_stats(l.where(F.col("l_linestatus") == flag), {c: F.col(c) for c in _NUMBERS})
+    return drift.drift(stats("O"), stats("F")).select("column", "n", F.round("mean", 4).alias("mean"), F.round("z", 6).alias("z"), "status")
+
+
+def rate_by_version(s, d):
+    r = drift.violation_rate(_t(s, d, "orders"), "o_orderstatus", ["F", "O"], by=["o_orderpriority"], baseline=0.3)
+    return r.select("o_orderpriority", "total", "violations", F.round("rate", 6).alias("rate"), "trend", "status")
+
+
+def tiered_health(s, d):
+    return report.health_score(results(s, d), {"CRITICAL": 20, "HIGH": 10, "MEDIUM": 5, "LOW": 1})
+
+
+def change_counts(s, d):
+    return report.change_counts(schema_diff_classify(s, d))
+
+
+def migration_impact(s, d):
+    changes = schema_diff_classify(s, d)
+    reg = s.createDataFrame([("c", "billing", [("b", "bounds"), ("c", "codes")]), ("c", "search", [("g", "items")])], "contract_id string, subscriber_id string, breaking_fields array<struct<field:string,reason:string>>")
+    fails = changes.where("verdict = 'BREAKING'").select(F.lit("c").alias("contract_id"), F.col("path").alias("check_id"), F.col("path").alias("column_name"))
+    return report.migration_impact(changes, registry.blast_radius(fails, reg)).select("path", "failure_mode")
+
+
+def sampled_statistics(s, d):
+    e = assemble.statistics_sample(_t(s, d, "orders"), "o_orderkey", 5)
+    return profile.numeric_profile(e, ["o_totalprice"]).select("n", F.round("mean", 4).alias("mean"), F.round("stddev", 4).alias("stddev"))
+
+
+def upstream_bfs(s, d):
+    edges, _ = _edges(s, d)
+    up = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
+    return lineage.reach(_t(s, d, "customer").where("c_acctbal < 0").select(F.concat(F.lit("customer::"), "c_custkey").alias("node")), up, 2)
+
+
+def first_of_repeats(s, d):
+    return _t(s, d, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).select("doc_id", "copies")
+
+
+def next_baselines(s, d):
+    e = _t(s, d, "events")
+    stats = e.groupBy(F.col("event_type").alias("column")).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("value").alias("n"))
+    old = s.createDataFrame([("click", 1.0, 2.0, 10, None), ("gone", 3.0, 4.0, 11, None)], "column string, mean double, std double, n long, established_at timestamp")
+    return history.next_baselines(stats, old, F.lit("2024-02-01").cast("timestamp"), 10).select("column", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "n", F.col("established_at").isNotNull().alias("fresh"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (validation_report, required_null_counts, unique_composite_key, pattern_and_format, enum_conformance, range_violations, temporal_order, arithmetic_identity, referential_integrity, sequence_monotonic, assign_sequence, pipeline_gate, health_score, status_counts, severity_rollup, top_failures, numeric_profile, structural_profile, dominant_pattern, shape_signature, drift_by_day, violation_rate_trend, circuit_breaker, embedding_centroid_drift, byte_histogram, blast_radius_lookup, registry_gap, lineage_bfs, schema_diff_classify, blame_rank_topk, quarantine_split, json_path_projection, uuid5_ids, explode_outer_flatten)
+    for f in (validation_report, required_null_counts, unique_composite_key, pattern_and_format, enum_conformance, range_violations, temporal_order, arithmetic_identity, referential_integrity, sequence_monotonic, assign_sequence, pipeline_gate, health_score, status_counts, severity_rollup, top_failures, numeric_profile, structural_profile, dominant_pattern, shape_signature, drift_by_day, violation_rate_trend, circuit_breaker, embedding_centroid_drift, byte_histogram, blast_radius_lookup, registry_gap, lineage_bfs, schema_diff_classify, blame_rank_topk, quarantine_split, json_path_projection, uuid5_ids, explode_outer_flatten, event_projection, type_mix, snapshot_pair, rate_history, effective_mode, keyword_seeds, ambiguous_columns, drift_all_columns, rate_by_version, tiered_health, change_counts, migration_impact, sampled_statistics, upstream_bfs, first_of_repeats, next_baselines)
 }
 
 _PROFILE = "SELECT '{c}' column_name, count({c}) n, count(*) FILTER (WHERE {c} IS NULL) nulls, round(min({c})::DOUBLE,4) \"min\", round(max({c})::DOUBLE,4) \"max\", round(avg({c}),4) mean, round(quantile_cont({c}::DOUBLE,0.25),4) p25, round(quantile_cont({c}::DOUBLE,0.5),4) p50, round(quantile_cont({c}::DOUBLE,0.95),4) p95, round(stddev_pop({c}),4) stddev FROM orders"
@@ -279,6 +372,22 @@ ORACLES = {
     "blame_rank_topk": "WITH x AS (SELECT o_custkey, o_orderkey, round(greatest(0.0, least(1.0, greatest(0.0, 1.0 - greatest(0, floor(date_diff('second', o_orderdate, TIMESTAMP '1998-08-02')/86400.0))*0.1) - (o_orderkey%3)*0.2)),6)::DOUBLE score FROM orders WHERE o_orderstatus='P'), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY score DESC, o_orderkey) rank FROM x) SELECT * FROM r WHERE rank <= 2",
     "quarantine_split": "SELECT CASE WHEN trim(text)='' THEN 'empty' WHEN length(text)>200 THEN 'long' WHEN role NOT IN ('user','assistant') THEN 'role' END reason, count(*) n FROM conversations WHERE trim(text)='' OR length(text)>200 OR role NOT IN ('user','assistant') GROUP BY 1",
     "json_path_projection": "SELECT event_type, count(k) n, sum(k)::BIGINT total FROM (SELECT event_type, json_extract(props,'$.k')::BIGINT k FROM events) GROUP BY 1",
-    "explode_outer_flatten": "SELECT d.doc_id conv_id, c.turn fact_turn, c.role fact_role FROM documents d LEFT JOIN (SELECT * FROM conversations WHERE turn < 3) c ON c.conv_id = d.doc_id WHERE d.doc_id < 400",
-    "uuid5_ids": "WITH h AS (SELECT event_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('event:' || event_id)) x FROM events WHERE event_type='signup') SELECT event_id, substr(x,1,8)||'-'||substr(x,9,4)||'-5'||substr(x,14,3)||'-'||substr('89ab', (('0x'||substr(x,17,1))::INT % 4)+1, 1)||substr(x,18,3)||'-'||substr(x,21,12) uid FROM h",
+    "explode_outer_flatten": "SELECT d.doc_id conv_id, c.turn fact_turn, c.role fact_role, length(c.text) fact_chars FROM documents d LEFT JOIN conversations c ON c.conv_id = d.doc_id",
+    "uuid5_ids": "WITH h AS (SELECT event_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('event:' || event_id)) x FROM events) SELECT event_id, substr(x,1,8)||'-'||substr(x,9,4)||'-5'||substr(x,14,3)||'-'||substr('89ab', (('0x'||substr(x,17,1))::INT % 4)+1, 1)||substr(x,18,3)||'-'||substr(x,21,12) uid FROM h",
+    "event_projection": "SELECT event_id id, json_extract(props,'$.k')::BIGINT k, len(json_keys(props))::INT AS \"keys\" FROM events",
+    "type_mix": "SELECT 'NUMBER' kinds, count(json_extract(props,'$.k')) n, 'PASS' status FROM events",
+    "snapshot_pair": "WITH s AS (SELECT o_custkey, o_orderkey, o_orderdate, o_orderdate >= TIMESTAMP '1998-01-01' r FROM orders), c AS (SELECT o_custkey, count(*) a, count(*) FILTER (WHERE r) n FROM s GROUP BY 1), t AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)::INT nth, a FROM s JOIN c USING (o_custkey) WHERE r OR n < 2) SELECT o_custkey, o_orderkey, nth, CASE WHEN a < 2 THEN 'INSUFFICIENT_SNAPSHOTS' ELSE 'OK' END status FROM t WHERE nth <= 2",
+    "rate_history": f"WITH t AS (SELECT user_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) FILTER (WHERE NOT coalesce(event_type IN {_GOOD},false)) violations FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY hour DESC)::INT nth FROM t) SELECT * FROM r WHERE nth <= 24",
+    "effective_mode": "WITH r AS (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) n FROM events) SELECT user_id, CASE WHEN max(n) >= 3 THEN 'WARN' ELSE 'ENFORCE' END AS mode, max(n) most_recent FROM r GROUP BY 1",
+    "keyword_seeds": "WITH n AS (SELECT 'file::' || p_type || '/' || p_partkey node FROM part), k(check_id, w) AS (VALUES ('part.size.minimum','small'),('part.size.minimum','large'),('part.metal.enum','copper')), h AS (SELECT DISTINCT check_id, node FROM n JOIN k ON contains(lower(node), w)), r AS (SELECT *, row_number() OVER (PARTITION BY check_id ORDER BY node) i FROM h), o AS (SELECT DISTINCT node FROM n ORDER BY node LIMIT 8) SELECT check_id, node FROM r WHERE i <= 40 UNION ALL SELECT f, node FROM o, (VALUES ('part.size.minimum'),('part.metal.enum'),('part.other')) v(f) WHERE f NOT IN (SELECT check_id FROM h)",
+    "ambiguous_columns": "WITH p AS (SELECT 'id' column_name, 0.0 base, count(*) FILTER (WHERE doc_id IS NULL)/count(*) nf, count(DISTINCT doc_id) c FROM labels UNION ALL SELECT 'quality', 0, count(*) FILTER (WHERE quality IS NULL)/count(*), count(DISTINCT quality) FROM labels UNION ALL SELECT 'toxicity_version', 0, 0, 1 FROM labels UNION SELECT 'metadata', 2, count(*) FILTER (WHERE toxic IS NULL OR toxic = 0)/count(*), count(DISTINCT nullif(toxic,0)) FROM labels), s AS (SELECT DISTINCT column_name, (base + CASE WHEN nf > 0.4 THEN 1 ELSE 0 END + CASE WHEN c <= 1 THEN 0.5 ELSE 0 END + CASE WHEN length(column_name) <= 2 THEN 1.5 ELSE 0 END)::DOUBLE score FROM p) SELECT * FROM s WHERE score > 0",
+    "drift_all_columns": " UNION ALL ".join(f"SELECT '{c}' AS column, count({c}) FILTER (WHERE l_linestatus='O') n, round(avg({c}) FILTER (WHERE l_linestatus='O'),4) mean, round(abs(avg({c}) FILTER (WHERE l_linestatus='O')-avg({c}) FILTER (WHERE l_linestatus='F'))/greatest(stddev_pop({c}) FILTER (WHERE l_linestatus='F'),1e-9),6) z, 'PASS' status FROM lineitem" for c in _NUMBERS),
+    "rate_by_version": "WITH t AS (SELECT o_orderpriority, count(*) total, count(*) FILTER (WHERE NOT coalesce(o_orderstatus IN ('F','O'),false)) violations FROM orders GROUP BY 1) SELECT *, round(violations/total,6) rate, CASE WHEN violations/total > 0.3*1.5 THEN 'rising' WHEN violations/total < 0.3*0.5 THEN 'falling' ELSE 'stable' END trend, CASE WHEN violations/total > 0.05 THEN 'WARN' ELSE 'PASS' END status FROM t",
+    "tiered_health": _ROWS + "SELECT round(greatest(0.0, least(100.0, 100.0*count(*) FILTER (WHERE status='PASS')/count(*) - 20*count(*) FILTER (WHERE severity='CRITICAL' AND status='FAIL') - 10*count(*) FILTER (WHERE severity='HIGH' AND status='FAIL'))),2)::DOUBLE health_score, count(*) total_checks, count(*) FILTER (WHERE severity='CRITICAL' AND status='FAIL') critical_fails FROM res",
+    "change_counts": "SELECT * FROM (VALUES ('COMPATIBLE','no_material_change',2),('BREAKING','range_maximum_change',1),('BREAKING','enum_value_removed',1),('BREAKING','remove_field',1),('BREAKING','add_required_field',1),('COMPATIBLE','add_nullable_field',1),('BREAKING','type_change',1),('COMPATIBLE','enum_value_added',1)) v(verdict, taxonomy, n)",
+    "migration_impact": "SELECT * FROM (VALUES ('b','1 consumers read b'),('c','1 consumers read c'),('d','no registered consumer'),('e','no registered consumer'),('g[].h','1 consumers read g[].h')) v(path, failure_mode)",
+    "sampled_statistics": "SELECT count(o_totalprice) n, round(avg(o_totalprice),4) mean, round(stddev_pop(o_totalprice),4) stddev FROM orders WHERE ('0x' || substr(md5(o_orderkey::VARCHAR),1,6))::INT % 100 < 5",
+    "upstream_bfs": "WITH c AS (SELECT c_custkey k, c_nationkey n, n_regionkey r FROM customer JOIN nation ON c_nationkey=n_nationkey WHERE c_acctbal < 0) SELECT 'customer::'||k node, 0 hops FROM c UNION SELECT 'nation::'||n, 1 FROM c UNION SELECT 'region::'||r, 2 FROM c",
+    "first_of_repeats": "SELECT min(doc_id) doc_id, count(*) copies FROM documents GROUP BY text",
+    "next_baselines": "WITH t AS (SELECT event_type, round(avg(value),4) m, round(greatest(stddev_pop(value),1e-9),4) s, count(value) n FROM events GROUP BY 1 HAVING count(value) >= 10) SELECT event_type AS column, m mean, s std, n, true fresh FROM t WHERE event_type <> 'click' UNION ALL SELECT * FROM (VALUES ('click',1.0::DOUBLE,2.0::DOUBLE,10,false),('gone',3.0,4.0,11,false))",
 }

@@ -62,3 +62,36 @@ def settings(config: str | None = None, environ: dict[str, str] | None = None, p
     for layer in layers:
         s = replace(s, **{k: kinds[k](v) for k, v in layer.items() if k in kinds and v is not None})
     return s
+
+
+def resolve(spark: SparkSession, *candidates: str | None) -> str:
+    """The first candidate that exists on its file system: an argument, then a contract's server, then defaults."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for c in candidates:
+        if c:
+            p = jvm.org.apache.hadoop.fs.Path(c)
+            if p.getFileSystem(conf).exists(p):
+                return c
+    raise FileNotFoundError(f"none of these exists: {', '.join(c for c in candidates if c)}")
+
+
+def report_name(contract_id: str, when: datetime) -> str:
+    """``<slug of the contract>_<UTC time>.json``"""
+    return f"{re.sub('[^a-z0-9]+', '_', contract_id.lower()).strip('_')}_{when.astimezone(timezone.utc):%Y%m%dT%H%M%SZ}.json"
+
+
+def git_log(repo: str, paths: list[str], days: int = 14, most: int = 10, timeout: int = 60) -> list[tuple[str, str]]:
+    """(path, ``hash|author|email|time|subject``) of recent commits, of all time where a path has none; [] without git."""
+    import subprocess
+
+    out = []
+    for path in paths:
+        for window in ([f"--since={days} days ago"], []):
+            try:
+                r = subprocess.run(["git", "-C", repo, "log", f"-{most}", "--format=%H|%an|%ae|%aI|%s", *window, "--", path], capture_output=True, text=True, timeout=timeout, check=True)
+            except (OSError, subprocess.SubprocessError):
+                break
+            if lines := r.stdout.splitlines():
+                out += [(path, line) for line in lines]
+                break
+    return out
