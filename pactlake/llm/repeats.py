@@ -57,7 +57,10 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, offs: np.ndarray):
-    """Document, first window, windows, minimizer, hash of the bytes, and whether the minimizer repeats within."""
+    """Document, first window, windows, minimizer, hash of the bytes, and whether the minimizer's place changes within.
+
+    Equal windows have their minimizer at the same distance, so those of one segment have it in two places.
+    """
     if len(data) < LENGTH:
         z = np.zeros(0, np.int64)
         return z, z, z, z.astype(_U), z.astype(_U), z.astype(bool)
@@ -67,7 +70,6 @@ def segments(data: np.ndarray, offs: np.ndarray):
     bits = _U(max(21, int(len(gram)).bit_length()))
     low = (_U(1) << bits) - _U(1)
     left = (_window_min((gram & ~low) | i.astype(_U), SPAN) & low).astype(np.int64)
-    right = (low - (_window_min((gram & ~low) | (low - i.astype(_U)), SPAN) & low)).astype(np.int64)
     m = len(left)
     least = gram[left]
     doc = np.searchsorted(offs, np.arange(m), "right") - 1
@@ -78,10 +80,9 @@ def segments(data: np.ndarray, offs: np.ndarray):
     start = np.flatnonzero(new)
     edge = np.append(np.flatnonzero(new | ~valid), m)
     stop = edge[np.searchsorted(edge, start, "right")]
-    inside = np.concatenate([[0], np.cumsum(left != right)])
     own = span(start, stop + LENGTH - 1) ^ ((stop - start).astype(_U) * _U(0x9E3779B97F4A7C15))
     d = doc[start]
-    return d, start - offs[d], stop - start, least[start], own, inside[stop] > inside[start]
+    return d, start - offs[d], stop - start, least[start], own, left[stop - 1] != left[start]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -223,6 +223,15 @@ def test_repeats(spark, rows, empty):
     assert repeats.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("period", [68, 69, 70, 138])
+def test_repeats_of_one_period(spark, period):
+    """Lines repeated within one document, also where a window never holds two copies of its minimizer."""
+    rng = random.Random(period)
+    line = lambda: "".join(rng.choice("abcdefgh ") for _ in range(period - 1)) + "\n"
+    every = [(1, "head " + line() * 5 + "tail"), (2, line() * 3), (3, line() * 2 + line())]
+    same(repeats.remove_repeats(spark.createDataFrame(every, "doc_id long, text string")), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], brute.repeats(every))
+
+
 def test_warc(spark):
     long = "x" * 200 + "WARC/1.1\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\nWARC/1.1\r\nq"
     fake = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 0\r\n\r\n\r\n\r\n" * 3
