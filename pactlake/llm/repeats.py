@@ -11,19 +11,22 @@ equal ones together. Consecutive windows with the same minimizer form a
    several of them (or repeat inside one), and dealt out by minimizer. Shards of
    them are sorted by external induced sorting; runs of suffixes with a common
    prefix of LENGTH bytes are equal windows, and all but the earliest are repeats.
+   A minimizer with more than SHARD bytes of them is *hot*: its windows are
+   dealt out one by one by their own hash instead, and streamed.
 3. Repeats come back to their documents, where covered bytes are removed.
 
 Earlier means smaller doc_id, then the earlier row of equal doc_ids, then the
 earlier start; a null doc_id comes last. Null texts are empty. Matches never
 cross documents. Results have one row for each input row; other columns are
-ignored. Neither a minimizer nor a document is held by more than its own bytes,
-and shards larger than memory spill.
+ignored. Of a minimizer no more than SHARD bytes are held, whatever the number
+of its segments; a document is held whole, with arrays of its length.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +41,10 @@ LENGTH = 100
 GRAM = 32
 SPAN = LENGTH - GRAM + 1  # grams of a window
 SLICE = 1 << 20
-#: Bytes of segments sorted together, but for those of one minimizer.
+#: Most bytes of segments sorted together.
 SHARD = 4 << 20
 
-REPEAT, FETCH = 0, 1
+REPEAT, FETCH, HOT = 0, 1, 2
 _U = np.uint64
 
 
@@ -56,7 +59,7 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:m], ahead[w - 1 : w - 1 + m])
 
 
-def segments(data: np.ndarray, offs: np.ndarray):
+def segments(data: np.ndarray, offs: np.ndarray, span: SpanHash | None = None):
     """Document, first window, windows, minimizer, hash of the bytes, and whether the minimizer's place changes within.
 
     Equal windows have their minimizer at the same distance, so those of one segment have it in two places.
@@ -64,7 +67,7 @@ def segments(data: np.ndarray, offs: np.ndarray):
     if len(data) < LENGTH:
         z = np.zeros(0, np.int64)
         return z, z, z, z.astype(_U), z.astype(_U), z.astype(bool)
-    span = SpanHash(data)
+    span = span or SpanHash(data)
     i = np.arange(len(data) - GRAM + 1)
     gram = span(i, i + GRAM)
     bits = _U(max(21, int(len(gram)).bit_length()))
@@ -100,14 +103,16 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _RESOLVED = "kind int, gram long, doc long, row long, at int, n int"
 
 
-def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments sorted by minimizer, hash, and place: repeats, and the first ones that need their bytes.
+def _resolve(batches: Iterator[pa.RecordBatch], shard: int = SHARD) -> Iterator[pa.RecordBatch]:
+    """Segments sorted by minimizer, hash, and place: repeats, the first ones that need their bytes, and hot minimizers.
 
-    Only the last minimizer, its last hash and one waiting segment are carried
-    from batch to batch, however many segments share a minimizer.
+    Only the last minimizer, its last hash, the bytes of its first segments and
+    one waiting segment are carried from batch to batch, however many segments
+    share a minimizer.
     """
     last_gram = last_own = None
     waiting = None
+    held = 0
 
     def out(kind, c, idx):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), kind, np.int32)), *(pa.array(c[k][idx]) for k in ("gram", "doc", "row", "at")), pa.array(np.abs(c["n"][idx]))], ["kind", "gram", "doc", "row", "at", "n"])
@@ -134,6 +139,15 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = firsts[(~alone) | inside]
         if len(ready):
             yield out(FETCH, c, ready)
+        # a minimizer is reported once, where its bytes come to be too many
+        size = np.bincount(group[firsts], weights=np.abs(n[firsts].astype(np.int64)) + LENGTH - 1, minlength=int(group[-1]) + 1).astype(np.int64)
+        old = np.zeros(len(size), np.int64)
+        if not new_gram[0]:
+            old[0] = held
+        held = int(old[-1] + size[-1])
+        hot = np.flatnonzero((old <= shard) & (old + size > shard))
+        if len(hot):
+            yield out(HOT, c, np.searchsorted(group, hot))
         if group[-1] > 0:  # a minimizer began in this batch
             waiting = None
             mine = firsts[tail & alone & ~inside]
@@ -166,15 +180,49 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Hash and place of each window whose minimizer is hot."""
+    for batch in batches:
+        rows, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        data, offs = raw(texts(batch))
+        for i, j in slices(offs, SLICE):
+            part, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+            span = SpanHash(part)
+            d, at, n, gram, _, _ = segments(part, o, span)
+            mine = np.isin(gram.view(np.int64), hot)
+            d, at, n = d[mine], at[mine], n[mine]
+            ends = np.cumsum(n)
+            for a in range(0, int(ends[-1]) if len(n) else 0, SLICE // 4):
+                k = np.arange(a, min(a + SLICE // 4, int(ends[-1])))
+                s = np.searchsorted(ends, k, "right")
+                p = at[s] + k - (ends[s] - n[s])
+                b = o[d[s]] + p
+                own = span(b, b + LENGTH)
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(ids[i + d[s]]), pa.array(rows[i + d[s]]), pa.array(p.astype(np.int32))], ["own", "doc", "row", "at"])
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows sorted by hash and place: all but the first of each hash."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = batch.column("own").to_numpy()
+        again = np.flatnonzero(np.concatenate([[last is not None and own[0] == last], own[1:] == own[:-1]]))
+        last = own[-1]
+        yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(again)), batch.column("at").take(pa.array(again)), pa.array(np.ones(len(again), np.int32))], ["row", "at", "n"])
+
+
+def _sort_shards(batches: Iterator[pa.RecordBatch], shard: int = SHARD) -> Iterator[pa.RecordBatch]:
     """Segments sorted by minimizer: repeated windows as runs (row, at, n)."""
     held, size = [], 0
     for t in key_groups(batches, "gram"):
-        held.append(t)
-        size += t.column("bytes").nbytes
-        if size > SHARD:
+        more = t.column("bytes").nbytes
+        if held and size + more > shard:
             yield _repeats(pa.concat_tables(held))
             held, size = [], 0
+        held.append(t)
+        size += more
     if held:
         yield _repeats(pa.concat_tables(held))
 
@@ -266,7 +314,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # row numbers of the scan, the same in every read of it
@@ -275,21 +323,30 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     keyed = docs.select("row", F.coalesce("doc_id", last).alias("doc"), "text")
     found = map_arrow(keyed, _scan, "gram long, own long, doc long, row long, at int, n int")
     found = found.repartition(parts, "gram").sortWithinPartitions("gram", "own", "doc", "row", "at")
-    resolved = cut(map_arrow(found, _resolve, _RESOLVED))
+    resolved = cut(map_arrow(found, partial(_resolve, shard=shard), _RESOLVED))
     del found
     release(docs.sparkSession)
 
+    hot_grams = resolved.where(f"kind = {HOT}").select("gram")
+    hot = np.array(sorted(r.gram for r in hot_grams.collect()), np.int64)
     none = lambda kind: F.lit(None).cast(kind)
-    wanted = resolved.where(f"kind = {FETCH}").select("row", F.lit(0).alias("step"), "gram", "doc", "at", "n", none("string").alias("text"))
+    wanted = resolved.where(f"kind = {FETCH}")
+    if len(hot):
+        wanted = wanted.join(F.broadcast(hot_grams), "gram", "left_anti")
+    wanted = wanted.select("row", F.lit(0).alias("step"), "gram", "doc", "at", "n", none("string").alias("text"))
     bodies = docs.select("row", F.lit(1).alias("step"), none("long").alias("gram"), none("long").alias("doc"), none("int").alias("at"), none("int").alias("n"), "text")
     both = wanted.unionByName(bodies).repartition(parts, "row").sortWithinPartitions("row", "step")
     fetched = map_arrow(both.drop("step"), _fetch, "gram long, doc long, row long, at int, n int, bytes binary")
     fetched = fetched.repartition(parts, "gram").sortWithinPartitions("gram")
-    sorted_repeats = cut(map_arrow(fetched, _sort_shards, "row long, at int, n int"))
+    sorted_repeats = cut(map_arrow(fetched, partial(_sort_shards, shard=shard), "row long, at int, n int"))
     del both, fetched
     release(docs.sparkSession)
 
     repeats = resolved.where(f"kind = {REPEAT}").select("row", "at", "n").unionByName(sorted_repeats)
+    if len(hot):
+        windows = map_arrow(keyed, partial(_windows, hot=hot), "own long, doc long, row long, at int")
+        windows = windows.repartition(parts, "own").sortWithinPartitions("own", "doc", "row", "at")
+        repeats = repeats.unionByName(map_arrow(windows, _later, "row long, at int, n int"))
     marks = repeats.select("row", F.lit(0).alias("step"), "at", "n", none("long").alias("doc_id"), none("string").alias("text"))
     bodies = docs.select("row", F.lit(1).alias("step"), none("int").alias("at"), none("int").alias("n"), "doc_id", "text")
     every = marks.unionByName(bodies).repartition(parts, "row").sortWithinPartitions("row", "step")

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -232,6 +233,28 @@ def test_repeats_of_one_period(spark, period):
     same(repeats.remove_repeats(spark.createDataFrame(every, "doc_id long, text string")), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], brute.repeats(every))
 
 
+def test_repeats_of_hot_minimizers(spark, rows, monkeypatch):
+    """A line between unique neighbours: its minimizer's windows are dealt out, and no shard is above its bytes."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefghijkl ") for _ in range(n))
+    lines = [word(90), word(130)]
+    every = [r for r in rows if r[0] is not None] + [(400 + i, word(60) + lines[i % 2] + word(60)) for i in range(150)]
+    df = spark.createDataFrame(every, "doc_id long, text string")
+    same(repeats.remove_repeats(df, shard=3000), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], brute.repeats(every))
+
+    kinds = ["gram", "own", "doc", "row", "at", "n"]
+    found = [(1 + k // 500, k, k, k, 0, 69) for k in range(503)]  # one minimizer of 500 segments, one of 3
+    batches = [pa.RecordBatch.from_pylist([dict(zip(kinds, r, strict=True)) for r in found[i : i + 90]]) for i in range(0, len(found), 90)]
+    out = pa.Table.from_batches([b for b in repeats._resolve(iter(batches), shard=168 * 200) if b.num_rows]).to_pylist()
+    assert [r["gram"] for r in out if r["kind"] == 2] == [1]
+
+    sizes = []
+    monkeypatch.setattr(repeats, "_repeats", lambda t: sizes.append(t.column("bytes").nbytes))
+    table = pa.table({"gram": pa.array([k // 7 for k in range(140)], pa.int64()), "bytes": pa.array([b"x" * 168] * 140, pa.binary())})
+    list(repeats._sort_shards(iter(table.to_batches(max_chunksize=33)), shard=2000))
+    assert len(sizes) > 5 and max(sizes) <= 2000
+
+
 def test_warc(spark):
     long = "x" * 200 + "WARC/1.1\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\nWARC/1.1\r\nq"
     fake = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 0\r\n\r\n\r\n\r\n" * 3
