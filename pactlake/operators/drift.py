@@ -53,8 +53,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def byte_histogram(df: DataFrame, key: str, text: str, most: int = 50_000) -> DataFrame:
     """The local embedding as rows: (key, byte, share) of a text's first ``most`` UTF-8 bytes, to length 1. No UDF."""
-    h = F.hex(F.substring(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 1, most))
-    bytes_ = F.regexp_extract_all(h, F.lit("(..)"), F.lit(1))
-    e = df.select(key, F.explode(bytes_).alias("b")).groupBy(key, "b").agg(F.count(F.lit(1)).alias("n"))
+    # bytes as Latin-1 characters; without one, split() would give one empty string
+    h = F.decode(F.substring(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 1, most), "ISO-8859-1")
+    e = df.select(key, F.explode(F.split(h, "")).alias("b")).where("b <> ''").select(key, F.ascii("b").alias("byte")).groupBy(key, "byte").agg(F.count(F.lit(1)).alias("n"))
     norm = e.groupBy(key).agg((F.sqrt(F.sum(F.col("n").cast("double") * F.col("n"))) + 1e-9).alias("norm"))
-    return e.join(norm, key).select(key, F.conv("b", 16, 10).cast("int").alias("byte"), (F.col("n") / F.col("norm")).alias("share"))
+    return e.join(norm, key).select(key, "byte", (F.col("n") / F.col("norm")).alias("share"))

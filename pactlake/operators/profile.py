@@ -41,9 +41,11 @@ def dominant_pattern(df: DataFrame, column: str) -> DataFrame:
     return p.orderBy(F.desc("n"), "pattern").limit(1)
 
 
-def shape_samples(df: DataFrame, column: str, k: int = 5) -> DataFrame:
+def shape_samples(df: DataFrame, column: str, k: int | None = 5) -> DataFrame:
+    """The ``k`` most frequent shapes, or all of them."""
     kind = dict(df.dtypes)[column]
-    return df.select(shape_signature(F.col(column), kind).alias("shape")).groupBy("shape").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "shape").limit(k)
+    every = df.select(shape_signature(F.col(column), kind).alias("shape")).groupBy("shape").agg(F.count(F.lit(1)).alias("n"))
+    return every if k is None else every.orderBy(F.desc("n"), "shape").limit(k)
 
 
 def confidence_flags(df: DataFrame, column: str) -> DataFrame:

@@ -142,6 +142,10 @@ def shape_signature(s, d):
     return profile.shape_samples(_t(s, d, "nation"), "n_name", 25)
 
 
+def shape_signature_documents(s, d):
+    return profile.shape_samples(_t(s, d, "documents"), "text", None)
+
+
 def drift_by_day(s, d):
     e = _t(s, d, "events").withColumn("day", F.to_date("ts"))
     base = e.where("day < date'2024-01-16'").agg(F.avg("value").alias("bm"), F.stddev_pop("value").alias("bs"))
@@ -171,6 +175,11 @@ def byte_histogram(s, d):
     return h.select("r_regionkey", "byte", F.round("share", 6).alias("share"))
 
 
+def byte_histogram_documents(s, d):
+    h = drift.byte_histogram(_t(s, d, "documents"), "doc_id", "text")
+    return h.select("doc_id", "byte", F.round("share", 6).alias("share"))
+
+
 _REGISTRY = [("lineitem-shipments", "billing", [("l_discount", "totals"), ("l_tax", "totals")]), ("lineitem-shipments", "planning", [("l_quantity", "stock")]), ("lineitem-shipments", "ledger", [("l_orderkey", "keys"), ("l_orderkey.line", "lines")])]
 
 
@@ -333,7 +342,7 @@ def next_baselines(s, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (validation_report, required_null_counts, unique_composite_key, pattern_and_format, enum_conformance, range_violations, temporal_order, arithmetic_identity, referential_integrity, sequence_monotonic, assign_sequence, pipeline_gate, health_score, status_counts, severity_rollup, top_failures, numeric_profile, structural_profile, dominant_pattern, shape_signature, drift_by_day, violation_rate_trend, circuit_breaker, embedding_centroid_drift, byte_histogram, blast_radius_lookup, registry_gap, lineage_bfs, schema_diff_classify, blame_rank_topk, quarantine_split, json_path_projection, uuid5_ids, explode_outer_flatten, event_projection, type_mix, snapshot_pair, rate_history, effective_mode, keyword_seeds, ambiguous_columns, drift_all_columns, rate_by_version, tiered_health, change_counts, migration_impact, sampled_statistics, upstream_bfs, first_of_repeats, next_baselines)
+    for f in (validation_report, required_null_counts, unique_composite_key, pattern_and_format, enum_conformance, range_violations, temporal_order, arithmetic_identity, referential_integrity, sequence_monotonic, assign_sequence, pipeline_gate, health_score, status_counts, severity_rollup, top_failures, numeric_profile, structural_profile, dominant_pattern, shape_signature, shape_signature_documents, drift_by_day, violation_rate_trend, circuit_breaker, embedding_centroid_drift, byte_histogram, byte_histogram_documents, blast_radius_lookup, registry_gap, lineage_bfs, schema_diff_classify, blame_rank_topk, quarantine_split, json_path_projection, uuid5_ids, explode_outer_flatten, event_projection, type_mix, snapshot_pair, rate_history, effective_mode, keyword_seeds, ambiguous_columns, drift_all_columns, rate_by_version, tiered_health, change_counts, migration_impact, sampled_statistics, upstream_bfs, first_of_repeats, next_baselines)
 }
 
 _PROFILE = "SELECT '{c}' column_name, count({c}) n, count(*) FILTER (WHERE {c} IS NULL) nulls, round(min({c})::DOUBLE,4) \"min\", round(max({c})::DOUBLE,4) \"max\", round(avg({c}),4) mean, round(quantile_cont({c}::DOUBLE,0.25),4) p25, round(quantile_cont({c}::DOUBLE,0.5),4) p50, round(quantile_cont({c}::DOUBLE,0.95),4) p95, round(stddev_pop({c}),4) stddev FROM orders"
@@ -360,11 +369,13 @@ ORACLES = {
     "structural_profile": " UNION ALL ".join(_STRUCT.format(c=c) for c in ("event_id", "user_id", "event_type", "value")),
     "dominant_pattern": r"SELECT CASE WHEN regexp_matches(v,'^\d+$') THEN 'numeric_string' WHEN regexp_matches(v,'^\d{4}-\d{2}-\d{2}T') THEN 'iso8601_prefix' ELSE 'free_text' END pattern, count(*) n FROM (SELECT substr(c_name,10,40) v FROM customer) GROUP BY 1",
     "shape_signature": "SELECT 'string(len=' || length(n_name) || ',sha8=' || substr(sha256(n_name),1,8) || ')' shape, count(*) n FROM nation GROUP BY 1",
+    "shape_signature_documents": "SELECT CASE WHEN text IS NULL THEN 'null' ELSE 'string(len=' || length(text) || ',sha8=' || substr(sha256(text),1,8) || ')' END shape, count(*) n FROM documents GROUP BY 1",
     "drift_by_day": "WITH b AS (SELECT avg(value) bm, stddev_pop(value) bs FROM events WHERE ts < TIMESTAMP '2024-01-16'), t AS (SELECT ts::DATE::VARCHAR AS day, count(*) n, avg(value) m FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1) SELECT day, n, round(m,4) mean, round(abs(m-bm)/greatest(bs,1e-9),4) z, CASE WHEN abs(m-bm)/greatest(bs,1e-9)>3 THEN 'FAIL' WHEN abs(m-bm)/greatest(bs,1e-9)>2 THEN 'WARN' ELSE 'PASS' END status FROM t, b",
     "violation_rate_trend": f"WITH t AS (SELECT ts::DATE::VARCHAR AS day, count(*) total, count(*) FILTER (WHERE NOT coalesce(event_type IN {_GOOD},false)) violations FROM events GROUP BY 1) SELECT day, total, violations, round(violations/total,6) rate, CASE WHEN violations/total > 0.2*1.5 THEN 'rising' WHEN violations/total < 0.2*0.5 THEN 'falling' ELSE 'stable' END trend FROM t",
     "circuit_breaker": f"SELECT event_id, count(*) OVER w recent, count(*) OVER w >= 3 tripped FROM events WHERE event_type NOT IN {_GOOD} WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)",
     "embedding_centroid_drift": "WITH e AS (SELECT label, unnest(embedding)::DOUBLE x, unnest(range(64)) p FROM embeddings), c AS (SELECT label, p, avg(x) m FROM e GROUP BY 1,2), a AS (SELECT p, avg(x) g FROM e GROUP BY 1) SELECT label, round(1 - sum(m*g)/(sqrt(sum(m*m))*sqrt(sum(g*g))+1e-12),6) drift FROM c JOIN a USING (p) GROUP BY 1",
     "byte_histogram": "WITH b AS (SELECT r_regionkey, ascii(unnest(string_split(r_name,''))) AS byte FROM region), c AS (SELECT r_regionkey, byte, count(*) n FROM b GROUP BY 1,2) SELECT r_regionkey, byte, round(n/(sqrt(sum(n*n) OVER (PARTITION BY r_regionkey))+1e-9),6) share FROM c",
+    "byte_histogram_documents": "WITH h AS (SELECT doc_id, substr(hex(encode(coalesce(text,''))),1,100000) h FROM documents), b AS (SELECT doc_id, ('0x' || substr(h,p*2+1,2))::INT AS byte FROM (SELECT doc_id, h, unnest(range(0, length(h)//2)) p FROM h)), c AS (SELECT doc_id, byte, count(*) n FROM b GROUP BY 1,2) SELECT doc_id, byte, round(n/(sqrt(sum(n*n) OVER (PARTITION BY doc_id))+1e-9),6) share FROM c",
     "blast_radius_lookup": _HITS + "SELECT check_id, subscriber_id, matched_field, reason FROM h WHERE k = 1",
     "registry_gap": _HITS + "SELECT DISTINCT check_id FROM f WHERE check_id NOT IN (SELECT check_id FROM h)",
     "lineage_bfs": "WITH RECURSIVE e AS (SELECT 'region::'||n_regionkey s, 'nation::'||n_nationkey t FROM nation UNION ALL SELECT 'nation::'||c_nationkey, 'customer::'||c_custkey FROM customer), r(node,hops) AS (SELECT 'region::1', 0 UNION ALL SELECT t, hops+1 FROM r JOIN e ON node=s WHERE hops < 2) SELECT node, min(hops) hops FROM r GROUP BY 1",

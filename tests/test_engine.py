@@ -1,6 +1,8 @@
 """Operators on small frames, with nulls, empty inputs and errors."""
 
+import collections
 import datetime
+import hashlib
 import json
 import math
 import uuid
@@ -8,6 +10,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from pactlake import queries
 from pactlake.functions.text import recency_score, relative_to, slug, uuid5
 from pactlake.operators import ai, attribution, drift, evolution, lineage, migrate, profile, registry, report
 from pactlake.plans.validate import validate
@@ -98,6 +101,21 @@ def test_profiles(spark, people):
     assert profile.suggest_clauses(people)["kind"]["enum"] == ["q", "x", "y"]
 
 
+def test_texts_of_documents(spark, tmp_path):
+    """Null, empty, repeated and long texts, and bytes of all kinds, through the registered queries."""
+    texts = [None, "", "same text", "same text", "é漢\0\n\x80\U0001f600ÿ", "ab" * 24_999 + "é€" + "tail" * 30, *(f"text {i}" for i in range(40))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.byte): r.share for r in queries.QUERIES["byte_histogram_documents"](spark, str(tmp_path)).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        n = collections.Counter((t or "").encode()[:50_000])
+        want |= {(i, b): k / (math.sqrt(sum(v * v for v in n.values())) + 1e-9) for b, k in n.items()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    shapes = [(r.shape, r.n) for r in queries.QUERIES["shape_signature_documents"](spark, str(tmp_path)).collect()]
+    shape = lambda t: "null" if t is None else f"string(len={len(t)},sha8={hashlib.sha256(t.encode()).hexdigest()[:8]})"
+    assert sorted(shapes) == sorted(collections.Counter(map(shape, texts)).items())
+
+
 def test_registry(spark):
     reg = spark.createDataFrame([("c", "s1", "t", ["f"], [("a.b", "r1"), ("a", "r2")], "AUDIT", None, "2024-01-01", "m"), ("c", "s2", None, [], [("z", "r")], "ODD", None, "never", "m")], control.REGISTRY)
     f = spark.createDataFrame([("c", "k1", "a.b[*].c"), ("c", "k2", "zz"), ("c", "k3", "*"), ("c", "k4", None)], "contract_id string, check_id string, column_name string")
