@@ -7,7 +7,8 @@ whichever is shortest. Frames are packed and unpacked in numpy, many in step:
 one step decodes the next sample of every frame of a slice.
 
 Reading finds frame starts by their sync code, checks the frame numbers and
-both checksums of every frame, and compares the MD5. Streams by other writers
+both checksums of every frame, and compares the MD5. Seek points cut the samples
+into PCM blocks; each has to lead to the frame of its sample. Streams by other writers
 (any fixed or quantised linear predictor, partitions, escapes, verbatim and
 wasted bits; mono, to 32 bits) are read by ``decode_stream``.
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import map_arrow, raw, slices, texts
+from ._arrow import map_arrow, raw, release, shared_dir, slices, texts
 
 BLOCK = 192
 RATE = 8000
@@ -165,6 +167,23 @@ def metadata(stream: bytes) -> tuple[dict, list[tuple[int, int]], int]:
     return info, seek, at
 
 
+def block_points(stream: bytes) -> list[tuple[int, int, int]]:
+    """First sample, samples and byte offset of each PCM block; the offset has to be that of the sample's frame."""
+    info, seek, begin = metadata(stream)
+    if not seek or seek[0][0] != 0:
+        raise ValueError("no seek point at the first sample")
+    stops = [s for s, _ in seek[1:]] + [info["samples"]]
+    out = []
+    for (s, o), e in zip(seek, stops, strict=True):
+        at = begin + o
+        number = s if stream[at + 1 : at + 2] == b"\xf9" else s // info["block"]
+        code = chr(number).encode("utf-8", "surrogatepass") if number < 0x110000 else b""
+        if e <= s or stream[at] != 0xFF or stream[at + 1] & 0xFE != 0xF8 or not stream.startswith(code, at + 4):
+            raise ValueError("a seek point leads to another frame")
+        out.append((s, e - s, at))
+    return out
+
+
 class _Bits:
     def __init__(self, data: bytes, at: int):
         self.data, self.pos = data, at * 8
@@ -358,11 +377,19 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, streams, payloads in _some(batches):
         rows = []
         for m, p in zip(streams, payloads, strict=True):
-            b = p.tobytes()
-            x = p.astype(np.int32) - 128
-            neg = x < 0
-            said = f"frames={len(p) // BLOCK} crossings={int((neg[1:] != neg[:-1]).sum())} energy={int((x * x).sum(dtype=np.int64))} peak={int(np.abs(x).max())}"
-            rows.append((len(b), hashlib.sha256(b).hexdigest(), zlib.crc32(b[-16:]), len(m), hashlib.sha256(m).hexdigest(), said))
+            size = crossings = energy = peak = 0
+            sha, last = hashlib.sha256(), None
+            for s, n, _ in block_points(m):
+                pcm = p[s : s + n]
+                x = pcm.astype(np.int32) - 128
+                neg = x < 0
+                crossings += int((neg[1:] != neg[:-1]).sum()) + (last is not None and bool(neg[0] != last))
+                energy += int((x * x).sum(dtype=np.int64))
+                peak = max(peak, int(np.abs(x).max()))
+                size, last = size + len(pcm), bool(neg[-1])
+                sha.update(pcm.tobytes())
+            said = f"frames={size // BLOCK} crossings={crossings} energy={energy} peak={peak}"
+            rows.append((size, sha.hexdigest(), zlib.crc32(p[-16:].tobytes()), len(m), hashlib.sha256(m).hexdigest(), said))
         c = list(zip(*rows, strict=True))
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, t) for v, t in zip(c, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
@@ -371,10 +398,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, streams, payloads in _some(batches):
         for i, (m, p) in enumerate(zip(streams, payloads, strict=True)):
-            _, seek, begin = metadata(m)
-            ends = [s for s, _ in seek[1:]] + [len(p)]
+            points = block_points(m)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([batch.column(0)[i].as_py()] * len(seek), pa.int64()), pa.array([s for s, _ in seek]), pa.array([e - s for (s, _), e in zip(seek, ends, strict=True)]), pa.array([begin + o for _, o in seek]), pa.array([p[s:e].tobytes() for (s, _), e in zip(seek, ends, strict=True)], pa.binary())],
+                [pa.array([batch.column(0)[i].as_py()] * len(points), pa.int64()), *(pa.array(c) for c in zip(*points, strict=True)), pa.array([p[s : s + n].tobytes() for s, n, _ in points], pa.binary())],
                 ["doc_id", "first_sample", "n_samples", "byte_offset", "pcm"],
             )
 
@@ -384,8 +410,17 @@ def store(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), _store, "doc_id long, n_bytes long, media binary")
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The media table, written to the shared folder and read back."""
+    spark = docs.sparkSession
+    path = f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
+    store(docs).write.option("compression", "zstd").parquet(path)
+    release(spark)
+    return spark.read.parquet(path)
+
+
 def features(media: DataFrame) -> DataFrame:
-    """Decode ``media``; lengths, digests and a feature of the samples."""
+    """Decode ``media``; lengths, digests and a feature of the samples, block by block."""
     return map_arrow(media.select("doc_id", "n_bytes", "media"), _features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 

@@ -31,7 +31,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import flac
 
-    return flac.features(flac.store(_read(spark, sf_dir, "documents")))
+    return flac.features(flac.stored(_read(spark, sf_dir, "documents")))
 
 
 def op3_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,6 +92,22 @@ def test_flac(docs, rows, empty):
         flac.decode_streams([bytes(broken)])
 
 
+def test_flac_is_stored(spark):
+    """Features come of the table read back, and seek points have to lead to their frames."""
+    files = queries.op2_flac(spark, DATA).inputFiles()
+    assert files and not any("documents.parquet" in f for f in files)
+    pay = np.frombuffer(random.Random(1).randbytes(192 * 40), np.uint8)
+    good = flac.encode_payloads(pay, np.array([40]))[0]
+    at = good.index(bytes([0x83])) + 4 + 18 + 8  # the second seek point's offset
+    bad = good[:at] + (int.from_bytes(good[at : at + 8], "big") + 1).to_bytes(8, "big") + good[at + 8 :]
+    batch = lambda m: pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([7680], pa.int64()), pa.array([m], pa.binary())], ["doc_id", "n_bytes", "media"])
+    x = pay.astype(int) - 128
+    said = f"frames=40 crossings={int(((x[1:] < 0) != (x[:-1] < 0)).sum())} energy={int((x * x).sum())} peak={int(np.abs(x).max())}"
+    assert [r["feature"] for b in flac._features(iter([batch(good)])) for r in b.to_pylist()] == [said]
+    with pytest.raises(ValueError):
+        list(flac._features(iter([batch(bad)])))
+
+
 def test_bottom_k(docs, rows, empty, spark):
     plain = [(i, t) for i, t in rows if i is not None and i != 5] + [(5, rows[5][1])]
     got = {r.doc_id: r for r in bottomk.edited_neighbours(spark.createDataFrame(plain, "doc_id long, text string").repartition(5)).collect()}
