@@ -231,12 +231,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, with all columns; rows with a null doc_id stay."""
+    """One row of each group of alike texts, the one of the smallest doc_id, with all columns; rows with a null doc_id stay.
+
+    Rows are linked by a hash of doc_id and text, so a doc_id shared by unlike texts drops none.
+    Texts without shingles are like no other; only repeats of one under its doc_id go.
+    """
     cols = docs.columns
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("text")
-    at = "__nth"
-    while at in cols:
-        at += "_"
-    one = docs.join(kept, "doc_id").withColumn(at, F.row_number().over(first)).where(F.col(at) == 1).select(cols)
+    at, nth = "__row", "__nth"
+    while at in cols or nth in cols:
+        at, nth = at + "_", nth + "_"
+    rows = docs.where("doc_id is not null").withColumn(at, F.xxhash64("doc_id", "text"))
+    found = near_duplicates(rows.select(F.col(at).alias("doc_id"), "text")).select(F.col("doc_id").alias(at), F.col("component_id").alias("of")).distinct()
+    ids = rows.groupBy(at).agg(F.min("doc_id").alias("id"))
+    kept = found.join(ids, at).groupBy("of").agg(F.min(F.struct("id", at)).alias("r")).select(f"r.{at}")
+    one = rows.join(kept, at, "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(at).orderBy("text"))).where(F.col(nth) == 1).select(cols)
     return one.unionByName(docs.where("doc_id is null"))

@@ -52,6 +52,17 @@ def same(df, cols, want):
     assert sorted((tuple(r) for r in df.select(cols).collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_keep_one_of_clashing_ids(spark):
+    """A shared doc_id drops no text that is unlike the others; copies go, also under another id."""
+    rng = random.Random(11)
+    text = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)) for _ in range(4)]
+    every = [(1, text[0]), (1, text[1]), (1, text[1] + " more"), (2, text[1]), (2, text[2]), (3, text[3]), (3, text[3]), (4, ""), (4, ""), (5, None), (None, text[0])]
+    got = [tuple(r) for r in cpsjoin.keep_one(spark.createDataFrame(every, "doc_id long, text string")).collect()]
+    short = sorted((repr(i), next((k for k, t in enumerate(text) if s and s.startswith(t)), s)) for i, s in got if s not in ("", None))
+    assert short == [("1", 0), ("1", 1), ("2", 2), ("3", 3), ("None", 0)]
+    assert sorted((i, s) for i, s in got if s in ("", None)) == [(4, ""), (5, None)]
+
+
 def test_near_duplicates(docs, rows, empty):
     same(cpsjoin.near_duplicates(docs), ["doc_id", "n_shingles", "component_id", "kept"], brute.near_duplicates(rows))
     assert cpsjoin.near_duplicates(empty).count() == 0
