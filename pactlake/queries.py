@@ -228,6 +228,11 @@ def blame_rank_topk(s, d):
     return lineage.rank_blame(o, "o_custkey", "detected", "committed", "hops", "o_orderkey", 2).select("o_custkey", "o_orderkey", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def blame_rank_all_orders(s, d):
+    o = _t(s, d, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").cast("timestamp").alias("committed"), F.to_timestamp(F.lit("1998-08-02 00:00:00")).alias("detected"), (F.col("o_orderkey") % 3).cast("int").alias("hops"))
+    return lineage.rank_blame(o, "o_custkey", "detected", "committed", "hops", "o_orderkey", 2).select("o_custkey", "o_orderkey", "score", F.col("rank").cast("long").alias("rank"))
+
+
 def quarantine_split(s, d):
     _, bad = migrate.split(_t(s, d, "conversations"), {"empty": F.trim("text") == "", "long": F.char_length("text") > 200, "role": ~F.col("role").isin("user", "assistant")})
     return bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
@@ -342,7 +347,7 @@ def next_baselines(s, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (validation_report, required_null_counts, unique_composite_key, pattern_and_format, enum_conformance, range_violations, temporal_order, arithmetic_identity, referential_integrity, sequence_monotonic, assign_sequence, pipeline_gate, health_score, status_counts, severity_rollup, top_failures, numeric_profile, structural_profile, dominant_pattern, shape_signature, shape_signature_documents, drift_by_day, violation_rate_trend, circuit_breaker, embedding_centroid_drift, byte_histogram, byte_histogram_documents, blast_radius_lookup, registry_gap, lineage_bfs, schema_diff_classify, blame_rank_topk, quarantine_split, json_path_projection, uuid5_ids, explode_outer_flatten, event_projection, type_mix, snapshot_pair, rate_history, effective_mode, keyword_seeds, ambiguous_columns, drift_all_columns, rate_by_version, tiered_health, change_counts, migration_impact, sampled_statistics, upstream_bfs, first_of_repeats, next_baselines)
+    for f in (validation_report, required_null_counts, unique_composite_key, pattern_and_format, enum_conformance, range_violations, temporal_order, arithmetic_identity, referential_integrity, sequence_monotonic, assign_sequence, pipeline_gate, health_score, status_counts, severity_rollup, top_failures, numeric_profile, structural_profile, dominant_pattern, shape_signature, shape_signature_documents, drift_by_day, violation_rate_trend, circuit_breaker, embedding_centroid_drift, byte_histogram, byte_histogram_documents, blast_radius_lookup, registry_gap, lineage_bfs, schema_diff_classify, blame_rank_topk, blame_rank_all_orders, quarantine_split, json_path_projection, uuid5_ids, explode_outer_flatten, event_projection, type_mix, snapshot_pair, rate_history, effective_mode, keyword_seeds, ambiguous_columns, drift_all_columns, rate_by_version, tiered_health, change_counts, migration_impact, sampled_statistics, upstream_bfs, first_of_repeats, next_baselines)
 }
 
 _PROFILE = "SELECT '{c}' column_name, count({c}) n, count(*) FILTER (WHERE {c} IS NULL) nulls, round(min({c})::DOUBLE,4) \"min\", round(max({c})::DOUBLE,4) \"max\", round(avg({c}),4) mean, round(quantile_cont({c}::DOUBLE,0.25),4) p25, round(quantile_cont({c}::DOUBLE,0.5),4) p50, round(quantile_cont({c}::DOUBLE,0.95),4) p95, round(stddev_pop({c}),4) stddev FROM orders"
@@ -381,6 +386,7 @@ ORACLES = {
     "lineage_bfs": "WITH RECURSIVE e AS (SELECT 'region::'||n_regionkey s, 'nation::'||n_nationkey t FROM nation UNION ALL SELECT 'nation::'||c_nationkey, 'customer::'||c_custkey FROM customer), r(node,hops) AS (SELECT 'region::1', 0 UNION ALL SELECT t, hops+1 FROM r JOIN e ON node=s WHERE hops < 2) SELECT node, min(hops) hops FROM r GROUP BY 1",
     "schema_diff_classify": "SELECT * FROM (VALUES ('a','COMPATIBLE','no_material_change'),('b','BREAKING','range_maximum_change'),('c','BREAKING','enum_value_removed'),('d','BREAKING','remove_field'),('e','BREAKING','add_required_field'),('f','COMPATIBLE','add_nullable_field'),('g','COMPATIBLE','no_material_change'),('g[].h','BREAKING','type_change'),('k','COMPATIBLE','enum_value_added')) v(path, verdict, taxonomy)",
     "blame_rank_topk": "WITH x AS (SELECT o_custkey, o_orderkey, round(greatest(0.0, least(1.0, greatest(0.0, 1.0 - greatest(0, floor(date_diff('second', o_orderdate, TIMESTAMP '1998-08-02')/86400.0))*0.1) - (o_orderkey%3)*0.2)),6)::DOUBLE score FROM orders WHERE o_orderstatus='P'), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY score DESC, o_orderkey) rank FROM x) SELECT * FROM r WHERE rank <= 2",
+    "blame_rank_all_orders": "WITH x AS (SELECT o_custkey, o_orderkey, round(greatest(0.0, least(1.0, greatest(0.0, 1.0 - greatest(0, floor(date_diff('second', o_orderdate, TIMESTAMP '1998-08-02')/86400.0))*0.1) - (o_orderkey%3)*0.2)),6)::DOUBLE score FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY score DESC, o_orderkey) rank FROM x) SELECT * FROM r WHERE rank <= 2",
     "quarantine_split": "SELECT CASE WHEN trim(text)='' THEN 'empty' WHEN length(text)>200 THEN 'long' WHEN role NOT IN ('user','assistant') THEN 'role' END reason, count(*) n FROM conversations WHERE trim(text)='' OR length(text)>200 OR role NOT IN ('user','assistant') GROUP BY 1",
     "json_path_projection": "SELECT event_type, count(k) n, sum(k)::BIGINT total FROM (SELECT event_type, json_extract(props,'$.k')::BIGINT k FROM events) GROUP BY 1",
     "explode_outer_flatten": "SELECT d.doc_id conv_id, c.turn fact_turn, c.role fact_role, length(c.text) fact_chars FROM documents d LEFT JOIN conversations c ON c.conv_id = d.doc_id",
