@@ -6,6 +6,7 @@ from __future__ import annotations
 import gc
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -57,13 +58,16 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is ``spark.checkpoint.dir`` where the cluster names one; only where it
-    is unset (a local session, as in tests) a folder of this machine is used.
+    is unset and the master is local, as in tests, a folder of this machine is used.
+    All lies below one folder of the application, which goes with its checkpoints.
     """
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
     named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: no folder is shared with the executors")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pactlake-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -74,6 +78,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written as a table in the shared folder, and read back.
+
+    What a task numbers (rows, blocks) is numbered once, here: a second scan of
+    the source may be dealt out otherwise, as executors come and go.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def parts_for(spark: SparkSession, bytes_in: int, each: int = 64 << 20) -> int:
+    """Partitions of a shuffle of so many bytes: at least the session's number, and about ``each`` bytes to one."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-bytes_in // each))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files that nothing refers to any more.
 

@@ -1,18 +1,19 @@
 """Vectorised hashing of bytes, words and word shingles.
 
-A prefix sum of ``(byte + 1) * B^i`` modulo 2^64 gives the hash of any span in
-constant time; spans here are words or windows of a few hundred bytes, far
-below the lengths at which such sums collide by construction.
+A span is hashed eight bytes at a time, each chunk mixed into the state before
+the next one, and its length first; spans longer than LONG are digested one by
+one. So no two spans meet by the structure of their bytes, whatever their
+length, as they do in polynomials modulo 2^64; equal hashes of unlike spans are
+left to chance, 2^-64 a pair.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+import hashlib
 
 import numpy as np
 
 U = np.uint64
-BASE = 0x9E3779B97F4A7C15
 #: Five words make a shingle.
 SHINGLE = 5
 _STEP = [0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5]
@@ -33,32 +34,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (BASE, pow(BASE, -1, 1 << 64)):
-        p = np.full(n, base, U)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+#: Spans of more bytes are digested by blake2b.
+LONG = 512
+#: Keeps the first n bytes of a little-endian chunk.
+_FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], U)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B^i and B^-i for at least ``n`` exponents."""
-    return _powers(1 << max(20, int(n).bit_length()))
+def chunks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place of data, with zeros after its end."""
+    held = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", held, strides=(1,))
 
 
 class SpanHash:
     """Hashes of spans [s, e) of one byte array."""
 
     def __init__(self, data: np.ndarray):
-        n = len(data)
-        p, self.inv = powers(n + 1)
-        self.sum = np.zeros(n + 1, U)
-        np.cumsum((data.astype(U) + U(1)) * p[:n], out=self.sum[1:])
+        self.data, self.at = data, chunks(data)
 
     def __call__(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        return mix((self.sum[e] - self.sum[s]) * self.inv[s])
+        n = e - s
+        h = mix(mix(n.astype(U)) ^ (self.at[s] & _FIRST[np.minimum(n, 8)]))
+        todo = np.flatnonzero((n > 8) & (n <= LONG))
+        done = 8
+        while len(todo):
+            left = n[todo] - done
+            h[todo] = mix(h[todo] ^ (self.at[s[todo] + done] & _FIRST[np.minimum(left, 8)]))
+            todo, done = todo[left > 8], done + 8
+        for i in np.flatnonzero(n > LONG).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(self.data[s[i] : e[i]].tobytes(), digest_size=8).digest(), "little")
+        return h
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

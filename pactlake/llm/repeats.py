@@ -15,6 +15,11 @@ equal ones together. Consecutive windows with the same minimizer form a
    dealt out one by one by their own hash instead, and streamed.
 3. Repeats come back to their documents, where covered bytes are removed.
 
+Equal grams, segments and windows are those of equal hashes: 64 bits for the gram
+and 64 for the segment or window, so only unlike segments of one minimizer can meet,
+2^-64 a pair. Rows are numbered once, in a table of the shared folder that every
+later job reads.
+
 Earlier means smaller doc_id, then the earlier row of equal doc_ids, then the
 earlier start; a null doc_id comes last. Null texts are empty. Matches never
 cross documents. Results have one row for each input row; other columns are
@@ -33,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import cut, key_groups, map_arrow, raw, release, slices, texts
-from ._bytes import SpanHash
+from ._arrow import cut, key_groups, map_arrow, parts_for, raw, release, slices, stored, texts
+from ._bytes import chunks, mix
 from .induced import suffixes
 
 LENGTH = 100
@@ -59,7 +64,30 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:m], ahead[w - 1 : w - 1 + m])
 
 
-def segments(data: np.ndarray, offs: np.ndarray, span: SpanHash | None = None):
+def grams(data: np.ndarray) -> np.ndarray:
+    """Hash of the GRAM bytes from each place."""
+    at, m = chunks(data), len(data) - GRAM + 1
+    h = at[:m] * _U(0x9E3779B97F4A7C15)
+    for k in range(8, GRAM, 8):
+        h ^= h >> _U(32)
+        h += at[k : k + m]
+        h *= _U(0xBF58476D1CE4E5B9)
+    return mix(h)
+
+
+def _joined(gram: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the spans [start, end), of GRAM bytes at least, by the grams that cover them."""
+    h = mix((end - start).astype(_U))
+    todo, at = np.arange(len(start)), start.copy()
+    while len(todo):
+        h[todo] = mix(h[todo] ^ gram[at])
+        more = at + GRAM < end[todo]
+        todo, at = todo[more], at[more]
+        at = np.minimum(at + GRAM, end[todo] - GRAM)
+    return h
+
+
+def segments(data: np.ndarray, offs: np.ndarray, gram: np.ndarray | None = None):
     """Document, first window, windows, minimizer, hash of the bytes, and whether the minimizer's place changes within.
 
     Equal windows have their minimizer at the same distance, so those of one segment have it in two places.
@@ -67,9 +95,8 @@ def segments(data: np.ndarray, offs: np.ndarray, span: SpanHash | None = None):
     if len(data) < LENGTH:
         z = np.zeros(0, np.int64)
         return z, z, z, z.astype(_U), z.astype(_U), z.astype(bool)
-    span = span or SpanHash(data)
-    i = np.arange(len(data) - GRAM + 1)
-    gram = span(i, i + GRAM)
+    gram = grams(data) if gram is None else gram
+    i = np.arange(len(gram))
     bits = _U(max(21, int(len(gram)).bit_length()))
     low = (_U(1) << bits) - _U(1)
     left = (_window_min((gram & ~low) | i.astype(_U), SPAN) & low).astype(np.int64)
@@ -83,7 +110,7 @@ def segments(data: np.ndarray, offs: np.ndarray, span: SpanHash | None = None):
     start = np.flatnonzero(new)
     edge = np.append(np.flatnonzero(new | ~valid), m)
     stop = edge[np.searchsorted(edge, start, "right")]
-    own = span(start, stop + LENGTH - 1) ^ ((stop - start).astype(_U) * _U(0x9E3779B97F4A7C15))
+    own = _joined(gram, start, stop + LENGTH - 1)
     d = doc[start]
     return d, start - offs[d], stop - start, least[start], own, left[stop - 1] != left[start]
 
@@ -187,9 +214,11 @@ def _windows(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.
         data, offs = raw(texts(batch))
         for i, j in slices(offs, SLICE):
             part, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-            span = SpanHash(part)
-            d, at, n, gram, _, _ = segments(part, o, span)
-            mine = np.isin(gram.view(np.int64), hot)
+            if len(part) < LENGTH:
+                continue
+            gram = grams(part)
+            d, at, n, least, _, _ = segments(part, o, gram)
+            mine = np.isin(least.view(np.int64), hot)
             d, at, n = d[mine], at[mine], n[mine]
             ends = np.cumsum(n)
             for a in range(0, int(ends[-1]) if len(n) else 0, SLICE // 4):
@@ -197,7 +226,7 @@ def _windows(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.
                 s = np.searchsorted(ends, k, "right")
                 p = at[s] + k - (ends[s] - n[s])
                 b = o[d[s]] + p
-                own = span(b, b + LENGTH)
+                own = _joined(gram, b, b + LENGTH)
                 yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(ids[i + d[s]]), pa.array(rows[i + d[s]]), pa.array(p.astype(np.int32))], ["own", "doc", "row", "at"])
 
 
@@ -316,9 +345,10 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # row numbers of the scan, the same in every read of it
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # rows are numbered once, and stored with their texts
+    docs = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "repeats")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = parts_for(docs.sparkSession, size)
     last = F.lit((1 << 63) - 1)
     keyed = docs.select("row", F.coalesce("doc_id", last).alias("doc"), "text")
     found = map_arrow(keyed, _scan, "gram long, own long, doc long, row long, at int, n int")
