@@ -9,10 +9,13 @@ Reading: splits of the files are cut at every magic ``WARC/1.1`` line, also at
 those inside payloads. Each piece is a candidate record with a byte offset (a
 prefix sum over the splits of its file) and, from its length header, the offset
 of its successor. Pointer jumping from offset 0 of each file keeps the
-candidates that are reached; all other pieces are parts of payloads. The digest
-of a piece that is as long as it says is taken where it is read, so only
-payloads that hold a magic are put together, in a second read. No task needs a
-file in one piece, and there is no Python.
+candidates that are reached; all other pieces are parts of payloads. Files of at
+most JUMPED candidates (pairs of numbers) are jumped through in one task each,
+larger ones by rounds of joins. The digest of a piece that is as long as it says
+is taken where it is read, so only payloads that hold a magic are put together:
+a second read finds their pieces by content, as its splits may be others.
+
+Pages are numbered once, in a table of the shared folder that all later jobs read.
 
 Null html counts as empty. A null page_id writes a record without one and reads
 back as null; it ranks after all others as the first of equal payloads. Of rows
@@ -24,10 +27,12 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._arrow import cut, release, shared_dir
+from ._arrow import cut, release, shared_dir, ship, stored
 
 MAGIC = "WARC/1.1\r\n"
 RECORD_END = "\r\n\r\n"
@@ -36,6 +41,8 @@ MIN_DUPLICATE = 100
 FILE_RECORDS = 10_000
 #: Revisits, or pieces of payloads, that are broadcast (pairs of numbers); more are joined by shuffle.
 FEW = 100_000
+#: Candidates of a file that one task jumps through.
+JUMPED = 500_000
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -50,9 +57,9 @@ def write_warc(pages: DataFrame, path: str) -> None:
     """Archive files of every row of pages (page_id, url, html)."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("digest", F.sha2("html", 256)).withColumn("bytes", F.octet_length("html").cast("long"))
-    p = p.withColumn("row", F.monotonically_increasing_id())
+    p = stored(p.withColumn("row", F.monotonically_increasing_id()), "pages")
     # only digests are shuffled; the rows that revisit another are joined back, by broadcast if they are few
-    known = cut(p.where(F.col("bytes") >= MIN_DUPLICATE).select("digest", "page_id", "row"))
+    known = p.where(F.col("bytes") >= MIN_DUPLICATE).select("digest", "page_id", "row")
     first = known.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct(F.col("page_id").isNull(), "page_id", "row")).alias("first")).where("n > 1")
     again = cut(known.join(first, "digest").where("row <> first.row").select(F.col("row").alias("again"), F.col("first.page_id").alias("first_id")))
     few = again.limit(FEW + 1).count() <= FEW
@@ -88,6 +95,11 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _content() -> list[Column]:
+    """What names a piece by its content: 128 bits of hashes."""
+    return [F.xxhash64("value").alias("h1"), F.xxhash64(F.lit(1), "value").alias("h2")]
+
+
 def _body(head_and_end: Column, value: str, end: int) -> Column:
     return F.substring(value, head_and_end + 1, F.length(value) - head_and_end - end)
 
@@ -110,12 +122,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row for each record: page_id, record_type, digest and declared_bytes (from its headers), refers_to, n and sha (of the stored payload; of responses)."""
     head = F.expr(f"case when {_instr()} > 0 then substring(value, 1, {_instr()} - 1) end")
     size = F.octet_length("value").cast("long")
-    length = F.regexp_extract("head", "(?:^|\r\n)Content-Length: ([0-9]+)", 1).try_cast("bigint")
+    length = F.regexp_extract("head", "(?:^|\r\n)Content-Length: ([0-9]{1,15})(?:\r|$)", 1).try_cast("bigint")
     span = F.octet_length("head") + 2 * len(RECORD_END) + length
     read = _pieces(spark, path).withColumn("head", head)
     whole = F.coalesce(span == size, F.lit(False))
     n, sha = (F.when(whole, c).alias(name) for c, name in zip(_payload(), ("n", "sha"), strict=True))
-    narrow = cut(read.select("file", "split", "nth", size.alias("size"), span.alias("span"), whole.alias("whole"), n, sha, *_headers()))
+    narrow = cut(read.select("file", "split", "nth", *_content(), size.alias("size"), span.alias("span"), whole.alias("whole"), n, sha, *_headers()))
     # a piece's own magic stands before it
     in_split = Window.partitionBy("file", "split").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     splits = narrow.groupBy("file", "split").agg((F.sum("size") + F.count("*") * len(MAGIC)).alias("all"))
@@ -128,15 +140,17 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     reached = _reached(placed.select("file", "at", "next"))
     records = cut(placed.join(reached, ["file", "at"]))
     broken = records.where("not whole").select("file", F.col("at").alias("record"))
-    done = records.where("whole").drop("file", "split", "nth", "size", "span", "whole", "at", "next")
+    done = records.where("whole").drop("file", "split", "nth", "h1", "h2", "size", "span", "whole", "at", "next")
     if broken.isEmpty():
         return done
     # pieces of one payload: a record's own and the unreached ones after it; files hold a bounded number of records
     owner = F.max(F.when(F.col("real"), F.col("at"))).over(Window.partitionBy("file").orderBy("at"))
-    marked = placed.select("file", "split", "nth", "at").join(reached.withColumn("real", F.lit(True)), ["file", "at"], "left").withColumn("record", owner)
-    parts = cut(marked.join(broken, ["file", "record"], "left_semi").select("file", "split", "nth", "at", "record"))
-    few = parts.limit(FEW + 1).count() <= FEW
-    found = _pieces(spark, path).join(F.broadcast(parts) if few else parts, ["file", "split", "nth"])
+    marked = placed.select("file", "h1", "h2", "at").join(reached.withColumn("real", F.lit(True)), ["file", "at"], "left").withColumn("record", owner)
+    parts = cut(marked.join(broken, ["file", "record"], "left_semi").select("file", "h1", "h2", "at", "record"))
+    wanted = parts.select("h1", "h2").distinct()
+    few = wanted.limit(FEW + 1).count() <= FEW
+    pieces = _pieces(spark, path).select(*_content(), "value").join(F.broadcast(wanted) if few else wanted, ["h1", "h2"], "left_semi")
+    found = parts.join(pieces.groupBy("h1", "h2").agg(F.first("value").alias("value")), ["h1", "h2"])
     joined = found.groupBy("file", "record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), MAGIC).alias("value"))
     again = joined.withColumn("head", head)
     return done.unionByName(again.select(*_headers(), *_payload()))
@@ -146,20 +160,50 @@ def _instr() -> str:
     return "instr(value, '\\r\\n\\r\\n')"
 
 
-def _reached(chain: DataFrame) -> DataFrame:
-    """(file, at) reachable from offset 0 over successors, by pointer jumping.
+def jump(at: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """The places reachable from place 0 over their successors, by pointer jumping."""
+    order = np.argsort(at, kind="stable")
+    at, after = at[order], after[order]
+    n = len(at)
+    to = np.searchsorted(at, after)
+    to[(to == n) | (at[np.minimum(to, n - 1)] != after)] = n
+    to = np.append(to, n)
+    known = np.append(at == 0, False)
+    while (to < n).any():
+        known[to[known]] = True
+        known[n] = False
+        to = to[to]
+    return at[known[:n]]
 
-    Each round doubles the length of the jumps and adds what the reached ones
+
+def _jump_file(key: tuple, t: pa.Table) -> pa.Table:
+    found = jump(t.column("at").to_numpy(), t.column("next").to_numpy())
+    return pa.table({"file": pa.array([key[0].as_py()] * len(found), pa.string()), "at": pa.array(found)})
+
+
+def _reached(chain: DataFrame) -> DataFrame:
+    """(file, at) reachable from offset 0 over successors."""
+    ship(chain.sparkSession)
+    chain = chain.withColumn("next", F.coalesce("next", F.lit(-1)))
+    large = chain.groupBy("file").count().where(F.col("count") > JUMPED).select("file")
+    if large.isEmpty():
+        return cut(chain.groupBy("file").applyInArrow(_jump_file, "file string, at long"))
+    near = chain.join(large, "file", "left_anti").groupBy("file").applyInArrow(_jump_file, "file string, at long")
+    return cut(near.unionByName(_reached_by_joins(chain.join(large, "file", "left_semi"))))
+
+
+def _reached_by_joins(chain: DataFrame) -> DataFrame:
+    """As _reached: each round doubles the length of the jumps and adds what the reached ones
     jump to, so the rounds grow as the logarithm of the records of a file.
     """
-    jump = cut(chain.select("file", "at", "next"))
-    known = jump.where("at = 0").select("file", "at")
+    far = cut(chain.select("file", "at", "next"))
+    known = far.where("at = 0").select("file", "at")
     count = known.count()
     while True:
-        onward = known.join(jump, ["file", "at"]).select("file", F.col("next").alias("at"))
+        onward = known.join(far, ["file", "at"]).select("file", F.col("next").alias("at"))
         known = cut(known.unionByName(onward).distinct())  # with the end of the file, where no record is
-        far = jump.select("file", F.col("at").alias("next"), F.col("next").alias("far"))
-        jump = cut(jump.join(far, ["file", "next"]).select("file", "at", F.col("far").alias("next")))
+        second = far.select("file", F.col("at").alias("next"), F.col("next").alias("far"))
+        far = cut(far.join(second, ["file", "next"]).select("file", "at", F.col("far").alias("next")))
         release(chain.sparkSession)
         now = known.count()
         if now == count:

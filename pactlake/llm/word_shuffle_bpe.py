@@ -1,18 +1,20 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
-1. Each scan task splits its texts into pre-tokens. A *block* is a run of its
+1. One scan splits the texts into pre-tokens. A *block* is a run of a task's
    documents with about ``BLOCK_WORDS`` distinct pre-tokens at most; a document
-   becomes the positions' indices into its block's word list.
+   becomes the positions' indices into its block's word list. Blocks' words and
+   documents are written to a table of the shared folder, so blocks are made once.
 2. Words are dealt out by their hash, those of a block for one task packed in a
    row with their indices. The task encodes each distinct word once and sends
    its ids back to every block that holds it; a block holds a word once, so no
-   word is hot.
+   word is hot. A task remembers KNOWN words at most; beyond that it begins anew,
+   so that a word met later may be encoded again.
 3. Words' ids and documents' index sequences meet by block, where the documents
    are put together by position. Decoding joins ids with the token-byte table
    (one row for each vocabulary entry).
 
 What is shuffled is a few bytes per distinct word and block, and about two bytes
-per pre-token; texts are not shuffled but split twice. Null text counts as empty.
+per pre-token; texts are not shuffled, and split once. Null text counts as empty.
 Each input row gives one result row; repeated rows and null ids give results
 alike; other columns are ignored.
 """
@@ -29,12 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import map_arrow, texts
+from ._arrow import map_arrow, parts_for, stored, texts
 from ._pretokens import by_tiktoken
 
 BLOCK_WORDS = 300_000
 #: Characters of texts in a block at most, but for a longer single text.
 BLOCK_CHARS = 32 << 20
+#: Distinct words whose ids a task remembers.
+KNOWN = 1_000_000
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -71,29 +76,31 @@ class _Words(dict):
         return n
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], step) -> Iterator:
+def _blocks(batches: Iterator[pa.RecordBatch], part: int, step) -> Iterator:
     """Call step(block, doc ids, split texts, words so far) for the texts of a batch that are in one block, and
-    step(block, None, None, words) at each block's end; pass on what it yields. Blocks depend on the texts alone."""
-    split, words, chars, blocks, part = by_tiktoken(), _Words(), 0, 0, 0
+    step(block, None, None, words) at each block's end; pass on what it yields."""
+    split, words, chars, block = by_tiktoken(), _Words(), 0, part << 24
     for batch in batches:
         if not batch.num_rows:
             continue
         ids, col = batch.column(0), texts(batch)
-        part = batch.column(2)[0].as_py() << 24
         start, got = 0, []
         for i, t in enumerate(col.to_pylist()):
             if words and (len(words) > BLOCK_WORDS or chars + len(t) > BLOCK_CHARS):
                 if got:
-                    yield from step(part + blocks, ids.slice(start, i - start), got, words)
-                yield from step(part + blocks, None, None, words)
-                words, start, got, chars, blocks = _Words(), i, [], 0, blocks + 1
+                    yield from step(block, ids.slice(start, i - start), got, words)
+                yield from step(block, None, None, words)
+                words, start, got, chars, block = _Words(), i, [], 0, block + 1
             chars += len(t)
             pieces = split(t)
             got.append(np.fromiter(map(words.__getitem__, pieces), np.uint32, len(pieces)))
         if got:
-            yield from step(part + blocks, ids.slice(start), got, words)
+            yield from step(block, ids.slice(start), got, words)
     if words:
-        yield from step(part + blocks, None, None, words)
+        yield from step(block, None, None, words)
+
+
+NAMES = ["block", "hash", "doc_id", "seq", "index", "size", "body"]
 
 
 def ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -104,13 +111,20 @@ def ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def encode_decode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of the decoded bytes."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = docs.sparkSession
+    source = docs.select(F.col("doc_id").cast("long"), "text")
+    parts = parts_for(spark, source.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
-    def words_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (hash, block, indices, lengths, words): a block's words of one hash, in order of index."""
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of documents (block, doc_id, seq), and of a block's words of one hash, in order of index (block, hash, index, size, body)."""
+        from pyspark import TaskContext
 
         def step(block, ids, got, words):
             if got is not None:
+                n = len(got)
+                none = pa.nulls(n, pa.binary())
+                cols = [pa.array(np.full(n, block)), pa.nulls(n, pa.int32()), ids.cast(pa.int64()), pa.array([pack(x) for x in got], pa.binary()), none, none, none]
+                yield pa.RecordBatch.from_arrays(cols, NAMES)
                 return
             keys = [w.encode() for w in words]
             size = np.fromiter(map(len, keys), np.int64, len(keys))
@@ -118,46 +132,40 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
             order = np.argsort(to, kind="stable")
             cut = np.searchsorted(to[order], np.arange(parts + 1))
             rows = []
-            for h in range(parts):
+            for h in np.flatnonzero(np.diff(cut)).tolist():
                 idx = order[cut[h] : cut[h + 1]]
-                if len(idx):
-                    body = b"".join([keys[i] for i in idx.tolist()])
-                    rows.append((h, block, pack(np.diff(idx, prepend=0)), pack(size[idx]), zlib.compress(body, 1)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["hash", "block", "index", "size", "body"])
-
-        return _blocks(batches, step)
-
-    def docs_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def step(block, ids, got, words):
-            if got is not None:
-                n = len(got)
-                none = pa.nulls(n, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.ones(n, np.int32)), ids.cast(pa.int64()), pa.array([pack(x) for x in got], pa.binary()), none, none], ["block", "kind", "doc_id", "index", "size", "body"])
+                body = b"".join([keys[i] for i in idx.tolist()])
+                rows.append((block, h, None, None, pack(np.diff(idx, prepend=0)), pack(size[idx]), zlib.compress(body, 1)))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], NAMES)
 
-        return _blocks(batches, step)
+        return _blocks(batches, TaskContext.get().partitionId(), step)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A task has all rows of a hash: each of its distinct words is encoded when first met."""
         import tiktoken
 
-        enc = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=read_ranks(vocabulary), special_tokens={})
+        # each piece whole
+        enc = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=read_ranks(vocabulary), special_tokens={})
         known: dict[bytes, list[int]] = {}
         for batch in batches:
             counts, flat = [], []
-            for size, body in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            for size, body in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 body, at, n, ids = zlib.decompress(body), 0, [], []
                 for k in unpack(size).tolist():
                     w = body[at : at + k]
                     at += k
                     got = known.get(w)
                     if got is None:
-                        got = known[w] = enc._encode_single_piece(w)
+                        if len(known) >= KNOWN:
+                            known.clear()
+                        got = known[w] = enc.encode_ordinary(w.decode())
                     n.append(len(got))
                     ids += got
                 counts.append(pack(np.array(n)))
                 flat.append(pack(np.array(ids)))
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int64()), batch.column(2), pa.array(counts, pa.binary()), pa.array(flat, pa.binary())], ["block", "kind", "doc_id", "index", "size", "body"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int64()), batch.column(1), pa.array(counts, pa.binary()), pa.array(flat, pa.binary())], ["block", "kind", "doc_id", "index", "size", "body"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by block, words' ids before documents."""
@@ -195,10 +203,11 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
                 res[3].append(hashlib.sha256(b"".join(map(table.__getitem__, got))).hexdigest())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(res, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    # the scan's own partition number, the same for both reads of it, names the blocks
-    source = docs.select(F.col("doc_id").cast("long"), "text", F.spark_partition_id().alias("part"))
-    words = map_arrow(source, words_out, "hash int, block long, index binary, size binary, body binary").repartition(parts, "hash")
+    table = stored(map_arrow(source, split, "block long, hash int, doc_id long, seq binary, index binary, size binary, body binary"), "words")
+    words = table.where("hash is not null").select("hash", "block", "index", "size", "body").repartitionById(parts, "hash").drop("hash")
     midway = "block long, kind int, doc_id long, index binary, size binary, body binary"
-    both = map_arrow(words, encode, midway).unionByName(map_arrow(source, docs_out, midway))
+    none = F.lit(None).cast("binary")
+    docs_out = table.where("hash is null").select("block", F.lit(1).alias("kind"), "doc_id", F.col("seq").alias("index"), none.alias("size"), none.alias("body"))
+    both = map_arrow(words, encode, midway).unionByName(docs_out)
     both = both.repartition(parts, "block").sortWithinPartitions("block", "kind")
     return map_arrow(both, assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
