@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+import numpy as np
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
@@ -70,3 +72,73 @@ def personal(text):
         if 10 <= len(digits(m)) <= 15:
             out.append((m.start(), 3, m.end()))
     return sorted(out)
+
+
+def water(sizes, weights, cap):
+    """Targets: the level at which all of them sum to all sizes, by halving."""
+    total, lo, hi = sum(sizes), 0.0, cap * sum(sizes) + 1.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(cap * s, w * mid) for s, w in zip(sizes, weights, strict=True)) < total else (lo, mid)
+    return [min(cap * s, w * hi) for s, w in zip(sizes, weights, strict=True)]
+
+
+def rates(docs, goal, cap, ridge):
+    """docs (source, size), goal {source: target} -> rate of each document: mu by halving, each lambda by halving within."""
+    size = np.array([float(q) for _, q in docs])
+    x = np.log1p(size)
+    mean = (size * x).sum() / size.sum()
+    x = (x - mean) / np.sqrt((size * x * x).sum() / size.sum() - mean**2)
+    names = [s for s, _ in docs]
+
+    def at(mu):
+        r = np.zeros(len(docs))
+        for s in set(names):
+            mine = np.array([n == s for n in names])
+            lo, hi = -60.0, 60.0
+            for _ in range(100):
+                mid = (lo + hi) / 2
+                got = (size[mine] * np.minimum(cap, np.exp(mid + mu * x[mine]))).sum()
+                lo, hi = (mid, hi) if got < goal[s] else (lo, mid)
+            r[mine] = np.minimum(cap, np.exp(hi + mu * x[mine]))
+        return r
+
+    lo, hi = -30.0, 30.0
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if (size * at(mid) * x).sum() + ridge * size.sum() * mid < 0 else (lo, mid)
+    return at((lo + hi) / 2)
+
+
+def copies(docs, keys, rate, goal, cap, fill):
+    """docs (source, size), a 64-bit key of each -> copies: floors, the rest by hash over fraction, then the largest that fit."""
+    out = [0] * len(docs)
+    for s in {n for n, _ in docs}:
+        mine = [i for i, (n, q) in enumerate(docs) if n == s and q]
+        for i in mine:
+            out[i] = int(rate[i] + 1e-9)
+        more = goal[s] - sum(out[i] * docs[i][1] for i in mine)
+        v = {i: ((keys[i] % (1 << 64) >> 11) + 0.5) / 2**53 / (rate[i] - out[i]) for i in mine if rate[i] - out[i] > 1e-9}
+        whole, got = dict.fromkeys(mine, 0), 0
+        for t in sorted(set(v.values())):
+            tied = [i for i in v if v[i] == t]
+            if got + sum(docs[i][1] for i in tied) > more:
+                break
+            got += sum(docs[i][1] for i in tied)
+            whole |= dict.fromkeys(tied, 1)
+        free = [i for i in mine if not whole[i] and out[i] < cap and [keys[j] for j in mine].count(keys[i]) == 1]
+        gap = more - got
+        least = {}
+        for i in free:
+            if docs[i][1] < 2 * gap:
+                q = docs[i][1]
+                least[q] = min(least.get(q, i), i, key=lambda j: keys[j])
+        for turn in range(fill + 1):
+            fits = [q for q in least if (q <= gap if turn < fill else q < 2 * gap)]
+            if fits:
+                q = min(fits, key=lambda z: (abs(z - gap), z))
+                whole[least.pop(q)] = 1
+                gap -= q
+        for i in mine:
+            out[i] = min(cap, out[i] + whole[i])
+    return out

@@ -333,3 +333,117 @@ def test_ranges_divided_by_width(spark, monkeypatch, coarse):
         after = order[(k + 1) % len(order)][1]
         want.append((i, brute.sha((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode())))
     same(bottomk.edited_neighbours(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), ["doc_id", "edited_sha256"], want)
+
+
+def test_mixing_against_plain_dual(spark):
+    """Targets by another water-filling, rates by halving on the dual, copies one by one."""
+    rng = random.Random(4)
+    share = {"a": 40, "b": 25, "c": 3, "d": 60, None: 12, "é": 6}
+    every = [(k, " ".join(["w"] * int(rng.lognormvariate(3, 1.2))), s) for s, n in share.items() for k in range(1000 * len(s or ""), 1000 * len(s or "") + n)]
+    every = [(k, *r[1:]) for k, r in enumerate(every)]
+    df = spark.createDataFrame(every, "doc_id long, text string, source string").repartition(5)
+    got = {r.doc_id: r for r in mixing.mix(df).collect()}
+    order = sorted({s for s in share if s is not None}) + [None]
+    size = {s: sum(len(t.split()) for _, t, o in every if o == s) for s in order}
+    goal = dict(zip(order, brute.water([size[s] for s in order], [mixing.WEIGHTS[k % 3] for k in range(len(order))], 3), strict=True))
+    kept = [(i, s, len(t.split())) for i, t, s in every]
+    docs = [(s, q) for _, s, q in kept]
+    assert all(abs(got[i].target - goal[s]) < 1e-6 * goal[s] for i, s, _ in kept)
+    assert any(goal[s] == 3 * size[s] for s in order)
+    rate = brute.rates(docs, goal, 3, mixing.RIDGE)
+    assert len({round(r, 6) for r, (s, _) in zip(rate, docs, strict=True) if s == "a"}) > 5  # documents of one source have rates of their own
+    assert max(abs(got[i].rate - r) for (i, _, q), r in zip(kept, rate, strict=True) if q) < 1e-5
+    keys = {r.doc_id: r.key for r in df.select("doc_id", mixing._key().alias("key")).collect()}
+    want = brute.copies(docs, [keys[i] for i, _, _ in kept], [got[i].rate for i, _, _ in kept], goal, 3, mixing.FILL)
+    assert [got[i].copies for i, _, _ in kept] == want
+    taken = mixing.take(df).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in taken} == {i: n for (i, _, _), n in zip(kept, want, strict=True) if n}
+
+
+def test_mixing_many_sources(spark, monkeypatch):
+    """Sources beyond what is broadcast give the same rows; equal rows are taken alike."""
+    every = [(k, "w " * (1 + k % 13), f"s{k % 17}") for k in range(170)] + [(5, "w " * 6, "s5")] * 3
+    df = spark.createDataFrame(every, "doc_id long, text string, source string")
+    want = sorted(map(tuple, mixing.mix(df).collect()))
+    monkeypatch.setattr(mixing, "FEW", 4)
+    got = sorted(map(tuple, mixing.mix(df).collect()))
+    assert [r[:5] for r in got] == [r[:5] for r in want] and len({r for r in got if r[0] == 5}) == 1
+
+
+@pytest.fixture
+def moving(spark, monkeypatch):
+    """Scans are dealt out otherwise after every table and checkpoint, as when executors come and go."""
+    keys = ("spark.sql.leafNodeDefaultParallelism", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    turn = [0]
+
+    def wrap(fn):
+        def run(*a, **k):
+            out = fn(*a, **k)
+            turn[0] += 1
+            spark.conf.set(keys[0], str([2, 13, 5][turn[0] % 3]))
+            spark.conf.set(keys[1], ["1m", "20k", "128m"][turn[0] % 3])
+            spark.conf.set(keys[2], ["1k", "4m", "10k"][turn[0] % 3])
+            return out
+
+        return run
+
+    for m in (warc, mixing, repeats, word_shuffle_bpe, cpsjoin):
+        for name in ("cut", "stored"):
+            if hasattr(m, name):
+                monkeypatch.setattr(m, name, wrap(getattr(m, name)))
+    yield turn
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_results_stay_when_executors_change(spark, tmp_path, moving):
+    rng = random.Random(8)
+    prose = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(100, 700))) for _ in range(60)]
+    every = [(i, prose[rng.randint(0, 59)] + prose[i % 60][:90], f"s{i % 4}") for i in range(300)]
+    df = spark.createDataFrame(every, "doc_id long, text string, source string")
+    df.repartition(12).write.parquet(str(tmp_path / "docs"))
+    shuffled = lambda: spark.read.parquet(str(tmp_path / "docs")).repartition(7, F.xxhash64("text"))
+    plain = lambda: spark.read.parquet(str(tmp_path / "docs"))
+    taken = {}
+    for read in (plain, shuffled):
+        same(repeats.remove_repeats(read()), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], brute.repeats([r[:2] for r in every]))
+        back = word_shuffle_bpe.encode_decode(read(), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+        same(back, ["doc_id", "decoded_sha256"], [(i, brute.sha(t.encode())) for i, t, _ in every])
+        pages = read().select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.element_at(F.split("text", "a"), 1), F.substring("text", 1, 90), F.when(F.col("doc_id") % 3 == 0, "WARC/1.1\r\nx").otherwise("")).alias("html"))
+        html = {r.page_id: r.html for r in pages.collect()}
+        first = {}
+        for i, h in html.items():
+            if len(h) >= 100:
+                first[h] = min(i, first.get(h, i))
+        want = [(i, len(h), brute.sha(h.encode()), *(("revisit", first[h]) if first.get(h, i) != i else ("response", None))) for i, h in html.items()]
+        same(warc.archive_round_trip(pages), ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], want)
+        taken[read] = sorted(map(tuple, mixing.take(read()).collect()))
+        copies = {r.doc_id: r.copies for r in mixing.mix(read()).collect()}
+        assert len(taken[read]) == sum(copies.values())
+    assert taken[plain] == taken[shuffled] and moving[0] > 20
+
+
+def test_jump(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        at = np.unique(np.append(rng.integers(0, 100, int(rng.integers(1, 40))), 0))
+        after = at + rng.integers(1, 12, len(at))
+        step, want, x = dict(zip(at.tolist(), after.tolist(), strict=True)), [], 0
+        while x in step:
+            want.append(x)
+            x = step[x]
+        p = rng.permutation(len(at))
+        assert sorted(warc.jump(at[p], after[p]).tolist()) == want
+    monkeypatch.setattr(warc, "JUMPED", 0)  # all files by joins
+    test_warc(spark)
+
+
+def test_words_that_polynomials_confuse(spark):
+    """Words of the Thue-Morse sequence, whose sums of powers are equal modulo 2^64, make unlike sets."""
+    thue = lambda n, a, b: "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+    every = [(10 * n + k, f"one two three four {thue(n, *pair)}") for n in (1024, 2048, 4096, 8192) for k, pair in enumerate((("a", "b"), ("b", "a")))]
+    df = spark.createDataFrame(every, "doc_id long, text string")
+    assert all(r.kept and r.n_shingles == 1 for r in cpsjoin.near_duplicates(df).collect())
+    got = bottomk.fingerprints(df).collect()
+    assert len({r.fingerprint for r in got}) == len(every)
