@@ -1,18 +1,24 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers; these base
-spans stay. The random field then labels the document's other suspicious tokens
-(blank-delimited, with a digit or an ``@``): neighbours share a transition
-potential, and tokens that repeat or are alike (the same digits, or the same
-address) share a skip potential with the next such token however distant. Base
-spans are clamped; damped sum-product messages run along both kinds of edges
-until the labels of a document agree, and tokens whose most probable label is a
-kind become spans of that kind. Skip edges join consecutive occurrences only, so
-their number grows as the tokens.
-
-Weights are learned here by pseudo-likelihood from the base spans of at most
-TRAIN_DOCS documents (those with the smallest hashes of their doc_id); nodes are
-counted by signature, a tuple of small buckets, before they reach the driver.
+spans stay. The random field labels them and the document's other suspicious
+tokens (blank-delimited, with a digit or an ``@``; numbers in groups count as one):
+neighbours share a transition potential, and tokens that are alike share a skip
+potential however distant. Alike are equal tokens, numbers with the same last
+ALIKE digits, and addresses with the same part before the ``@``. All tokens of a
+likeness class are joined to one hub variable, so each agrees with every other
+while edges grow as tokens do. Base spans are clamped, and fix the hub of their
+class; damped sum-product messages run until they no longer change, and free
+tokens whose most probable label is a kind become spans of that kind.
+
+Weights are learned here by pseudo-likelihood from at most TRAIN_DOCS documents
+(those with the smallest hashes of their doc_id). Base spans have their kind, other
+tokens none; but tokens alike to a base span are unlabelled. Each labelled token
+counts twice, once with its looks and once with them hidden, where only its
+neighbours and its likeness class can tell the label; and a base span counts once
+more as a mention of itself that lacks what the patterns ask for (a phone's plus,
+an address' last part). That teaches how much the agreement weighs against looks.
+Tokens are counted by context, a tuple of small buckets, before they reach the driver.
 
 Null text counts as empty and has no spans. Offsets are code points, ends
 exclusive. Repeated rows and null ids give rows alike; other columns are ignored.
@@ -34,7 +40,16 @@ from ._arrow import map_arrow
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
 TRAIN_DOCS = 20_000
-ROUNDS, DAMPING, SURE = 8, 0.3, 0.6
+SURE = 0.6
+#: Log-weight against labels that a base span rules out.
+FIXED = 1e6
+#: Messages are sent until none changes by more; damping rises after as many rounds each.
+SETTLED = 1e-6
+DAMPING = ((0.0, 50), (0.3, 200), (0.6, 500), (0.9, 5000))
+#: Numbers of as many digits are alike by their last ones.
+ALIKE = 7
+#: Numbers in groups, as in phone numbers, have as many digits.
+GROUPED = (7, 19)
 #: Tokens this near in characters are neighbours.
 NEAR = 3
 
@@ -50,6 +65,7 @@ _NOT_DIGIT = re.compile("[^0-9]+")
 _BLANK = " \t\n\x0b\x0c\r"
 _TO_BLANK = re.compile(r"[\x20\x09-\x0D]")
 _TRIM = ".,;:!?()[]{}<>\"'|"
+_NUMERIC = re.compile(r"[+(]?[0-9][0-9().-]*")
 
 
 def luhn(digits: str) -> bool:
@@ -126,18 +142,20 @@ def signature(token: str) -> tuple[int, ...]:
     return (bucket, min(token.count("."), 4), int("@" in token), int(any(c.isalpha() for c in token)), int("-" in token), int("+" in token), int(bool(set(token) & set("_%/:#=$*&"))), int(14 <= digits <= 19 and luhn(only)))
 
 
-def likeness_key(token: str) -> str | None:
+def likeness_key(token: str) -> str:
     """Tokens with equal keys are alike."""
     if "@" in token:
-        return token.lower()
+        return "@" + token[: token.index("@")].lower() if token[0] != "@" else token.lower()
     d = _NOT_DIGIT.sub("", token)
-    return d if len(d) >= 6 else None
+    return "#" + d[-ALIKE:] if len(d) >= ALIKE else token.lower()
 
 
 #: Sizes of the buckets of a signature, for one-hot features.
 SIZES = (9, 5, 2, 2, 2, 2, 2, 2)
 LABELS = 1 + len(KINDS)  # 0: none
-WIDTH = sum(SIZES) + 1
+WIDTH = sum(SIZES) + 2
+#: Features of a token whose looks are hidden.
+HIDDEN = np.append(np.zeros(sum(SIZES) + 1), 1.0)
 
 
 def one_hot(sig: tuple[int, ...]) -> np.ndarray:
@@ -146,39 +164,51 @@ def one_hot(sig: tuple[int, ...]) -> np.ndarray:
     for v, n in zip(sig, SIZES, strict=True):
         x[at + v] = 1
         at += n
-    x[-1] = 1
+    x[-2] = 1
     return x
 
 
-def graph(text: str, base: list[tuple[int, int, int]]):
-    """Nodes, their clamped labels (-1: free), neighbour edges and skip edges."""
-    nodes = suspicious(text)
-    clamp = np.full(len(nodes), -1)
-    i = 0
-    for s, k, e in base:
-        while i > 0 and nodes[i - 1][1] > s:
-            i -= 1
-        while i < len(nodes) and nodes[i][1] <= s:
-            i += 1
+def _grouped(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs of numeric tokens, a blank apart, as one token where they have a plausible number of digits."""
+    out, i = [], 0
+    while i < len(tokens):
         j = i
-        while j < len(nodes) and nodes[j][0] < e:
-            if clamp[j] < 0:
-                clamp[j] = k + 1
+        while j + 1 < len(tokens) and _NUMERIC.fullmatch(text[tokens[j][0] : tokens[j][1]]) and text[tokens[j][1] : tokens[j + 1][0]].strip("()") == " " and _NUMERIC.fullmatch(text[tokens[j + 1][0] : tokens[j + 1][1]]):
             j += 1
-    near = [(i, i + 1) for i in range(len(nodes) - 1) if nodes[i + 1][0] - nodes[i][1] <= NEAR]
-    last: dict[str, int] = {}
-    skip = []
+        whole = (tokens[i][0], tokens[j][1])
+        if j > i and GROUPED[0] <= len(_NOT_DIGIT.sub("", text[whole[0] : whole[1]])) <= GROUPED[1]:
+            out.append(whole)
+        else:
+            out += tokens[i : j + 1]
+        i = j + 1
+    return out
+
+
+def graph(text: str, base: list[tuple[int, int, int]]):
+    """Nodes in order, their clamped labels (-1: free), pairs of neighbours, and the likeness class of each (-1: alike to none)."""
+    spans, i = [], 0
+    free = []
+    for s, e in suspicious(text):
+        while i < len(base) and base[i][2] <= s:
+            i += 1
+        if not any(b[0] < e and b[2] > s for b in base[max(0, i - 2) : i + 3]):
+            free.append((s, e))
+    spans = [(s, e, k + 1) for s, k, e in base] + [(s, e, -1) for s, e in _grouped(text, free)]
+    spans.sort()
+    nodes = [(s, e) for s, e, _ in spans]
+    clamp = np.array([k for _, _, k in spans], np.int64)
+    near = [(i, i + 1) for i in range(len(nodes) - 1) if 0 <= nodes[i + 1][0] - nodes[i][1] <= NEAR]
+    members: dict[str, list[int]] = {}
     for i, (s, e) in enumerate(nodes):
-        key = likeness_key(text[s:e])
-        if key is not None:
-            if key in last:
-                skip.append((last[key], i))
-            last[key] = i
-    return nodes, clamp, near, skip
+        members.setdefault(likeness_key(text[s:e]), []).append(i)
+    of = np.full(len(nodes), -1)
+    for c, m in enumerate(m for m in members.values() if len(m) > 1):
+        of[m] = c
+    return nodes, clamp, near, of
 
 
 class Field:
-    """Weights: of signatures (WIDTH x LABELS), of neighbours (LABELS x LABELS), of agreement over a skip edge."""
+    """Weights: of signatures (WIDTH x LABELS), of neighbours (LABELS x LABELS), of agreement with the hub of a class."""
 
     def __init__(self, unary: np.ndarray, chain: np.ndarray, agree: float):
         self.unary, self.chain, self.agree = unary, chain, agree
@@ -189,63 +219,109 @@ class Field:
             self.cache[sig] = one_hot(sig) @ self.unary
         return self.cache[sig]
 
-    def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        nodes, clamp, near, skip = graph(text, base)
+    def added(self, text: str, base: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int]], int]:
+        """Spans of free tokens, and how many of them only the skip potentials give."""
+        nodes, clamp, near, of = graph(text, base)
         if not (clamp < 0).any():
-            return []
+            return [], 0
         z = np.stack([self.of(signature(text[s:e])) for s, e in nodes])
-        fixed = np.flatnonzero(clamp >= 0)
-        z[fixed] = -50
-        z[fixed, clamp[fixed]] = 0
-        belief = self.propagate(z, near, skip)
+        found = self._kinds(propagate(z, near, of, self.chain, self.agree, clamp), clamp)
+        alone = found
+        if found and (of >= 0).any():
+            alone = self._kinds(propagate(z, near, np.full(len(nodes), -1), self.chain, self.agree, clamp), clamp)
+        return [(nodes[i][0], k, nodes[i][1]) for i, k in found], len(set(found) - set(alone))
+
+    @staticmethod
+    def _kinds(belief: np.ndarray, clamp: np.ndarray) -> list[tuple[int, int]]:
         best = belief.argmax(axis=1)
         take = np.flatnonzero((clamp < 0) & (best > 0) & (belief.max(axis=1) >= SURE))
-        return [(nodes[i][0], int(best[i]) - 1, nodes[i][1]) for i in take]
-
-    def propagate(self, z: np.ndarray, near: list, skip: list) -> np.ndarray:
-        """Marginals after damped sum-product rounds over both kinds of edges."""
-        edges = np.array([*near, *skip], np.int64).reshape(-1, 2)
-        if len(edges):
-            m = len(near)
-            pot = np.concatenate([np.repeat(self.chain[None], m, 0), np.repeat((self.agree * np.eye(LABELS))[None], len(skip), 0)])
-            pot = np.exp(np.concatenate([pot, pot.transpose(0, 2, 1)]))
-            src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-            back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-            msg = np.zeros((len(src), LABELS))
-            for _ in range(ROUNDS):
+        return [(int(i), int(best[i]) - 1) for i in take]
+
+
+def propagate(z: np.ndarray, near: list, of: np.ndarray, chain: np.ndarray, agree: float, clamp: np.ndarray) -> np.ndarray:
+    """Marginals of nodes by sum-product messages along neighbours and between nodes and the hubs of their classes.
+
+    clamp: each node's label if it is fixed, else -1; fixed nodes fix their hub, to
+    any of their labels. Exact where the graph has no loop.
+    """
+    n, labels = z.shape
+    z = np.concatenate([z, np.zeros((int(of.max(initial=-1)) + 1, labels))])
+    fixed = np.flatnonzero(clamp >= 0)
+    hub = fixed[of[fixed] >= 0]
+    z[fixed] = z[n + of[hub]] = -FIXED
+    z[fixed, clamp[fixed]] = 0
+    z[n + of[hub], clamp[hub]] = 0
+    tied = np.flatnonzero((of >= 0) & (clamp < 0))
+    near = np.array(near, np.int64).reshape(-1, 2)
+    edges = np.concatenate([near, np.stack([tied, n + of[tied]], axis=1)])
+    if len(edges):
+        pot = np.concatenate([np.repeat(chain[None], len(near), 0), np.repeat((agree * np.eye(labels))[None], len(tied), 0)])
+        pot = np.exp(np.concatenate([pot, pot.transpose(0, 2, 1)]))
+        src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
+        back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
+        msg = np.zeros((len(src), labels))
+        for damping, rounds in DAMPING:
+            for _ in range(rounds):
                 total = z.copy()
                 np.add.at(total, dst, msg)
                 out = total[src] - msg[back]
                 out = np.exp(out - out.max(axis=1, keepdims=True))
                 new = np.log(np.einsum("ea,eab->eb", out, pot) + 1e-300)
                 new -= new.max(axis=1, keepdims=True)
-                if np.abs(new - msg).max() < 1e-4:
-                    msg = new
+                change = np.abs(new - msg).max()
+                msg = damping * msg + (1 - damping) * new
+                if change < SETTLED:
                     break
-                msg = DAMPING * msg + (1 - DAMPING) * new
-            z = z.copy()
-            np.add.at(z, dst, msg)
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        return p / p.sum(axis=1, keepdims=True)
+            if change < SETTLED:
+                break
+        z = z.copy()
+        np.add.at(z, dst, msg)
+    p = np.exp(z[:n] - z[:n].max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def contexts(text: str) -> list[list[int]]:
+    """Of each labelled token: its signature, the labels of its neighbours (-1: none or unlabelled), the
+    number of its mates with each label, and its own label."""
+    nodes, clamp, near, of = graph(text, base_spans(text))
+    y = np.maximum(clamp, 0)
+    classes = int(of.max(initial=-1)) + 1
+    known = np.zeros(classes, bool)
+    known[of[(clamp > 0) & (of >= 0)]] = True
+    labelled = (clamp > 0) | (of < 0) | ~np.append(known, False)[of]
+    mates = np.zeros((classes + 1, LABELS), int)
+    np.add.at(mates, (of[labelled], y[labelled]), 1)
+    left, right = np.full(len(nodes), -1), np.full(len(nodes), -1)
+    for a, b in near:
+        left[b], right[a] = (y[a] if labelled[a] else -1), (y[b] if labelled[b] else -1)
+    out = []
+    for i in np.flatnonzero(labelled).tolist():
+        n = mates[of[i]].copy() if of[i] >= 0 else np.zeros(LABELS, int)
+        n[y[i]] -= of[i] >= 0
+        s, e = nodes[i]
+        around = [int(left[i]), int(right[i])]
+        out.append([*signature(text[s:e]), *around, *np.minimum(n, MATES).tolist(), int(y[i])])
+        if clamp[i] > 0:
+            n[y[i]] += 1
+            out.append([*signature(variant(text[s:e])), -1, -1, *np.minimum(n, MATES).tolist(), int(y[i])])
+    return out
+
+
+def variant(token: str) -> str:
+    """A mention that the patterns don't find: without a plus, or the last part of an address."""
+    return token[: token.rindex(".")] if "@" in token else token.lstrip("+")
+
+
+#: Mates of one label that count in learning: more of them tell no more.
+MATES = 15
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signatures with the labels of neighbours and alike tokens, and the own label."""
     for batch in batches:
         rows = []
         for text in batch.column(0).to_pylist():
-            if not text or not _MARK.search(text):
-                continue
-            nodes, clamp, near, skip = graph(text, base_spans(text))
-            y = np.maximum(clamp, 0)
-            left, right = np.full(len(nodes), -1), np.full(len(nodes), -1)
-            alike = np.zeros((len(nodes), LABELS), int)
-            for a, b in near:
-                left[b], right[a] = y[a], y[b]
-            for a, b in skip:
-                alike[a, y[b]] += 1
-                alike[b, y[a]] += 1
-            rows += [[*signature(text[s:e]), int(left[i]), int(right[i]), *np.minimum(alike[i], 2).tolist(), int(y[i])] for i, (s, e) in enumerate(nodes)]
+            if text and _MARK.search(text):
+                rows += contexts(text)
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], ["node"])
 
 
@@ -259,30 +335,48 @@ def learn(docs: DataFrame, most: int = TRAIN_DOCS) -> Field:
     return fit(np.array([r["node"] for r in counted], np.int64).reshape(-1, len(SIZES) + 2 + LABELS + 1), np.array([r["count"] for r in counted], float))
 
 
+def _agreement(agree: float, mates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a node's mates say of each label through their hub, and its slope by the weight.
+
+    Mates of a kind are base spans, which fix the hub; those without one only agree with it.
+    """
+    by = np.repeat(np.eye(LABELS)[None], len(mates), 0)  # node, its label, hub's label
+    by[:, :, 0] += mates[:, None, 0]
+    s = agree * by
+    s[:, :, 1:] += FIXED * (mates[:, None, 1:] > 0)
+    top = s.max(axis=2, keepdims=True)
+    e = np.exp(s - top)
+    total = e.sum(axis=2)
+    return np.log(total) + top[:, :, 0], (e * by).sum(axis=2) / total
+
+
 def fit(nodes: np.ndarray, count: np.ndarray, steps: int = 400) -> Field:
     k, y = len(SIZES), nodes[:, -1]
     x = np.stack([one_hot(tuple(r[:k])) for r in nodes]) if len(nodes) else np.zeros((0, WIDTH))
-    side = [np.eye(LABELS + 1)[nodes[:, k + i]][:, :LABELS] for i in (0, 1)]  # label -1: no neighbour
-    alike = nodes[:, k + 2 : k + 2 + LABELS].astype(float)
-    unary, chain, agree = np.zeros((WIDTH, LABELS)), np.zeros((LABELS, LABELS)), 0.0
-    w = np.minimum(count, 1000)
+    x = np.concatenate([x, np.repeat(HIDDEN[None], len(x), 0)])  # each token as it looks, and hidden
+    side = [np.tile(np.eye(LABELS + 1)[nodes[:, k + i]][:, :LABELS], (2, 1)) for i in (0, 1)]  # label -1: no neighbour
+    mates = np.tile(nodes[:, k + 2 : k + 2 + LABELS].astype(float), (2, 1))
+    y, w = np.tile(y, 2), np.tile(count, 2)
+    some = mates.sum(axis=1) > 0
+    unary, chain, agree = np.zeros((WIDTH, LABELS)), np.zeros((LABELS, LABELS)), 1.0
     w = w / max(w.sum(), 1)
     first = [np.zeros_like(unary), np.zeros_like(chain), 0.0]
     second = [np.zeros_like(unary), np.zeros_like(chain), 0.0]
     for t in range(1, steps + 1):
-        z = x @ unary + side[0] @ chain + side[1] @ chain.T + agree * alike
+        z = x @ unary + side[0] @ chain + side[1] @ chain.T
+        says, slope = _agreement(agree, mates[some])
+        z[some] += says
         p = np.exp(z - z.max(axis=1, keepdims=True)) if len(z) else z
         p /= p.sum(axis=1, keepdims=True)
         r = (np.eye(LABELS)[y] - p) * w[:, None]
-        grad = [x.T @ r - 1e-5 * unary, side[0].T @ r + (side[1].T @ r).T - 1e-5 * chain, float((alike * r).sum()) - 1e-5 * agree]
+        grad = [x.T @ r - 1e-5 * unary, side[0].T @ r + (side[1].T @ r).T - 1e-5 * chain, float((slope * r[some]).sum()) - 1e-5 * agree]
         step = []
         for i, g in enumerate(grad):
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.99 * second[i] + 0.01 * g**2
             step.append(0.1 * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.99**t)) + 1e-9))
-        unary, chain, agree = unary + step[0], chain + step[1], agree + step[2]
-    # alike tokens of one kind carry the label at least this strongly, also where the sample has none of them
-    return Field(unary, chain, max(agree, 4.0))
+        unary, chain, agree = unary + step[0], chain + step[1], max(0.0, agree + step[2])
+    return Field(unary, chain, float(agree))
 
 
 def spell(spans: list[tuple[int, int, int]]) -> str:
@@ -290,7 +384,7 @@ def spell(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find(docs: DataFrame, field: Field) -> DataFrame:
-    """doc_id, counts of base spans, their digest, and all spans."""
+    """doc_id, counts of base spans, their digest, all spans, and how many of them only the skip potentials give."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = hashlib.sha256(b"").hexdigest()
@@ -298,17 +392,20 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
             rows = []
             for text in batch.column(1).to_pylist():
                 if not text or not _MARK.search(text):
-                    rows.append((0, 0, 0, 0, none, ""))
+                    rows.append((0, 0, 0, 0, none, "", 0))
                     continue
                 base = base_spans(text)
                 n = [0] * len(KINDS)
                 for _, k, _ in base:
                     n[k] += 1
-                rows.append((*n, hashlib.sha256(spell(base).encode()).hexdigest(), spell(sorted([*base, *field.added(text, base)]))))
-            c = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.int64() if i < 4 else pa.string()) for i, v in enumerate(c))], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+                added, linked = field.added(text, base)
+                rows.append((*n, hashlib.sha256(spell(base).encode()).hexdigest(), spell(sorted([*base, *added])), linked))
+            c = list(zip(*rows, strict=True)) or [[]] * 7
+            cols = [pa.array(v, pa.string() if i in (4, 5) else pa.int64()) for i, v in enumerate(c)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_linked"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_linked long"
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
 
 
 def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -331,7 +428,7 @@ def redact(docs: DataFrame, field: Field) -> DataFrame:
             for text in batch.column(i).to_pylist():
                 if text and _MARK.search(text):
                     base = base_spans(text)
-                    text = mask(text, sorted([*base, *field.added(text, base)]))
+                    text = mask(text, sorted([*base, *field.added(text, base)[0]]))
                 out.append(text)
             yield batch.set_column(i, "text", pa.array(out, batch.schema.field(i).type))
 

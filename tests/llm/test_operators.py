@@ -201,14 +201,50 @@ def test_personal_data(spark, docs, rows, empty):
     assert "555" not in hidden and "@" not in hidden and "[CARD]" in hidden
 
 
-def test_skip_edges_make_labels_agree():
-    """A number repeated without its plus far from the first takes the first's label."""
-    text = "Call +49 30 901820001 today. " + "word " * 200 + "Again 49 30 901820001 or 901820001 it is, not 12."
-    nodes = np.array([[*skipchain.signature("901820001"), -1, -1, 0, 0, 0, 0, 0, 0]])
-    field = skipchain.fit(nodes, np.array([1.0]))
-    field = skipchain.Field(field.unary * 0, field.chain * 0, 6.0)
-    added = field.added(text, skipchain.base_spans(text))
-    assert [text[s:e] for s, k, e in added if k == skipchain.PHONE][-1] == "901820001"
+def test_skip_edges_make_labels_agree(spark):
+    """With learned weights, numbers written otherwise than a base span take its label through their class, and only so."""
+    rng = random.Random(6)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    every = []
+    for i in range(300):
+        a, b = digits(3), digits(7)
+        phone = f"+49 {a} {b}"
+        every.append((i, f"Call {phone} now. " + "word " * rng.randint(5, 40) + rng.choice([f"Or {phone} again.", f"Version {digits(1)}.{digits(1)} of it, twice {digits(4)}.", f"Mail x{i}@a.example.org or x{i}@a.example.org", f"Order {digits(3)} {digits(7)} of {digits(4)}-{digits(7)}."])))
+    field = skipchain.learn(spark.createDataFrame(every, "doc_id long, text string"))
+    assert field.agree > 1
+    text = "Call +49 301 9018200 today. " + "word " * 200 + "Again 301 9018200, or 0301-9018200; " * 10 + "not 2024 nor 4.5."
+    added, linked = field.added(text, skipchain.base_spans(text))
+    assert [text[s:e] for s, k, e in added] == ["301 9018200", "0301-9018200"] * 10 and {k for _, k, _ in added} == {skipchain.PHONE} and linked == 20
+    assert skipchain.Field(field.unary, field.chain, 0.0).added(text, skipchain.base_spans(text))[0] == []
+    got = skipchain.find(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), field).collect()
+    assert [(r.n_phone, r.n_linked) for r in sorted(got, key=lambda r: r.doc_id)] == [(1, 20), (0, 0)]
+
+
+def test_messages_give_exact_marginals():
+    """On graphs without loops the beliefs are those of counting every labelling; with loops they settle near them."""
+    rng = np.random.default_rng(5)
+    for case in range(60):
+        n, labels = int(rng.integers(2, 6)), 3
+        z, chain, agree = rng.normal(size=(n, labels)), rng.normal(size=(labels, labels)), float(rng.uniform(0, 3))
+        of = rng.integers(-1, 2, n)
+        near = [] if case % 2 else [(i, i + 1) for i in range(n - 1)]
+        if case % 2 == 0:
+            of[:] = -1
+        hubs = int(of.max(initial=-1)) + 1
+        total = np.zeros((n, labels))
+        for y in np.ndindex(*[labels] * (n + hubs)):
+            e = sum(z[i, y[i]] for i in range(n)) + sum(chain[y[a], y[b]] for a, b in near) + agree * sum(y[i] == y[n + of[i]] for i in range(n) if of[i] >= 0)
+            for i in range(n):
+                total[i, y[i]] += np.exp(e)
+        got = skipchain.propagate(z, near, of, chain, agree, np.full(n, -1))
+        assert np.abs(got - total / total.sum(axis=1, keepdims=True)).max() < 1e-6
+
+
+def test_agreement_over_many_repeats():
+    """A class with one clamped member labels all of its twenty repeats, with nothing known of them."""
+    clamp = np.append(4, np.full(20, -1))
+    got = skipchain.propagate(np.zeros((21, 5)), [], np.zeros(21, int), np.zeros((5, 5)), 3.0, clamp)
+    assert (got.argmax(axis=1) == 4).all() and got[1:].max(axis=1).min() > 0.8
 
 
 def test_mixing(docs, rows, empty):
