@@ -1,8 +1,9 @@
 """Bottom-k sketches of word shingles.
 
 A fingerprint holds the K smallest of the distinct shingle hashes of a text (all
-of them if fewer). Sketches of parts merge into that of the whole; two sketches
-estimate resemblance and containment, one the number of distinct shingles.
+of them if fewer), of 64 bits each. Sketches of parts merge into that of the whole
+(``merged`` does so by an aggregation); two sketches estimate resemblance and
+containment, one the number of distinct shingles.
 Texts without words have an empty sketch: its likeness to another empty one is
 1, to any other 0.
 
@@ -11,7 +12,7 @@ doc_id order. Documents are dealt out by doc_id ranges, and the first document
 of each range is also sent to the range before it, so a text is shuffled once
 and no window over all rows is needed. Null texts count as empty. Rows with a
 null doc_id come last in that order; rows with equal doc_ids are ordered by a
-hash of their texts. Other columns are ignored.
+hash of their texts, then by them. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,24 +23,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._arrow import map_arrow
+from ._arrow import map_arrow, parts_for
 from ._bytes import shingle_sets
 
 K = 128
-#: Hashes are cut to 40 bits: five bytes each in a fingerprint.
-WIDTH = 5
-_FULL = 1 << (8 * WIDTH)
 SLICE = 1 << 20
 #: Ranges that are told apart by comparing; more parts divide them by width.
 COARSE = 512
 
 
 def sketch(shingles: np.ndarray, k: int = K) -> np.ndarray:
-    """Of sorted distinct 64-bit hashes: the k smallest, cut to 40 bits."""
-    return np.unique(shingles[:k] >> np.uint64(64 - 8 * WIDTH))
+    """Of sorted distinct 64-bit hashes: the k smallest."""
+    return shingles[:k]
 
 
 def merge(a: np.ndarray, b: np.ndarray, k: int = K) -> np.ndarray:
@@ -56,7 +54,7 @@ def resemblance(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
 
 def distinct(a: np.ndarray, k: int = K) -> float:
     """Estimated number of distinct shingles."""
-    return float(len(a)) if len(a) < k else (k - 1) * _FULL / (float(a[k - 1]) + 1)
+    return float(len(a)) if len(a) < k else (k - 1) * 2.0**64 / (float(a[k - 1]) + 1)
 
 
 def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
@@ -68,14 +66,11 @@ def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
 
 
 def to_text(a: np.ndarray) -> str:
-    return base64.b64encode(a.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - WIDTH :].tobytes()).decode()
+    return base64.b64encode(a.astype(">u8").tobytes()).decode()
 
 
 def from_text(s: str) -> np.ndarray:
-    b = np.frombuffer(base64.b64decode(s), np.uint8).reshape(-1, WIDTH)
-    out = np.zeros((len(b), 8), np.uint8)
-    out[:, 8 - WIDTH :] = b
-    return out.view(">u8").ravel().astype(np.uint64)
+    return np.frombuffer(base64.b64decode(s), ">u8").astype(np.uint64)
 
 
 def sketches(texts: list[bytes]) -> list[np.ndarray]:
@@ -100,7 +95,36 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             s = sketches([(t or "").encode() for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([to_text(x) for x in s]), pa.array([distinct(x) for x in s])], ["doc_id", "fingerprint", "n_distinct"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, fingerprint string, n_distinct double")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fingerprint string, n_distinct double")
+
+
+def merged(prints: DataFrame, key: str, k: int = K) -> DataFrame:
+    """prints (key, fingerprint) -> for each key the fingerprint of all its texts together, and n_distinct.
+
+    Hashes are made distinct and cut to the k least of a key before they are
+    shuffled by it, so a key of any share sends k hashes a task.
+    """
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = [from_text(t or "") for t in batch.column(1).to_pylist()]
+            # the sign bit is turned, so that signed order is that of the hashes
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([(x ^ np.uint64(1 << 63)).view(np.int64) for x in s], pa.list_(pa.int64()))], ["key", "h"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = [np.sort(np.array(x, np.int64).view(np.uint64) ^ np.uint64(1 << 63)) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([to_text(x) for x in s], pa.string()), pa.array([distinct(x, k) for x in s], pa.float64())], [key, "fingerprint", "n_distinct"])
+
+    kind = prints.schema[key].dataType.simpleString()
+    found = map_arrow(prints.select(F.col(key).alias("key"), "fingerprint"), hashes, f"key {kind}, h array<long>")
+    keys = found.select("key").distinct()
+    each = found.select("key", F.explode("h").alias("h")).distinct()
+    least = each.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("h"))).where(F.col("n") <= k)
+    lists = least.groupBy("key").agg(F.collect_list("h").alias("h")).withColumnRenamed("key", "k")
+    # keys whose texts have no shingles stay
+    every = keys.join(lists, F.col("key").eqNullSafe(F.col("k")), "left").select("key", F.coalesce("h", F.array().cast("array<long>")).alias("h"))
+    return map_arrow(every, join, f"`{key}` {kind}, fingerprint string, n_distinct double")
 
 
 def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,14 +184,15 @@ def _part(bounds: list[int], lo: int, hi: int, fine: int):
 def edited_neighbours(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likenesses."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("h", F.xxhash64("text"))
+    got = docs.agg(F.sum(F.octet_length("text")), F.min("doc_id"), F.max("doc_id")).first()
+    parts = parts_for(spark, got[0] or 0)
     # coarse ranges of about equal rows, and equal widths within them: one part for each shuffle partition or more
     coarse = min(parts, COARSE)
     fine = -(-parts // coarse)
-    got = docs.agg(F.percentile_approx("doc_id", [i / coarse for i in range(1, coarse)] or [0.5], 10000), F.min("doc_id"), F.max("doc_id")).first()
-    bounds = sorted({got[1], *(got[0] or []), got[2]} - {None}, reverse=True)
+    middle = docs.agg(F.percentile_approx("doc_id", [i / coarse for i in range(1, coarse)] or [0.5], 10000)).first()[0]
+    bounds = sorted({got[1], *(middle or []), got[2]} - {None}, reverse=True)
     nulls = max(1, len(bounds) - 1) * fine  # the part of null ids, the last
     part = F.when(F.col("doc_id").isNull(), nulls).otherwise(_part(bounds, 0, max(1, len(bounds) - 1), fine)).cast("int")
     docs = docs.withColumn("part", part)
@@ -186,5 +211,5 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
     copied = docs.where(is_first).withColumn("part", at(before, "int")).withColumn("copy", F.lit(True))
     every = docs.withColumn("copy", F.lit(False)).unionByName(copied)
     order = [F.col("part"), F.col("copy"), F.col("doc_id").desc_nulls_last(), F.col("h"), F.col("text")]
-    dealt = every.repartition(parts, "part").sortWithinPartitions(*order)
+    dealt = every.repartitionById(n, "part").sortWithinPartitions(*order)
     return map_arrow(dealt.select("part", "doc_id", "text", "copy"), _pair, schema)

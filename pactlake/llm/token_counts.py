@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ._arrow import map_arrow, texts
 from ._pretokens import by_tokenizers
@@ -67,6 +68,8 @@ class TokenCounter(dict):
         tok = Tokenizer.from_file(vocabulary)
         self.model, self.split, self.proven = tok.model, by_tokenizers(tok), proven
         self.letters = [c for _, c in sorted(byte_letters().items())]
+        if tok.normalizer is not None or any(t.lstrip or t.rstrip or t.single_word for t in tok.get_added_tokens_decoder().values()):
+            raise ValueError("vocabularies that normalise, or whose added tokens strip or ask for words, are counted otherwise")
         added = sorted((t.content for t in tok.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
 
@@ -107,4 +110,4 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFra
 
     import pyarrow.compute  # noqa: F401
 
-    return map_arrow(docs.select("doc_id", "text"), count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -119,6 +119,29 @@ def test_flac_is_stored(spark):
         list(flac._features(iter([batch(bad)])))
 
 
+def plain_sketch(text):
+    """Each shingle hashed by itself."""
+    out = set()
+    for s in brute.shingles(text):
+        b = " ".join(s).encode()
+        out |= set(bottomk.shingle_sets(np.frombuffer(b, np.uint8), np.array([0, len(b)]))[0].tolist())
+    return sorted(out)[: bottomk.K]
+
+
+def test_merged_sketches(spark, rows):
+    """Sketches of parts, merged by an aggregation, are those of all texts of a key."""
+    every = [(i, t, None if k % 5 == 0 else f"k{k % 3}") for k, (i, t) in enumerate(rows)] + [(900, "", "blank")]
+    df = spark.createDataFrame(every, "doc_id long, text string, part string").repartition(4)
+    prints = bottomk.fingerprints(df).join(df.where("doc_id <> 5").drop("text"), "doc_id").where("doc_id is not null")
+    got = {r.part: (bottomk.from_text(r.fingerprint).tolist(), r.n_distinct) for r in bottomk.merged(prints, "part").collect()}
+    want = {}
+    for i, t, key in every:
+        if i is not None and i != 5:
+            want.setdefault(key, set()).update(plain_sketch(t))
+    assert {k: v[0] for k, v in got.items()} == {k: sorted(v)[: bottomk.K] for k, v in want.items()}
+    assert got["blank"] == ([], 0.0)
+
+
 def test_bottom_k(docs, rows, empty, spark):
     plain = [(i, t) for i, t in rows if i is not None and i != 5] + [(5, rows[5][1])]
     got = {r.doc_id: r for r in bottomk.edited_neighbours(spark.createDataFrame(plain, "doc_id long, text string").repartition(5)).collect()}
@@ -130,6 +153,14 @@ def test_bottom_k(docs, rows, empty, spark):
         assert (got[i].n_chars, got[i].edited_sha256) == (len(t), brute.sha(edited.encode()))
         exact = len(a & b) / len(a | b) if a or b else 1.0
         assert abs(got[i].near_edited - exact) < 0.25
+        # the sketch by its definition: the least hashes of all shingles
+        least = [plain_sketch(x) for x in (t, edited, after)]
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == tuple(bottomk.to_text(np.array(x, np.uint64)) for x in least[:2])
+        for said, other in ((got[i].near_edited, least[1]), (got[i].near_next, least[2])):
+            union = sorted({*least[0], *other})[: bottomk.K]
+            assert said == (sum(h in least[0] and h in other for h in union) / len(union) if union and least[0] and other else float(not least[0] and not other))
+        assert got[i].n_distinct == (len(a) if len(a) < bottomk.K else (bottomk.K - 1) * 2.0**64 / (least[0][-1] + 1))
+        assert len(a) < bottomk.K or abs(got[i].n_distinct / len(a) - 1) < 0.4
     assert bottomk.edited_neighbours(docs).count() == len(rows)
     assert bottomk.edited_neighbours(empty).count() == 0
     x, y = (np.sort(np.random.default_rng(s).integers(0, 1 << 64, 5000, dtype=np.uint64)) for s in (1, 2))
