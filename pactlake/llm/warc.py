@@ -127,7 +127,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     read = _pieces(spark, path).withColumn("head", head)
     whole = F.coalesce(span == size, F.lit(False))
     n, sha = (F.when(whole, c).alias(name) for c, name in zip(_payload(), ("n", "sha"), strict=True))
-    narrow = cut(read.select("file", "split", "nth", *_content(), size.alias("size"), span.alias("span"), whole.alias("whole"), n, sha, *_headers()))
+    narrow = stored(read.select("file", "split", "nth", *_content(), size.alias("size"), span.alias("span"), whole.alias("whole"), n, sha, *_headers()), "pieces")
     # a piece's own magic stands before it
     in_split = Window.partitionBy("file", "split").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     splits = narrow.groupBy("file", "split").agg((F.sum("size") + F.count("*") * len(MAGIC)).alias("all"))
@@ -135,12 +135,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     splits = splits.withColumn("base", F.coalesce(F.sum("all").over(earlier), F.lit(0)) - len(MAGIC)).drop("all")
     before = F.coalesce(F.sum(F.col("size") + len(MAGIC)).over(in_split), F.lit(0))
     placed = narrow.withColumn("before", before).join(splits, ["file", "split"]).withColumn("at", F.col("base") + F.col("before")).where("at >= 0")
-    placed = cut(placed.drop("before", "base").withColumn("next", F.col("at") + len(MAGIC) + F.col("span")))
+    placed = stored(placed.drop("before", "base", "split", "nth", "size").withColumn("next", F.col("at") + len(MAGIC) + F.col("span")).drop("span"), "placed")
     release(spark)
     reached = _reached(placed.select("file", "at", "next"))
-    records = cut(placed.join(reached, ["file", "at"]))
+    records = placed.join(reached, ["file", "at"])
     broken = records.where("not whole").select("file", F.col("at").alias("record"))
-    done = records.where("whole").drop("file", "split", "nth", "h1", "h2", "size", "span", "whole", "at", "next")
+    done = records.where("whole").drop("file", "h1", "h2", "whole", "at", "next")
     if broken.isEmpty():
         return done
     # pieces of one payload: a record's own and the unreached ones after it; files hold a bounded number of records
@@ -187,9 +187,9 @@ def _reached(chain: DataFrame) -> DataFrame:
     chain = chain.withColumn("next", F.coalesce("next", F.lit(-1)))
     large = chain.groupBy("file").count().where(F.col("count") > JUMPED).select("file")
     if large.isEmpty():
-        return cut(chain.groupBy("file").applyInArrow(_jump_file, "file string, at long"))
+        return stored(chain.groupBy("file").applyInArrow(_jump_file, "file string, at long"), "reached")
     near = chain.join(large, "file", "left_anti").groupBy("file").applyInArrow(_jump_file, "file string, at long")
-    return cut(near.unionByName(_reached_by_joins(chain.join(large, "file", "left_semi"))))
+    return stored(near.unionByName(_reached_by_joins(chain.join(large, "file", "left_semi"))), "reached")
 
 
 def _reached_by_joins(chain: DataFrame) -> DataFrame:
@@ -217,11 +217,11 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(pages, path)
     release(spark)
-    back = cut(read_warc(spark, path))
+    back = stored(read_warc(spark, path), "records")
     # a revisit has what its response holds: equal digests of equal payloads
-    stored = back.where((F.col("record_type") == "response") & (F.col("n") >= MIN_DUPLICATE)).groupBy("sha").agg(F.max("n").alias("stored"))
-    out = back.join(stored.withColumnRenamed("sha", "digest"), "digest", "left")
+    held = back.where((F.col("record_type") == "response") & (F.col("n") >= MIN_DUPLICATE)).groupBy("sha").agg(F.max("n").alias("held"))
+    out = back.join(held.withColumnRenamed("sha", "digest"), "digest", "left")
     return out.select(
-        "page_id", F.coalesce("n", "stored").alias("payload_bytes"), F.coalesce(F.col("sha"), F.when(F.col("stored").isNotNull(), F.col("digest"))).alias("payload_digest"), "record_type",
+        "page_id", F.coalesce("n", "held").alias("payload_bytes"), F.coalesce(F.col("sha"), F.when(F.col("held").isNotNull(), F.col("digest"))).alias("payload_digest"), "record_type",
         F.when(F.col("record_type") == "revisit", F.col("refers_to")).alias("refers_to"),
     )
