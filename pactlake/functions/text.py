@@ -80,3 +80,9 @@ def relative_to(col: Column, root: str) -> Column:
 
 def utc_z(col: Column) -> Column:
     return F.date_format(parse_time(col), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def short_number(col: Column, digits: int) -> Column:
+    """A number with so many significant digits at most, without trailing zeros."""
+    said = F.format_string(f"%.{digits}g", col.cast("double"))
+    return F.when(F.contains(said, F.lit(".")) & ~F.contains(said, F.lit("e")), F.regexp_replace(said, r"\.?0+$", "")).otherwise(said)

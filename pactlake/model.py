@@ -48,7 +48,8 @@ class Clause:
 
     ``kind`` says how it runs: ``row`` clauses are fused in one aggregation, the
     others (``unique``, ``sequence``, ``reference``, ``aggregate``) have plans
-    of their own.
+    of their own. ``said`` names the count of what fails and what is said when
+    nothing does; ``{n}`` in ``message`` is that count.
     """
 
     check_id: str
@@ -62,4 +63,7 @@ class Clause:
     sample: Column | None = None
     empty: str = "PASS"  # status when no row applies; NONE: no result row
     on_fail: str = "FAIL"
+    said: tuple[str, str] = ("failing", "ok")
+    message: str = ""
+    expected_ok: str | None = None
     params: dict[str, Any] = field(default_factory=dict)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import short_number
+
 
 def column_stats(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
     """column, mean, std (population), n of every metric in one pass."""
@@ -28,6 +30,51 @@ def drift(current: DataFrame, baseline: DataFrame, least: int = 10) -> DataFrame
     return j.withColumn("z", z).withColumn("status", verdict)
 
 
+def as_results(drifted: DataFrame, prefix: str) -> DataFrame:
+    """Check results of a drift: nothing for columns seen for the first time, HIGH for failures, MEDIUM for warnings."""
+    fails, warns = F.col("status") == "FAIL", F.col("status") == "WARN"
+    new = F.col("base_mean").isNull()
+    shown = F.concat(F.lit("current_mean="), short_number(F.col("mean"), 6), F.lit(", baseline_mean="), short_number(F.col("base_mean"), 6), F.format_string(", z=%.3f_std", "z"))
+    expected = F.when(new, "enough values for a baseline").otherwise("within 3 std of baseline mean (FAIL beyond); WARN beyond 2 std")
+    message = F.when(fails, "The mean moved by more than three deviations.").when(warns & ~new, "The mean moved by more than two deviations.").when(warns, "Too few values for a baseline.").otherwise("")
+    return drifted.where(F.col("status").isin("PASS", "WARN", "FAIL")).select(
+        F.concat(F.lit(f"{prefix}."), "column", F.lit(".drift.mean")).alias("check_id"), F.col("column").alias("column_name"), F.lit("drift").alias("check_type"), "status",
+        F.when(new, F.format_string("n=%d", "n")).otherwise(shown).alias("actual_value"), expected.alias("expected"), F.when(fails, "HIGH").when(warns, "MEDIUM").otherwise("LOW").alias("severity"),
+        F.when(fails | warns, F.col("n")).otherwise(0).cast("long").alias("records_failing"), F.array().cast("array<string>").alias("sample_failing"), message.alias("message"),
+    )
+
+
+#: Runs kept in a rate's history.
+HISTORY = 24
+
+
+def output_rate(df: DataFrame, field: str, allowed: list[str] | None, state: dict | None, at: str) -> tuple[dict, dict]:
+    """(result, next state) of a run. state: baseline_rate, metric_field, allowed, rate_history.
+
+    The first run, and one whose metric is another field, sets the baseline. Without
+    an allow-list the first run's values are frozen as one; they are the kinds of a
+    field, and more than KINDS of them are an error.
+    """
+    fresh = not state or state.get("metric_field") != field
+    if allowed is None:
+        allowed = None if fresh else state.get("allowed")
+    if allowed is None:
+        seen = df.select(F.col(field).cast("string").alias("v")).where("v is not null").distinct().limit(KINDS + 1).collect()
+        if len(seen) > KINDS:
+            raise ValueError(f"{field} has more than {KINDS} values: it has no allow-list")
+        allowed = sorted(r.v for r in seen)
+    base = None if fresh else state["baseline_rate"]
+    r = violation_rate(df, field, allowed, base).first()
+    history = [] if fresh else list(state.get("rate_history") or [])
+    history = [*history, {"at": at, "rate": r.rate, "total": r.total}][-HISTORY:]
+    out = {"metric_field": field, "total_outputs": r.total, "violations": r.violations, "violation_rate": r.rate, "baseline_rate": r.rate if base is None else base, "trend": r.trend, "status": "BASELINE_SET" if fresh and r.status == "PASS" else r.status}
+    return out, {"baseline_rate": out["baseline_rate"], "metric_field": field, "allowed": allowed, "rate_history": history}
+
+
+#: Most values of an allow-list.
+KINDS = 10_000
+
+
 def violation_rate(df: DataFrame, field: str, allowed: list[str], baseline: float | None = None, by: list[str] | None = None, warn: float = 0.05, rising: float = 1.5, falling: float = 0.5) -> DataFrame:
     """Share of values outside the allowed ones (null is outside), its trend against a baseline, and a warning."""
     bad = F.count_if(~F.coalesce(F.col(field).isin(allowed), F.lit(False)))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import recency_score
+from ..session import cut
 
 FORWARD = ("PRODUCES", "WRITES", "CONSUMES")
 RELATIONSHIPS = ("IMPORTS", "CALLS", "READS", "WRITES", "PRODUCES", "CONSUMES")
@@ -19,16 +22,21 @@ def reverse_edges(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("relationship").isin(*RELATIONSHIPS)).select(F.col("target").alias("source"), F.col("source").alias("target")).distinct()
 
 
-def reach(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """(node, hops) within ``depth`` steps of seeds (column node), each with its fewest hops; cycles end.
+def reach(seeds: DataFrame, edges: DataFrame, depth: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, node, hops) within ``depth`` steps of seeds (*by, node), each with its fewest hops; cycles end.
 
     One join for each step: a frontier only goes on with nodes not seen before.
+    It is stored after each step, so the plan stays as small whatever the depth.
     """
-    seen = seeds.select("node", F.lit(0).alias("hops")).distinct()
-    frontier = seen
+    keys = [*by, "node"]
+    frontier = cut(seeds.select(*keys, F.lit(0).alias("hops")).where("node is not null").distinct())
+    seen = frontier
     for d in range(1, depth + 1):
-        step = frontier.join(edges, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct()
-        frontier = step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(d).alias("hops"))
+        step = frontier.join(edges, F.col("node") == F.col("source")).select(*by, F.col("target").alias("node")).where("node is not null").distinct()
+        known = functools.reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+        frontier = cut(step.join(seen.select(*[F.col(k).alias(f"__{k}") for k in keys]), known, "left_anti").select(*keys, F.lit(d).alias("hops")))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 
@@ -68,15 +76,24 @@ def nearest(reached: DataFrame, cap: int = 80) -> DataFrame:
     return reached.orderBy("hops", "node").limit(cap)
 
 
+def node_words(node: Column) -> Column:
+    """The words of a node's id, in lower case."""
+    return F.array_distinct(F.split(F.lower(node), "[^a-z0-9]+"))
+
+
 def keyword_seeds(failures: DataFrame, nodes: DataFrame, topics: DataFrame, cap: int = 24) -> DataFrame:
     """(check_id, node): nodes whose id holds a word of a topic that the failure's names touch.
 
-    topics: (trigger, keyword), a table of fixed words and so small. Where no node
-    fits, files and extraction nodes stand in, the first eight by id.
+    topics: (trigger, keyword). A keyword is a word of the id, or several of them
+    that follow one another: nodes are matched by their words, an equality that
+    Spark joins by shuffle or broadcast as sizes ask for. Where no node fits,
+    files and extraction nodes stand in, the first eight by id.
     """
     said = F.lower(F.concat_ws(" ", "check_id", "column_name"))
-    words = failures.join(F.broadcast(topics), F.contains(said, F.col("trigger"))).select("check_id", "keyword").distinct()
-    hit = nodes.select("node_id").distinct().join(F.broadcast(words), F.contains(F.lower("node_id"), F.col("keyword"))).select("check_id", F.col("node_id").alias("node")).distinct()
+    words = failures.join(topics, F.contains(said, F.col("trigger"))).select("check_id", F.lower("keyword").alias("keyword")).distinct()
+    words = words.withColumn("word", F.split("keyword", "[^a-z0-9]+")[0])
+    known = nodes.select("node_id").distinct().select("node_id", F.explode(node_words(F.col("node_id"))).alias("word")).where("word <> ''")
+    hit = known.join(words, "word").where(F.contains(F.lower("node_id"), F.col("keyword"))).select("check_id", F.col("node_id").alias("node")).distinct()
     hit = hit.withColumn("k", F.row_number().over(Window.partitionBy("check_id").orderBy("node"))).where(F.col("k") <= cap).drop("k")
     other = nodes.where(F.startswith("node_id", F.lit("file::")) | F.contains(F.lower("node_id"), F.lit("extract"))).select(F.col("node_id").alias("node")).distinct().orderBy("node").limit(8)
     bare = failures.select("check_id").distinct().join(hit.select("check_id").distinct(), "check_id", "left_anti")

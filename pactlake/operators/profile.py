@@ -2,43 +2,93 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import shape_signature, string_pattern
+from ..session import cut
 
 QUANTILES = (0.25, 0.5, 0.75, 0.95, 0.99)
 
 
-def numeric_profile(df: DataFrame, columns: list[str], sample_std: bool = False, exact: bool = True) -> DataFrame:
+def numeric_profile(df: DataFrame, columns: list[str], sample_std: bool = False, exact: bool = False) -> DataFrame:
     """column_name, n, nulls, dropped, min, max, mean, p25 ... p99, stddev.
 
-    Uncastable, infinite and NaN values are counted as dropped. Exact
-    percentiles hold a column's distinct values; ``exact=False`` sketches them.
+    Uncastable, infinite and NaN values are counted as dropped. Percentiles are
+    sketched (to a rank of 1 in 10,000); ``exact=True`` finds them by rank in the
+    column's order (see exact_quantiles), which sorts each column.
     """
     aggs = []
     for c in columns:
         v = F.col(c).try_cast("double")
         good = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
-        q = F.percentile(good, F.array(*[F.lit(x) for x in QUANTILES])) if exact else F.percentile_approx(good, list(QUANTILES), 10000)
+        q = F.percentile_approx(good, list(QUANTILES), 10000)
         std = F.stddev_samp(good) if sample_std else F.stddev_pop(good)
         aggs.append(F.struct(F.lit(c).alias("column_name"), F.count(good).alias("n"), F.count_if(F.col(c).isNull()).alias("nulls"), F.count_if(F.col(c).isNotNull() & good.isNull()).alias("dropped"), F.min(good).alias("min"), F.max(good).alias("max"), F.avg(good).alias("mean"), *[q[i].alias(f"p{int(x * 100)}") for i, x in enumerate(QUANTILES)], F.coalesce(std, F.lit(0.0)).alias("stddev")).alias(f"s_{c}"))
-    return df.agg(*aggs).select(F.explode(F.array(*[F.col(f"s_{c}") for c in columns])).alias("r")).select("r.*")
+    out = df.agg(*aggs).select(F.explode(F.array(*[F.col(f"s_{c}") for c in columns])).alias("r")).select("r.*")
+    if not exact:
+        return out
+    names = [f"p{int(x * 100)}" for x in QUANTILES]
+    return out.drop(*names).join(exact_quantiles(df, columns), "column_name", "left").select(out.columns)
 
 
-def structural_profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
-    """column_name, dtype, null_fraction (1 if there are no rows), cardinality, and the rows."""
+def exact_quantiles(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column_name, p25 ... p99, interpolated linearly, of finite values.
+
+    Values of a column are counted, ranged over partitions by Spark's sort, and
+    ranked by the counts of the ranges before theirs: no task holds a column.
+    """
+    v = lambda c: F.col(c).try_cast("double")
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), v(c).alias("v")) for c in columns])).alias("r")).select("r.*")
+    long = long.where(~F.isnan("v") & (F.abs("v") != float("inf"))).groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
+    ranged = cut(long.repartitionByRange("column_name", "v").withColumn("part", F.spark_partition_id()))
+    part = ranged.groupBy("column_name", "part").agg(F.sum("n").alias("size"))  # a row for each range of a column
+    run = Window.partitionBy("column_name").orderBy("part")
+    part = part.withColumn("before", F.sum("size").over(run) - F.col("size")).withColumn("all", F.sum("size").over(Window.partitionBy("column_name")))
+    w = Window.partitionBy("column_name", "part").orderBy("v")
+    last = F.sum("n").over(w) + F.col("before")
+    at = ranged.join(F.broadcast(part.drop("size")), ["column_name", "part"]).withColumn("last", last).withColumn("first", F.col("last") - F.col("n"))
+    out = []
+    for q in QUANTILES:
+        place = q * (F.col("all") - 1)
+        low, high = F.floor(place), F.ceil(place)
+        pick = lambda r: F.max(F.when((F.col("first") <= r) & (F.col("last") > r), F.col("v")))
+        share = F.max(place - low)
+        out.append((pick(low) + (pick(high) - pick(low)) * share).alias(f"p{int(q * 100)}"))
+    return at.groupBy("column_name").agg(*out)
+
+
+def structural_profile(df: DataFrame, columns: list[str] | None = None, exact: bool = False) -> DataFrame:
+    """column_name, dtype, null_fraction (1 if there are no rows), cardinality, and the rows.
+
+    Cardinalities are sketched (2 % deviation); exact ones are counted column by column,
+    each by a grouping that is combined before its shuffle.
+    """
     columns = columns or df.columns
     kinds = dict(df.dtypes)
-    count = F.count_distinct if exact else F.approx_count_distinct
+    count = lambda c: F.approx_count_distinct(c, 0.02)
     aggs = [F.struct(F.lit(c).alias("column_name"), F.lit(kinds[c]).alias("dtype"), F.coalesce(F.round(F.try_divide(F.count_if(F.col(c).isNull()), F.count(F.lit(1))), 6), F.lit(1.0)).alias("null_fraction"), count(F.to_json(F.struct(c)) if kinds[c].startswith(("struct", "map", "array")) else F.col(c)).alias("cardinality"), F.count(F.lit(1)).alias("rows")).alias(f"s_{c}") for c in columns]
-    return df.agg(*aggs).select(F.explode(F.array(*[F.col(f"s_{c}") for c in columns])).alias("r")).select("r.*")
+    out = df.agg(*aggs).select(F.explode(F.array(*[F.col(f"s_{c}") for c in columns])).alias("r")).select("r.*")
+    if not exact:
+        return out
+    value = lambda c: (F.to_json(F.struct(c)) if kinds[c].startswith(("struct", "map", "array")) else (F.col(c) + 0.0 if kinds[c] in ("float", "double") else F.col(c)).cast("string"))
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), value(c).alias("v")) for c in columns])).alias("r")).select("r.*")
+    counted = long.where("v is not null").distinct().groupBy("column_name").agg(F.count(F.lit(1)).alias("exact"))
+    return out.join(counted, "column_name", "left").withColumn("cardinality", F.coalesce("exact", F.lit(0))).select(out.columns)
+
+
+def pattern_counts(df: DataFrame, value: Column) -> DataFrame:
+    """(pattern, n) of a column's strings."""
+    return df.where(value.isNotNull()).groupBy(string_pattern(value.cast("string")).alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def dominant_pattern(df: DataFrame, column: str) -> DataFrame:
-    """The commonest class of a column's strings; of equal counts the first by name."""
-    p = df.where(F.col(column).isNotNull()).groupBy(string_pattern(F.col(column).cast("string")).alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
-    return p.orderBy(F.desc("n"), "pattern").limit(1)
+def dominant_pattern(df: DataFrame, column: str, order: str | None = None) -> DataFrame:
+    """The commonest class of a column's strings; of equal counts the one that comes first by ``order``, else by name."""
+    if order is None:
+        return pattern_counts(df, F.col(column)).orderBy(F.desc("n"), "pattern").limit(1)
+    kind = string_pattern(F.col(column).cast("string")).alias("pattern")
+    p = df.where(F.col(column).isNotNull()).groupBy(kind).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
+    return p.orderBy(F.desc("n"), "first").limit(1).drop("first")
 
 
 def shape_samples(df: DataFrame, column: str, k: int | None = 5) -> DataFrame:
@@ -59,7 +109,7 @@ def suggest_clauses(df: DataFrame) -> dict[str, dict]:
     """A schema from profiles: one small row for each column comes to the driver."""
     kinds, out = dict(df.dtypes), {}
     contract_type = lambda k: "integer" if k in ("tinyint", "smallint", "int", "bigint") else "number" if k in ("float", "double") or k.startswith("decimal") else "boolean" if k == "boolean" else "array" if k.startswith("array") else "object" if k.startswith(("struct", "map")) else "string"
-    for r in structural_profile(df).collect():
+    for r in structural_profile(df, exact=True).collect():
         name, clause = r.column_name, {"type": contract_type(kinds[r.column_name]), "required": r.null_fraction == 0.0}
         if "confidence" in name and clause["type"] == "number":
             clause |= {"minimum": 0.0, "maximum": 1.0}

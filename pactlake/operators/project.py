@@ -92,3 +92,8 @@ def shape_caveats(records: DataFrame, arrays: list[str], numbers: list[str]) ->
         add(p, "not a number", ~kind.rlike("^(VOID|BIGINT|DOUBLE|FLOAT|DECIMAL)"))
     one = records.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggs)])
     return one.select(F.explode(F.array(*[f"a{i}" for i in range(len(aggs))])).alias("r")).select("r.*").where("n > 0")
+
+
+def first_of_repeats(df: DataFrame, key: str, order: str) -> DataFrame:
+    """(order, copies): the first of rows with equal keys, by ``order``, and how many there are. Combined before its shuffle."""
+    return df.groupBy(key).agg(F.min(order).alias(order), F.count(F.lit(1)).alias("copies")).select(order, "copies")

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import RESULT, SAMPLES, Clause
+from ..model import RESULT, SAMPLES, Clause, prefix_of
 from .clauses import compile_contract
 
 ORD = "__ord"
@@ -22,47 +22,78 @@ def with_order(df: DataFrame) -> DataFrame:
     return df if ORD in df.columns else df.withColumn(ORD, F.monotonically_increasing_id())
 
 
-def _result(clause: Clause, failing, applied, actual, samples, message=None):
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _result(clause: Clause, failing: Column, applied: Column, actual: Column | None = None, samples: Column | None = None, message: Column | None = None) -> Column:
+    """A result row. Whatever passes is LOW; warnings and errors are WARNING, so that they don't block."""
     failed = failing > 0
-    status = F.when(failed, clause.on_fail).otherwise(F.when(applied == 0, F.lit(clause.empty)).otherwise("PASS"))
+    none = ~failed & (applied == 0)
+    status = F.when(failed, clause.on_fail).otherwise(F.when(none, F.lit(clause.empty)).otherwise("PASS"))
+    count = F.concat(F.lit(f"{clause.said[0]}="), failing.cast("string"))
+    said = message if message is not None else F.replace(F.lit(clause.message), F.lit("{n}"), failing.cast("string"))
+    on_pass = F.lit(clause.params.get("always", ""))
+    if clause.empty == "WARN":
+        ok = F.when(none, "no values").otherwise(clause.said[1])
+        on_pass = F.when(none, "No values were found, so the check was not applied.").otherwise(on_pass)
+    else:
+        ok = F.lit(clause.said[1])
+    expected = F.when(failed, str(clause.expected)).otherwise(str(clause.expected_ok or clause.expected))
     return F.struct(
         F.lit(clause.check_id).alias("check_id"), F.lit(clause.column).alias("column_name"), F.lit(clause.check_type).alias("check_type"), status.alias("status"),
-        F.when(failed, actual).otherwise("ok").alias("actual_value"), F.lit(clause.expected).alias("expected"), F.when(failed, clause.severity).otherwise("LOW").alias("severity"),
-        failing.cast("long").alias("records_failing"), samples.alias("sample_failing"), F.lit(message or clause.params.get("message", "")).alias("message"),
+        F.when(failed, actual if actual is not None else count).otherwise(ok).alias("actual_value"), expected.alias("expected"),
+        F.when(failed, clause.severity).when(none & F.lit(clause.empty == "WARN"), "WARNING").otherwise("LOW").alias("severity"),
+        failing.cast("long").alias("records_failing"), (samples if samples is not None else _none()).alias("sample_failing"), F.when(failed, said).otherwise(on_pass).alias("message"),
     )
 
 
-def _none():
-    return F.array().cast("array<string>")
-
-
 def row_results(df: DataFrame, clauses: list[Clause], samples: bool = True) -> DataFrame:
     aggs = []
     for i, c in enumerate(clauses):
-        bad = F.coalesce(c.bad, F.lit(False))
-        aggs.append((F.sum(F.coalesce(c.params["count"], F.lit(0))) if "count" in c.params else F.count_if(bad)).alias(f"f{i}"))
+        p = c.params
+        aggs.append(p.get("failing", F.count_if(F.coalesce(c.bad, F.lit(False)))).alias(f"f{i}"))
         aggs.append((F.count_if(c.applies) if c.applies is not None else F.count(F.lit(1))).alias(f"n{i}"))
+        aggs += [p[k].alias(f"{k}{i}") for k in ("actual", "message") if isinstance(p.get(k), Column)]
     one = df.agg(*aggs)
-    rows = F.explode(F.array(*[_result(c, F.coalesce(F.col(f"f{i}"), F.lit(0)), F.col(f"n{i}"), F.concat(F.lit("failing="), F.col(f"f{i}").cast("string")), _none()) for i, c in enumerate(clauses)]))
-    out = one.select(rows.alias("r")).select("r.*").where("status <> 'NONE'")
+    made = lambda k, i, c: F.col(f"{k}{i}") if isinstance(c.params.get(k), Column) else None
+    plain = lambda i, c: F.lit(c.params["message"]) if isinstance(c.params.get("message"), str) else made("message", i, c)
+    rows = [_result(c, F.coalesce(F.col(f"f{i}"), F.lit(0)), F.col(f"n{i}"), made("actual", i, c), message=plain(i, c)) for i, c in enumerate(clauses)]
+    out = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*").where("status <> 'NONE'")
     if not samples:
         return out
-    hits = F.array(*[F.when(F.coalesce(c.bad, F.lit(False)), F.struct(F.lit(c.check_id).alias("check_id"), c.sample.alias("s"))) for c in clauses])
+    kinds = dict(df.select(*[c.sample.alias(f"s{i}") for i, c in enumerate(clauses)]).dtypes)
+    listed = [c.sample if kinds[f"s{i}"].startswith("array") else F.array(c.sample) for i, c in enumerate(clauses)]
+    hits = F.array(*[F.when(F.coalesce(c.bad, F.lit(False)), F.struct(F.lit(c.check_id).alias("check_id"), s.cast("array<string>").alias("s"))) for c, s in zip(clauses, listed, strict=True)])
     found = with_order(df).select(ORD, F.explode(F.array_compact(hits)).alias("h")).select(ORD, "h.check_id", "h.s")
     first = found.withColumn("k", F.row_number().over(Window.partitionBy("check_id").orderBy(ORD))).where(F.col("k") <= SAMPLES)
-    first = first.groupBy("check_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]).alias("found"))
+    lists = F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda x: x["s"])
+    first = first.groupBy("check_id").agg(F.slice(F.array_compact(F.flatten(lists)), 1, SAMPLES).alias("found"))
     return out.join(first, "check_id", "left").withColumn("sample_failing", F.coalesce("found", "sample_failing")).select(RESULT.fieldNames())
 
 
+def duplicate_groups(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, n, first) of keys that several rows have; rows with a null in the key are left out.
+
+    Counts are pre-aggregated, so a hot key is one row per task.
+    """
+    there = functools.reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    return with_order(df).where(there).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(ORD).alias("first")).where("n > 1")
+
+
 def unique_result(df: DataFrame, clause: Clause) -> DataFrame:
-    """Rows in groups with equal keys; nulls are ignored. Counts are pre-aggregated, so a hot key is one row per task."""
+    """Rows in groups with equal keys. The sum and the first groups come of one aggregation: both read the same exchange."""
     keys = clause.params["keys"]
-    groups = with_order(df).where(F.concat_ws("", *[F.when(F.col(k).isNull(), "1") for k in keys]) == "").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(ORD).alias("first")).where("n > 1")
-    shown = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
-    ranked = groups.select("n", "first", shown.alias("s"))
-    total = ranked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("f"))
-    top = ranked.orderBy("first").limit(SAMPLES).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "s"))), lambda x: x["s"]).alias("samples"))
-    return total.crossJoin(top).select(_result(clause, F.col("f"), F.lit(1), F.concat(F.lit("duplicates="), F.col("f").cast("string")), F.coalesce("samples", _none())).alias("r")).select("r.*")
+    groups = duplicate_groups(df, keys)
+    ranked = groups.select("n", "first", F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("s"))
+    total = ranked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("f"), F.min("first"), F.min("s")).select("f")
+    list_ = F.transform(F.array_sort(F.collect_list(F.struct("first", "n", "s"))), lambda x: x["s"])
+    top = ranked.orderBy("first").limit(SAMPLES).agg(list_.alias("samples"))
+    shown = F.concat(F.lit(f"{clause.said[0]}=['"), F.array_join("samples", "', '"), F.lit("']"))
+    always = F.lit(clause.message) if ".quality." in clause.check_id else None
+    row = _result(clause, F.col("f"), F.lit(1), shown, F.coalesce("samples", _none()))
+    out = total.crossJoin(top).select(row.alias("r")).select("r.*")
+    return out.withColumn("message", always) if always is not None else out
 
 
 def sequence_result(df: DataFrame, clause: Clause) -> DataFrame:
@@ -71,7 +102,8 @@ def sequence_result(df: DataFrame, clause: Clause) -> DataFrame:
     v = F.col(p["column"]).try_cast("bigint")
     w = Window.partitionBy(*p["by"]).orderBy("v", ORD)
     steps = with_order(df).withColumn("v", v).where("v is not null").withColumn("prev", F.lag("v").over(w))
-    return steps.agg(F.count_if(F.col("prev").isNotNull() & (F.col("v") != F.col("prev") + 1)).alias("f"), F.count(F.lit(1)).alias("n")).select(_result(clause, F.col("f"), F.col("n"), F.concat(F.lit("breaks="), F.col("f").cast("string")), _none()).alias("r")).select("r.*")
+    broken = F.count_if(F.col("prev").isNotNull() & (F.col("v") != F.col("prev") + 1))
+    return steps.agg(broken.alias("f"), F.count(F.lit(1)).alias("n")).select(_result(clause, F.col("f"), F.col("n")).alias("r")).select("r.*")
 
 
 def reference_result(df: DataFrame, clause: Clause) -> DataFrame:
@@ -79,26 +111,34 @@ def reference_result(df: DataFrame, clause: Clause) -> DataFrame:
     p = clause.params
     keys = p["table"].select(F.col(p["key"]).alias("__k")).distinct()
     orphans = df.join(keys, F.col(p["column"]).eqNullSafe(F.col("__k")), "left_anti")
-    return orphans.agg(F.count(F.lit(1)).alias("f")).select(_result(clause, F.col("f"), F.lit(1), F.concat(F.lit("orphans="), F.col("f").cast("string")), _none()).alias("r")).select("r.*")
+    return orphans.agg(F.count(F.lit(1)).alias("f")).select(_result(clause, F.col("f"), F.lit(1)).alias("r")).select("r.*")
 
 
 def aggregate_results(df: DataFrame, clauses: list[Clause]) -> DataFrame:
     """Quality lines on aggregates, all in one pass; no value at all is an error."""
-    one = df.agg(*[c.params["agg"].alias(f"a{i}") for i, c in enumerate(clauses)])
+    aggs = [c.params[k].alias(f"{k}{i}") for i, c in enumerate(clauses) for k in ("agg", "shown", "each")]
     rows = []
     for i, c in enumerate(clauses):
-        a, limit = F.col(f"a{i}"), F.lit(c.params["limit"])
+        a, limit = F.col(f"agg{i}"), F.lit(c.params["limit"])
         ok = {">=": a >= limit, "<=": a <= limit, ">": a > limit, "<": a < limit, "=": a == limit}[c.params["op"]]
-        r = _result(c, F.when(ok, 0).otherwise(1), F.lit(1), a.cast("string"), _none())
-        rows.append(F.when(a.isNull(), r.withField("status", F.lit("ERROR")).withField("severity", F.lit("LOW")).withField("records_failing", F.lit(0).cast("long"))).otherwise(r))
-    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+        shown = F.concat(F.lit(f"{c.said[0]}="), F.col(f"shown{i}"))
+        failing = F.when(ok, F.lit(0)).otherwise(F.greatest(F.col(f"each{i}").cast("long"), F.lit(1)))
+        r = _result(c, failing, F.lit(1), shown).withField("actual_value", shown).withField("message", F.lit(c.message))
+        none = r.withField("status", F.lit("ERROR")).withField("severity", F.lit("WARNING")).withField("records_failing", F.lit(0).cast("long"))
+        none = none.withField("actual_value", F.lit("no samples")).withField("message", F.lit(f"Cannot compute {c.message}: no values."))
+        rows.append(F.when(a.isNull(), none).otherwise(r))
+    return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def error_results(df: DataFrame, clauses: list[Clause]) -> DataFrame:
-    rows = [(c.check_id, c.column, c.check_type, "ERROR", "error", c.expected, c.severity, 0, [], c.params.get("message", "")) for c in clauses]
+def literal_results(df: DataFrame, rows: list[tuple]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, RESULT)
 
 
+def error_results(df: DataFrame, clauses: list[Clause]) -> DataFrame:
+    """Checks that couldn't run: a warning each, which blocks nothing."""
+    return literal_results(df, [(c.check_id, c.column, c.check_type, "ERROR", c.params.get("actual", "error"), c.expected, "WARNING", 0, [], c.message) for c in clauses])
+
+
 def run_clauses(df: DataFrame, clauses: list[Clause], samples: bool = True) -> DataFrame:
     parts = []
     by = lambda kind: [c for c in clauses if c.kind == kind]
@@ -115,7 +155,17 @@ def run_clauses(df: DataFrame, clauses: list[Clause], samples: bool = True) -> D
 
 
 def validate(df: DataFrame, contract: dict, samples: bool = True) -> DataFrame:
-    """Check results of a contract. An empty input is one warning, a placeholder contract one error."""
+    """Check results of a contract.
+
+    An empty input is one warning (found by a look at the first row), a
+    placeholder contract one error, and a contract without clauses one pass.
+    """
+    prefix = prefix_of(contract["id"])
     if contract.get("placeholder"):
-        return error_results(df, [Clause("contract.placeholder", "*", "config", "a real contract", "LOW", kind="error")])
-    return run_clauses(df, compile_contract(contract, df), samples)
+        return error_results(df, [Clause("contract.placeholder", "*", "config", "a real contract", kind="error")])
+    if df.isEmpty():
+        return literal_results(df, [(f"{prefix}.data.empty", "*", "volume", "WARN", "row_count=0", ">=1 record", "WARNING", 0, [], "No records in dataset.")])
+    clauses = compile_contract(contract, df)
+    if not clauses:
+        return literal_results(df, [(f"{prefix}.generic.summary", "*", "structural", "PASS", "ok", "generic schema checks", "LOW", 0, [], "No schema constraints beyond data presence.")])
+    return run_clauses(df, clauses, samples)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import string_pattern, uuid5
-from .operators import drift, evolution, history, lineage, migrate, profile, project, registry, report
-from .plans import assemble
-from .plans.validate import validate
+from .functions.text import uuid5
+from .operators import ai, attribution, drift, evolution, history, lineage, migrate, profile, project, registry, report
+from .plans import assemble, drivers
+from .model import RESULT
+from .plans.validate import duplicate_groups, validate
 
 EVENT_TYPES = ["click", "view", "purchase", "signup"]
 CONTRACT = {
@@ -46,31 +49,45 @@ def validation_report(s, d):
 
 _ROWS = """
 WITH c AS (SELECT count(*) FILTER (WHERE l_orderkey IS NULL) a, count(*) FILTER (WHERE l_orderkey < 1) b, count(*) FILTER (WHERE l_quantity IS NULL) c1, count(*) FILTER (WHERE l_quantity < 5) d, count(*) FILTER (WHERE l_discount < 0) e, count(*) FILTER (WHERE l_discount > 0.08) f,
- count(*) FILTER (WHERE l_returnflag NOT IN ('A','N')) g, count(*) FILTER (WHERE NOT regexp_matches(l_linestatus,'^(?:[FO]$)')) h, count(*) FILTER (WHERE l_partkey IS NULL) m, CASE WHEN count(*) >= 1 THEN 0 ELSE 1 END rc, CASE WHEN min(l_quantity) >= 1 THEN 0 ELSE 1 END mq, CASE WHEN max(l_tax) <= 0.01 THEN 0 ELSE 1 END mt FROM lineitem),
+ count(*) FILTER (WHERE l_returnflag NOT IN ('A','N')) g, count(*) FILTER (WHERE NOT regexp_matches(l_linestatus,'^(?:[FO]$)')) h, count(*) FILTER (WHERE l_partkey IS NULL) m, CASE WHEN count(*) >= 1 THEN 0 ELSE 1 END rc, CASE WHEN min(l_quantity) >= 1 THEN 0 ELSE count(*) FILTER (WHERE l_quantity < 1) END mq, CASE WHEN max(l_tax) <= 0.01 THEN 0 ELSE count(*) FILTER (WHERE l_tax > 0.01) END mt FROM lineitem),
 u AS (SELECT coalesce(sum(n),0) n FROM (SELECT count(*) n FROM lineitem WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL GROUP BY l_orderkey,l_linenumber HAVING count(*)>1)),
 r AS (SELECT count(*) n FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderstatus <> 'P' AND o.o_orderkey IS NOT DISTINCT FROM l.l_orderkey)),
 x AS (SELECT 'lineitem.l_orderkey.required' check_id,'l_orderkey' column_name,'not_null' check_type,'CRITICAL' sev, a n FROM c UNION ALL SELECT 'lineitem.l_orderkey.minimum','l_orderkey','range','CRITICAL',b FROM c UNION ALL SELECT 'lineitem.l_quantity.required','l_quantity','not_null','CRITICAL',c1 FROM c
  UNION ALL SELECT 'lineitem.l_quantity.minimum','l_quantity','range','CRITICAL',d FROM c UNION ALL SELECT 'lineitem.l_discount.minimum','l_discount','range','CRITICAL',e FROM c UNION ALL SELECT 'lineitem.l_discount.maximum','l_discount','range','CRITICAL',f FROM c UNION ALL SELECT 'lineitem.l_returnflag.enum','l_returnflag','enum','CRITICAL',g FROM c
  UNION ALL SELECT 'lineitem.l_linestatus.pattern','l_linestatus','pattern','CRITICAL',h FROM c UNION ALL SELECT 'lineitem.quality.l_partkey.missing_count','l_partkey','completeness','CRITICAL',m FROM c UNION ALL SELECT 'lineitem.line.unique','l_orderkey,l_linenumber','unique','CRITICAL',n FROM u UNION ALL SELECT 'lineitem.order.reference','l_orderkey','referential','HIGH',n FROM r
- UNION ALL SELECT 'lineitem.quality.row_count','*','volume','HIGH',rc FROM c UNION ALL SELECT 'lineitem.quality.l_quantity.min','l_quantity','range','HIGH',mq FROM c UNION ALL SELECT 'lineitem.quality.l_tax.max','l_tax','range','HIGH',mt FROM c),
+ UNION ALL SELECT 'lineitem.quality.row_count','*','volume','CRITICAL',rc FROM c UNION ALL SELECT 'lineitem.quality.l_quantity.min','l_quantity','range','CRITICAL',mq FROM c UNION ALL SELECT 'lineitem.quality.l_tax.max','l_tax','range','CRITICAL',mt FROM c UNION ALL SELECT 'lineitem.'||f||'.type_match',f,'type','CRITICAL',0 FROM (VALUES ('l_orderkey'),('l_quantity'),('l_discount')) v(f)),
 res AS (SELECT check_id,column_name,check_type,CASE WHEN n>0 THEN 'FAIL' ELSE 'PASS' END status,CASE WHEN n>0 THEN sev ELSE 'LOW' END severity,CAST(n AS BIGINT) records_failing FROM x)
 """
 _FAILS = "events e WHERE event_type NOT IN ('click','view','purchase','signup')"
 
 
+def _check(df: DataFrame, name: str, schema: dict | None = None, rules: list | None = None, lines: tuple = ("row_count >= 1",)) -> DataFrame:
+    return validate(df, {"id": f"{name}-1", "schema": schema or {}, "rules": rules or [], "quality": {"checks": list(lines)}}, samples=False)
+
+
+def _failing(*ids: str):
+    return F.coalesce(F.sum(F.when(F.col("check_id").isin(*ids), F.col("records_failing"))), F.lit(0))
+
+
+def _rows(name: str):
+    return F.max(F.when(F.col("check_id") == f"{name}.quality.row_count", F.split("actual_value", "=")[1].cast("long")))
+
+
 def required_null_counts(s, d):
     j = _t(s, d, "documents").join(_t(s, d, "labels"), "doc_id", "left")
-    return j.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("text").isNull()).alias("text_nulls"), F.count_if(F.col("quality").isNull()).alias("quality_nulls"))
+    r = _check(j, "labelled", {"text": {"required": True}, "quality": {"required": True}})
+    return r.agg(_rows("labelled").alias("total"), _failing("labelled.text.required").alias("text_nulls"), _failing("labelled.quality.required").alias("quality_nulls"))
 
 
 def unique_composite_key(s, d):
-    g = _t(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    g = duplicate_groups(_t(s, d, "lineitem"), ["l_orderkey", "l_linenumber"])
     return g.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("records_failing"))
 
 
 def pattern_and_format(s, d):
-    p = _t(s, d, "pages").agg(F.count_if(~F.col("url").rlike("^https?://[a-z0-9.-]+/")).alias("bad_urls"))
-    return p.crossJoin(_t(s, d, "customer").agg(F.count_if(~F.col("c_name").rlike("^Customer#[0-9]*[02468]$")).alias("bad_names")))
+    p = _check(_t(s, d, "pages"), "pages", {"url": {"pattern": "https?://[a-z0-9.-]+/"}})
+    c = _check(_t(s, d, "customer"), "customers", {"c_name": {"pattern": "Customer#[0-9]*[02468]$"}})
+    return p.unionByName(c).agg(_failing("pages.url.pattern").alias("bad_urls"), _failing("customers.c_name.pattern").alias("bad_names"))
 
 
 def enum_conformance(s, d):
@@ -78,17 +95,22 @@ def enum_conformance(s, d):
 
 
 def range_violations(s, d):
-    n = _t(s, d, "lineitem").agg(F.count_if(~F.col("l_discount").between(0, 0.08)).alias("discounts"))
-    return n.crossJoin(_t(s, d, "customer").agg(F.count_if(F.col("c_acctbal") < 0).alias("balances"), F.round(F.min("c_acctbal"), 2).alias("least")))
+    n = _check(_t(s, d, "lineitem"), "lines", {"l_discount": {"minimum": 0, "maximum": 0.08}})
+    c = _check(_t(s, d, "customer"), "customers", {"c_acctbal": {"minimum": 0}}, lines=("min(c_acctbal) >= 0",))
+    least = F.max(F.when(F.col("check_id") == "customers.quality.c_acctbal.min", F.split("actual_value", "=")[1].cast("double")))
+    discounts = _failing("lines.l_discount.minimum", "lines.l_discount.maximum")
+    return n.unionByName(c).agg(discounts.alias("discounts"), _failing("customers.c_acctbal.minimum").alias("balances"), F.round(least, 2).alias("least"))
 
 
 def temporal_order(s, d):
     j = _t(s, d, "lineitem").join(_t(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return j.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("l_shipdate") < F.col("o_orderdate")).alias("records_failing"))
+    r = _check(j, "shipments", rules=[{"kind": "expression", "name": "order", "holds": "l_shipdate >= o_orderdate", "check_type": "temporal"}])
+    return r.agg(_rows("shipments").alias("pairs"), _failing("shipments.order").alias("records_failing"))
 
 
 def arithmetic_identity(s, d):
-    return _t(s, d, "documents").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("n_chars") != F.char_length("text")).alias("records_failing"))
+    r = _check(_t(s, d, "documents"), "documents", rules=[{"kind": "expression", "name": "n_chars", "holds": "n_chars = char_length(text)", "check_type": "arithmetic"}])
+    return r.agg(_rows("documents").alias("rows"), _failing("documents.n_chars").alias("records_failing"))
 
 
 def referential_integrity(s, d):
@@ -126,16 +148,16 @@ def top_failures(s, d):
 
 
 def numeric_profile(s, d):
-    r = profile.numeric_profile(_t(s, d, "orders"), ["o_totalprice", "o_custkey"])
+    r = profile.numeric_profile(_t(s, d, "orders"), ["o_totalprice", "o_custkey"], exact=True)
     return r.select("column_name", "n", "nulls", *[F.round(c, 4).alias(c) for c in ("min", "max", "mean", "p25", "p50", "p95", "stddev")])
 
 
 def structural_profile(s, d):
-    return profile.structural_profile(_t(s, d, "events"), ["event_id", "user_id", "event_type", "value"]).select("column_name", "null_fraction", "cardinality")
+    return profile.structural_profile(_t(s, d, "events"), ["event_id", "user_id", "event_type", "value"], exact=True).select("column_name", "null_fraction", "cardinality")
 
 
 def dominant_pattern(s, d):
-    return _t(s, d, "customer").select(F.substring("c_name", 10, 40).alias("v")).groupBy(string_pattern(F.col("v")).alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
+    return profile.pattern_counts(_t(s, d, "customer"), F.substring("c_name", 10, 40))
 
 
 def shape_signature(s, d):
@@ -148,10 +170,9 @@ def shape_signature_documents(s, d):
 
 def drift_by_day(s, d):
     e = _t(s, d, "events").withColumn("day", F.to_date("ts"))
-    base = e.where("day < date'2024-01-16'").agg(F.avg("value").alias("bm"), F.stddev_pop("value").alias("bs"))
-    days = e.where("day >= date'2024-01-16'").groupBy("day").agg(F.avg("value").alias("m"), F.count(F.lit(1)).alias("n"))
-    z = F.abs(F.col("m") - F.col("bm")) / F.greatest(F.col("bs"), F.lit(1e-9))
-    return days.crossJoin(base).select(F.col("day").cast("string").alias("day"), "n", F.round("m", 4).alias("mean"), F.round(z, 4).alias("z"), drift.z_verdict(z).alias("status"))
+    base = drift.column_stats(e.where("day < date'2024-01-16'"), {"value": F.col("value")})
+    days = e.where("day >= date'2024-01-16'").groupBy(F.col("day").cast("string").alias("day")).agg(F.lit("value").alias("column"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("value").alias("n"))
+    return drift.drift(days, base).select("day", "n", F.round("mean", 4).alias("mean"), F.round("z", 4).alias("z"), "status")
 
 
 def violation_rate_trend(s, d):
@@ -239,8 +260,8 @@ def quarantine_split(s, d):
 
 
 def json_path_projection(s, d):
-    v = F.expr("variant_get(try_parse_json(props), '$.k', 'bigint')")
-    return _t(s, d, "events").select("event_type", v.alias("k")).groupBy("event_type").agg(F.count("k").alias("n"), F.sum("k").alias("total"))
+    v = _t(s, d, "events").select("event_type", F.try_parse_json("props").alias("v"))
+    return v.select("event_type", project.at("k", "bigint").alias("k")).groupBy("event_type").agg(F.count("k").alias("n"), F.sum("k").alias("total"))
 
 
 def uuid5_ids(s, d):
@@ -291,7 +312,7 @@ def keyword_seeds(s, d):
 
 def ambiguous_columns(s, d):
     e = _t(s, d, "labels").select(F.col("doc_id").alias("id"), "quality", F.lit(1).alias("toxicity_version"), F.nullif("toxic", F.lit(0)).alias("metadata"))
-    return assemble.ambiguous_columns(profile.structural_profile(e)).select("column_name", "score")
+    return assemble.ambiguous_columns(profile.structural_profile(e, exact=True)).select("column_name", "score")
 
 
 _NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")
@@ -335,7 +356,7 @@ def upstream_bfs(s, d):
 
 
 def first_of_repeats(s, d):
-    return _t(s, d, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).select("doc_id", "copies")
+    return project.first_of_repeats(_t(s, d, "documents"), "text", "doc_id")
 
 
 def next_baselines(s, d):
@@ -345,9 +366,139 @@ def next_baselines(s, d):
     return history.next_baselines(stats, old, F.lit("2024-02-01").cast("timestamp"), 10).select("column", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "n", F.col("established_at").isNotNull().alias("fresh"))
 
 
+_ID = r"^(.{8})(.{4})(.{4})(.{4})(.{12})$"
+
+
+def uuid_and_time_formats(s, d):
+    """Ids of which every seventh is none, times of which every fifth is written otherwise."""
+    e = _t(s, d, "events")
+    digest = F.md5(F.col("event_id").cast("string"))
+    uid = F.when(F.col("event_id") % 7 == 0, digest).otherwise(F.regexp_replace(digest, _ID, "$1-$2-$3-$4-$5"))
+    at = F.when(F.col("event_id") % 5 == 0, F.date_format("ts", "dd/MM/yyyy")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    rows = e.select(uid.alias("uid"), at.alias("at"), F.nullif(F.col("event_id") % 11, F.lit(0)).cast("string").alias("maybe"))
+    schema = {"uid": {"format": "uuid", "unique": True}, "at": {"format": "date-time"}, "maybe": {"format": "uuid"}}
+    return _check(rows, "events", schema, lines=()).select(*_SHORT, "actual_value")
+
+
+def nested_fields(s, d):
+    """Required and formatted fields of a nested object; one that no row has gives no format row."""
+    c = _t(s, d, "conversations")
+    uid = F.when(F.col("turn") % 2 == 0, F.regexp_replace(F.md5(F.col("conv_id").cast("string")), _ID, "$1-$2-$3-$4-$5")).when(F.col("turn") % 5 == 0, F.lit("none"))
+    rows = c.select(F.struct(F.nullif("role", F.lit("user")).alias("role"), uid.alias("uid"), F.lit(None).cast("string").alias("gone")).alias("meta"))
+    props = {"role": {"required": True}, "uid": {"format": "uuid"}, "gone": {"format": "uuid"}, "absent": {"required": True}}
+    return _check(rows, "talk", {"meta": {"type": "object", "properties": props}}, lines=()).select(*_SHORT, "actual_value")
+
+
+def array_items(s, d):
+    """Numbers in the elements of arrays, in range or not; and an array of which no element has one."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", (F.char_length("text") / 100).alias("share"), F.lit(None).cast("double").alias("none"))))
+    rows = _t(s, d, "conversations").groupBy("conv_id").agg(turns.alias("turns"))
+    items = {"share": {"minimum": 0.2, "maximum": 1.5}, "none": {"minimum": 0}}
+    return _check(rows, "talk", {"turns": {"type": "array", "items": items}}, lines=()).select(_SHORT)
+
+
+def type_clauses(s, d):
+    e = _t(s, d, "events").withColumn("whole", F.col("user_id").cast("double"))
+    kinds = {"event_id": "integer", "value": "integer", "whole": "integer", "user_id": "number", "event_type": "number", "ghost": "integer"}
+    return _check(e, "events", {k: {"type": v} for k, v in kinds.items()}, lines=()).select(*_SHORT, "actual_value")
+
+
+def rules_across_fields(s, d):
+    """Order within groups, an identity whose operands may be missing, an order of which only the first break counts."""
+    l = _t(s, d, "lineitem").withColumn("net", F.when(F.col("l_orderkey") % 3 > 0, F.col("l_extendedprice") * (1 - F.col("l_discount"))))
+    rules = [
+        {"kind": "sequence", "name": "lines", "column": "l_linenumber", "by": ["l_orderkey"]},
+        {"kind": "expression", "name": "net", "holds": "net <= l_extendedprice - 1", "check_type": "arithmetic"},
+        {"kind": "expression", "name": "part", "holds": "l_partkey > l_suppkey", "check_type": "temporal", "first_only": True},
+        {"kind": "expression", "name": "never", "holds": "cast(null as int) = l_partkey", "empty": "NONE"},
+        {"kind": "expression", "name": "odd", "holds": "no_such_column > 1"},
+        {"kind": "sequence", "name": "gone", "column": "nowhere", "by": ["l_orderkey"]},
+    ]
+    return _check(l, "lines", rules=rules, lines=("max(l_tax) <= 8e-2", "min(l_tax) >= 1e-06", "row_count >= 1 and more")).select(_SHORT)
+
+
+def validation_samples(s, d):
+    """The first five failing rows of each clause, in row order."""
+    r = validate(_t(s, d, "orders"), {"id": "orders-1", "schema": {"o_orderstatus": {"enum": ["F", "O"]}, "o_orderpriority": {"pattern": "[1-4]"}, "o_totalprice": {"maximum": 200000}}})
+    return r.select("check_id", F.array_join("sample_failing", ",").alias("samples"), "records_failing")
+
+
+_LINEAGE_CHECKS = [("geo.region.required", "region::1"), ("geo.nation.unique", "nation::3"), ("geo.nation.unique", "nation::7")]
+
+
+def attribution_per_check(s, d):
+    """Two failing checks with seeds of their own: what each reaches downstream, and its likeliest changes upstream."""
+    edges, _ = _edges(s, d)
+    kinds = edges.withColumn("relationship", F.lit("WRITES"))
+    fails = s.createDataFrame([(c, c, "not_null", "FAIL", "", "", "CRITICAL", 1, [], "") for c in ("geo.region.required", "geo.nation.unique")], RESULT)
+    seeds = s.createDataFrame(_LINEAGE_CHECKS, "check_id string, node string")
+    reg = s.createDataFrame([("geo-1", "maps", [("geo.nation.unique", "keys")])], "contract_id string, subscriber_id string, breaking_fields array<struct<field:string,reason:string>>")
+    day = F.to_timestamp(F.lit("2024-01-10 00:00:00"))
+    commits = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct().where("node not like 'customer%'")
+    age = F.make_dt_interval((F.char_length("node") % 5).cast("int"))
+    commits = commits.select("node", F.concat("node", F.lit(".sql")).alias("path"), (day - age).alias("committed"), day.alias("detected"))
+    v = attribution.violations(fails, "geo-1", reg, kinds, seeds, commits, 2)
+    worst = F.array_join(F.transform("blame_chain", lambda b: F.concat_ws("@", b["path"], b["score"].cast("string"))), ",")
+    return v.select("check_id", "contamination_depth", F.array_join("direct_nodes", ",").alias("direct"), F.size("transitive_nodes").alias("reached"), worst.alias("blame"), F.array_join("subscribers", ",").alias("subscribers"))
+
+
+def drift_results(s, d):
+    l = _t(s, d, "lineitem")
+    stats = lambda flag: drift.column_stats(l.where(F.col("l_returnflag") == flag), {c: F.col(c) for c in ("l_quantity", "l_tax")} | {"late": F.year("l_shipdate")})
+    return drift.as_results(drift.drift(stats("N"), stats("R")), "lines").select(*_SHORT)
+
+
+def prompt_quarantine(s, d):
+    """Prompt envelopes of documents: what is too short, too long, missing, or has a key that it shouldn't."""
+    t = _t(s, d, "documents")
+    rows = t.select(
+        F.lpad(F.col("doc_id").cast("string"), 9, "0").substr(F.lit(1), F.when(F.col("doc_id") % 5 == 0, 4).otherwise(9)).alias("doc_id"), F.when(F.col("doc_id") % 7 > 0, F.col("source")).alias("source_path"),
+        F.col("text").alias("content_preview"), F.when(F.col("doc_id") % 11 == 0, F.lit("x")).alias("note"),
+    )
+    good, bad = ai.validate_prompts(rows)
+    return good.select(F.lit("valid").alias("error")).unionByName(bad.select("error")).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+
+
+def event_migration(s, d):
+    """Raw events as envelopes: ids, sequences of streams, times; and rows whose money can't be read."""
+    e = _t(s, d, "events")
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    fee = F.when(F.col("event_id") % 13 == 0, F.lit("none")).otherwise(F.lit("1.5"))
+    raw = e.select(F.concat(F.lit("agent-"), "user_id").alias("stream_id"), "event_type", F.to_json(F.struct(F.struct(fee.alias("fee_usd"), at.alias("created_at")).alias("order"))).alias("payload"), at.alias("recorded_at"), F.col("event_id").alias("line_no"))
+    good, _ = migrate.events(raw, "shop")
+    return good.select("event_id", "aggregate_id", "aggregate_type", "sequence_number", "occurred_at", F.try_variant_get("payload", "$.order.fee_usd", "double").alias("fee"))
+
+
+def extraction_migration(s, d):
+    t = _t(s, d, "documents").select(F.when(F.col("doc_id") % 10 == 0, "doc123").otherwise(F.concat(F.lit("d"), "doc_id")).alias("doc_id"), F.col("source").alias("document_name"), (F.col("doc_id") % 4 / 4).alias("confidence_score"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"))
+    good, _ = migrate.extractions(t, "shop")
+    return good.select("doc_id", "source_path", F.col("extracted_facts")[0]["fact_id"].alias("fact_id"), F.col("extracted_facts")[0]["confidence"].alias("confidence"), F.size("entities").alias("entities"))
+
+
+def lineage_snapshot(s, d):
+    """The last snapshot of a graph: nations of three regions are missing, and one relationship is unknown."""
+    n = _t(s, d, "nation")
+    node = F.struct(F.concat(F.lit("nation::"), "n_nationkey").alias("node_id"))
+    edge = F.struct(F.concat(F.lit("nation::"), F.lit(0)).alias("source"), F.concat(F.lit("nation::"), "n_nationkey").alias("target"), F.when(F.col("n_nationkey") == 4, "ODD").otherwise("READS").alias("relationship"))
+    snap = n.agg(F.collect_list(F.when(F.col("n_regionkey") < 2, node)).alias("nodes"), F.collect_list(edge).alias("edges"))
+    snap = snap.select(F.lit(2).alias("taken"), F.lit("s2").alias("snapshot_id"), F.lit("a" * 40).alias("git_commit"), "nodes", "edges")
+    old = snap.select(F.lit(1).alias("taken"), F.lit(None).cast("string").alias("snapshot_id"), F.lit("x").alias("git_commit"), "nodes", "edges")
+    return drivers.lineage_results(old.unionByName(snap), "taken", "graph").select(_SHORT)
+
+
+def quarantine_gate(s, d):
+    r = results(s, d)
+    rows = r.where(F.col("check_type").isin(*report.ROW_CHECKS))
+    return report.gate(r, "QUARANTINE").unionByName(report.gate(rows, "QUARANTINE")).unionByName(report.gate(r.where("status = 'PASS'"), "QUARANTINE"))
+
+
+def migration_checklist(s, d):
+    return report.migration_checklist(schema_diff_classify(s, d), "billing").select("path", "nth", "item")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (validation_report, required_null_counts, unique_composite_key, pattern_and_format, enum_conformance, range_violations, temporal_order, arithmetic_identity, referential_integrity, sequence_monotonic, assign_sequence, pipeline_gate, health_score, status_counts, severity_rollup, top_failures, numeric_profile, structural_profile, dominant_pattern, shape_signature, shape_signature_documents, drift_by_day, violation_rate_trend, circuit_breaker, embedding_centroid_drift, byte_histogram, byte_histogram_documents, blast_radius_lookup, registry_gap, lineage_bfs, schema_diff_classify, blame_rank_topk, blame_rank_all_orders, quarantine_split, json_path_projection, uuid5_ids, explode_outer_flatten, event_projection, type_mix, snapshot_pair, rate_history, effective_mode, keyword_seeds, ambiguous_columns, drift_all_columns, rate_by_version, tiered_health, change_counts, migration_impact, sampled_statistics, upstream_bfs, first_of_repeats, next_baselines)
+    for f in (validation_report, required_null_counts, unique_composite_key, pattern_and_format, enum_conformance, range_violations, temporal_order, arithmetic_identity, referential_integrity, sequence_monotonic, assign_sequence, pipeline_gate, health_score, status_counts, severity_rollup, top_failures, numeric_profile, structural_profile, dominant_pattern, shape_signature, shape_signature_documents, drift_by_day, violation_rate_trend, circuit_breaker, embedding_centroid_drift, byte_histogram, byte_histogram_documents, blast_radius_lookup, registry_gap, lineage_bfs, schema_diff_classify, blame_rank_topk, blame_rank_all_orders, quarantine_split, json_path_projection, uuid5_ids, explode_outer_flatten, event_projection, type_mix, snapshot_pair, rate_history, effective_mode, keyword_seeds, ambiguous_columns, drift_all_columns, rate_by_version, tiered_health, change_counts, migration_impact, sampled_statistics, upstream_bfs, first_of_repeats, next_baselines, uuid_and_time_formats, nested_fields, array_items, type_clauses, rules_across_fields, validation_samples, attribution_per_check, drift_results, prompt_quarantine, event_migration, extraction_migration, lineage_snapshot, quarantine_gate, migration_checklist)
 }
 
 _PROFILE = "SELECT '{c}' column_name, count({c}) n, count(*) FILTER (WHERE {c} IS NULL) nulls, round(min({c})::DOUBLE,4) \"min\", round(max({c})::DOUBLE,4) \"max\", round(avg({c}),4) mean, round(quantile_cont({c}::DOUBLE,0.25),4) p25, round(quantile_cont({c}::DOUBLE,0.5),4) p50, round(quantile_cont({c}::DOUBLE,0.95),4) p95, round(stddev_pop({c}),4) stddev FROM orders"
@@ -408,3 +559,97 @@ ORACLES = {
     "first_of_repeats": "SELECT min(doc_id) doc_id, count(*) copies FROM documents GROUP BY text",
     "next_baselines": "WITH t AS (SELECT event_type, round(avg(value),4) m, round(greatest(stddev_pop(value),1e-9),4) s, count(value) n FROM events GROUP BY 1 HAVING count(value) >= 10) SELECT event_type AS column, m mean, s std, n, true fresh FROM t WHERE event_type <> 'click' UNION ALL SELECT * FROM (VALUES ('click',1.0::DOUBLE,2.0::DOUBLE,10,false),('gone',3.0,4.0,11,false))",
 }
+
+_CHECKS = "SELECT check_id, column_name, check_type, CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END status, CASE WHEN n > 0 THEN 'CRITICAL' ELSE 'LOW' END severity, n::BIGINT records_failing"
+_UUID = "substr(x,1,8)||'-'||substr(x,9,4)||'-5'||substr(x,14,3)||'-'||substr('89ab', (('0x'||substr(x,17,1))::INT % 4)+1, 1)||substr(x,18,3)||'-'||substr(x,21,12)"
+
+
+def _uuid_sql(kind: str, name: str) -> str:
+    ns = uuid.uuid5(uuid.NAMESPACE_URL, f"shop/{kind}").hex
+    return f"(SELECT {_UUID} FROM (SELECT sha1(unhex('{ns}') || encode({name})) x))"
+
+
+ORACLES |= {
+    "uuid_and_time_formats": f"""
+WITH e AS (SELECT event_id, md5(event_id::VARCHAR) m FROM events),
+r AS (SELECT CASE WHEN event_id % 7 = 0 THEN m ELSE regexp_replace(m, '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') END uid, event_id % 5 = 0 bad_at, event_id % 11 <> 0 maybe FROM e),
+c AS (SELECT count(*) FILTER (WHERE NOT regexp_matches(uid, '^[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}$')) u, count(*) FILTER (WHERE bad_at) a, count(*) FILTER (WHERE maybe) m FROM r),
+d AS (SELECT coalesce(sum(n), 0) n FROM (SELECT count(*) n FROM r GROUP BY uid HAVING count(*) > 1)),
+x AS (SELECT 'events.uid.format.uuid' check_id, 'uid' column_name, 'format' check_type, u n, 'invalid_uuid_count=' || u v, 'all valid uuid shape' ok FROM c
+ UNION ALL SELECT 'events.maybe.format.uuid', 'maybe', 'format', m, 'invalid_uuid_count=' || m, 'all valid uuid shape' FROM c
+ UNION ALL SELECT 'events.at.format.date-time', 'at', 'format', a, 'unparseable_count=' || a, 'all parseable' FROM c
+ UNION ALL SELECT 'events.uid.unique', 'uid', 'unique', n, '?', 'duplicate_count=0' FROM d)
+{_CHECKS}, CASE WHEN n > 0 THEN v ELSE ok END actual_value FROM x""",
+    "nested_fields": f"""
+WITH r AS (SELECT nullif(role, 'user') role, CASE WHEN turn % 2 = 0 THEN 'u' WHEN turn % 5 = 0 THEN 'none' END uid FROM conversations),
+c AS (SELECT count(*) all_, count(*) FILTER (WHERE role IS NULL) a, count(*) FILTER (WHERE uid = 'none') b FROM r),
+x AS (SELECT 'talk.meta.role.required' check_id, 'meta.role' column_name, 'not_null' check_type, a n, 'missing=' || a v, 'missing=0' ok FROM c
+ UNION ALL SELECT 'talk.meta.absent.required', 'meta.absent', 'not_null', all_, 'missing=' || all_, '' FROM c
+ UNION ALL SELECT 'talk.meta.uid.format', 'meta.uid', 'format', b, 'invalid=' || b, 'valid' FROM c)
+{_CHECKS}, CASE WHEN n > 0 THEN v ELSE ok END actual_value FROM x""",
+    "array_items": f"""
+WITH x AS (SELECT 'talk.turns.share.range' check_id, 'turns[*].share' column_name, 'range' check_type, count(*) FILTER (WHERE length(text)/100 < 0.2 OR length(text)/100 > 1.5) n FROM conversations)
+{_CHECKS} FROM x UNION ALL SELECT 'talk.turns.none.range', 'turns[*].none', 'range', 'WARN', 'WARNING', 0""",
+    "type_clauses": f"""
+WITH c AS (SELECT count(value) v, count(*) FILTER (WHERE value <> round(value)) f, count(event_type) t FROM events),
+x AS (SELECT 'event_id' f, 0 n, 'int64' said FROM c UNION ALL SELECT 'value', CASE WHEN f > 0 THEN v ELSE 0 END, CASE WHEN f > 0 THEN 'dtype=float64' ELSE 'float64' END FROM c UNION ALL SELECT 'whole', 0, 'float64' FROM c
+ UNION ALL SELECT 'user_id', 0, 'int64' FROM c UNION ALL SELECT 'event_type', t, 'dtype=object' FROM c),
+y AS (SELECT 'events.' || f || '.type_match' check_id, f column_name, 'type' check_type, n, said FROM x)
+{_CHECKS}, said actual_value FROM y UNION ALL SELECT 'events.ghost.type_match', 'ghost', 'type', 'ERROR', 'WARNING', 0, 'column_absent'""",
+    "rules_across_fields": f"""
+WITH l AS (SELECT *, lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) p, CASE WHEN l_orderkey % 3 > 0 THEN l_extendedprice * (1 - l_discount) END net FROM lineitem),
+c AS (SELECT count(*) FILTER (WHERE l_linenumber <> p + 1) s, count(*) FILTER (WHERE NOT net <= l_extendedprice - 1) a, least(count(*) FILTER (WHERE NOT l_partkey > l_suppkey), 1) t,
+ count(*) FILTER (WHERE l_tax > 0.08) hi, count(*) FILTER (WHERE l_tax < 1e-6) lo FROM l),
+x AS (SELECT 'lines.lines' check_id, 'l_linenumber' column_name, 'sequence' check_type, s n FROM c UNION ALL SELECT 'lines.net', '*', 'arithmetic', a FROM c UNION ALL SELECT 'lines.part', '*', 'temporal', t FROM c
+ UNION ALL SELECT 'lines.quality.l_tax.max', 'l_tax', 'range', hi FROM c UNION ALL SELECT 'lines.quality.l_tax.min', 'l_tax', 'range', lo FROM c)
+{_CHECKS} FROM x UNION ALL SELECT * FROM (VALUES ('lines.odd', '*', 'custom', 'ERROR', 'WARNING', 0), ('lines.gone', 'nowhere', 'sequence', 'ERROR', 'WARNING', 0), ('lines.quality.unparsed', '*', 'custom', 'ERROR', 'WARNING', 0))""",
+    "validation_samples": """
+WITH o AS (SELECT row_number() OVER () rn, * FROM orders),
+f AS (SELECT 'orders.o_orderstatus.enum' check_id, rn, o_orderstatus s FROM o WHERE o_orderstatus NOT IN ('F', 'O') UNION ALL SELECT 'orders.o_orderpriority.pattern', rn, o_orderpriority FROM o WHERE NOT regexp_matches(o_orderpriority, '^[1-4]')
+ UNION ALL SELECT 'orders.o_totalprice.maximum', rn, 'row' FROM o WHERE o_totalprice > 200000),
+k AS (SELECT *, row_number() OVER (PARTITION BY check_id ORDER BY rn) i FROM f)
+SELECT c check_id, coalesce(string_agg(s, ',' ORDER BY i) FILTER (WHERE i <= 5), '') samples, count(s) records_failing FROM (VALUES ('orders.o_orderstatus.enum'), ('orders.o_orderpriority.pattern'), ('orders.o_totalprice.maximum')) v(c) LEFT JOIN k ON c = check_id GROUP BY 1""",
+    "attribution_per_check": """
+WITH RECURSIVE e AS (SELECT 'region::'||n_regionkey s, 'nation::'||n_nationkey t FROM nation UNION ALL SELECT 'nation::'||c_nationkey, 'customer::'||c_custkey FROM customer),
+seed(c, node) AS (VALUES ('geo.region.required', 'region::1'), ('geo.nation.unique', 'nation::3'), ('geo.nation.unique', 'nation::7')),
+down(c, node, h) AS (SELECT c, node, 0 FROM seed UNION ALL SELECT c, t, h+1 FROM down JOIN e ON node = s WHERE h < 2),
+dm AS (SELECT c, node, min(h) h FROM down GROUP BY 1, 2),
+up(c, node, h) AS (SELECT c, node, 0 FROM seed UNION ALL SELECT c, s, h+1 FROM up JOIN e ON node = t WHERE h < 2),
+um AS (SELECT c, node, min(h) h FROM up GROUP BY 1, 2),
+b AS (SELECT c, node || '.sql' p, round(greatest(0.0, 1 - (length(node) % 5) * 0.1 - h * 0.2), 6)::DOUBLE sc FROM um WHERE node NOT LIKE 'customer%'),
+br AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY sc DESC, p) k FROM b),
+dr AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY node) k FROM dm WHERE h = 1)
+SELECT c check_id, (SELECT max(h) FROM dm WHERE dm.c = v.c)::INT contamination_depth, (SELECT string_agg(node, ',' ORDER BY k) FROM dr WHERE dr.c = v.c AND k <= 40) direct,
+ least((SELECT count(*) FROM dm WHERE dm.c = v.c AND h > 0), 40)::INT reached, (SELECT string_agg(p || '@' || sc, ',' ORDER BY k) FROM br WHERE br.c = v.c AND k <= 5) blame,
+ CASE WHEN c = 'geo.nation.unique' THEN 'maps' END subscribers FROM (SELECT DISTINCT c FROM seed) v""",
+    "drift_results": """
+WITH l AS (SELECT l_returnflag f, l_quantity::DOUBLE q, l_tax::DOUBLE t, year(l_shipdate)::DOUBLE y FROM lineitem),
+u AS (UNPIVOT l ON q, t, y INTO NAME k VALUE v), g AS (SELECT k, avg(v) FILTER (WHERE f = 'N') m, count(v) FILTER (WHERE f = 'N') n, avg(v) FILTER (WHERE f = 'R') bm, stddev_pop(v) FILTER (WHERE f = 'R') bs FROM u GROUP BY 1),
+z AS (SELECT CASE k WHEN 'q' THEN 'l_quantity' WHEN 't' THEN 'l_tax' ELSE 'late' END c, n, abs(m - bm) / greatest(bs, 1e-9) z FROM g)
+SELECT 'lines.' || c || '.drift.mean' check_id, c column_name, 'drift' check_type, CASE WHEN z > 3 THEN 'FAIL' WHEN z > 2 THEN 'WARN' ELSE 'PASS' END status,
+ CASE WHEN z > 3 THEN 'HIGH' WHEN z > 2 THEN 'MEDIUM' ELSE 'LOW' END severity, (CASE WHEN z > 2 THEN n ELSE 0 END)::BIGINT records_failing FROM z""",
+    "prompt_quarantine": """
+WITH r AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 4 ELSE 9 END k, CASE WHEN doc_id % 7 > 0 THEN source END p, text FROM documents),
+x AS (SELECT CASE WHEN k < 8 THEN 'doc_id is too short' WHEN p IS NULL THEN 'source_path is missing' WHEN length(p) < 1 THEN 'source_path is too short' WHEN text IS NULL THEN 'content_preview is missing'
+ WHEN length(text) > 8000 THEN 'content_preview is too long' WHEN doc_id % 11 = 0 THEN 'unknown key note' ELSE 'valid' END error FROM r)
+SELECT error, count(*) n FROM x GROUP BY 1""",
+    "event_migration": f"""
+WITH r AS (SELECT event_id line, 'agent-' || user_id stream, event_type, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') tm FROM events),
+q AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY tm, line) n FROM r)
+SELECT {_uuid_sql("event_id", "line || '|' || tm || '|' || stream || '|' || event_type")} event_id, {_uuid_sql("aggregate_id", "'stream:' || stream")} aggregate_id, 'AgentSession' aggregate_type, n sequence_number, tm occurred_at, 1.5::DOUBLE fee FROM q WHERE line % 13 <> 0""",
+    "extraction_migration": f"""
+WITH r AS (SELECT 'd' || doc_id id, source, (doc_id % 4) / 4.0::DOUBLE c FROM documents WHERE doc_id % 10 <> 0)
+SELECT {_uuid_sql("doc_id", "id")} doc_id, source source_path, {_uuid_sql("fact_id", "id || '|2024-01-01T00:00:00Z|' || c")} fact_id, c confidence, 0 entities FROM r""",
+    "lineage_snapshot": """
+WITH c AS (SELECT count(*) FILTER (WHERE NOT coalesce(n_regionkey < 2, false)) + count(*) FILTER (WHERE n_nationkey = 4) n, bool_or(n_nationkey = 0 AND n_regionkey < 2) root FROM nation)
+SELECT 'graph.edges.endpoints' check_id, 'edges[*].source,target' column_name, 'referential' check_type, 'FAIL' status, 'CRITICAL' severity, n::BIGINT records_failing FROM c WHERE root
+UNION ALL SELECT * FROM (VALUES ('graph.snapshot_id.required', 'snapshot_id', 'not_null', 'PASS', 'LOW', 0), ('graph.git_commit.format', 'git_commit', 'pattern', 'PASS', 'LOW', 0))""",
+    "quarantine_gate": _ROWS + """
+, s AS (SELECT *, check_type IN ('not_null','format','pattern','enum','accepted_values','range','temporal','arithmetic','custom') AND records_failing > 0 of_rows, severity IN ('CRITICAL','HIGH') severe FROM res)
+SELECT CASE WHEN bool_or(severe AND NOT of_rows) THEN 'BLOCK' WHEN bool_or(severe) THEN 'QUARANTINE' ELSE 'PASS' END pipeline_action, 'QUARANTINE' AS mode FROM s
+UNION ALL SELECT CASE WHEN bool_or(severe AND NOT of_rows) THEN 'BLOCK' WHEN bool_or(severe) THEN 'QUARANTINE' ELSE 'PASS' END, 'QUARANTINE' FROM s WHERE check_type IN ('not_null','format','pattern','enum','accepted_values','range','temporal','arithmetic','custom')
+UNION ALL SELECT 'PASS', 'QUARANTINE'""",
+    "migration_checklist": """
+WITH b(path, t) AS (VALUES ('b','range_maximum_change'),('c','enum_value_removed'),('d','remove_field'),('e','add_required_field'),('g[].h','type_change'))
+SELECT path, 0 nth, '[REQUIRED] Tell subscribers (' || path || ', ' || t || '): billing' item FROM b UNION ALL SELECT path, 1, '[REQUIRED] Write and test the migration before deploying' FROM b UNION ALL SELECT path, 2, '[REQUIRED] Validate again after the migration' FROM b""",
+}

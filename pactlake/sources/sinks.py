@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def report(results: DataFrame, path: str, **header: str) -> None:
     """One JSON document: header, counts, and the array of results."""
@@ -15,6 +19,53 @@ def report(results: DataFrame, path: str, **header: str) -> None:
     doc.select(*[F.lit(v).alias(k) for k, v in header.items()], "*").coalesce(1).write.mode("overwrite").json(path)
 
 
+#: Keys of the strict report, in order; fixed names.
+STRICT_KEYS = ("report_id", "contract_id", "snapshot_id", "run_timestamp", "total_checks", "passed", "failed", "warned", "errored", "results")
+
+
+def with_pipeline(report_: dict[str, Any], mode: str, action: str) -> dict[str, Any]:
+    """The decision of the gate right after the id; the other keys as they were."""
+    mode = (mode or "AUDIT").upper()
+    return {"report_id": report_.get("report_id"), "pipeline_action": action, "mode": mode} | {k: v for k, v in report_.items() if k not in ("report_id", "pipeline_action", "mode")}
+
+
+def strict_report(report_: dict[str, Any], note: bool = False) -> dict[str, Any]:
+    """Only the keys of the strict form, in order, and the note of an injected violation if it is asked for."""
+    out = {k: report_[k] for k in STRICT_KEYS if k in report_}
+    return out | {"injection_note": True} if note and report_.get("injection_note") else out
+
+
+def append_mode_transition(spark: SparkSession, path: str, requested: str, effective: str, check_ids: list[str], at: str) -> None:
+    """One line in the log of modes, where a circuit breaker changed one."""
+    row = [(at, requested, effective, check_ids)]
+    spark.createDataFrame(row, "run_timestamp string, runner_mode_requested string, runner_mode_effective string, circuit_breaker_check_ids array<string>").write.mode("append").json(path)
+
+
+def json_document(spark: SparkSession, document: dict[str, Any], path: str) -> None:
+    """A document of some kilobytes as one JSON file, in any store that Spark writes to."""
+    spark.createDataFrame([(json.dumps(document, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def append_centroid(drifted: DataFrame, path: str, at: Column, label: str = "default") -> None:
+    """A run's centroid in the archive, a table of vectors by time."""
+    drifted.where("centroid is not null").select(F.lit(label).alias("label"), at.alias("taken_at"), "n", "centroid").write.mode("append").parquet(path)
+
+
+def latest_centroid(spark: SparkSession, path: str, label: str = "default") -> list[float] | None:
+    """The newest vector of the archive; None without one."""
+    found = load_state(spark, path, "label string, taken_at timestamp, n long, centroid array<double>")
+    row = found.where(F.col("label") == label).agg(F.max_by("centroid", "taken_at").alias("c")).first()
+    return None if row is None or row.c is None else list(row.c)
+
+
+def load_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A state table; an empty one where there is none yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
@@ -25,9 +76,8 @@ def quarantine(bad: DataFrame, path: str, run_id: str) -> None:
 
 
 def state(table: DataFrame, path: str) -> None:
-    """A keyed state table; materialised first, so it may have been read from the same path."""
-    kept = table.sparkSession.createDataFrame(table.collect(), table.schema)  # state is kilobytes
-    kept.write.mode("overwrite").parquet(path)
+    """A keyed state table and when it was written; stored apart first, so it may have been read from the same path."""
+    cut(table.drop("written_at").withColumn("written_at", F.current_timestamp())).write.mode("overwrite").parquet(path)
 
 
 def dbt_tests(contract: dict[str, Any]) -> dict[str, Any]:
@@ -48,3 +98,8 @@ def to_yaml(data: dict[str, Any]) -> str:
     import yaml
 
     return yaml.safe_dump(data, sort_keys=False, allow_unicode=True)
+
+
+def write_yaml(spark: SparkSession, data: dict[str, Any], path: str) -> None:
+    """A contract as YAML, keys in their order, in any store that Spark writes to."""
+    spark.createDataFrame([(to_yaml(data).rstrip("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -36,11 +36,13 @@ CONTRACT = {
 def test_contract(people):
     got = {r.check_id: r for r in validate(people, CONTRACT).collect()}
     n = {k: (r.status, r.records_failing) for k, r in got.items()}
-    assert n["people.doc_id.required"] == ("FAIL", 1) and n["people.doc_id.unique"] == ("FAIL", 2) and n["people.doc_id.uuid"] == ("FAIL", 2)
-    assert n["people.n.minimum"] == ("FAIL", 1) and n["people.confidence.maximum"] == ("FAIL", 1) and n["people.at.datetime"] == ("FAIL", 1) and n["people.kind.enum"] == ("FAIL", 1)
-    assert n["people.gone.required"][0] == "ERROR" and n["people.quality.unparsed"][0] == "ERROR"
+    assert n["people.doc_id.required"] == ("FAIL", 1) and n["people.doc_id.unique"] == ("FAIL", 2) and n["people.doc_id.format.uuid"] == ("FAIL", 2)
+    assert n["people.n.minimum"] == ("FAIL", 1) and n["people.confidence.maximum"] == ("FAIL", 1) and n["people.at.format.date-time"] == ("FAIL", 1) and n["people.kind.enum"] == ("FAIL", 1)
+    # a field that no row has is missing in every row; a line that isn't understood blocks nothing
+    assert n["people.gone.required"] == ("FAIL", 4) and n["people.quality.unparsed"][0] == "ERROR" and got["people.quality.unparsed"].severity == "WARNING"
+    assert n["people.n.type_match"] == n["people.confidence.type_match"] == ("PASS", 0)
     assert n["people.quality.row_count"] == ("PASS", 0) and n["people.quality.n.missing_count"] == ("FAIL", 1) and n["people.quality.confidence.max"][0] == "FAIL"
-    assert got["people.doc_id.uuid"].sample_failing == ["a", "a"] and got["people.n.minimum"].sample_failing == ["-2"]
+    assert got["people.doc_id.format.uuid"].sample_failing == ["a", "a"] and got["people.n.minimum"].sample_failing == ["a"]
 
 
 def test_fused_is_the_same_as_one_by_one(people):
@@ -64,7 +66,7 @@ def test_array_items(spark):
     t = "doc_id string, facts array<struct<confidence:double>>"
     c = {"id": "f-1", "schema": {"facts": {"type": "array", "items": {"confidence": {"minimum": 0.0, "maximum": 1.0}}}}}
     r = validate(spark.createDataFrame([("a", [(0.5,), (7.0,), (9.0,)]), ("b", [])], t), c).first()
-    assert (r.status, r.records_failing) == ("FAIL", 2)
+    assert (r.status, r.records_failing, r.actual_value, r.sample_failing) == ("FAIL", 2, "max=9, mean=5.5", ["a", "a"]) and "0–100" in r.message
     assert validate(spark.createDataFrame([("b", [])], t), c).first().status == "WARN"
 
 
@@ -148,9 +150,9 @@ def test_lineage_and_attribution(spark, people):
 def test_migrations(spark):
     raw = spark.createDataFrame([("agent-1", "E", {"created_at": "2024-01-01T00:00:00Z", "fee_usd": "3.5"}, "2024-01-02T00:00:00Z"), ("agent-1", "E", {"fee_usd": "x"}, "2024-01-03T00:00:00Z"), ("agent-1", "E", {}, "2024-01-04T00:00:00Z")], "stream_id string, event_type string, payload map<string,string>, recorded_at string").coalesce(1)
     good, bad = migrate.events(raw, "ns")
-    rows = good.orderBy("sequence_number").collect()
-    assert [r.sequence_number for r in rows] == [1, 3] and rows[0].occurred_at == "2024-01-01T00:00:00Z" and rows[0].amounts == {"fee_usd": 3.5} and rows[0].aggregate_type == "AgentSession"
-    assert bad.first().reason == "usd_cast_failed"
+    rows = good.withColumn("payload", F.to_json("payload")).orderBy("sequence_number").collect()
+    assert [r.sequence_number for r in rows] == [1, 3] and rows[0].occurred_at == "2024-01-01T00:00:00Z" and json.loads(rows[0].payload) == {"created_at": "2024-01-01T00:00:00Z", "fee_usd": 3.5} and rows[0].aggregate_type == "AgentSession"
+    assert bad.first().reason == "usd_coerce_failed:fee_usd='x'" and bad.columns == [*raw.columns, "line_no", "reason"]
     x = spark.createDataFrame([("doc123", "n", 0.5, 3, "f", "t"), ("d", "n", 0.5, 3, "f", "t")], "doc_id string, document_name string, confidence_score double, processing_time_ms long, final_strategy string, timestamp string")
     good, bad = migrate.extractions(x, "ns")
     assert good.count() == bad.count() == 1 and good.first().extracted_facts[0].confidence == 0.5
