@@ -89,6 +89,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, name: str, key: str, parts: int) -> DataFrame:
+    """As ``stored``, in buckets of ``key``: groups of it are read where they are, without another shuffle.
+
+    Buckets are a table's; its name leaves the catalog at once, its files stay in the shared folder.
+    """
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(parts, key).option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # noqa: B018  resolved before the name goes
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def parts_for(spark: SparkSession, bytes_in: int, each: int = 64 << 20) -> int:
     """Partitions of a shuffle of so many bytes: at least the session's number, and about ``each`` bytes to one."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-bytes_in // each))

@@ -9,12 +9,12 @@
    its ids back to every block that holds it; a block holds a word once, so no
    word is hot. A task remembers KNOWN words at most; beyond that it begins anew,
    so that a word met later may be encoded again.
-3. Words' ids and documents' index sequences meet by block, where the documents
-   are put together by position. Decoding joins ids with the token-byte table
+3. Words' ids come to their blocks, as which the table is bucketed, so documents'
+   index sequences stay where they are; there the documents are put together by
+   position. Decoding joins ids with the token-byte table
    (one row for each vocabulary entry).
 
-What is shuffled is a few bytes per distinct word and block, and about two bytes
-per pre-token; texts are not shuffled, and split once. Null text counts as empty.
+What is shuffled is a few bytes per distinct word and block; texts and sequences are not shuffled, and texts are split once. Null text counts as empty.
 Each input row gives one result row; repeated rows and null ids give results
 alike; other columns are ignored.
 """
@@ -25,13 +25,14 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import map_arrow, parts_for, stored, texts
+from ._arrow import bounded_batches, map_arrow, parts_for, ship, stored_by, texts
 from ._pretokens import by_tiktoken
 
 BLOCK_WORDS = 300_000
@@ -68,6 +69,22 @@ def unpack(body: bytes) -> np.ndarray:
     return np.add.reduceat((b & 127).astype(np.int64) << (7 * pos), first)
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """Numbers as their low and high halves, compressed: repeated runs, as in copies of a text, cost little."""
+    import zstandard
+
+    v = values.astype("<u4").view("<u2").reshape(-1, 2)
+    return zstandard.compress(np.ascontiguousarray(v.T).tobytes(), 3)
+
+
+def expand(body: bytes) -> np.ndarray:
+    """The numbers of ``squeeze``."""
+    import zstandard
+
+    v = np.frombuffer(zstandard.decompress(body), "<u2").reshape(2, -1)
+    return np.ascontiguousarray(v.T).view("<u4").ravel().astype(np.int64)
+
+
 class _Words(dict):
     """Indices in order of first sight, so that frequent words have short ones."""
 
@@ -100,7 +117,18 @@ def _blocks(batches: Iterator[pa.RecordBatch], part: int, step) -> Iterator:
         yield from step(block, None, None, words)
 
 
-NAMES = ["block", "hash", "doc_id", "seq", "index", "size", "body"]
+@lru_cache(maxsize=2)
+def _vocabulary(path: str) -> tuple[list[bytes], list[str]]:
+    """The token-byte table, and ids as text; once for each worker."""
+    ranks = read_ranks(path)
+    table = [b""] * (max(ranks.values()) + 1)
+    for b, i in ranks.items():
+        table[i] = b
+    return table, [str(i) for i in range(len(table))]
+
+
+NAMES = ["block", "hash", "doc_ids", "seq", "index", "size", "body"]
+_IDS = pa.list_(pa.int64())
 
 
 def ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -116,14 +144,14 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     parts = parts_for(spark, source.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of documents (block, doc_id, seq), and of a block's words of one hash, in order of index (block, hash, index, size, body)."""
+        """Rows of a batch's documents in a block (block, doc_ids, seq), and of a block's words of one hash, in order of index (block, hash, index, size, body)."""
         from pyspark import TaskContext
 
         def step(block, ids, got, words):
             if got is not None:
-                n = len(got)
-                none = pa.nulls(n, pa.binary())
-                cols = [pa.array(np.full(n, block)), pa.nulls(n, pa.int32()), ids.cast(pa.int64()), pa.array([pack(x) for x in got], pa.binary()), none, none, none]
+                none = pa.nulls(1, pa.binary())
+                lengths = pack(np.fromiter(map(len, got), np.int64, len(got)))
+                cols = [pa.array([block], pa.int64()), pa.nulls(1, pa.int32()), pa.array([ids.to_pylist()], _IDS), pa.array([squeeze(np.concatenate(got))], pa.binary()), none, pa.array([lengths], pa.binary()), none]
                 yield pa.RecordBatch.from_arrays(cols, NAMES)
                 return
             keys = [w.encode() for w in words]
@@ -136,7 +164,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
                 idx = order[cut[h] : cut[h + 1]]
                 body = b"".join([keys[i] for i in idx.tolist()])
                 rows.append((block, h, None, None, pack(np.diff(idx, prepend=0)), pack(size[idx]), zlib.compress(body, 1)))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4)
+            kinds = (pa.int64(), pa.int32(), _IDS, *[pa.binary()] * 4)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], NAMES)
 
         return _blocks(batches, TaskContext.get().partitionId(), step)
@@ -162,52 +190,37 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
                         got = known[w] = enc.encode_ordinary(w.decode())
                     n.append(len(got))
                     ids += got
-                counts.append(pack(np.array(n)))
-                flat.append(pack(np.array(ids)))
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int64()), batch.column(1), pa.array(counts, pa.binary()), pa.array(flat, pa.binary())], ["block", "kind", "doc_id", "index", "size", "body"])
-
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by block, words' ids before documents."""
-        ranks = read_ranks(vocabulary)
-        table, spelled = [b""] * (max(ranks.values()) + 1), [str(i) for i in range(max(ranks.values()) + 1)]
-        for b, i in ranks.items():
-            table[i] = b
-        at, pieces, start, count, flat = None, [], None, None, None
-
-        def gather():
-            index = np.concatenate([p[0] for p in pieces]) if pieces else np.zeros(0, np.int64)
-            n = np.concatenate([p[1] for p in pieces]) if pieces else index
-            out = [np.zeros(len(index), np.int64), np.zeros(len(index), np.int64)]
-            out[0][index], out[1][index] = np.cumsum(n) - n, n
-            return *out, np.concatenate([p[2] for p in pieces]) if pieces else index
-
-        for batch in batches:
-            block, kind = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ids, index, size, body = (batch.column(i) for i in (2, 3, 4, 5))
-            res: list[list] = [[], [], [], []]
-            for i, (b, k) in enumerate(zip(block, kind, strict=True)):
-                if b != at:
-                    at, pieces, start = b, [], None
-                if k == 0:
-                    pieces.append((np.cumsum(unpack(index[i].as_py())), unpack(size[i].as_py()), unpack(body[i].as_py()).astype(np.int32)))
-                    continue
-                if start is None:
-                    start, count, flat = gather()
-                    pieces = []
-                seq = unpack(index[i].as_py())
-                got = ragged(flat, start[seq], count[seq]).tolist()
-                res[0].append(ids[i].as_py())
+                counts.append(squeeze(np.array(n)))
+                flat.append(squeeze(np.array(ids)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.binary()), pa.array(flat, pa.binary())], ["block", "index", "count", "ids"])
+
+    def assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
+        """Of one block: its documents and its words' ids."""
+        index, count, flat = (
+            np.concatenate([f(x) for x in words.column(k).to_pylist()]) if words.num_rows else np.zeros(0, np.int64)
+            for k, f in (("index", lambda x: np.cumsum(unpack(x))), ("count", expand), ("ids", expand))
+        )
+        start, n = np.zeros(len(index), np.int64), np.zeros(len(index), np.int64)
+        start[index], n[index] = np.cumsum(count) - count, count
+        table, spelled = _vocabulary(vocabulary)
+        res: list[list] = [[], [], [], []]
+        for ids, seq, size in zip(*(docs.column(k).to_pylist() for k in ("doc_ids", "seq", "size")), strict=True):
+            seq, at = expand(seq), 0
+            for doc, length in zip(ids, unpack(size).tolist(), strict=True):
+                own = seq[at : at + length]
+                at += length
+                got = ragged(flat, start[own], n[own]).tolist()
+                res[0].append(doc)
                 res[1].append(len(got))
                 res[2].append(hashlib.sha256(",".join(map(spelled.__getitem__, got)).encode()).hexdigest())
                 res[3].append(hashlib.sha256(b"".join(map(table.__getitem__, got))).hexdigest())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(res, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        return pa.table([pa.array(c, t) for c, t in zip(res, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    table = stored(map_arrow(source, split, "block long, hash int, doc_id long, seq binary, index binary, size binary, body binary"), "words")
+    ship(spark)
+    bounded_batches(spark)
+    found = map_arrow(source, split, "block long, hash int, doc_ids array<long>, seq binary, index binary, size binary, body binary")
+    table = stored_by(found, "words", "block", parts)
     words = table.where("hash is not null").select("hash", "block", "index", "size", "body").repartitionById(parts, "hash").drop("hash")
-    midway = "block long, kind int, doc_id long, index binary, size binary, body binary"
-    none = F.lit(None).cast("binary")
-    docs_out = table.where("hash is null").select("block", F.lit(1).alias("kind"), "doc_id", F.col("seq").alias("index"), none.alias("size"), none.alias("body"))
-    both = map_arrow(words, encode, midway).unionByName(docs_out)
-    both = both.repartition(parts, "block").sortWithinPartitions("block", "kind")
-    return map_arrow(both, assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    ids = map_arrow(words, encode, "block long, index binary, count binary, ids binary").groupBy("block")
+    rows = table.where("hash is null").select("block", "doc_ids", "seq", "size").groupBy("block")
+    return rows.cogroup(ids).applyInArrow(assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
