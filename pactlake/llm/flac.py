@@ -72,17 +72,23 @@ def _crc(buf: np.ndarray, start: np.ndarray, size: np.ndarray, bits: int) -> np.
 
 
 def _number(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Frame numbers in FLAC's variable-length code: up to four bytes, and their count."""
-    n = 1 + (v >= 0x80).astype(np.int64) + (v >= 0x800) + (v >= 0x10000)
-    out = np.zeros((len(v), 4), np.uint8)
-    lead = np.array([0, 0x00, 0xC0, 0xE0, 0xF0])[n]
+    """Frame numbers in FLAC's variable-length code: up to six bytes, and their count."""
+    if len(v) and v.max() >= 1 << 31:
+        raise ValueError("a stream has 2^31 frames at most")
+    n = 1 + sum((v >= least).astype(np.int64) for least in (0x80, 0x800, 0x10000, 0x200000, 0x4000000))
+    out = np.zeros((len(v), DIGITS), np.uint8)
+    lead = np.array([0, 0x00, 0xC0, 0xE0, 0xF0, 0xF8, 0xFC])[n]
     out[:, 0] = lead | (v >> (6 * (n - 1)))
-    for j in range(1, 4):
+    for j in range(1, DIGITS):
         m = n > j
         out[m, j] = 0x80 | ((v[m] >> (6 * (n[m] - 1 - j))) & 63)
     return out, n
 
 
+#: Most bytes of a frame's number.
+DIGITS = 6
+
+
 def _frames(x: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Encoded frames of samples x (frames x 192): their bytes and offsets."""
     f = len(x)
@@ -123,6 +129,7 @@ def _frames(x: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     s = at[:-1]
     for j in range(4):
         buf[s + j] = HEAD[j]
+    for j in range(DIGITS):
         m = digits > j
         buf[s[m] + 4 + j] = code[m, j]
     buf[s + head - 1] = _crc(buf, s, head - 1, 8)
@@ -177,7 +184,8 @@ def block_points(stream: bytes) -> list[tuple[int, int, int]]:
     for (s, o), e in zip(seek, stops, strict=True):
         at = begin + o
         number = s if stream[at + 1 : at + 2] == b"\xf9" else s // info["block"]
-        code = chr(number).encode("utf-8", "surrogatepass") if number < 0x110000 else b""
+        code, n = _number(np.array([number]))
+        code = code[0, : n[0]].tobytes()
         if e <= s or stream[at] != 0xFF or stream[at + 1] & 0xFE != 0xF8 or not stream.startswith(code, at + 4):
             raise ValueError("a seek point leads to another frame")
         out.append((s, e - s, at))
@@ -218,8 +226,21 @@ FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 def decode_stream(stream: bytes) -> np.ndarray:
     """Samples of any mono stream, one frame after another; checks every checksum."""
     info, _, at = metadata(stream)
+    return _decode(stream, at, info, info["samples"])
+
+
+def read_samples(stream: bytes, first: int, n: int) -> np.ndarray:
+    """Samples [first, first + n): decoding begins at the last seek point before them and ends with them."""
+    info, seek, begin = metadata(stream)
+    s, o = max((p for p in seek if p[0] <= first), default=(0, 0))
+    n = max(0, min(n, info["samples"] - first))
+    return _decode(stream, begin + o, info, first + n - s)[first - s : first - s + n] if n else np.zeros(0, np.int32)
+
+
+def _decode(stream: bytes, at: int, info: dict, least: int) -> np.ndarray:
+    """Frames from a byte on, until there are so many samples."""
     out: list[int] = []
-    while len(out) < info["samples"]:
+    while len(out) < least:
         b = _Bits(stream, at)
         if b.take(14) != 0x3FFE:
             raise ValueError("lost the sync code")
@@ -280,7 +301,7 @@ def _starts(buf: np.ndarray, begin: np.ndarray, end: np.ndarray, frames: np.ndar
     if len(hit) != frames.sum() or (np.bincount(which, minlength=len(begin)) != frames).any():
         return None
     code, digits = _number(np.arange(len(hit)) - np.repeat(np.cumsum(frames) - frames, frames))
-    for j in range(4):
+    for j in range(DIGITS):
         m = digits > j
         if (buf[hit[m] + 4 + j] != code[m, j]).any():
             return None
@@ -304,7 +325,7 @@ def decode_streams(streams: list[bytes]) -> list[np.ndarray]:
     stop = np.concatenate([start[1:], [0]])
     last = np.cumsum(frames) - 1
     stop[last] = ends
-    digits = 1 + (buf[start + 4] >= 0xC0).astype(np.int64) + (buf[start + 4] >= 0xE0) + (buf[start + 4] >= 0xF0)
+    digits = 1 + sum((buf[start + 4] >= least).astype(np.int64) for least in (0xC0, 0xE0, 0xF0, 0xF8, 0xFC))
     head = start + 4 + digits
     if (buf[head] != _crc(buf, start, head - start, 8)).any():
         raise ValueError("wrong checksum of a frame header")

@@ -29,7 +29,9 @@ from ._bytes import IS_SPACE, SHINGLE, SpanHash, words
 TRAIN_ROWS = 20_000
 HELD_OUT = 5
 THRESHOLD = 0.3
-TREES, DEPTH, RATE, BINS, L2, LEAST = 120, 5, 0.1, 64, 1.0, 20.0
+TREES, DEPTH, RATE, BINS, L2 = 120, 5, 0.1, 64, 1.0
+#: A leaf's rows have at least this sum of p (1 - p): five rows that are undecided.
+LEAST_WEIGHT = 1.25
 SLICE = 1 << 20
 
 _B = np.arange(256)
@@ -147,7 +149,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH) ->
                 gl, hl = (np.cumsum(np.bincount(cell, w, k * (len(e) + 1)).reshape(k, -1), axis=1)[:, :-1] for w in (g, h))
                 gr, hr = tot[0][:, None] - gl, tot[1][:, None] - hl
                 gain = gl**2 / (hl + L2) + gr**2 / (hr + L2) - (tot[0] ** 2 / (tot[1] + L2))[:, None]
-                gain[(hl * 4 < LEAST / 4) | (hr * 4 < LEAST / 4)] = 0
+                gain[(hl < LEAST_WEIGHT) | (hr < LEAST_WEIGHT)] = 0
                 i = gain.argmax(axis=1)
                 v = gain[np.arange(k), i]
                 m = v > best_gain

@@ -197,6 +197,11 @@ def test_encode_decode(docs, rows, empty, monkeypatch):
     assert word_shuffle_bpe.encode_decode(empty, path, P.PATTERN).count() == 0
     v = np.array([0, 127, 128, 16383, 16384, 1 << 21, 1 << 30])
     assert (word_shuffle_bpe.unpack(word_shuffle_bpe.pack(v)) == v).all()
+    for w in (v, np.arange(70_000) % 997, np.zeros(0, np.int64)):
+        assert (word_shuffle_bpe.expand(word_shuffle_bpe.squeeze(w)) == w).all()
+    monkeypatch.setattr(word_shuffle_bpe, "BLOCK_WORDS", 50)  # many blocks, and words that are forgotten
+    monkeypatch.setattr(word_shuffle_bpe, "KNOWN", 20)
+    same(word_shuffle_bpe.encode_decode(docs, path, P.PATTERN), cols, want)
 
 
 def test_quality(spark, docs, rows, empty):
@@ -456,7 +461,7 @@ def moving(spark, monkeypatch):
         return run
 
     for m in (warc, mixing, repeats, word_shuffle_bpe, cpsjoin):
-        for name in ("cut", "stored"):
+        for name in ("cut", "stored", "stored_by"):
             if hasattr(m, name):
                 monkeypatch.setattr(m, name, wrap(getattr(m, name)))
     yield turn
@@ -514,3 +519,158 @@ def test_words_that_polynomials_confuse(spark):
     assert all(r.kept and r.n_shingles == 1 for r in cpsjoin.near_duplicates(df).collect())
     got = bottomk.fingerprints(df).collect()
     assert len({r.fingerprint for r in got}) == len(every)
+
+
+class BitWriter:
+    def __init__(self):
+        self.bits = []
+
+    def put(self, v, n):
+        self.bits += [(v >> (n - 1 - i)) & 1 for i in range(n)]
+
+    def unary(self, n):
+        self.bits += [0] * n + [1]
+
+    def bytes(self):
+        self.bits += [0] * (-len(self.bits) % 8)
+        return np.packbits(np.array(self.bits, np.uint8)).tobytes()
+
+
+def written_frame(number, x, kind, bits=16, wasted=0, shift=4, coef=(), parts=0, escape=()):
+    """A frame by the format's description, one bit after another; x has 192 samples."""
+    w = BitWriter()
+    for v, n in ((0x3FFE, 14), (0, 2), (1, 4), (0, 4), (0, 4), (4 if bits == 16 else 1, 3), (0, 1)):
+        w.put(v, n)
+    for byte in chr(number).encode():
+        w.put(byte, 8)
+    w.put(flac._scalar_crc(w.bytes(), 8), 8)
+    w.put(0, 1)
+    w.put(kind, 6)
+    w.put(1 if wasted else 0, 1)
+    if wasted:
+        w.unary(wasted - 1)
+    x, bits = [v >> wasted for v in x], bits - wasted
+    if kind == 1:
+        for v in x:
+            w.put(v, bits)
+    else:
+        order = kind - 31 if kind >= 32 else kind - 8
+        for v in x[:order]:
+            w.put(v, bits)
+        if kind >= 32:
+            w.put(11, 4)
+            w.put(shift, 5)
+            for c in coef:
+                w.put(c, 12)
+        else:
+            coef, shift = flac.FIXED[order], 0
+        w.put(0, 2)
+        w.put(parts, 4)
+        at = order
+        for p in range(1 << parts):
+            n = (192 >> parts) - (order if p == 0 else 0)
+            rest = [x[i] - (sum(c * x[i - 1 - j] for j, c in enumerate(coef)) >> shift) for i in range(at, at + n)]
+            at += n
+            if p in escape:
+                w.put(15, 4)
+                w.put(17, 5)
+                for r in rest:
+                    w.put(r, 17)
+                continue
+            k = 3 + p % 4
+            w.put(k, 4)
+            for r in rest:
+                u = r * 2 if r >= 0 else -2 * r - 1
+                w.unary(u >> k)
+                w.put(u, k)
+    body = w.bytes()
+    return body + flac._scalar_crc(body, 16).to_bytes(2, "big")
+
+
+def test_flac_of_other_writers():
+    """Quantised predictors, partitions, escapes, verbatim and wasted bits, and seeks that decode from their point only."""
+    rng = np.random.default_rng(2)
+    wave = (np.sin(np.arange(192 * 6) / 9) * 900 + rng.integers(-9, 9, 192 * 6)).astype(int)
+    blocks = [wave[i : i + 192].tolist() for i in range(0, len(wave), 192)]
+    blocks[4] = [v << 3 for v in blocks[4]]
+    frames = [
+        written_frame(0, blocks[0], 33, coef=(28, -13)), written_frame(1, blocks[1], 34, coef=(20, 3, -9), parts=2), written_frame(2, blocks[2], 10, parts=3, escape=(0, 5)), written_frame(3, blocks[3], 1),
+        written_frame(4, blocks[4], 12, wasted=3), written_frame(5, blocks[5], 32, coef=(15,), parts=1, escape=(1,)),
+    ]
+    want = np.concatenate(blocks)
+    at = np.concatenate([[0], np.cumsum([len(f) for f in frames])])
+    seek = b"".join(int(192 * i).to_bytes(8, "big") + int(at[i]).to_bytes(8, "big") + (192).to_bytes(2, "big") for i in (0, 2, 4))
+    info = (192).to_bytes(2, "big") * 2 + bytes(6) + ((8000 << 44) | (15 << 36) | len(want)).to_bytes(8, "big") + bytes(16)
+    head = b"fLaC" + bytes([0]) + len(info).to_bytes(3, "big") + info + bytes([0x83]) + len(seek).to_bytes(3, "big") + seek
+    stream = head + b"".join(frames)
+    assert (flac.decode_stream(stream) == want).all()
+    broken = bytearray(stream)
+    broken[len(head) + 9] ^= 4  # in the first frame: seeks beyond it don't read it
+    with pytest.raises(ValueError):
+        flac.decode_stream(bytes(broken))
+    for first, n in ((384, 192), (500, 300), (1151, 1), (900, 999), (2000, 5)):
+        assert (flac.read_samples(bytes(broken), first, n) == want[first : first + n]).all()
+    assert (flac.read_samples(stream, 0, 3) == want[:3]).all()
+    own = flac.encode_payloads(np.frombuffer(random.Random(3).randbytes(192 * 50), np.uint8), np.array([50]))[0]
+    assert (flac.read_samples(own, 5000, 700) == flac.decode_stream(own)[5000:5700]).all()
+    code, n = flac._number(np.array([0x7F, 0x80, 0xFFFF, 0x10000, 0x1FFFFF, 0x200000, 0x3FFFFFF, 0x4000000]))
+    assert n.tolist() == [1, 2, 3, 4, 4, 5, 5, 6] and all(code[i, : n[i]].tobytes() == chr(v).encode("utf-8", "surrogatepass") for i, v in enumerate([0x7F, 0x80, 0xFFFF, 0x10000]))
+    with pytest.raises(ValueError):
+        flac._number(np.array([1 << 31]))
+
+
+def test_trees_against_plain_ones():
+    """The first tree's splits by trying all of them, and scores by walking each tree for each row."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 4)).astype(np.float32)
+    x[:, 2] = np.round(x[:, 2])  # ties
+    y = ((x[:, 1] > 0.3) ^ (x[:, 2] > 0)).astype(float)
+    forest = gbdt.fit(x, y, 5, 3)
+    walked = []
+    for row in x:
+        z = forest.base
+        for f, t, leaf in zip(forest.feature, forest.threshold, forest.leaf, strict=True):
+            at = 0
+            while at < len(f):
+                at = 2 * at + 1 + int(row[f[at]] > t[at])
+            z += leaf[at - len(f)]
+        walked.append(1 / (1 + np.exp(-z)))
+    assert np.abs(forest.scores(x) - walked).max() < 1e-12
+    p = y.mean()
+    g, h = y - p, np.full(len(y), p * (1 - p))
+    score = lambda m: g[m].sum() ** 2 / (h[m].sum() + gbdt.L2)
+
+    def best(rows):
+        found = (1e-6, None)
+        for j in range(4):
+            for e in np.unique(np.quantile(x[:, j], np.linspace(0, 1, gbdt.BINS + 1)[1:-1]).astype(np.float32)):
+                left = rows & (x[:, j] <= e)
+                right = rows & ~left
+                if min(h[left].sum(), h[right].sum()) < gbdt.LEAST_WEIGHT:
+                    continue
+                gain = score(left) + score(right) - score(rows)
+                if gain > found[0] + 1e-9:
+                    found = (gain, (j, e))
+        return found[1]
+
+    root = np.ones(len(y), bool)
+    want = best(root)
+    assert (forest.feature[0, 0], forest.threshold[0, 0]) == want
+    for node, side in ((1, x[:, want[0]] <= want[1]), (2, x[:, want[0]] > want[1])):
+        assert (forest.feature[0, node], forest.threshold[0, node]) == best(side)
+
+
+def test_pipeline_on_awkward_tables(spark, docs, tmp_path):
+    """Empty tables, no labels, nulls, repeats and columns with clashing names run through all stages."""
+    import corpus_pipeline
+
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, table in (("empty", docs.limit(0)), ("some", docs)):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        none.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert (out.count() == 0) == (name == "empty") and out.columns[:2] == ["doc_id", "n_tokens"]
+    left = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, f"{tmp_path}/some")
+        assert left.columns == docs.columns, name
