@@ -10,8 +10,13 @@ the two. Queues keep a bounded number of tuples in memory and the rest on disk.
 
 Only prefixes of ``depth`` bytes count here: common prefixes are cut to it, and
 suffixes equal to that depth may come in any order. So the S* suffixes, a third
-of all, are sorted by refining ties eight bytes at a time to that depth, where a
-full suffix array would recurse on their names.
+of all, are sorted externally where a full suffix array would recurse on their
+names: runs of them are sorted by refining ties eight bytes at a time to that
+depth, written with their prefixes, and merged block by block.
+
+Text, types, runs and queues lie on disk; in memory are blocks of at most
+``in_memory`` tuples, whatever the length of the text (pages of the text that the
+system keeps in its cache are its own affair).
 """
 
 from __future__ import annotations
@@ -22,14 +27,23 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Tuples of a queue kept in memory.
-IN_MEMORY = 1 << 22
+IN_MEMORY = 1 << 19
+
+
+def on_disk(shape, kind: str) -> np.ndarray:
+    """An array in a file of the task's own, gone with it."""
+    f = tempfile.TemporaryFile()
+    n = int(np.prod(shape))
+    if not n:
+        return np.zeros(shape, kind)
+    return np.memmap(f, kind, "w+", shape=shape)
 
 
 class BucketQueue:
-    """First in, first out within each of 256 keys; keys are taken in order."""
+    """First in, first out within each of 256 keys; keys are taken in order, a block at a time."""
 
     def __init__(self, in_memory: int = IN_MEMORY):
-        self.held: list[list] = [[] for _ in range(256)]
+        self.held: list[list] = [[] for _ in range(256)]  # arrays, or (place in the file, tuples of the piece, first, end)
         self.count, self.most, self.file, self.spilled = 0, in_memory, None, 0
 
     def push(self, key: int, pos: np.ndarray, lcp: np.ndarray) -> None:
@@ -42,55 +56,81 @@ class BucketQueue:
         if self.file is None:
             self.file = tempfile.TemporaryFile()
         for chunks in self.held:
-            mem = [c for c in chunks if not isinstance(c[0], int)]
+            mem = [c for c in chunks if len(c) == 2]
             if mem:
                 pos, lcp = np.concatenate([c[0] for c in mem]), np.concatenate([c[1] for c in mem])
                 at = self.file.seek(0, 2)
                 self.file.write(pos.tobytes())
                 self.file.write(lcp.tobytes())
                 # chunks in memory are always later than those on disk
-                chunks[:] = [c for c in chunks if isinstance(c[0], int)] + [(at, len(pos))]
+                chunks[:] = [c for c in chunks if len(c) == 4] + [(at, len(pos), 0, len(pos))]
                 self.spilled += len(pos)
         self.count = 0
 
+    def _read(self, at: int, n: int, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        self.file.seek(at + 8 * a)
+        pos = np.frombuffer(self.file.read(8 * (b - a)), np.int64)
+        self.file.seek(at + 8 * n + a)
+        return pos, np.frombuffer(self.file.read(b - a), np.uint8)
+
     def pop(self, key: int) -> tuple[np.ndarray, np.ndarray]:
-        pos, lcp = [], []
-        for c in self.held[key]:
-            if isinstance(c[0], int):
-                self.file.seek(c[0])
-                pos.append(np.frombuffer(self.file.read(8 * c[1]), np.int64))
-                lcp.append(np.frombuffer(self.file.read(c[1]), np.uint8))
-            else:
-                pos.append(c[0])
-                lcp.append(c[1])
-                self.count -= len(c[0])
-        self.held[key] = []
-        if not pos:
+        """The first block of a key; empty if it has none."""
+        chunks = self.held[key]
+        if not chunks:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        if len(chunks[0]) == 4:
+            at, n, a, b = chunks[0]
+            stop = min(b, a + self.most)
+            chunks[:1] = [(at, n, stop, b)] if stop < b else []
+            return self._read(at, n, a, stop)
+        mem, chunks[:] = list(chunks), []
+        self.count -= sum(len(c[0]) for c in mem)
+        return np.concatenate([c[0] for c in mem]), np.concatenate([c[1] for c in mem])
+
+    def pop_last(self, key: int) -> tuple[np.ndarray, np.ndarray]:
+        """The last block of a key."""
+        chunks = self.held[key]
+        if not chunks:
             return np.zeros(0, np.int64), np.zeros(0, np.uint8)
-        return np.concatenate(pos), np.concatenate(lcp)
+        c = chunks.pop()
+        if len(c) == 2:
+            self.count -= len(c[0])
+            return c
+        at, n, a, b = c
+        start = max(a, b - self.most)
+        if start > a:
+            chunks.append((at, n, a, start))
+        return self._read(at, n, start, b)
 
     def close(self) -> None:
         if self.file is not None:
             self.file.close()
 
 
-def types(t: np.ndarray) -> np.ndarray:
-    """True for S suffixes. The text's end is below every byte."""
+def types(t: np.ndarray, out: np.ndarray | None = None, block: int = IN_MEMORY) -> np.ndarray:
+    """True for S suffixes. The text's end is below every byte. Blocks are taken from the end."""
     n = len(t)
-    step = np.zeros(n, np.int8)  # 1: smaller than the next byte, -1: larger
-    step[:-1] = np.sign(t[1:].astype(np.int16) - t[:-1])
-    step[-1] = -1
-    known = np.where(step != 0, np.arange(n), n)
-    after = np.minimum.accumulate(known[::-1])[::-1]  # the next byte that differs from its successor
-    return step[after] > 0
+    out = np.zeros(n, bool) if out is None else out
+    after, later = None, False  # the first byte and the type of what follows
+    for b in range(n, 0, -block):
+        a = max(0, b - block)
+        x = np.asarray(t[a:b])
+        step = np.zeros(b - a, np.int8)  # 1: smaller than the next byte, -1: larger
+        step[:-1] = np.sign(x[1:].astype(np.int16) - x[:-1])
+        step[-1] = -1 if after is None else int(np.sign(int(after) - int(x[-1]))) or (1 if later else -1)
+        known = np.where(step != 0, np.arange(b - a), b - a)
+        out[a:b] = step[np.minimum.accumulate(known[::-1])[::-1]] > 0  # of the next byte that differs from its successor
+        after, later = x[0], bool(out[a])
+    return out
 
 
 class Text:
     """Bytes with room to read past the end."""
 
     def __init__(self, t: np.ndarray, depth: int):
-        self.n, self.depth = len(t), depth
-        self.t = np.concatenate([t, np.zeros(depth + 16, np.uint8)])
+        """t: bytes that are followed by depth + 16 zeros."""
+        self.n, self.depth = len(t) - depth - 16, depth
+        self.t = t
         self.word = np.ndarray((len(self.t) - 8,), ">u8", self.t, strides=(1,))
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -131,6 +171,80 @@ class Text:
         return pos
 
 
+def _merged(runs: list[tuple[np.ndarray, np.ndarray]], in_memory: int) -> Iterator[np.ndarray]:
+    """Positions of sorted runs (positions, prefixes) in order, a bounded block at a time."""
+    each = max(1, in_memory // (len(runs) + 1))
+    at = [0] * len(runs)
+    held: list[tuple[np.ndarray, np.ndarray]] = [(r[0][:0], r[1][:0]) for r in runs]
+    while True:
+        for i, (pos, key) in enumerate(runs):
+            if not len(held[i][0]) and at[i] < len(pos):
+                stop = min(len(pos), at[i] + each)
+                held[i] = (np.array(pos[at[i] : stop]), np.array(key[at[i] : stop]))
+                at[i] = stop
+        live = [i for i, h in enumerate(held) if len(h[0])]
+        if not live:
+            return
+        more = [bytes(held[i][1][-1]) for i in live if at[i] < len(runs[i][0])]
+        take = {i: len(held[i][0]) for i in live}
+        if more:  # nothing that comes later is below the least of the last prefixes
+            least = min(more)
+            for i in live:
+                a, b = 0, take[i]
+                while a < b:  # how many are at most the least
+                    mid = (a + b) // 2
+                    a, b = (mid + 1, b) if bytes(held[i][1][mid]) <= least else (a, mid)
+                take[i] = a
+        pos = np.concatenate([held[i][0][: take[i]] for i in live])
+        key = np.concatenate([held[i][1][: take[i]] for i in live])
+        words = np.ascontiguousarray(key).view(">u8")
+        yield pos[np.lexsort([words[:, j] for j in range(words.shape[1] - 1, -1, -1)])]
+        for i in live:
+            held[i] = (held[i][0][take[i] :], held[i][1][take[i] :])
+
+
+def _stars(text: Text, s_type: np.ndarray, in_memory: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """S* suffixes in order, their common prefixes with the one before, and where each first byte begins."""
+    runs, total = [], 0
+    width = -(-text.depth // 8) * 8
+    block = max(2, in_memory)
+    for a in range(0, text.n, block):
+        b = min(text.n, a + block)
+        star = np.asarray(s_type[a:b]) & ~np.concatenate([[True if a == 0 else bool(s_type[a - 1])], np.asarray(s_type[a : b - 1])])
+        pos = np.flatnonzero(star) + a
+        if len(pos):
+            runs.append(text.sort(pos))
+            total += len(pos)
+    if len(runs) > 1:
+        kept = []
+        for pos in runs:
+            key = on_disk((len(pos), width), "u1")
+            for i in range(0, len(pos), max(1, in_memory // 16)):
+                part = pos[i : i + max(1, in_memory // 16)]
+                key[i : i + len(part)] = text.t[part[:, None] + np.arange(width)]
+            disk = on_disk((len(pos),), "i8")
+            disk[:] = pos
+            # prefixes count to the depth only
+            key[:, text.depth :] = 0
+            kept.append((disk, key))
+        runs = None
+        blocks = _merged(kept, in_memory)
+        out = on_disk((total,), "i8")
+    else:
+        blocks = iter(runs)
+        out = np.zeros(total, np.int64)
+    lcp, first, at, last = on_disk((total,), "u1") if total > in_memory else np.zeros(total, np.uint8), np.zeros(256, np.int64), 0, None
+    for pos in blocks:
+        out[at : at + len(pos)] = pos
+        before = np.concatenate([[pos[0] if last is None else last], pos[:-1]])
+        lcp[at : at + len(pos)] = text.common(before, pos)
+        first += np.bincount(text.t[pos], minlength=256)
+        at, last = at + len(pos), pos[-1]
+    if total:
+        lcp[0] = 0
+    return out, lcp, np.concatenate([[0], np.cumsum(first)])
+
+
 def _induce(queue: BucketQueue, since: np.ndarray, text: Text, ok: np.ndarray, pos: np.ndarray, lcp: np.ndarray) -> None:
     """Push the predecessors of scanned suffixes that are of the wanted type.
 
@@ -157,31 +271,35 @@ def _induce(queue: BucketQueue, since: np.ndarray, text: Text, ok: np.ndarray, p
         since[key] = int(rest.min()) if len(rest) else 255
 
 
-def suffixes(t: np.ndarray, depth: int, in_memory: int = IN_MEMORY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Batches of suffixes in descending order, each with the common prefix, to the depth, with the one before it in this order."""
+def suffixes(t: np.ndarray, depth: int, in_memory: int = IN_MEMORY, counts: dict | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Batches of suffixes in descending order, each with the common prefix, to the depth, with the one before it in this order.
+
+    counts: takes the number of tuples that queues wrote to disk.
+    """
     if not len(t):
         return
     if depth > 200:
         raise ValueError("common prefixes are kept in a byte")
-    text = Text(t, depth)
-    s_type = types(t)
-    star = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
-    star = text.sort(star) if len(star) else star
-    star_lcp = np.zeros(len(star), np.uint8)
-    if len(star):
-        star_lcp[1:] = text.common(star[:-1], star[1:])
-    first = text.t[star]
-    cut = np.searchsorted(first, np.arange(257))
+    held = on_disk((len(t) + depth + 16,), "u1")
+    held[: len(t)] = t
+    text = Text(held, depth)
+    n = text.n
+    s_type = types(text.t[:n], on_disk((n,), "bool"), max(1, in_memory))
+    star, star_lcp, cut = _stars(text, s_type, in_memory)
+
+    def blocks(key: int):
+        a, b = int(cut[key]), int(cut[key + 1])
+        for i in range(a, b, max(1, in_memory)):
+            j = min(b, i + max(1, in_memory))
+            yield np.array(star[i:j]), np.array(star_lcp[i:j]), i == a
 
     # ascending: L suffixes from the end of the text, from L and from S* suffixes
     queue, since = BucketQueue(in_memory), np.full(256, 255, np.int64)
-    is_l = ~s_type
+    is_l = _Not(s_type)
     found = BucketQueue(in_memory)  # the L suffixes of each first byte, ascending
     opened = np.zeros(256, bool)
     _open = lambda p, v, key: (p, np.concatenate([[0], v[1:]]).astype(np.uint8)) if len(p) and not opened[key] else (p, v)
-    if is_l[-1]:
-        queue.push(int(t[-1]), np.array([len(t) - 1]), np.zeros(1, np.uint8))
-        since[int(t[-1])] = 255
+    queue.push(int(text.t[n - 1]), np.array([n - 1]), np.zeros(1, np.uint8))  # the last suffix is of type L
     for key in range(256):
         last = None
         while True:
@@ -193,11 +311,11 @@ def suffixes(t: np.ndarray, depth: int, in_memory: int = IN_MEMORY) -> Iterator[
             found.push(key, pos, lcp)
             last = pos[-1]
             _induce(queue, since, text, is_l, pos, lcp)
-        pos, lcp = star[cut[key] : cut[key + 1]], star_lcp[cut[key] : cut[key + 1]]
-        if len(pos):
-            lcp = lcp.copy()
-            lcp[0] = text.common(np.array([last]), pos[:1])[0] if last is not None else 0
+        for pos, lcp, first in blocks(key):
+            if first:
+                lcp[0] = text.common(np.array([last]), pos[:1])[0] if last is not None else 0
             _induce(queue, since, text, is_l, pos, lcp)
+    spilled = queue.spilled
     queue.close()
 
     # descending: S suffixes from S and from L suffixes
@@ -214,13 +332,29 @@ def suffixes(t: np.ndarray, depth: int, in_memory: int = IN_MEMORY) -> Iterator[
             yield pos, lcp
             last = pos[-1]
             _induce(queue, since, text, s_type, pos, lcp)
-        pos, lcp = found.pop(key)
-        if len(pos):
-            pos, up = pos[::-1], lcp[::-1]
+        before = None  # the common prefix of this block's last suffix with the one after it
+        while True:
+            pos, up = found.pop_last(key)
+            if not len(pos):
+                break
+            pos, up = pos[::-1], up[::-1]
             lcp = np.zeros(len(pos), np.uint8)
             lcp[1:] = up[:-1]
-            lcp[0] = text.common(np.array([last]), pos[:1])[0] if last is not None else 0
+            lcp[0] = before if before is not None else text.common(np.array([last]), pos[:1])[0] if last is not None else 0
+            before = int(up[-1])
             yield pos, lcp
             _induce(queue, since, text, s_type, pos, lcp)
+    if counts is not None:
+        counts["spilled"] = spilled + queue.spilled + found.spilled
     queue.close()
     found.close()
+
+
+class _Not:
+    """The other types, looked up where they are asked for."""
+
+    def __init__(self, flags: np.ndarray):
+        self.flags = flags
+
+    def __getitem__(self, at):
+        return ~self.flags[at]

@@ -30,6 +30,7 @@ of its segments; a document is held whole, with arrays of its length.
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 from functools import partial
 
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from ._arrow import cut, key_groups, map_arrow, parts_for, raw, release, slices, stored, texts
 from ._bytes import chunks, mix
-from .induced import suffixes
+from .induced import on_disk, suffixes
 
 LENGTH = 100
 GRAM = 32
@@ -242,32 +243,52 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(again)), batch.column("at").take(pa.array(again)), pa.array(np.ones(len(again), np.int32))], ["row", "at", "n"])
 
 
+class _Shard:
+    """Segments whose bytes wait in a file of the task's own; in memory are a few numbers for each."""
+
+    def __init__(self):
+        self.file, self.cols, self.size = tempfile.TemporaryFile(), [], 0
+
+    def add(self, t: pa.Table) -> None:
+        for b in t.column("bytes").chunks:
+            self.file.write(raw(b.cast(pa.large_binary()))[0].tobytes())
+        self.cols.append(t.drop_columns(["bytes"]))
+        self.size += int((t.column("n").to_numpy() + LENGTH - 1).sum())
+
+    def bytes(self) -> np.ndarray:
+        self.file.flush()
+        return np.memmap(self.file, np.uint8, "r", shape=(self.size,))
+
+
 def _sort_shards(batches: Iterator[pa.RecordBatch], shard: int = SHARD) -> Iterator[pa.RecordBatch]:
     """Segments sorted by minimizer: repeated windows as runs (row, at, n)."""
-    held, size = [], 0
+    held = _Shard()
     for t in key_groups(batches, "gram"):
         more = t.column("bytes").nbytes
-        if held and size + more > shard:
-            yield _repeats(pa.concat_tables(held))
-            held, size = [], 0
-        held.append(t)
-        size += more
-    if held:
-        yield _repeats(pa.concat_tables(held))
+        if held.size and held.size + more > shard:
+            yield _repeats(held)
+            held = _Shard()
+        held.add(t)
+    if held.size:
+        yield _repeats(held)
 
 
-def _repeats(t: pa.Table) -> pa.RecordBatch:
+def _repeats(shard: _Shard) -> pa.RecordBatch:
+    t = pa.concat_tables(shard.cols)
     doc, row, at = (t.column(k).to_numpy() for k in ("doc", "row", "at"))
+    n = t.column("n").to_numpy()
+    came = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
     order = np.lexsort((at, row, doc))
-    doc, row, at, n = doc[order], row[order], at[order], t.column("n").to_numpy()[order]
-    pieces = t.column("bytes").to_pylist()
-    body = np.frombuffer(b"".join([pieces[i] for i in order.tolist()]), np.uint8)
+    doc, row, at, n, came = doc[order], row[order], at[order], n[order], came[order]
     begin = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)  # places in body are in the order of the corpus
-    own = np.zeros(len(body) + 1, np.int32)
-    own[begin] += 1
-    np.add.at(own, begin + n, -1)
-    own = np.cumsum(own)[:-1] > 0
-    repeat = np.zeros(len(body), bool)
+    file, body = shard.bytes(), on_disk((shard.size,), "u1")
+    for a, b, k in zip(begin.tolist(), came.tolist(), (n + LENGTH - 1).tolist(), strict=True):
+        body[a : a + k] = file[b : b + k]
+    edge = np.zeros(len(body) + 1, np.int8)
+    edge[begin] += 1
+    np.add.at(edge, begin + n, -1)
+    own = np.cumsum(edge[:-1], dtype=np.int8) > 0
+    repeat = on_disk((len(body),), "bool")
     carry: list[np.ndarray] = []
 
     def close():

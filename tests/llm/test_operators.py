@@ -313,6 +313,27 @@ def test_induced_order():
             assert x >= y and k == next((j for j in range(depth) if x[j] != y[j]), depth)
 
 
+def test_induced_order_of_texts_beyond_memory():
+    """A text many times as long as what is held: runs are merged, queues go to disk, the order is that of a plain sort."""
+    rng = np.random.default_rng(4)
+    words = [rng.integers(97, 101, int(rng.integers(3, 40)), dtype=np.uint8) for _ in range(40)]
+    t = np.concatenate([words[i] for i in rng.integers(0, 40, 3000)])
+    depth, counts = 60, {}
+    t[rng.integers(0, len(t), 50)] = 0  # zeros are bytes like others
+    t[-depth:] = 200  # so that no suffix ends where another has a zero
+    want = sorted(range(len(t)), key=lambda i, b=t.tobytes(): (b[i : i + depth] + bytes(depth))[:depth], reverse=True)
+    batches = list(induced.suffixes(t, depth, in_memory=500, counts=counts))
+    pos, lcp = (np.concatenate([b[i] for b in batches]) for i in (0, 1))
+    body = np.concatenate([t, np.zeros(depth, np.uint8)])
+    key = lambda i: body[i : i + depth].tobytes()
+    assert len(t) > 50_000 and counts["spilled"] > 10_000 and max(len(b[0]) for b in batches) <= 2_000
+    assert sorted(pos.tolist()) == list(range(len(t))) and [key(i) for i in pos] == [key(i) for i in want]
+    for a, b, k in zip(pos[:-1], pos[1:], lcp[1:], strict=True):
+        x, y = body[a : a + depth], body[b : b + depth]
+        diff = np.flatnonzero(x != y)
+        assert k == (diff[0] if len(diff) else depth)
+
+
 def test_repeats(spark, rows, empty):
     rng = random.Random(5)
     base = ["".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(4)]
@@ -348,8 +369,8 @@ def test_repeats_of_hot_minimizers(spark, rows, monkeypatch):
     assert [r["gram"] for r in out if r["kind"] == 2] == [1]
 
     sizes = []
-    monkeypatch.setattr(repeats, "_repeats", lambda t: sizes.append(t.column("bytes").nbytes))
-    table = pa.table({"gram": pa.array([k // 7 for k in range(140)], pa.int64()), "bytes": pa.array([b"x" * 168] * 140, pa.binary())})
+    monkeypatch.setattr(repeats, "_repeats", lambda held: sizes.append(held.size))
+    table = pa.table({"gram": pa.array([k // 7 for k in range(140)], pa.int64()), "n": pa.array([69] * 140, pa.int32()), "bytes": pa.array([b"x" * 168] * 140, pa.binary())})
     list(repeats._sort_shards(iter(table.to_batches(max_chunksize=33)), shard=2000))
     assert len(sizes) > 5 and max(sizes) <= 2000
 
