@@ -15,7 +15,10 @@ def uuid5(namespace: uuid.UUID | str, name: Column) -> Column:
     ns = F.unhex(F.lit(uuid.UUID(str(namespace)).hex))
     h = F.substring(F.sha1(F.concat(ns, F.encode(name, "UTF-8"))), 1, 32)
     variant = F.substring(F.lit("89ab"), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1), F.lit(1))
-    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+    return F.concat_ws(
+        "-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)),
+        F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12)
+    )
 
 
 def anchored(pattern: str) -> str:
@@ -37,8 +40,15 @@ def as_int(col: Column) -> Column:
 def shape_signature(col: Column, kind: str) -> Column:
     """A value's shape without the value: kind, length, and a short digest of strings."""
     if kind == "string":
-        return F.when(col.isNull(), "null").otherwise(F.concat(F.lit("string(len="), F.char_length(col).cast("string"), F.lit(",sha8="), F.substring(F.sha2(col, 256), 1, 8), F.lit(")")))
-    name = {"boolean": "boolean", "float": "float", "double": "float"}.get(kind, "integer" if kind in ("tinyint", "smallint", "int", "bigint") else kind)
+        return F.when(col.isNull(), "null").otherwise(
+            F.concat(
+                F.lit("string(len="), F.char_length(col).cast("string"), F.lit(",sha8="),
+                F.substring(F.sha2(col, 256), 1, 8), F.lit(")")
+            )
+        )
+    name = {"boolean": "boolean", "float": "float", "double": "float"}.get(
+        kind, "integer" if kind in ("tinyint", "smallint", "int", "bigint") else kind
+    )
     return F.when(col.isNull(), "null").otherwise(F.lit(name))
 
 
@@ -46,7 +56,9 @@ def string_pattern(col: Column) -> Column:
     """The class of a string: the first that fits."""
     return (
         F.when(col.rlike("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"), "uuid_like")
-        .when(col.rlike("(?i)^[0-9a-f]{64}$"), "hex64_like").when(col.rlike(r"^\d+$"), "numeric_string").when(col.rlike(r"^\d{4}-\d{2}-\d{2}T"), "iso8601_prefix").otherwise("free_text")
+        .when(col.rlike("(?i)^[0-9a-f]{64}$"), "hex64_like").when(col.rlike(r"^\d+$"), "numeric_string").when(
+            col.rlike(r"^\d{4}-\d{2}-\d{2}T"), "iso8601_prefix"
+        ).otherwise("free_text")
     )
 
 
@@ -75,7 +87,10 @@ def relative_to(col: Column, root: str) -> Column:
     root = root.rstrip("/") + "/"
     kind = F.split_part(col, F.lit("::"), F.lit(1))
     path = F.substring(col, F.char_length(kind) + 3, F.char_length(col))
-    return F.when(F.contains(col, F.lit("::")) & F.startswith(path, F.lit(root)), F.concat(kind, F.lit("::"), F.substring(path, F.lit(len(root) + 1), F.char_length(path)))).otherwise(col)
+    return F.when(
+        F.contains(col, F.lit("::")) & F.startswith(path, F.lit(root)),
+        F.concat(kind, F.lit("::"), F.substring(path, F.lit(len(root) + 1), F.char_length(path)))
+    ).otherwise(col)
 
 
 def utc_z(col: Column) -> Column:

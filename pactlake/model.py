@@ -12,8 +12,12 @@ from pyspark.sql import types as T
 #: One row of every validation.
 RESULT = T.StructType(
     [
-        T.StructField("check_id", T.StringType()), T.StructField("column_name", T.StringType()), T.StructField("check_type", T.StringType()), T.StructField("status", T.StringType()),
-        T.StructField("actual_value", T.StringType()), T.StructField("expected", T.StringType()), T.StructField("severity", T.StringType()), T.StructField("records_failing", T.LongType()),
+        T.StructField("check_id", T.StringType()), T.StructField(
+            "column_name", T.StringType()
+        ), T.StructField("check_type", T.StringType()), T.StructField("status", T.StringType()),
+        T.StructField("actual_value", T.StringType()), T.StructField("expected", T.StringType()), T.StructField("severity", T.StringType()), T.StructField(
+            "records_failing", T.LongType()
+        ),
         T.StructField("sample_failing", T.ArrayType(T.StringType())), T.StructField("message", T.StringType()),
     ]
 )

@@ -13,11 +13,19 @@ PREVIEW = 8000
 FALLBACK = 4000
 
 
-def embedding_texts(df: DataFrame, facts: str = "extracted_facts", fallbacks: tuple = ("document_name", "source_path", "notes", "strategy_sequence")) -> DataFrame:
+def embedding_texts(
+    df: DataFrame, facts: str = "extracted_facts",
+    fallbacks: tuple = ("document_name", "source_path", "notes", "strategy_sequence")
+) -> DataFrame:
     """Trimmed texts of facts; for rows without any, the fallback columns, lists as JSON cut to FALLBACK characters."""
     kinds = dict(df.dtypes)
-    said = lambda c: F.when(F.size(c) > 0, F.substring(F.to_json(c), 1, FALLBACK)) if kinds[c].startswith("array") else F.trim(F.col(c).cast("string"))
-    texts = F.filter(F.transform(F.coalesce(F.col(facts), F.array()), lambda f: F.trim(f["text"])), lambda t: F.coalesce(t != "", F.lit(False)))
+    said = lambda c: F.when(
+        F.size(c) > 0, F.substring(F.to_json(c), 1, FALLBACK)
+    ) if kinds[c].startswith("array") else F.trim(F.col(c).cast("string"))
+    texts = F.filter(
+        F.transform(F.coalesce(F.col(facts), F.array()), lambda f: F.trim(f["text"])),
+        lambda t: F.coalesce(t != "", F.lit(False))
+    )
     other = F.filter(F.array(*[said(c) for c in fallbacks if c in df.columns]), lambda t: F.coalesce(t != "", F.lit(False)))
     return df.select(F.explode(F.when(F.size(texts) > 0, texts).otherwise(other)).alias("text"))
 
@@ -26,7 +34,11 @@ def prompt_envelopes(df: DataFrame) -> DataFrame:
     """doc_id, source_path and a preview: the name, else the source, else the row as JSON."""
     said = lambda c: F.nullif(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit(None).cast("string")
     preview = F.coalesce(said("document_name"), said("source_path"), F.to_json(F.struct(*df.columns)))
-    return df.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(said("source_path"), F.lit("(unknown)")).alias("source_path"), F.substring(preview, 1, PREVIEW).alias("content_preview"))
+    return df.select(
+        F.col("doc_id").cast("string").alias("doc_id"),
+        F.coalesce(said("source_path"), F.lit("(unknown)")).alias("source_path"),
+        F.substring(preview, 1, PREVIEW).alias("content_preview")
+    )
 
 
 def prompt_errors(extra: Column | None = None) -> Column:
@@ -63,12 +75,19 @@ def embedding_drift(vectors: DataFrame, column: str, baseline: list[float] | Non
     """status, drift, n, centroid: one row. Without a baseline the centroid becomes it; too few vectors decide nothing."""
     n = vectors.agg(F.count(column).alias("n"))
     now = drift.centroid(vectors, column)
-    j = n.crossJoin(F.broadcast(now)) if baseline is None else n.crossJoin(F.broadcast(now)).withColumn("base", F.array(*[F.lit(float(x)) for x in baseline]))
+    j = n.crossJoin(F.broadcast(now)) if baseline is None else n.crossJoin(F.broadcast(now)).withColumn(
+        "base", F.array(*[F.lit(float(x)) for x in baseline])
+    )
     enough = F.col("n") >= least
     if baseline is None:
-        return j.select(F.when(enough, "BASELINE_SET").otherwise("INSUFFICIENT_DATA").alias("status"), F.lit(0.0).alias("drift"), "n", "centroid")
+        return j.select(
+            F.when(enough, "BASELINE_SET").otherwise("INSUFFICIENT_DATA").alias("status"), F.lit(0.0).alias("drift"),
+            "n", "centroid"
+        )
     d = 1 - drift.cosine(F.col("centroid"), F.col("base"))
-    status = F.when(~enough, "INSUFFICIENT_DATA").when(F.size("centroid") != F.size("base"), "WARN").when(d > threshold, "FAIL").otherwise("PASS")
+    status = F.when(~enough, "INSUFFICIENT_DATA").when(
+        F.size("centroid") != F.size("base"), "WARN"
+    ).when(d > threshold, "FAIL").otherwise("PASS")
     return j.select(status.alias("status"), F.when(F.size("centroid") == F.size("base"), d).alias("drift"), "n", "centroid")
 
 
@@ -94,7 +113,9 @@ def vectors(df: DataFrame, text: str = "text", backend: str = "auto") -> tuple[D
     return PROVIDERS[backend](df, text), backend
 
 
-def embedding_check(df: DataFrame, baseline: list[float] | None, backend: str = "auto", sample: int = 200, threshold: float = 0.15) -> DataFrame:
+def embedding_check(
+    df: DataFrame, baseline: list[float] | None, backend: str = "auto", sample: int = 200, threshold: float = 0.15
+) -> DataFrame:
     """Embedding drift of a table's texts, end to end: texts, a sample by hash, vectors, distance of centroids."""
     texts = embedding_texts(df)
     chosen = texts.orderBy(F.xxhash64("text"), "text").limit(sample)

@@ -17,7 +17,10 @@ CAP_NODES, CAP_PIPELINES, CAP_BLAME, CAP_TARGETS = 40, 16, 5, 5
 def seeds_with_fallback(checks: DataFrame, seeds: DataFrame, contract_seeds: DataFrame | None, edges: DataFrame) -> DataFrame:
     """(check_id, node): a check's own seeds; without any, the contract's; without these, the first edge targets."""
     found = seeds.join(checks.select("check_id").distinct(), "check_id", "left_semi").select("check_id", "node").distinct()
-    for other in (contract_seeds, edges.select(F.col("target").alias("node")).where("node is not null").distinct().orderBy("node").limit(CAP_TARGETS)):
+    for other in (
+        contract_seeds,
+        edges.select(F.col("target").alias("node")).where("node is not null").distinct().orderBy("node").limit(CAP_TARGETS)
+    ):
         if other is None:
             continue
         bare = checks.select("check_id").distinct().join(found.select("check_id").distinct(), "check_id", "left_anti")
@@ -34,14 +37,19 @@ def first_nodes(reached: DataFrame, keep: Column, name: str, cap: int) -> DataFr
     return first.groupBy("check_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "node"))), lambda x: x["node"]).alias(name))
 
 
-def violations(results: DataFrame, contract_id: str, subscriptions: DataFrame, edges: DataFrame, seeds: DataFrame, commits: DataFrame, depth: int = 2) -> DataFrame:
+def violations(
+    results: DataFrame, contract_id: str, subscriptions: DataFrame, edges: DataFrame, seeds: DataFrame,
+    commits: DataFrame, depth: int = 2
+) -> DataFrame:
     """One row for each failing check.
 
     seeds: (check_id, node); commits: (node, path, committed, detected). The
     subscribers are the blast radius, lineage only enriches it; upstream nodes
     give candidates for blame, nearer and more recent commits first.
     """
-    fails = results.where(F.col("status").isin("FAIL", "WARN", "ERROR")).select(F.lit(contract_id).alias("contract_id"), "check_id", "column_name", "severity", "records_failing")
+    fails = results.where(F.col("status").isin("FAIL", "WARN", "ERROR")).select(
+        F.lit(contract_id).alias("contract_id"), "check_id", "column_name", "severity", "records_failing"
+    )
     hits = registry.blast_radius(fails.select("contract_id", "check_id", "column_name"), subscriptions)
     consumers = hits.groupBy("check_id").agg(F.array_sort(F.collect_set("subscriber_id")).alias("subscribers"))
     starts = seeds.join(fails.select("check_id"), "check_id", "left_semi").select("check_id", "node").distinct()

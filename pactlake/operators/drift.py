@@ -10,7 +10,13 @@ from ..functions.text import short_number
 
 def column_stats(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
     """column, mean, std (population), n of every metric in one pass."""
-    aggs = [F.struct(F.lit(k).alias("column"), F.avg(v.try_cast("double")).alias("mean"), F.stddev_pop(v.try_cast("double")).alias("std"), F.count(v.try_cast("double")).alias("n")).alias(f"s{i}") for i, (k, v) in enumerate(metrics.items())]
+    aggs = [
+        F.struct(
+            F.lit(k).alias("column"), F.avg(v.try_cast("double")).alias("mean"),
+            F.stddev_pop(v.try_cast("double")).alias("std"), F.count(v.try_cast("double")).alias("n")
+        ).alias(f"s{i}") for i,
+        (k, v) in enumerate(metrics.items())
+    ]
     return df.agg(*aggs).select(F.explode(F.array(*[f"s{i}" for i in range(len(metrics))])).alias("r")).select("r.*")
 
 
@@ -26,7 +32,9 @@ def drift(current: DataFrame, baseline: DataFrame, least: int = 10) -> DataFrame
     b = baseline.select("column", F.col("mean").alias("base_mean"), F.col("std").alias("base_std"))
     j = current.join(b, "column", "full_outer")
     z = F.abs(F.col("mean") - F.col("base_mean")) / F.greatest(F.col("base_std"), F.lit(1e-9))
-    verdict = F.when(F.col("mean").isNull(), "MISSING").when(F.col("base_mean").isNull(), F.when(F.col("n") >= least, "BASELINE_SET").otherwise("WARN")).otherwise(z_verdict(z))
+    verdict = F.when(F.col("mean").isNull(), "MISSING").when(
+        F.col("base_mean").isNull(), F.when(F.col("n") >= least, "BASELINE_SET").otherwise("WARN")
+    ).otherwise(z_verdict(z))
     return j.withColumn("z", z).withColumn("status", verdict)
 
 
@@ -34,12 +42,21 @@ def as_results(drifted: DataFrame, prefix: str) -> DataFrame:
     """Check results of a drift: nothing for columns seen for the first time, HIGH for failures, MEDIUM for warnings."""
     fails, warns = F.col("status") == "FAIL", F.col("status") == "WARN"
     new = F.col("base_mean").isNull()
-    shown = F.concat(F.lit("current_mean="), short_number(F.col("mean"), 6), F.lit(", baseline_mean="), short_number(F.col("base_mean"), 6), F.format_string(", z=%.3f_std", "z"))
+    shown = F.concat(
+        F.lit("current_mean="), short_number(F.col("mean"), 6), F.lit(", baseline_mean="),
+        short_number(F.col("base_mean"), 6), F.format_string(", z=%.3f_std", "z")
+    )
     expected = F.when(new, "enough values for a baseline").otherwise("within 3 std of baseline mean (FAIL beyond); WARN beyond 2 std")
-    message = F.when(fails, "The mean moved by more than three deviations.").when(warns & ~new, "The mean moved by more than two deviations.").when(warns, "Too few values for a baseline.").otherwise("")
+    message = F.when(fails, "The mean moved by more than three deviations.").when(
+        warns & ~new, "The mean moved by more than two deviations."
+    ).when(warns, "Too few values for a baseline.").otherwise("")
     return drifted.where(F.col("status").isin("PASS", "WARN", "FAIL")).select(
-        F.concat(F.lit(f"{prefix}."), "column", F.lit(".drift.mean")).alias("check_id"), F.col("column").alias("column_name"), F.lit("drift").alias("check_type"), "status",
-        F.when(new, F.format_string("n=%d", "n")).otherwise(shown).alias("actual_value"), expected.alias("expected"), F.when(fails, "HIGH").when(warns, "MEDIUM").otherwise("LOW").alias("severity"),
+        F.concat(
+            F.lit(f"{prefix}."), "column", F.lit(".drift.mean")
+        ).alias("check_id"), F.col("column").alias("column_name"), F.lit("drift").alias("check_type"), "status",
+        F.when(
+            new, F.format_string("n=%d", "n")
+        ).otherwise(shown).alias("actual_value"), expected.alias("expected"), F.when(fails, "HIGH").when(warns, "MEDIUM").otherwise("LOW").alias("severity"),
         F.when(fails | warns, F.col("n")).otherwise(0).cast("long").alias("records_failing"), F.array().cast("array<string>").alias("sample_failing"), message.alias("message"),
     )
 
@@ -67,7 +84,11 @@ def output_rate(df: DataFrame, field: str, allowed: list[str] | None, state: dic
     r = violation_rate(df, field, allowed, base).first()
     history = [] if fresh else list(state.get("rate_history") or [])
     history = [*history, {"at": at, "rate": r.rate, "total": r.total}][-HISTORY:]
-    out = {"metric_field": field, "total_outputs": r.total, "violations": r.violations, "violation_rate": r.rate, "baseline_rate": r.rate if base is None else base, "trend": r.trend, "status": "BASELINE_SET" if fresh and r.status == "PASS" else r.status}
+    out = {
+        "metric_field": field, "total_outputs": r.total, "violations": r.violations, "violation_rate": r.rate,
+        "baseline_rate": r.rate if base is None else base, "trend": r.trend,
+        "status": "BASELINE_SET" if fresh and r.status == "PASS" else r.status
+    }
     return out, {"baseline_rate": out["baseline_rate"], "metric_field": field, "allowed": allowed, "rate_history": history}
 
 
@@ -75,7 +96,10 @@ def output_rate(df: DataFrame, field: str, allowed: list[str] | None, state: dic
 KINDS = 10_000
 
 
-def violation_rate(df: DataFrame, field: str, allowed: list[str], baseline: float | None = None, by: list[str] | None = None, warn: float = 0.05, rising: float = 1.5, falling: float = 0.5) -> DataFrame:
+def violation_rate(
+    df: DataFrame, field: str, allowed: list[str], baseline: float | None = None, by: list[str] | None = None,
+    warn: float = 0.05, rising: float = 1.5, falling: float = 0.5
+) -> DataFrame:
     """Share of values outside the allowed ones (null is outside), its trend against a baseline, and a warning."""
     bad = F.count_if(~F.coalesce(F.col(field).isin(allowed), F.lit(False)))
     n = F.count(F.lit(1))
@@ -83,7 +107,9 @@ def violation_rate(df: DataFrame, field: str, allowed: list[str], baseline: floa
     out = out.withColumn("rate", F.col("violations") / F.greatest(F.col("total"), F.lit(1)))
     base = F.lit(baseline) if baseline is not None else F.col("rate")
     trend = F.when(F.col("rate") > base * rising, "rising").when(F.col("rate") < base * falling, "falling").otherwise("stable")
-    return out.withColumn("trend", trend).withColumn("status", F.when((F.col("trend") == "rising") | (F.col("rate") > warn), "WARN").otherwise("PASS"))
+    return out.withColumn("trend", trend).withColumn(
+        "status", F.when((F.col("trend") == "rising") | (F.col("rate") > warn), "WARN").otherwise("PASS")
+    )
 
 
 def centroid(df: DataFrame, vector: str, by: list[str] | None = None) -> DataFrame:
@@ -102,6 +128,8 @@ def byte_histogram(df: DataFrame, key: str, text: str, most: int = 50_000) -> Da
     """The local embedding as rows: (key, byte, share) of a text's first ``most`` UTF-8 bytes, to length 1. No UDF."""
     # bytes as Latin-1 characters; without one, split() would give one empty string
     h = F.decode(F.substring(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 1, most), "ISO-8859-1")
-    e = df.select(key, F.explode(F.split(h, "")).alias("b")).where("b <> ''").select(key, F.ascii("b").alias("byte")).groupBy(key, "byte").agg(F.count(F.lit(1)).alias("n"))
+    e = df.select(
+        key, F.explode(F.split(h, "")).alias("b")
+    ).where("b <> ''").select(key, F.ascii("b").alias("byte")).groupBy(key, "byte").agg(F.count(F.lit(1)).alias("n"))
     norm = e.groupBy(key).agg((F.sqrt(F.sum(F.col("n").cast("double") * F.col("n"))) + 1e-9).alias("norm"))
     return e.join(norm, key).select(key, "byte", (F.col("n") / F.col("norm")).alias("share"))

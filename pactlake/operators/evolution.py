@@ -19,11 +19,17 @@ def walk(schema: dict[str, Any], prefix: str = "") -> Iterator[tuple]:
             continue
         path = f"{prefix}{name}"
         num = lambda v: float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None
-        yield (path, spec.get("type"), bool(spec.get("required")), spec.get("format"), spec.get("pattern"), num(spec.get("minimum")), num(spec.get("maximum")), bool(spec.get("unique")), [str(v) for v in spec["enum"]] if spec.get("enum") is not None else None)
+        yield (
+            path, spec.get("type"), bool(spec.get("required")), spec.get("format"), spec.get("pattern"),
+            num(spec.get("minimum")), num(spec.get("maximum")), bool(spec.get("unique")),
+            [str(v) for v in spec["enum"]] if spec.get("enum") is not None else None
+        )
         yield from walk(spec.get("properties") or {}, f"{path}.")
         items = spec.get("items") or {}
         if isinstance(items, dict):
-            inner = items.get("properties") if isinstance(items.get("properties"), dict) else {k: v for k, v in items.items() if isinstance(v, dict)}
+            inner = items.get("properties") if isinstance(items.get("properties"), dict) else {
+                k: v for k, v in items.items() if isinstance(v, dict)
+            }
             yield from walk(inner, f"{path}[].")
 
 
@@ -39,8 +45,12 @@ def classify(o: str = "o", n: str = "n") -> tuple[Column, Column]:
     gone = F.size(F.array_except(F.coalesce(old("enum"), none), F.coalesce(new("enum"), none))) > 0
     more = F.size(F.array_except(F.coalesce(new("enum"), none), F.coalesce(old("enum"), none))) > 0
     rules = [
-        (F.col(o).isNull() & new("required"), "BREAKING", "add_required_field"), (F.col(o).isNull(), "COMPATIBLE", "add_nullable_field"), (F.col(n).isNull(), "BREAKING", "remove_field"), (ne("type"), "BREAKING", "type_change"),
-        (ne("maximum"), "BREAKING", "range_maximum_change"), (ne("minimum"), "BREAKING", "range_minimum_change"), (gone, "BREAKING", "enum_value_removed"), (more, "COMPATIBLE", "enum_value_added"),
+        (
+            F.col(o).isNull() & new("required"), "BREAKING", "add_required_field"
+        ), (F.col(o).isNull(), "COMPATIBLE", "add_nullable_field"), (F.col(n).isNull(), "BREAKING", "remove_field"), (ne("type"), "BREAKING", "type_change"),
+        (
+            ne("maximum"), "BREAKING", "range_maximum_change"
+        ), (ne("minimum"), "BREAKING", "range_minimum_change"), (gone, "BREAKING", "enum_value_removed"), (more, "COMPATIBLE", "enum_value_added"),
     ]
     verdict, taxonomy = F.lit("COMPATIBLE"), F.lit("no_material_change")
     for cond, v, t in reversed(rules):

@@ -38,7 +38,9 @@ def latest_pair(snapshots: DataFrame, by: str, order: list[str], ts: str, cutoff
     recent = F.coalesce(F.col(ts) >= cutoff, F.lit(True)) if cutoff is not None else F.lit(True)
     newest = Window.partitionBy(by).orderBy(*[F.desc(c) for c in order])
     every = Window.partitionBy(by)
-    s = snapshots.withColumn("__recent", recent).withColumn("__n", F.count_if("__recent").over(every)).withColumn("__all", F.count(F.lit(1)).over(every))
+    s = snapshots.withColumn("__recent", recent).withColumn(
+        "__n", F.count_if("__recent").over(every)
+    ).withColumn("__all", F.count(F.lit(1)).over(every))
     s = s.where(F.col("__recent") | (F.col("__n") < 2)).withColumn("nth", F.row_number().over(newest)).where("nth <= 2")
     return s.withColumn("status", F.when(F.col("__all") < 2, "INSUFFICIENT_SNAPSHOTS").otherwise("OK")).drop("__recent", "__n", "__all")
 
@@ -46,7 +48,13 @@ def latest_pair(snapshots: DataFrame, by: str, order: list[str], ts: str, cutoff
 def next_baselines(current: DataFrame, baseline: DataFrame, now: Column, least: int = 10, reset: bool = False) -> DataFrame:
     """The state after a run: known columns keep their baseline unless reset, new ones get one from ``least`` values on."""
     old = baseline.select("column", F.struct("mean", "std", "n", "established_at").alias("old"))
-    new = current.where(F.col("n") >= least).select("column", F.struct("mean", F.greatest("std", F.lit(1e-9)).alias("std"), F.col("n").cast("long").alias("n"), now.alias("established_at")).alias("new"))
+    new = current.where(F.col("n") >= least).select(
+        "column",
+        F.struct(
+            "mean", F.greatest("std", F.lit(1e-9)).alias("std"), F.col("n").cast("long").alias("n"),
+            now.alias("established_at")
+        ).alias("new")
+    )
     kept = F.coalesce("new", "old") if reset else F.coalesce("old", "new")
     return old.join(new, "column", "full_outer").select("column", kept.alias("b")).select("column", "b.*")
 
@@ -59,4 +67,6 @@ def rate_history(runs: DataFrame, by: str, ts: str, keep: int = 24) -> DataFrame
 def effective_mode(tripped: DataFrame, by: str, mode: str = "ENFORCE") -> DataFrame:
     """A check whose circuit breaker is open runs in WARN mode, whatever was asked (AUDIT stays)."""
     hit = F.bool_or("tripped")
-    return tripped.groupBy(by).agg(F.when(hit & F.lit(mode != "AUDIT"), "WARN").otherwise(mode).alias("mode"), F.max("recent").alias("most_recent"))
+    return tripped.groupBy(by).agg(
+        F.when(hit & F.lit(mode != "AUDIT"), "WARN").otherwise(mode).alias("mode"), F.max("recent").alias("most_recent")
+    )

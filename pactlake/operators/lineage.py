@@ -19,7 +19,9 @@ def forward_edges(edges: DataFrame) -> DataFrame:
 
 
 def reverse_edges(edges: DataFrame) -> DataFrame:
-    return edges.where(F.col("relationship").isin(*RELATIONSHIPS)).select(F.col("target").alias("source"), F.col("source").alias("target")).distinct()
+    return edges.where(F.col("relationship").isin(*RELATIONSHIPS)).select(
+        F.col("target").alias("source"), F.col("source").alias("target")
+    ).distinct()
 
 
 def reach(seeds: DataFrame, edges: DataFrame, depth: int, by: tuple[str, ...] = ()) -> DataFrame:
@@ -32,9 +34,13 @@ def reach(seeds: DataFrame, edges: DataFrame, depth: int, by: tuple[str, ...] =
     frontier = cut(seeds.select(*keys, F.lit(0).alias("hops")).where("node is not null").distinct())
     seen = frontier
     for d in range(1, depth + 1):
-        step = frontier.join(edges, F.col("node") == F.col("source")).select(*by, F.col("target").alias("node")).where("node is not null").distinct()
+        step = frontier.join(
+            edges, F.col("node") == F.col("source")
+        ).select(*by, F.col("target").alias("node")).where("node is not null").distinct()
         known = functools.reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
-        frontier = cut(step.join(seen.select(*[F.col(k).alias(f"__{k}") for k in keys]), known, "left_anti").select(*keys, F.lit(d).alias("hops")))
+        frontier = cut(
+            step.join(seen.select(*[F.col(k).alias(f"__{k}") for k in keys]), known, "left_anti").select(*keys, F.lit(d).alias("hops"))
+        )
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -54,7 +60,9 @@ def dangling_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         miss = edges.join(ids, F.col(end).eqNullSafe(F.col("__id")), "left_anti").select("source", "target", "relationship")
         bad = miss if bad is None else bad.unionByName(miss)
     bad = bad.distinct().withColumn("problem", F.lit("endpoint"))
-    odd = edges.where(~F.coalesce(F.col("relationship").isin(*RELATIONSHIPS), F.lit(False))).select("source", "target", "relationship").withColumn("problem", F.lit("relationship"))
+    odd = edges.where(
+        ~F.coalesce(F.col("relationship").isin(*RELATIONSHIPS), F.lit(False))
+    ).select("source", "target", "relationship").withColumn("problem", F.lit("relationship"))
     return bad.unionByName(odd)
 
 
@@ -68,7 +76,10 @@ def rank_blame(candidates: DataFrame, per: str, detected: str, committed: str, h
 def parse_git_log(lines: DataFrame, column: str = "value") -> DataFrame:
     """``hash|author|email|time|subject`` lines as commits."""
     p = F.split(column, r"\|", 5)
-    return lines.where(F.size(p) == 5).select(p[0].alias("commit_hash"), p[1].alias("author"), p[2].alias("email"), p[3].alias("commit_time"), p[4].alias("subject"))
+    return lines.where(F.size(p) == 5).select(
+        p[0].alias("commit_hash"), p[1].alias("author"), p[2].alias("email"), p[3].alias("commit_time"),
+        p[4].alias("subject")
+    )
 
 
 def nearest(reached: DataFrame, cap: int = 80) -> DataFrame:
@@ -93,9 +104,13 @@ def keyword_seeds(failures: DataFrame, nodes: DataFrame, topics: DataFrame, cap:
     words = failures.join(topics, F.contains(said, F.col("trigger"))).select("check_id", F.lower("keyword").alias("keyword")).distinct()
     words = words.withColumn("word", F.split("keyword", "[^a-z0-9]+")[0])
     known = nodes.select("node_id").distinct().select("node_id", F.explode(node_words(F.col("node_id"))).alias("word")).where("word <> ''")
-    hit = known.join(words, "word").where(F.contains(F.lower("node_id"), F.col("keyword"))).select("check_id", F.col("node_id").alias("node")).distinct()
+    hit = known.join(words, "word").where(
+        F.contains(F.lower("node_id"), F.col("keyword"))
+    ).select("check_id", F.col("node_id").alias("node")).distinct()
     hit = hit.withColumn("k", F.row_number().over(Window.partitionBy("check_id").orderBy("node"))).where(F.col("k") <= cap).drop("k")
-    other = nodes.where(F.startswith("node_id", F.lit("file::")) | F.contains(F.lower("node_id"), F.lit("extract"))).select(F.col("node_id").alias("node")).distinct().orderBy("node").limit(8)
+    other = nodes.where(
+        F.startswith("node_id", F.lit("file::")) | F.contains(F.lower("node_id"), F.lit("extract"))
+    ).select(F.col("node_id").alias("node")).distinct().orderBy("node").limit(8)
     bare = failures.select("check_id").distinct().join(hit.select("check_id").distinct(), "check_id", "left_anti")
     return hit.unionByName(bare.crossJoin(F.broadcast(other)).select("check_id", "node"))
 
@@ -111,4 +126,6 @@ def commit_scores(files: DataFrame, commits: DataFrame, detected: Column, snapsh
     rev = F.lit(snapshot_rev).cast("string")
     rev = F.when(rev.rlike("(?i)^[0-9a-f]{7,40}$"), rev)
     j = files.join(commits, "path", "left").withColumn("commit_hash", F.coalesce("commit_hash", rev)).where("commit_hash is not null")
-    return j.withColumn("score", F.round(recency_score(detected, F.col("commit_time"), F.col("hops")), 6)).dropDuplicates(["check_id", "commit_hash", "path"])
+    return j.withColumn(
+        "score", F.round(recency_score(detected, F.col("commit_time"), F.col("hops")), 6)
+    ).dropDuplicates(["check_id", "commit_hash", "path"])

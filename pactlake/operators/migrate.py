@@ -31,8 +31,21 @@ def split(df: DataFrame, reasons: dict[str, Column]) -> tuple[DataFrame, DataFra
 def occurred_at(payload: Column, recorded: Column) -> Column:
     """From a map of strings: the preferred ``*_at`` with a zone and not after ``recorded``; else ``recorded``."""
     at = F.create_map(*[x for k, v in AT_PRIORITY.items() for x in (F.lit(k), F.lit(v))])
-    entries = F.filter(F.map_entries(payload), lambda e: F.endswith(e["key"], F.lit("_at")) & e["value"].rlike(_AWARE) & (F.try_to_timestamp(e["value"]) <= F.try_to_timestamp(recorded)))
-    ranked = F.array_sort(F.transform(entries, lambda e: F.struct(F.coalesce(F.try_element_at(at, e["key"]), F.lit(OTHER_AT)).alias("p"), e["key"].alias("k"), e["value"].alias("v"))))
+    entries = F.filter(
+        F.map_entries(payload),
+        lambda e: F.endswith(e["key"], F.lit("_at")) & e["value"].rlike(_AWARE) & (
+            F.try_to_timestamp(e["value"]) <= F.try_to_timestamp(recorded)
+        )
+    )
+    ranked = F.array_sort(
+        F.transform(
+            entries,
+            lambda e: F.struct(
+                F.coalesce(F.try_element_at(at, e["key"]), F.lit(OTHER_AT)).alias("p"), e["key"].alias("k"),
+                e["value"].alias("v")
+            )
+        )
+    )
     return utc_z(F.coalesce(F.try_element_at(ranked, F.lit(1))["v"], recorded))
 
 
@@ -99,7 +112,10 @@ def walk_payload(payload: Column) -> Column:
 
 def picked_time(times: Column, recorded: Column) -> Column:
     """The preferred time with a zone and not after ``recorded``; else ``recorded``."""
-    fit = F.filter(times, lambda t: t["v"].rlike(_AWARE) & F.coalesce(F.try_to_timestamp(t["v"]) <= F.try_to_timestamp(recorded), F.lit(False)))
+    fit = F.filter(
+        times,
+        lambda t: t["v"].rlike(_AWARE) & F.coalesce(F.try_to_timestamp(t["v"]) <= F.try_to_timestamp(recorded), F.lit(False))
+    )
     return utc_z(F.coalesce(F.try_element_at(F.array_sort(fit), F.lit(1))["v"], recorded))
 
 
@@ -133,13 +149,21 @@ def events(raw: DataFrame, namespace: str, service: str = "export", version: str
     order = Window.partitionBy("aggregate_id").orderBy(F.try_to_timestamp("recorded_at"), "recorded_at", "line_no", text)
     e = e.withColumn("sequence_number", F.row_number().over(order).cast("long"))
     good, bad = split(e, {"usd": F.col("__w.error").isNotNull(), "recorded_at": utc_z(F.col("recorded_at")).isNull()})
-    bad = bad.withColumn("reason", F.when(F.col("reason") == "usd", F.col("__w.error")).otherwise(F.col("reason"))).drop("__w", "__p", "aggregate_id", "sequence_number")
+    bad = bad.withColumn(
+        "reason", F.when(F.col("reason") == "usd", F.col("__w.error")).otherwise(F.col("reason"))
+    ).drop("__w", "__p", "aggregate_id", "sequence_number")
     named = F.concat_ws("|", F.col("line_no").cast("string"), "recorded_at", "stream_id", "event_type")
     none = F.lit(None).cast("string")
     return good.select(
         uuid5(ns["event_id"], named).alias("event_id"), "event_type", "aggregate_id", aggregate.otherwise(OTHER_AGGREGATE).alias("aggregate_type"), "sequence_number", F.col("__p").alias("payload"),
-        F.struct(none.alias("causation_id"), uuid5(ns["correlation_id"], F.coalesce(F.concat(F.lit("session:"), session), stream)).alias("correlation_id"), none.alias("user_id"), F.lit(service).alias("source_service")).alias("metadata"),
-        F.lit(version).alias("schema_version"), picked_time(F.col("__w.times"), F.col("recorded_at")).alias("occurred_at"), utc_z(F.col("recorded_at")).alias("recorded_at"),
+        F.struct(
+            none.alias("causation_id"),
+            uuid5(ns["correlation_id"], F.coalesce(F.concat(F.lit("session:"), session), stream)).alias("correlation_id"),
+            none.alias("user_id"), F.lit(service).alias("source_service")
+        ).alias("metadata"),
+        F.lit(version).alias("schema_version"), picked_time(
+            F.col("__w.times"), F.col("recorded_at")
+        ).alias("occurred_at"), utc_z(F.col("recorded_at")).alias("recorded_at"),
     ), bad
 
 
@@ -157,13 +181,19 @@ def extractions(raw: DataFrame, namespace: str, placeholder: str = "doc123") ->
     named = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("None")) for c in (F.col("doc_id"), F.col("timestamp"), confidence)])
     fact = F.struct(
         uuid5(ns["fact_id"], named).alias("fact_id"), F.lit(FACT_TEXT).alias("text"), F.array().cast("array<string>").alias("entity_refs"), confidence.alias("confidence"), F.lit(None).cast("int").alias("page_ref"),
-        F.coalesce(F.concat(F.lit("[legacy notes] "), F.nullif(has("notes", "string"), F.lit(""))), F.lit(NO_EXCERPT)).alias("source_excerpt"),
+        F.coalesce(
+            F.concat(F.lit("[legacy notes] "), F.nullif(has("notes", "string"), F.lit(""))), F.lit(NO_EXCERPT)
+        ).alias("source_excerpt"),
     )
     tokens = F.struct(has("prompt_tokens", "bigint").alias("input"), has("completion_tokens", "bigint").alias("output"))
     entities = F.array().cast("array<struct<entity_id:string,name:string,type:string,canonical_value:string>>")
     return good.select(
-        uuid5(ns["doc_id"], F.col("doc_id")).alias("doc_id"), F.col("document_name").alias("source_path"), F.lit(None).cast("string").alias("source_hash"), F.array(fact).alias("extracted_facts"), entities.alias("entities"),
-        F.lit(None).cast("string").alias("extraction_model"), has("processing_time_ms", "bigint").alias("processing_time_ms"), tokens.alias("token_count"), F.col("timestamp").alias("extracted_at"),
+        uuid5(
+            ns["doc_id"], F.col("doc_id")
+        ).alias("doc_id"), F.col("document_name").alias("source_path"), F.lit(None).cast("string").alias("source_hash"), F.array(fact).alias("extracted_facts"), entities.alias("entities"),
+        F.lit(None).cast("string").alias("extraction_model"), has(
+            "processing_time_ms", "bigint"
+        ).alias("processing_time_ms"), tokens.alias("token_count"), F.col("timestamp").alias("extracted_at"),
     ), bad
 
 
@@ -185,8 +215,14 @@ def traces(raw: DataFrame, namespace: str, tag: str = "migrated") -> tuple[DataF
     text = lambda p: F.coalesce(get(p, "variant").cast("string"), F.lit("null"))
     came = F.concat_ws("\n", *[text(p) for p in ("inputs", "outputs", "metadata", "langsmith")])
     meta, rev = F.coalesce(get("metadata", m), F.create_map().cast(m)), get("metadata.revision_id")
-    clean = F.map_concat(F.map_filter(meta, lambda k, _: ~k.isin("revision_id", "revision_id_original")), F.create_map(F.lit("revision_id"), strip_dirty(rev).cast("variant")))
-    clean = F.when(F.endswith(rev, F.lit("-dirty")), F.map_concat(clean, F.create_map(F.lit("revision_id_original"), rev.cast("variant")))).when(rev.isNotNull(), clean).otherwise(meta)
+    clean = F.map_concat(
+        F.map_filter(meta, lambda k, _: ~k.isin("revision_id", "revision_id_original")),
+        F.create_map(F.lit("revision_id"), strip_dirty(rev).cast("variant"))
+    )
+    clean = F.when(
+        F.endswith(rev, F.lit("-dirty")),
+        F.map_concat(clean, F.create_map(F.lit("revision_id_original"), rev.cast("variant")))
+    ).when(rev.isNotNull(), clean).otherwise(meta)
     envelope = F.parse_json(F.to_json(F.struct(clean.alias("metadata"), get("langsmith", "variant").alias("langsmith"))))
     inner = F.map_filter(get("inputs", m), lambda k, _: k != "_migration_source_envelope")
     session = F.coalesce(get("inputs.session_id"), get("outputs.session_id"))
@@ -194,9 +230,15 @@ def traces(raw: DataFrame, namespace: str, tag: str = "migrated") -> tuple[DataF
     named = F.nullif(get("metadata.LANGSMITH_PROJECT"), F.lit(""))
     none = lambda k, *cs: [F.lit(None).cast(k).alias(c) for c in cs]
     return good.select(
-        uuid5(ns["run_id"], came).alias("id"), F.concat_ws("/", project, F.coalesce(session, F.lit("no-session"))).alias("name"), F.lit("chain").alias("run_type"),
-        F.map_concat(inner, F.create_map(F.lit("_migration_source_envelope"), envelope)).alias("inputs"), get("outputs", m).alias("outputs"), *none("string", "error", "start_time", "end_time"),
-        *none("bigint", "total_tokens", "prompt_tokens", "completion_tokens"), *none("double", "total_cost"), F.array_distinct(F.array_compact(F.array(named, project, F.lit(tag)))).alias("tags"),
+        uuid5(ns["run_id"], came).alias("id"), F.concat_ws(
+            "/", project, F.coalesce(session, F.lit("no-session"))
+        ).alias("name"), F.lit("chain").alias("run_type"),
+        F.map_concat(
+            inner, F.create_map(F.lit("_migration_source_envelope"), envelope)
+        ).alias("inputs"), get("outputs", m).alias("outputs"), *none("string", "error", "start_time", "end_time"),
+        *none(
+            "bigint", "total_tokens", "prompt_tokens", "completion_tokens"
+        ), *none("double", "total_cost"), F.array_distinct(F.array_compact(F.array(named, project, F.lit(tag)))).alias("tags"),
         *none("string", "parent_run_id"), uuid5(ns["session_id"], F.coalesce(session, F.lit("missing-session"))).alias("session_id"),
     ), bad
 
@@ -213,7 +255,9 @@ def lineage(snapshot: DataFrame, root: str) -> DataFrame:
     def moved(n: Column) -> Column:
         has = lambda k: n["metadata"][k].cast("string") if k in known else F.lit(None).cast("string")
         rest = [n["metadata"][k].alias(k) for k in known if k not in METADATA]
-        return n.withField("node_id", relative_to(n["node_id"], root)).withField("metadata", F.struct(*[has(k).alias(k) for k in METADATA], *rest))
+        return n.withField("node_id", relative_to(n["node_id"], root)).withField(
+            "metadata", F.struct(*[has(k).alias(k) for k in METADATA], *rest)
+        )
 
     ends = lambda e: e.withField("source", relative_to(e["source"], root)).withField("target", relative_to(e["target"], root))
     return snapshot.withColumn("nodes", F.transform("nodes", moved)).withColumn("edges", F.transform("edges", ends))

@@ -24,7 +24,15 @@ def numeric_profile(df: DataFrame, columns: list[str], sample_std: bool = False,
         good = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
         q = F.percentile_approx(good, list(QUANTILES), 10000)
         std = F.stddev_samp(good) if sample_std else F.stddev_pop(good)
-        aggs.append(F.struct(F.lit(c).alias("column_name"), F.count(good).alias("n"), F.count_if(F.col(c).isNull()).alias("nulls"), F.count_if(F.col(c).isNotNull() & good.isNull()).alias("dropped"), F.min(good).alias("min"), F.max(good).alias("max"), F.avg(good).alias("mean"), *[q[i].alias(f"p{int(x * 100)}") for i, x in enumerate(QUANTILES)], F.coalesce(std, F.lit(0.0)).alias("stddev")).alias(f"s_{c}"))
+        aggs.append(
+            F.struct(
+                F.lit(c).alias("column_name"), F.count(good).alias("n"), F.count_if(F.col(c).isNull()).alias("nulls"),
+                F.count_if(F.col(c).isNotNull() & good.isNull()).alias("dropped"), F.min(good).alias("min"),
+                F.max(good).alias("max"), F.avg(good).alias("mean"),
+                *[q[i].alias(f"p{int(x * 100)}") for i, x in enumerate(QUANTILES)],
+                F.coalesce(std, F.lit(0.0)).alias("stddev")
+            ).alias(f"s_{c}")
+        )
     out = df.agg(*aggs).select(F.explode(F.array(*[F.col(f"s_{c}") for c in columns])).alias("r")).select("r.*")
     if not exact:
         return out
@@ -39,15 +47,21 @@ def exact_quantiles(df: DataFrame, columns: list[str]) -> DataFrame:
     ranked by the counts of the ranges before theirs: no task holds a column.
     """
     v = lambda c: F.col(c).try_cast("double")
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), v(c).alias("v")) for c in columns])).alias("r")).select("r.*")
+    long = df.select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), v(c).alias("v")) for c in columns])).alias("r")
+    ).select("r.*")
     long = long.where(~F.isnan("v") & (F.abs("v") != float("inf"))).groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
     ranged = cut(long.repartitionByRange("column_name", "v").withColumn("part", F.spark_partition_id()))
     part = ranged.groupBy("column_name", "part").agg(F.sum("n").alias("size"))  # a row for each range of a column
     run = Window.partitionBy("column_name").orderBy("part")
-    part = part.withColumn("before", F.sum("size").over(run) - F.col("size")).withColumn("all", F.sum("size").over(Window.partitionBy("column_name")))
+    part = part.withColumn("before", F.sum("size").over(run) - F.col("size")).withColumn(
+        "all", F.sum("size").over(Window.partitionBy("column_name"))
+    )
     w = Window.partitionBy("column_name", "part").orderBy("v")
     last = F.sum("n").over(w) + F.col("before")
-    at = ranged.join(F.broadcast(part.drop("size")), ["column_name", "part"]).withColumn("last", last).withColumn("first", F.col("last") - F.col("n"))
+    at = ranged.join(
+        F.broadcast(part.drop("size")), ["column_name", "part"]
+    ).withColumn("last", last).withColumn("first", F.col("last") - F.col("n"))
     out = []
     for q in QUANTILES:
         place = q * (F.col("all") - 1)
@@ -67,12 +81,25 @@ def structural_profile(df: DataFrame, columns: list[str] | None = None, exact: b
     columns = columns or df.columns
     kinds = dict(df.dtypes)
     count = lambda c: F.approx_count_distinct(c, 0.02)
-    aggs = [F.struct(F.lit(c).alias("column_name"), F.lit(kinds[c]).alias("dtype"), F.coalesce(F.round(F.try_divide(F.count_if(F.col(c).isNull()), F.count(F.lit(1))), 6), F.lit(1.0)).alias("null_fraction"), count(F.to_json(F.struct(c)) if kinds[c].startswith(("struct", "map", "array")) else F.col(c)).alias("cardinality"), F.count(F.lit(1)).alias("rows")).alias(f"s_{c}") for c in columns]
+    aggs = [
+        F.struct(
+            F.lit(c).alias("column_name"), F.lit(kinds[c]).alias("dtype"),
+            F.coalesce(F.round(F.try_divide(F.count_if(F.col(c).isNull()), F.count(F.lit(1))), 6), F.lit(1.0)).alias("null_fraction"),
+            count(F.to_json(F.struct(c)) if kinds[c].startswith(("struct", "map", "array")) else F.col(c)).alias("cardinality"),
+            F.count(F.lit(1)).alias("rows")
+        ).alias(f"s_{c}") for c in columns
+    ]
     out = df.agg(*aggs).select(F.explode(F.array(*[F.col(f"s_{c}") for c in columns])).alias("r")).select("r.*")
     if not exact:
         return out
-    value = lambda c: (F.to_json(F.struct(c)) if kinds[c].startswith(("struct", "map", "array")) else (F.col(c) + 0.0 if kinds[c] in ("float", "double") else F.col(c)).cast("string"))
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), value(c).alias("v")) for c in columns])).alias("r")).select("r.*")
+    value = lambda c: (
+        F.to_json(F.struct(c)) if kinds[c].startswith(("struct", "map", "array")) else (
+            F.col(c) + 0.0 if kinds[c] in ("float", "double") else F.col(c)
+        ).cast("string")
+    )
+    long = df.select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), value(c).alias("v")) for c in columns])).alias("r")
+    ).select("r.*")
     counted = long.where("v is not null").distinct().groupBy("column_name").agg(F.count(F.lit(1)).alias("exact"))
     return out.join(counted, "column_name", "left").withColumn("cardinality", F.coalesce("exact", F.lit(0))).select(out.columns)
 
@@ -100,15 +127,26 @@ def shape_samples(df: DataFrame, column: str, k: int | None = 5) -> DataFrame:
 
 def confidence_flags(df: DataFrame, column: str) -> DataFrame:
     v = F.col(column).try_cast("double")
-    one = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.avg(v).alias("mean"), F.count_if(F.col(column).isNotNull() & v.isNull()).alias("dropped"))
-    flags = F.array_compact(F.array(F.when((F.col("lo") < 0) | (F.col("hi") > 1), "OUTSIDE_0_1_RANGE"), F.when(F.col("mean") > 0.99, "MEAN_GT_0_99_CLAMP_SUSPECT"), F.when(F.col("mean") < 0.01, "MEAN_LT_0_01_BROKEN_SUSPECT")))
+    one = df.agg(
+        F.min(v).alias("lo"), F.max(v).alias("hi"), F.avg(v).alias("mean"),
+        F.count_if(F.col(column).isNotNull() & v.isNull()).alias("dropped")
+    )
+    flags = F.array_compact(
+        F.array(
+            F.when((F.col("lo") < 0) | (F.col("hi") > 1), "OUTSIDE_0_1_RANGE"),
+            F.when(F.col("mean") > 0.99, "MEAN_GT_0_99_CLAMP_SUSPECT"),
+            F.when(F.col("mean") < 0.01, "MEAN_LT_0_01_BROKEN_SUSPECT")
+        )
+    )
     return one.withColumn("flags", flags)
 
 
 def suggest_clauses(df: DataFrame) -> dict[str, dict]:
     """A schema from profiles: one small row for each column comes to the driver."""
     kinds, out = dict(df.dtypes), {}
-    contract_type = lambda k: "integer" if k in ("tinyint", "smallint", "int", "bigint") else "number" if k in ("float", "double") or k.startswith("decimal") else "boolean" if k == "boolean" else "array" if k.startswith("array") else "object" if k.startswith(("struct", "map")) else "string"
+    contract_type = lambda k: "integer" if k in (
+        "tinyint", "smallint", "int", "bigint"
+    ) else "number" if k in ("float", "double") or k.startswith("decimal") else "boolean" if k == "boolean" else "array" if k.startswith("array") else "object" if k.startswith(("struct", "map")) else "string"
     for r in structural_profile(df, exact=True).collect():
         name, clause = r.column_name, {"type": contract_type(kinds[r.column_name]), "required": r.null_fraction == 0.0}
         if "confidence" in name and clause["type"] == "number":

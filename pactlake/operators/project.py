@@ -45,17 +45,38 @@ def _columns(paths: dict[str, str]) -> list[Column]:
 
 
 def extractions(records: DataFrame) -> DataFrame:
-    flat = _columns({"doc_id": "string", "source_path": "string", "source_hash": "string", "extraction_model": "string", "processing_time_ms": "double", "token_count.input": "bigint", "token_count.output": "bigint", "extracted_at": "string"})
-    return records.select(*flat, length("entities").alias("entities_len"), length("extracted_facts").alias("extracted_facts_len"), first_number("extracted_facts", "confidence").alias("primary_fact_confidence"))
+    flat = _columns(
+        {
+            "doc_id": "string", "source_path": "string", "source_hash": "string", "extraction_model": "string",
+            "processing_time_ms": "double", "token_count.input": "bigint", "token_count.output": "bigint",
+            "extracted_at": "string"
+        }
+    )
+    return records.select(
+        *flat, length("entities").alias("entities_len"), length("extracted_facts").alias("extracted_facts_len"),
+        first_number("extracted_facts", "confidence").alias("primary_fact_confidence")
+    )
 
 
 def events(records: DataFrame) -> DataFrame:
-    flat = _columns({"event_id": "string", "event_type": "string", "aggregate_id": "string", "aggregate_type": "string", "sequence_number": "bigint", "schema_version": "string", "occurred_at": "string", "recorded_at": "string", "metadata.correlation_id": "string", "metadata.source_service": "string"})
+    flat = _columns(
+        {
+            "event_id": "string", "event_type": "string", "aggregate_id": "string", "aggregate_type": "string",
+            "sequence_number": "bigint", "schema_version": "string", "occurred_at": "string", "recorded_at": "string",
+            "metadata.correlation_id": "string", "metadata.source_service": "string"
+        }
+    )
     return records.select(*flat, F.coalesce(key_count("payload"), F.lit(0)).alias("payload_key_count"))
 
 
 def traces(records: DataFrame) -> DataFrame:
-    flat = _columns({"id": "string", "name": "string", "run_type": "string", "session_id": "string", "error": "string", "start_time": "string", "end_time": "string", "total_tokens": "bigint", "prompt_tokens": "bigint", "completion_tokens": "bigint", "total_cost": "double"})
+    flat = _columns(
+        {
+            "id": "string", "name": "string", "run_type": "string", "session_id": "string", "error": "string",
+            "start_time": "string", "end_time": "string", "total_tokens": "bigint", "prompt_tokens": "bigint",
+            "completion_tokens": "bigint", "total_cost": "double"
+        }
+    )
     counts = [F.coalesce(key_count(c), F.lit(0)).alias(f"{c}_key_count") for c in ("inputs", "outputs")]
     return records.select(*flat, F.coalesce(canonical("tags"), F.lit("[]")).alias("tags_repr"), *counts)
 
@@ -65,14 +86,19 @@ def graph(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     def rows(name: str, paths: dict[str, str]) -> DataFrame:
         return records.select(F.explode(at(name, "array<variant>")).alias("v")).where("v is not null").select(*_columns(paths))
 
-    nodes = rows("nodes", {"node_id": "string", "type": "string", "label": "string", "metadata.path": "string", "metadata.language": "string"})
+    nodes = rows(
+        "nodes",
+        {"node_id": "string", "type": "string", "label": "string", "metadata.path": "string", "metadata.language": "string"}
+    )
     return nodes, rows("edges", {"source": "string", "target": "string", "relationship": "string", "confidence": "double"})
 
 
 def type_mix(records: DataFrame, path: str) -> DataFrame:
     """kinds, n, status: WARN if a field's values are of several types."""
     kind = F.schema_of_variant(at(path, "variant"))
-    kind = F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), "NUMBER").when(kind.rlike("^[A-Z]+<"), F.regexp_extract(kind, "^[A-Z]+", 0)).when(kind != "VOID", kind)
+    kind = F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), "NUMBER").when(
+        kind.rlike("^[A-Z]+<"), F.regexp_extract(kind, "^[A-Z]+", 0)
+    ).when(kind != "VOID", kind)
     one = records.select(kind.alias("kind")).agg(F.array_sort(F.collect_set("kind")).alias("kinds"), F.count("kind").alias("n"))
     return one.withColumn("status", F.when(F.size("kinds") > 1, "WARN").otherwise("PASS"))
 
@@ -81,7 +107,9 @@ def shape_caveats(records: DataFrame, arrays: list[str], numbers: list[str]) ->
     """(field, problem, n): arrays that are missing or no arrays, numbers that aren't; n > 0 only."""
     aggs = []
     def add(field: str, problem: str, cond: Column) -> None:
-        aggs.append(F.struct(F.lit(field).alias("field"), F.lit(problem).alias("problem"), F.count_if(F.coalesce(cond, F.lit(False))).alias("n")))
+        aggs.append(
+            F.struct(F.lit(field).alias("field"), F.lit(problem).alias("problem"), F.count_if(F.coalesce(cond, F.lit(False))).alias("n"))
+        )
 
     for p in arrays:
         kind = F.coalesce(F.schema_of_variant(at(p, "variant")), F.lit("VOID"))

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.text import field_token
 from ..model import ISO_DATE_TIME
 
-REQUIRED = ("contract_id", "subscriber_id", "subscriber_team", "fields_consumed", "breaking_fields", "validation_mode", "registered_at", "contact")
+REQUIRED = (
+    "contract_id", "subscriber_id", "subscriber_team", "fields_consumed", "breaking_fields", "validation_mode",
+    "registered_at", "contact"
+)
 MODES = ("AUDIT", "WARN", "ENFORCE")
 
 
@@ -23,11 +26,20 @@ def blast_radius(failures: DataFrame, registry: DataFrame) -> DataFrame:
     Fields may be comma-separated; ``*`` hits every subscriber of the contract. The
     match runs within a contract, an equi-join; an empty field hits none.
     """
-    f = failures.select("contract_id", "check_id", "column_name", F.explode(F.split(F.coalesce("column_name", F.lit("")), ",")).alias("raw"))
+    f = failures.select(
+        "contract_id", "check_id", "column_name",
+        F.explode(F.split(F.coalesce("column_name", F.lit("")), ",")).alias("raw")
+    )
     f = f.withColumn("failing", field_token(F.col("raw"))).where("failing <> ''")
-    r = registry.select("contract_id", "subscriber_id", F.posexplode("breaking_fields").alias("nth", "bf")).select("contract_id", "subscriber_id", "nth", field_token(F.col("bf.field")).alias("breaking"), F.col("bf.reason").alias("reason"))
+    r = registry.select("contract_id", "subscriber_id", F.posexplode("breaking_fields").alias("nth", "bf")).select(
+        "contract_id", "subscriber_id", "nth", field_token(F.col("bf.field")).alias("breaking"),
+        F.col("bf.reason").alias("reason")
+    )
     j = f.join(r, "contract_id").where((F.col("failing") == "*") | prefix_match(F.col("failing"), F.col("breaking")))
-    return j.groupBy("contract_id", "check_id", "column_name", "subscriber_id").agg(F.min_by(F.struct("breaking", "reason"), "nth").alias("m")).select("contract_id", "check_id", "column_name", "subscriber_id", F.col("m.breaking").alias("matched_field"), F.col("m.reason").alias("reason"))
+    return j.groupBy("contract_id", "check_id", "column_name", "subscriber_id").agg(F.min_by(F.struct("breaking", "reason"), "nth").alias("m")).select(
+        "contract_id", "check_id", "column_name", "subscriber_id", F.col("m.breaking").alias("matched_field"),
+        F.col("m.reason").alias("reason")
+    )
 
 
 def gaps(failures: DataFrame, hits: DataFrame) -> DataFrame:

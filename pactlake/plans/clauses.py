@@ -21,7 +21,10 @@ from ..model import RESULT, UUID, Clause, prefix_of
 #: Columns that name a row in samples, by preference.
 KEYS = ("doc_id", "event_id", "id")
 #: What a type is called in results; fixed names.
-DTYPES = {"tinyint": "int8", "smallint": "int16", "int": "int32", "bigint": "int64", "float": "float32", "double": "float64", "string": "object", "boolean": "bool"}
+DTYPES = {
+    "tinyint": "int8", "smallint": "int16", "int": "int32", "bigint": "int64", "float": "float32", "double": "float64",
+    "string": "object", "boolean": "bool"
+}
 WHOLE = ("tinyint", "smallint", "int", "bigint")
 #: Most characters of a sample.
 SHOWN = 64
@@ -68,14 +71,23 @@ class Field:
 
 
 def _error(clause: Clause, actual: str, message: str) -> Clause:
-    return Clause(clause.check_id, clause.column, clause.check_type, clause.expected, kind="error", message=message, params={"actual": actual})
+    return Clause(
+        clause.check_id, clause.column, clause.check_type, clause.expected, kind="error", message=message,
+        params={"actual": actual}
+    )
 
 
 def _required(f: Field) -> Clause:
     if "." in f.path:
-        return f.clause("required", "not_null", "required", bad=f.col.isNull(), sample=f.key, said=("missing", "missing=0"), message=f"{f.path} is required.")
+        return f.clause(
+            "required", "not_null", "required", bad=f.col.isNull(), sample=f.key, said=("missing", "missing=0"),
+            message=f"{f.path} is required."
+        )
     message = f"Required field '{f.path}' is null or absent on {{n}} record(s)."
-    return f.clause("required", "not_null", "all non-null", bad=f.col.isNull(), sample=f.key, said=("missing_count", "missing_count=0"), message=message)
+    return f.clause(
+        "required", "not_null", "all non-null", bad=f.col.isNull(), sample=f.key,
+        said=("missing_count", "missing_count=0"), message=message
+    )
 
 
 def _type(f: Field) -> Clause:
@@ -84,7 +96,10 @@ def _type(f: Field) -> Clause:
     numeric = name in DTYPES and name not in ("string", "boolean") or name.startswith("decimal")
     said = DTYPES.get(name, name)
     expected = {"integer": "integer", "number": "float64 or int64 (numeric)"}.get(want, want)
-    out = f.clause("type_match", "type", expected, expected_ok="numeric" if want == "number" else None, bad=F.lit(False), sample=F.typeof(f.col))
+    out = f.clause(
+        "type_match", "type", expected, expected_ok="numeric" if want == "number" else None, bad=F.lit(False),
+        sample=F.typeof(f.col)
+    )
     if f.kind is None:
         return _error(out, "column_absent", f"Cannot run type check: the data has no column '{f.path}'.")
     if want == "number":
@@ -96,7 +111,10 @@ def _type(f: Field) -> Clause:
         ok = F.lit(name.startswith({"array": "array", "object": ("struct", "map", "variant")}.get(want, want)))
     params = {"failing": F.when(ok, F.lit(0)).otherwise(F.count(f.col)), "actual": F.lit(f"dtype={said}")}
     message = f"Contract type {want} but column '{f.path}' is not {'numeric' if want == 'number' else want}."
-    return f.clause("type_match", "type", expected, expected_ok=out.expected_ok, bad=F.lit(False), sample=F.typeof(f.col), said=("dtype", said), message=message, params=params)
+    return f.clause(
+        "type_match", "type", expected, expected_ok=out.expected_ok, bad=F.lit(False), sample=F.typeof(f.col),
+        said=("dtype", said), message=message, params=params
+    )
 
 
 def _texts(f: Field) -> list[Clause]:
@@ -109,17 +127,37 @@ def _texts(f: Field) -> list[Clause]:
         pattern = UUID if nested else spec.get("pattern") or UUID
         bad = there & ~(string & f.col.cast("string").rlike("(?i)" + anchored(pattern)))
         if nested:
-            out.append(f.clause("format", "format", "uuid", bad=bad, applies=there, sample=f.shown(), empty="NONE", said=("invalid", "valid"), message=f"{f.path} must be a UUID."))
+            out.append(
+                f.clause(
+                    "format", "format", "uuid", bad=bad, applies=there, sample=f.shown(), empty="NONE",
+                    said=("invalid", "valid"), message=f"{f.path} must be a UUID."
+                )
+            )
         else:
             message = f"Field '{f.path}' does not match UUID pattern."
-            out.append(f.clause("format.uuid", "format", spec.get("pattern") or "uuid", expected_ok="uuid", bad=bad, applies=there, sample=f.shown(), said=("invalid_uuid_count", "all valid uuid shape"), message=message))
+            out.append(
+                f.clause(
+                    "format.uuid", "format", spec.get("pattern") or "uuid", expected_ok="uuid", bad=bad, applies=there,
+                    sample=f.shown(), said=("invalid_uuid_count", "all valid uuid shape"), message=message
+                )
+            )
     elif spec.get("pattern"):
         bad = there & ~(string & f.col.cast("string").rlike(anchored(spec["pattern"])))
-        out.append(f.clause("pattern", "pattern", spec["pattern"], bad=bad, applies=there, sample=f.shown(), said=("pattern_mismatch", "all match or null"), message=f"Field '{f.path}' does not match pattern."))
+        out.append(
+            f.clause(
+                "pattern", "pattern", spec["pattern"], bad=bad, applies=there, sample=f.shown(),
+                said=("pattern_mismatch", "all match or null"), message=f"Field '{f.path}' does not match pattern."
+            )
+        )
     if spec.get("format") == "date-time":
         bad = there & parse_time(f.col).isNull()
         message = "date-time field has values that do not parse as ISO-8601."
-        out.append(f.clause("format.date-time", "format", "ISO-8601", bad=bad, applies=there, sample=f.shown(), said=("unparseable_count", "all parseable"), message=message))
+        out.append(
+            f.clause(
+                "format.date-time", "format", "ISO-8601", bad=bad, applies=there, sample=f.shown(),
+                said=("unparseable_count", "all parseable"), message=message
+            )
+        )
     return out
 
 
@@ -128,8 +166,14 @@ def _enum(f: Field) -> Clause:
     inside = F.col(f.path).cast("string").isin(allowed) if f.kind is not None else F.lit(None)
     if f.spec.get("null_is_bad"):
         expected = str(sorted(allowed))
-        return f.clause("enum", "accepted_values", expected, bad=~F.coalesce(inside, F.lit(False)), sample=f.key, empty="NONE", said=("invalid_count", "valid"), message=f"{f.path} must be enum value.")
-    out = f.clause("enum", "enum", "|".join(allowed), bad=~F.coalesce(inside, F.lit(True)), applies=f.col.isNotNull(), sample=f.shown(), said=("non_conforming_count", "all values in enum"), message="Values outside contract enum.")
+        return f.clause(
+            "enum", "accepted_values", expected, bad=~F.coalesce(inside, F.lit(False)), sample=f.key, empty="NONE",
+            said=("invalid_count", "valid"), message=f"{f.path} must be enum value."
+        )
+    out = f.clause(
+        "enum", "enum", "|".join(allowed), bad=~F.coalesce(inside, F.lit(True)), applies=f.col.isNotNull(),
+        sample=f.shown(), said=("non_conforming_count", "all values in enum"), message="Values outside contract enum."
+    )
     return _error(out, "column_absent", f"Cannot run enum check: no column '{f.path}' in the data.") if f.kind is None else out
 
 
@@ -144,7 +188,12 @@ def _bounds(f: Field) -> list[Clause]:
         expected = f"{'>=' if op == '<' else '<='} {limit}"
         message = f"{'Integer' if f.spec.get('type') == 'integer' else 'Number'} '{f.path}' must be {expected}."
         there = f.col.isNotNull()
-        out.append(f.clause(name, "range", expected, bad=there & outside, applies=there, sample=f.key, said=(f"{side}_{name}_count", f"all {expected}"), message=message))
+        out.append(
+            f.clause(
+                name, "range", expected, bad=there & outside, applies=there, sample=f.key,
+                said=(f"{side}_{name}_count", f"all {expected}"), message=message
+            )
+        )
     return out
 
 
@@ -154,7 +203,10 @@ def _outside(lo: float, hi: float):
 
 def _numbers(f: Field, name: str, label: str | None, lo: float, hi: float) -> tuple[Column, Column]:
     """The numbers of an array's elements, and what names the elements whose number is out of range."""
-    pair = lambda x: F.struct(x[name].try_cast("double").alias("v"), (x[label].cast("string") if label else F.lit(None).cast("string")).alias("k"))
+    pair = lambda x: F.struct(
+        x[name].try_cast("double").alias("v"),
+        (x[label].cast("string") if label else F.lit(None).cast("string")).alias("k")
+    )
     pairs, outside = F.transform(f.col, pair), _outside(lo, hi)
     values = F.filter(F.transform(pairs, lambda x: x["v"]), lambda v: v.isNotNull())
     return values, F.transform(F.filter(pairs, lambda x: outside(x["v"])), lambda x: F.coalesce(x["k"], f.key))
@@ -182,12 +234,20 @@ def _elements(f: Field) -> list[Clause]:
         actual = F.concat(F.lit("max="), short_number(top, 4), F.lit(", mean="), short_number(total, 4))
         message = (
             F.when(top > 1.0, "confidence is in 0–100 range, not 0.0–1.0. Breaking change detected.")
-            .when(low < lo, f"One or more values of {column} are below the contract minimum ({lo}).").otherwise(f"One or more values of {column} violate the contract range.")
+            .when(
+                low < lo, f"One or more values of {column} are below the contract minimum ({lo})."
+            ).otherwise(f"One or more values of {column} violate the contract range.")
         )
-        params = {"failing": F.coalesce(F.sum(F.size(F.filter(values, outside))), F.lit(0)), "actual": actual, "message": message if (lo, hi) == (0.0, 1.0) else f"Values of {column} violate the contract range.", "none": ok_expected}
+        params = {
+            "failing": F.coalesce(F.sum(F.size(F.filter(values, outside))), F.lit(0)), "actual": actual,
+            "message": message if (lo, hi) == (0.0, 1.0) else f"Values of {column} violate the contract range.",
+            "none": ok_expected
+        }
         out.append(
             Clause(
-                cid, column, "range", bad_expected, bad=F.coalesce(F.exists(values, outside), F.lit(False)), applies=F.coalesce(F.size(values) > 0, F.lit(False)),
+                cid, column, "range", bad_expected, bad=F.coalesce(
+                    F.exists(values, outside), F.lit(False)
+                ), applies=F.coalesce(F.size(values) > 0, F.lit(False)),
                 sample=ids, empty="WARN", said=("failing", f"all in [{lo},{hi}]"), expected_ok=ok_expected, params=params,
             )
         )
@@ -223,7 +283,9 @@ def unique_clause(check_id: str, column: str, keys: list[str], absent: bool = Fa
 
 
 _NUMBER = r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
-_LINE = re.compile(rf"(?:(?P<rows>row_count)|(?P<what>missing_count|duplicate_count|min|max|avg|sum)\((?P<column>\w+)\))\s*(?P<op>>=|<=|>|<|=)\s*(?P<limit>{_NUMBER})")
+_LINE = re.compile(
+    rf"(?:(?P<rows>row_count)|(?P<what>missing_count|duplicate_count|min|max|avg|sum)\((?P<column>\w+)\))\s*(?P<op>>=|<=|>|<|=)\s*(?P<limit>{_NUMBER})"
+)
 
 
 def _holds(v: Column, op: str, limit: float) -> Column:
@@ -243,20 +305,32 @@ def quality_clause(line: str, prefix: str, columns: dict[str, Column]) -> Clause
     cid = f"{prefix}.quality.{'row_count' if column is None else f'{column}.{what}'}"
     expected = f"{op} {int(limit) if column is None and limit == int(limit) else limit}"
     if column is None:
-        params = {"agg": F.count(F.lit(1)).cast("double"), "shown": F.count(F.lit(1)).cast("string"), "op": op, "limit": limit, "each": F.count(F.lit(1))}
+        params = {
+            "agg": F.count(F.lit(1)).cast("double"), "shown": F.count(F.lit(1)).cast("string"), "op": op,
+            "limit": limit, "each": F.count(F.lit(1))
+        }
         return Clause(cid, "*", "volume", expected, kind="aggregate", said=("row_count", ""), message=line, params=params)
     c = columns[column]
     if what == "missing_count" and (op, limit) == ("=", 0.0):
-        return Clause(cid, column, "completeness", "0", bad=c.isNull(), sample=F.lit(None).cast("string"), said=("missing_count", "missing_count=0"), message=line, params={"always": line})
+        return Clause(
+            cid, column, "completeness", "0", bad=c.isNull(), sample=F.lit(None).cast("string"),
+            said=("missing_count", "missing_count=0"), message=line, params={"always": line}
+        )
     if what == "missing_count":
         n = F.count_if(c.isNull())
-        return Clause(cid, column, "completeness", expected, kind="aggregate", said=("missing_count", ""), message=line, params={"agg": n.cast("double"), "shown": n.cast("string"), "op": op, "limit": limit, "each": n})
+        return Clause(
+            cid, column, "completeness", expected, kind="aggregate", said=("missing_count", ""), message=line,
+            params={"agg": n.cast("double"), "shown": n.cast("string"), "op": op, "limit": limit, "each": n}
+        )
     if what == "duplicate_count":
         return unique_clause(cid, column, [column], message=line)
     v = c.try_cast("double")
     agg = {"min": F.min, "max": F.max, "avg": F.avg, "sum": F.sum}[what](v)
     each = F.count_if(~_holds(v, op, limit)) if (what, op[0]) in (("min", ">"), ("max", "<")) else F.lit(1)
-    return Clause(cid, column, "range", expected, kind="aggregate", said=(what, ""), message=line, params={"agg": agg, "shown": agg.cast("string"), "op": op, "limit": limit, "each": each})
+    return Clause(
+        cid, column, "range", expected, kind="aggregate", said=(what, ""), message=line,
+        params={"agg": agg, "shown": agg.cast("string"), "op": op, "limit": limit, "each": each}
+    )
 
 
 def rule_clause(rule: dict[str, Any], cid: str, key: Column) -> Clause:
@@ -268,15 +342,23 @@ def rule_clause(rule: dict[str, Any], cid: str, key: Column) -> Clause:
         params = {"failing": F.least(failing, F.lit(1))} if rule.get("first_only") else {}
         return Clause(
             cid, column, rule.get("check_type", "custom"), rule.get("expected", "expression"), severity, bad=F.expr(f"not ({holds})"), applies=F.expr(f"({holds}) is not null"), sample=key,
-            empty=rule.get("empty", "PASS"), said=(rule.get("said", "violations"), rule.get("ok", "ok")), expected_ok=rule.get("expected_ok"), message=rule.get("message", ""), params=params,
+            empty=rule.get("empty", "PASS"), said=(
+                rule.get("said", "violations"), rule.get("ok", "ok")
+            ), expected_ok=rule.get("expected_ok"), message=rule.get("message", ""), params=params,
         )
     if kind == "unique":
         return unique_clause(cid, column, rule["keys"], severity=severity)
     if kind == "sequence":
-        return Clause(cid, column, "sequence", rule.get("expected", "+1 per group"), severity, kind="sequence", said=("breaks", "monotonic"), message="Values of a group have to follow one another.", params=rule)
+        return Clause(
+            cid, column, "sequence", rule.get("expected", "+1 per group"), severity, kind="sequence",
+            said=("breaks", "monotonic"), message="Values of a group have to follow one another.", params=rule
+        )
     if kind != "reference":
         raise ValueError(f"unknown kind of rule: {kind}")
-    return Clause(cid, column, "referential", "reference", severity, kind="reference", said=("orphans", "all resolve"), message="Keys have to be in the other table.", params=rule)
+    return Clause(
+        cid, column, "referential", "reference", severity, kind="reference", said=("orphans", "all resolve"),
+        message="Keys have to be in the other table.", params=rule
+    )
 
 
 def derived_columns(contract: dict[str, Any], df: DataFrame) -> dict[str, Column]:

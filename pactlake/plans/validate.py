@@ -26,7 +26,10 @@ def _none() -> Column:
     return F.array().cast("array<string>")
 
 
-def _result(clause: Clause, failing: Column, applied: Column, actual: Column | None = None, samples: Column | None = None, message: Column | None = None) -> Column:
+def _result(
+    clause: Clause, failing: Column, applied: Column, actual: Column | None = None, samples: Column | None = None,
+    message: Column | None = None
+) -> Column:
     """A result row. Whatever passes is LOW; warnings and errors are WARNING, so that they don't block."""
     failed = failing > 0
     none = ~failed & (applied == 0)
@@ -44,7 +47,9 @@ def _result(clause: Clause, failing: Column, applied: Column, actual: Column | N
         F.lit(clause.check_id).alias("check_id"), F.lit(clause.column).alias("column_name"), F.lit(clause.check_type).alias("check_type"), status.alias("status"),
         F.when(failed, actual if actual is not None else count).otherwise(ok).alias("actual_value"), expected.alias("expected"),
         F.when(failed, clause.severity).when(none & F.lit(clause.empty == "WARN"), "WARNING").otherwise("LOW").alias("severity"),
-        failing.cast("long").alias("records_failing"), (samples if samples is not None else _none()).alias("sample_failing"), F.when(failed, said).otherwise(on_pass).alias("message"),
+        failing.cast("long").alias("records_failing"), (
+            samples if samples is not None else _none()
+        ).alias("sample_failing"), F.when(failed, said).otherwise(on_pass).alias("message"),
     )
 
 
@@ -58,18 +63,31 @@ def row_results(df: DataFrame, clauses: list[Clause], samples: bool = True) -> D
     one = df.agg(*aggs)
     made = lambda k, i, c: F.col(f"{k}{i}") if isinstance(c.params.get(k), Column) else None
     plain = lambda i, c: F.lit(c.params["message"]) if isinstance(c.params.get("message"), str) else made("message", i, c)
-    rows = [_result(c, F.coalesce(F.col(f"f{i}"), F.lit(0)), F.col(f"n{i}"), made("actual", i, c), message=plain(i, c)) for i, c in enumerate(clauses)]
+    rows = [
+        _result(c, F.coalesce(F.col(f"f{i}"), F.lit(0)), F.col(f"n{i}"), made("actual", i, c), message=plain(i, c)) for i,
+        c in enumerate(clauses)
+    ]
     out = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*").where("status <> 'NONE'")
     if not samples:
         return out
     kinds = dict(df.select(*[c.sample.alias(f"s{i}") for i, c in enumerate(clauses)]).dtypes)
     listed = [c.sample if kinds[f"s{i}"].startswith("array") else F.array(c.sample) for i, c in enumerate(clauses)]
-    hits = F.array(*[F.when(F.coalesce(c.bad, F.lit(False)), F.struct(F.lit(c.check_id).alias("check_id"), s.cast("array<string>").alias("s"))) for c, s in zip(clauses, listed, strict=True)])
+    hits = F.array(
+        *[
+            F.when(
+                F.coalesce(c.bad, F.lit(False)),
+                F.struct(F.lit(c.check_id).alias("check_id"), s.cast("array<string>").alias("s"))
+            ) for c,
+            s in zip(clauses, listed, strict=True)
+        ]
+    )
     found = with_order(df).select(ORD, F.explode(F.array_compact(hits)).alias("h")).select(ORD, "h.check_id", "h.s")
     first = found.withColumn("k", F.row_number().over(Window.partitionBy("check_id").orderBy(ORD))).where(F.col("k") <= SAMPLES)
     lists = F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda x: x["s"])
     first = first.groupBy("check_id").agg(F.slice(F.array_compact(F.flatten(lists)), 1, SAMPLES).alias("found"))
-    return out.join(first, "check_id", "left").withColumn("sample_failing", F.coalesce("found", "sample_failing")).select(RESULT.fieldNames())
+    return out.join(first, "check_id", "left").withColumn(
+        "sample_failing", F.coalesce("found", "sample_failing")
+    ).select(RESULT.fieldNames())
 
 
 def duplicate_groups(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -103,7 +121,9 @@ def sequence_result(df: DataFrame, clause: Clause) -> DataFrame:
     w = Window.partitionBy(*p["by"]).orderBy("v", ORD)
     steps = with_order(df).withColumn("v", v).where("v is not null").withColumn("prev", F.lag("v").over(w))
     broken = F.count_if(F.col("prev").isNotNull() & (F.col("v") != F.col("prev") + 1))
-    return steps.agg(broken.alias("f"), F.count(F.lit(1)).alias("n")).select(_result(clause, F.col("f"), F.col("n")).alias("r")).select("r.*")
+    return steps.agg(broken.alias("f"), F.count(F.lit(1)).alias("n")).select(
+        _result(clause, F.col("f"), F.col("n")).alias("r")
+    ).select("r.*")
 
 
 def reference_result(df: DataFrame, clause: Clause) -> DataFrame:
@@ -124,7 +144,9 @@ def aggregate_results(df: DataFrame, clauses: list[Clause]) -> DataFrame:
         shown = F.concat(F.lit(f"{c.said[0]}="), F.col(f"shown{i}"))
         failing = F.when(ok, F.lit(0)).otherwise(F.greatest(F.col(f"each{i}").cast("long"), F.lit(1)))
         r = _result(c, failing, F.lit(1), shown).withField("actual_value", shown).withField("message", F.lit(c.message))
-        none = r.withField("status", F.lit("ERROR")).withField("severity", F.lit("WARNING")).withField("records_failing", F.lit(0).cast("long"))
+        none = r.withField("status", F.lit("ERROR")).withField("severity", F.lit("WARNING")).withField(
+            "records_failing", F.lit(0).cast("long")
+        )
         none = none.withField("actual_value", F.lit("no samples")).withField("message", F.lit(f"Cannot compute {c.message}: no values."))
         rows.append(F.when(a.isNull(), none).otherwise(r))
     return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
@@ -136,7 +158,15 @@ def literal_results(df: DataFrame, rows: list[tuple]) -> DataFrame:
 
 def error_results(df: DataFrame, clauses: list[Clause]) -> DataFrame:
     """Checks that couldn't run: a warning each, which blocks nothing."""
-    return literal_results(df, [(c.check_id, c.column, c.check_type, "ERROR", c.params.get("actual", "error"), c.expected, "WARNING", 0, [], c.message) for c in clauses])
+    return literal_results(
+        df,
+        [
+            (
+                c.check_id, c.column, c.check_type, "ERROR", c.params.get("actual", "error"), c.expected, "WARNING", 0,
+                [], c.message
+            ) for c in clauses
+        ]
+    )
 
 
 def run_clauses(df: DataFrame, clauses: list[Clause], samples: bool = True) -> DataFrame:
@@ -144,7 +174,9 @@ def run_clauses(df: DataFrame, clauses: list[Clause], samples: bool = True) -> D
     by = lambda kind: [c for c in clauses if c.kind == kind]
     if rows := by("row"):
         parts.append(row_results(df, rows, samples))
-    parts += [unique_result(df, c) for c in by("unique")] + [sequence_result(df, c) for c in by("sequence")] + [reference_result(df, c) for c in by("reference")]
+    parts += [unique_result(df, c) for c in by("unique")] + [sequence_result(df, c) for c in by("sequence")] + [
+        reference_result(df, c) for c in by("reference")
+    ]
     if aggs := by("aggregate"):
         parts.append(aggregate_results(df, aggs))
     if errors := by("error"):
@@ -164,8 +196,19 @@ def validate(df: DataFrame, contract: dict, samples: bool = True) -> DataFrame:
     if contract.get("placeholder"):
         return error_results(df, [Clause("contract.placeholder", "*", "config", "a real contract", kind="error")])
     if df.isEmpty():
-        return literal_results(df, [(f"{prefix}.data.empty", "*", "volume", "WARN", "row_count=0", ">=1 record", "WARNING", 0, [], "No records in dataset.")])
+        return literal_results(
+            df,
+            [(f"{prefix}.data.empty", "*", "volume", "WARN", "row_count=0", ">=1 record", "WARNING", 0, [], "No records in dataset.")]
+        )
     clauses = compile_contract(contract, df)
     if not clauses:
-        return literal_results(df, [(f"{prefix}.generic.summary", "*", "structural", "PASS", "ok", "generic schema checks", "LOW", 0, [], "No schema constraints beyond data presence.")])
+        return literal_results(
+            df,
+            [
+                (
+                    f"{prefix}.generic.summary", "*", "structural", "PASS", "ok", "generic schema checks", "LOW", 0, [],
+                    "No schema constraints beyond data presence."
+                )
+            ]
+        )
     return run_clauses(df, clauses, samples)

@@ -32,7 +32,13 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _contract(spark: SparkSession, d: str) -> dict:
-    rules = [{"kind": "unique", "name": "line.unique", "column": "l_orderkey,l_linenumber", "keys": ["l_orderkey", "l_linenumber"]}, {"kind": "reference", "name": "order.reference", "column": "l_orderkey", "table": _t(spark, d, "orders").where("o_orderstatus <> 'P'"), "key": "o_orderkey", "severity": "HIGH"}]
+    rules = [
+        {"kind": "unique", "name": "line.unique", "column": "l_orderkey,l_linenumber", "keys": ["l_orderkey", "l_linenumber"]},
+        {
+            "kind": "reference", "name": "order.reference", "column": "l_orderkey",
+            "table": _t(spark, d, "orders").where("o_orderstatus <> 'P'"), "key": "o_orderkey", "severity": "HIGH"
+        }
+    ]
     return CONTRACT | {"rules": rules}
 
 
@@ -61,8 +67,13 @@ res AS (SELECT check_id,column_name,check_type,CASE WHEN n>0 THEN 'FAIL' ELSE 'P
 _FAILS = "events e WHERE event_type NOT IN ('click','view','purchase','signup')"
 
 
-def _check(df: DataFrame, name: str, schema: dict | None = None, rules: list | None = None, lines: tuple = ("row_count >= 1",)) -> DataFrame:
-    return validate(df, {"id": f"{name}-1", "schema": schema or {}, "rules": rules or [], "quality": {"checks": list(lines)}}, samples=False)
+def _check(
+    df: DataFrame, name: str, schema: dict | None = None, rules: list | None = None, lines: tuple = ("row_count >= 1",)
+) -> DataFrame:
+    return validate(
+        df, {"id": f"{name}-1", "schema": schema or {}, "rules": rules or [], "quality": {"checks": list(lines)}},
+        samples=False
+    )
 
 
 def _failing(*ids: str):
@@ -76,7 +87,10 @@ def _rows(name: str):
 def required_null_counts(s, d):
     j = _t(s, d, "documents").join(_t(s, d, "labels"), "doc_id", "left")
     r = _check(j, "labelled", {"text": {"required": True}, "quality": {"required": True}})
-    return r.agg(_rows("labelled").alias("total"), _failing("labelled.text.required").alias("text_nulls"), _failing("labelled.quality.required").alias("quality_nulls"))
+    return r.agg(
+        _rows("labelled").alias("total"), _failing("labelled.text.required").alias("text_nulls"),
+        _failing("labelled.quality.required").alias("quality_nulls")
+    )
 
 
 def unique_composite_key(s, d):
@@ -91,7 +105,9 @@ def pattern_and_format(s, d):
 
 
 def enum_conformance(s, d):
-    return drift.violation_rate(_t(s, d, "events"), "event_type", EVENT_TYPES).select("total", "violations", F.round("rate", 6).alias("rate"), "status")
+    return drift.violation_rate(_t(s, d, "events"), "event_type", EVENT_TYPES).select(
+        "total", "violations", F.round("rate", 6).alias("rate"), "status"
+    )
 
 
 def range_violations(s, d):
@@ -99,28 +115,41 @@ def range_violations(s, d):
     c = _check(_t(s, d, "customer"), "customers", {"c_acctbal": {"minimum": 0}}, lines=("min(c_acctbal) >= 0",))
     least = F.max(F.when(F.col("check_id") == "customers.quality.c_acctbal.min", F.split("actual_value", "=")[1].cast("double")))
     discounts = _failing("lines.l_discount.minimum", "lines.l_discount.maximum")
-    return n.unionByName(c).agg(discounts.alias("discounts"), _failing("customers.c_acctbal.minimum").alias("balances"), F.round(least, 2).alias("least"))
+    return n.unionByName(c).agg(
+        discounts.alias("discounts"), _failing("customers.c_acctbal.minimum").alias("balances"),
+        F.round(least, 2).alias("least")
+    )
 
 
 def temporal_order(s, d):
     j = _t(s, d, "lineitem").join(_t(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    r = _check(j, "shipments", rules=[{"kind": "expression", "name": "order", "holds": "l_shipdate >= o_orderdate", "check_type": "temporal"}])
+    r = _check(
+        j, "shipments",
+        rules=[{"kind": "expression", "name": "order", "holds": "l_shipdate >= o_orderdate", "check_type": "temporal"}]
+    )
     return r.agg(_rows("shipments").alias("pairs"), _failing("shipments.order").alias("records_failing"))
 
 
 def arithmetic_identity(s, d):
-    r = _check(_t(s, d, "documents"), "documents", rules=[{"kind": "expression", "name": "n_chars", "holds": "n_chars = char_length(text)", "check_type": "arithmetic"}])
+    r = _check(
+        _t(s, d, "documents"), "documents",
+        rules=[{"kind": "expression", "name": "n_chars", "holds": "n_chars = char_length(text)", "check_type": "arithmetic"}]
+    )
     return r.agg(_rows("documents").alias("rows"), _failing("documents.n_chars").alias("records_failing"))
 
 
 def referential_integrity(s, d):
     o = _t(s, d, "orders").where("o_orderpriority <> '1-URGENT'").select("o_orderkey")
-    return _t(s, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("orphans"))
+    return _t(s, d, "lineitem").join(
+        o, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti"
+    ).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("orphans"))
 
 
 def sequence_monotonic(s, d):
     l = _t(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    return report.monotonic_violations(l, "l_orderkey", "l_linenumber", "l_partkey").groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("breaks"))
+    return report.monotonic_violations(
+        l, "l_orderkey", "l_linenumber", "l_partkey"
+    ).groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("breaks"))
 
 
 def assign_sequence(s, d):
@@ -153,7 +182,9 @@ def numeric_profile(s, d):
 
 
 def structural_profile(s, d):
-    return profile.structural_profile(_t(s, d, "events"), ["event_id", "user_id", "event_type", "value"], exact=True).select("column_name", "null_fraction", "cardinality")
+    return profile.structural_profile(
+        _t(s, d, "events"), ["event_id", "user_id", "event_type", "value"], exact=True
+    ).select("column_name", "null_fraction", "cardinality")
 
 
 def dominant_pattern(s, d):
@@ -171,13 +202,18 @@ def shape_signature_documents(s, d):
 def drift_by_day(s, d):
     e = _t(s, d, "events").withColumn("day", F.to_date("ts"))
     base = drift.column_stats(e.where("day < date'2024-01-16'"), {"value": F.col("value")})
-    days = e.where("day >= date'2024-01-16'").groupBy(F.col("day").cast("string").alias("day")).agg(F.lit("value").alias("column"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("value").alias("n"))
+    days = e.where("day >= date'2024-01-16'").groupBy(F.col("day").cast("string").alias("day")).agg(
+        F.lit("value").alias("column"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
+        F.count("value").alias("n")
+    )
     return drift.drift(days, base).select("day", "n", F.round("mean", 4).alias("mean"), F.round("z", 4).alias("z"), "status")
 
 
 def violation_rate_trend(s, d):
     e = _t(s, d, "events").withColumn("day", F.to_date("ts").cast("string"))
-    return drift.violation_rate(e, "event_type", EVENT_TYPES, by=["day"], baseline=0.2).select("day", "total", "violations", F.round("rate", 6).alias("rate"), "trend")
+    return drift.violation_rate(e, "event_type", EVENT_TYPES, by=["day"], baseline=0.2).select(
+        "day", "total", "violations", F.round("rate", 6).alias("rate"), "trend"
+    )
 
 
 def circuit_breaker(s, d):
@@ -188,7 +224,9 @@ def circuit_breaker(s, d):
 def embedding_centroid_drift(s, d):
     e = _t(s, d, "embeddings")
     every = drift.centroid(e, "embedding").withColumnRenamed("centroid", "all")
-    return drift.centroid(e, "embedding", ["label"]).crossJoin(every).select("label", F.round(1 - drift.cosine(F.col("centroid"), F.col("all")), 6).alias("drift"))
+    return drift.centroid(e, "embedding", ["label"]).crossJoin(every).select(
+        "label", F.round(1 - drift.cosine(F.col("centroid"), F.col("all")), 6).alias("drift")
+    )
 
 
 def byte_histogram(s, d):
@@ -201,12 +239,18 @@ def byte_histogram_documents(s, d):
     return h.select("doc_id", "byte", F.round("share", 6).alias("share"))
 
 
-_REGISTRY = [("lineitem-shipments", "billing", [("l_discount", "totals"), ("l_tax", "totals")]), ("lineitem-shipments", "planning", [("l_quantity", "stock")]), ("lineitem-shipments", "ledger", [("l_orderkey", "keys"), ("l_orderkey.line", "lines")])]
+_REGISTRY = [
+    ("lineitem-shipments", "billing", [("l_discount", "totals"), ("l_tax", "totals")]),
+    ("lineitem-shipments", "planning", [("l_quantity", "stock")]),
+    ("lineitem-shipments", "ledger", [("l_orderkey", "keys"), ("l_orderkey.line", "lines")])
+]
 
 
 def _hits(s, d):
     fails = results(s, d).where("status <> 'PASS'").select(F.lit("lineitem-shipments").alias("contract_id"), "check_id", "column_name")
-    reg = s.createDataFrame(_REGISTRY, "contract_id string, subscriber_id string, breaking_fields array<struct<field:string,reason:string>>")
+    reg = s.createDataFrame(
+        _REGISTRY, "contract_id string, subscriber_id string, breaking_fields array<struct<field:string,reason:string>>"
+    )
     return fails, registry.blast_radius(fails, reg)
 
 
@@ -228,7 +272,9 @@ h AS (SELECT check_id, subscriber_id, bf matched_field, reason, row_number() OVE
 def _edges(s, d):
     r, n, c = (_t(s, d, x) for x in ("region", "nation", "customer"))
     e = n.select(F.concat(F.lit("region::"), "n_regionkey").alias("source"), F.concat(F.lit("nation::"), "n_nationkey").alias("target"))
-    return e.unionByName(c.select(F.concat(F.lit("nation::"), "c_nationkey").alias("source"), F.concat(F.lit("customer::"), "c_custkey").alias("target"))), r
+    return e.unionByName(
+        c.select(F.concat(F.lit("nation::"), "c_nationkey").alias("source"), F.concat(F.lit("customer::"), "c_custkey").alias("target"))
+    ), r
 
 
 def lineage_bfs(s, d):
@@ -236,8 +282,16 @@ def lineage_bfs(s, d):
     return lineage.reach(r.where("r_regionkey = 1").select(F.concat(F.lit("region::"), "r_regionkey").alias("node")), edges, 2)
 
 
-OLD = {"a": {"type": "string", "required": True}, "b": {"type": "number", "minimum": 0, "maximum": 1}, "c": {"type": "string", "enum": ["x", "y"]}, "d": {"type": "integer"}, "g": {"type": "array", "items": {"h": {"type": "string"}}}, "k": {"type": "string", "enum": ["x"]}}
-NEW = {"a": {"type": "string", "required": True}, "b": {"type": "number", "minimum": 0, "maximum": 100}, "c": {"type": "string", "enum": ["x"]}, "e": {"type": "string", "required": True}, "f": {"type": "string"}, "g": {"type": "array", "items": {"h": {"type": "integer"}}}, "k": {"type": "string", "enum": ["x", "z"]}}
+OLD = {
+    "a": {"type": "string", "required": True}, "b": {"type": "number", "minimum": 0, "maximum": 1},
+    "c": {"type": "string", "enum": ["x", "y"]}, "d": {"type": "integer"},
+    "g": {"type": "array", "items": {"h": {"type": "string"}}}, "k": {"type": "string", "enum": ["x"]}
+}
+NEW = {
+    "a": {"type": "string", "required": True}, "b": {"type": "number", "minimum": 0, "maximum": 100},
+    "c": {"type": "string", "enum": ["x"]}, "e": {"type": "string", "required": True}, "f": {"type": "string"},
+    "g": {"type": "array", "items": {"h": {"type": "integer"}}}, "k": {"type": "string", "enum": ["x", "z"]}
+}
 
 
 def schema_diff_classify(s, d):
@@ -245,31 +299,53 @@ def schema_diff_classify(s, d):
 
 
 def blame_rank_topk(s, d):
-    o = _t(s, d, "orders").where("o_orderstatus = 'P'").select("o_custkey", "o_orderkey", F.col("o_orderdate").cast("timestamp").alias("committed"), F.to_timestamp(F.lit("1998-08-02 00:00:00")).alias("detected"), (F.col("o_orderkey") % 3).cast("int").alias("hops"))
-    return lineage.rank_blame(o, "o_custkey", "detected", "committed", "hops", "o_orderkey", 2).select("o_custkey", "o_orderkey", "score", F.col("rank").cast("long").alias("rank"))
+    o = _t(s, d, "orders").where("o_orderstatus = 'P'").select(
+        "o_custkey", "o_orderkey", F.col("o_orderdate").cast("timestamp").alias("committed"),
+        F.to_timestamp(F.lit("1998-08-02 00:00:00")).alias("detected"),
+        (F.col("o_orderkey") % 3).cast("int").alias("hops")
+    )
+    return lineage.rank_blame(o, "o_custkey", "detected", "committed", "hops", "o_orderkey", 2).select(
+        "o_custkey", "o_orderkey", "score", F.col("rank").cast("long").alias("rank")
+    )
 
 
 def blame_rank_all_orders(s, d):
-    o = _t(s, d, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").cast("timestamp").alias("committed"), F.to_timestamp(F.lit("1998-08-02 00:00:00")).alias("detected"), (F.col("o_orderkey") % 3).cast("int").alias("hops"))
-    return lineage.rank_blame(o, "o_custkey", "detected", "committed", "hops", "o_orderkey", 2).select("o_custkey", "o_orderkey", "score", F.col("rank").cast("long").alias("rank"))
+    o = _t(s, d, "orders").select(
+        "o_custkey", "o_orderkey", F.col("o_orderdate").cast("timestamp").alias("committed"),
+        F.to_timestamp(F.lit("1998-08-02 00:00:00")).alias("detected"),
+        (F.col("o_orderkey") % 3).cast("int").alias("hops")
+    )
+    return lineage.rank_blame(o, "o_custkey", "detected", "committed", "hops", "o_orderkey", 2).select(
+        "o_custkey", "o_orderkey", "score", F.col("rank").cast("long").alias("rank")
+    )
 
 
 def quarantine_split(s, d):
-    _, bad = migrate.split(_t(s, d, "conversations"), {"empty": F.trim("text") == "", "long": F.char_length("text") > 200, "role": ~F.col("role").isin("user", "assistant")})
+    _, bad = migrate.split(
+        _t(s, d, "conversations"),
+        {"empty": F.trim("text") == "", "long": F.char_length("text") > 200, "role": ~F.col("role").isin("user", "assistant")}
+    )
     return bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def json_path_projection(s, d):
     v = _t(s, d, "events").select("event_type", F.try_parse_json("props").alias("v"))
-    return v.select("event_type", project.at("k", "bigint").alias("k")).groupBy("event_type").agg(F.count("k").alias("n"), F.sum("k").alias("total"))
+    return v.select(
+        "event_type", project.at("k", "bigint").alias("k")
+    ).groupBy("event_type").agg(F.count("k").alias("n"), F.sum("k").alias("total"))
 
 
 def uuid5_ids(s, d):
-    return _t(s, d, "events").select("event_id", uuid5("6ba7b811-9dad-11d1-80b4-00c04fd430c8", F.concat(F.lit("event:"), F.col("event_id").cast("string"))).alias("uid"))
+    return _t(s, d, "events").select(
+        "event_id",
+        uuid5("6ba7b811-9dad-11d1-80b4-00c04fd430c8", F.concat(F.lit("event:"), F.col("event_id").cast("string"))).alias("uid")
+    )
 
 
 def explode_outer_flatten(s, d):
-    turns = _t(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.char_length("text").alias("chars")))).alias("turns"))
+    turns = _t(s, d, "conversations").groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "role", F.char_length("text").alias("chars")))).alias("turns")
+    )
     docs = _t(s, d, "documents").select(F.col("doc_id").alias("conv_id")).join(turns, "conv_id", "left")
     return migrate.flatten_outer(docs, "turns", "fact_")
 
@@ -306,12 +382,18 @@ _TOPICS = [("copper", "copper"), ("size", "small"), ("size", "large"), ("steel",
 
 def keyword_seeds(s, d):
     nodes = _t(s, d, "part").select(F.concat(F.lit("file::"), "p_type", F.lit("/"), "p_partkey").alias("node_id"))
-    fails = s.createDataFrame([("part.size.minimum", "p_size"), ("part.metal.enum", "copper"), ("part.other", "p_name")], "check_id string, column_name string")
+    fails = s.createDataFrame(
+        [("part.size.minimum", "p_size"), ("part.metal.enum", "copper"), ("part.other", "p_name")],
+        "check_id string, column_name string"
+    )
     return lineage.keyword_seeds(fails, nodes, s.createDataFrame(_TOPICS, "trigger string, keyword string"), 40)
 
 
 def ambiguous_columns(s, d):
-    e = _t(s, d, "labels").select(F.col("doc_id").alias("id"), "quality", F.lit(1).alias("toxicity_version"), F.nullif("toxic", F.lit(0)).alias("metadata"))
+    e = _t(s, d, "labels").select(
+        F.col("doc_id").alias("id"), "quality", F.lit(1).alias("toxicity_version"),
+        F.nullif("toxic", F.lit(0)).alias("metadata")
+    )
     return assemble.ambiguous_columns(profile.structural_profile(e, exact=True)).select("column_name", "score")
 
 
@@ -339,8 +421,13 @@ def change_counts(s, d):
 
 def migration_impact(s, d):
     changes = schema_diff_classify(s, d)
-    reg = s.createDataFrame([("c", "billing", [("b", "bounds"), ("c", "codes")]), ("c", "search", [("g", "items")])], "contract_id string, subscriber_id string, breaking_fields array<struct<field:string,reason:string>>")
-    fails = changes.where("verdict = 'BREAKING'").select(F.lit("c").alias("contract_id"), F.col("path").alias("check_id"), F.col("path").alias("column_name"))
+    reg = s.createDataFrame(
+        [("c", "billing", [("b", "bounds"), ("c", "codes")]), ("c", "search", [("g", "items")])],
+        "contract_id string, subscriber_id string, breaking_fields array<struct<field:string,reason:string>>"
+    )
+    fails = changes.where("verdict = 'BREAKING'").select(
+        F.lit("c").alias("contract_id"), F.col("path").alias("check_id"), F.col("path").alias("column_name")
+    )
     return report.migration_impact(changes, registry.blast_radius(fails, reg)).select("path", "failure_mode")
 
 
@@ -352,7 +439,10 @@ def sampled_statistics(s, d):
 def upstream_bfs(s, d):
     edges, _ = _edges(s, d)
     up = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
-    return lineage.reach(_t(s, d, "customer").where("c_acctbal < 0").select(F.concat(F.lit("customer::"), "c_custkey").alias("node")), up, 2)
+    return lineage.reach(
+        _t(s, d, "customer").where("c_acctbal < 0").select(F.concat(F.lit("customer::"), "c_custkey").alias("node")),
+        up, 2
+    )
 
 
 def first_of_repeats(s, d):
@@ -361,9 +451,17 @@ def first_of_repeats(s, d):
 
 def next_baselines(s, d):
     e = _t(s, d, "events")
-    stats = e.groupBy(F.col("event_type").alias("column")).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("value").alias("n"))
-    old = s.createDataFrame([("click", 1.0, 2.0, 10, None), ("gone", 3.0, 4.0, 11, None)], "column string, mean double, std double, n long, established_at timestamp")
-    return history.next_baselines(stats, old, F.lit("2024-02-01").cast("timestamp"), 10).select("column", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "n", F.col("established_at").isNotNull().alias("fresh"))
+    stats = e.groupBy(F.col("event_type").alias("column")).agg(
+        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("value").alias("n")
+    )
+    old = s.createDataFrame(
+        [("click", 1.0, 2.0, 10, None), ("gone", 3.0, 4.0, 11, None)],
+        "column string, mean double, std double, n long, established_at timestamp"
+    )
+    return history.next_baselines(stats, old, F.lit("2024-02-01").cast("timestamp"), 10).select(
+        "column", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "n",
+        F.col("established_at").isNotNull().alias("fresh")
+    )
 
 
 _ID = r"^(.{8})(.{4})(.{4})(.{4})(.{12})$"
@@ -383,15 +481,21 @@ def uuid_and_time_formats(s, d):
 def nested_fields(s, d):
     """Required and formatted fields of a nested object; one that no row has gives no format row."""
     c = _t(s, d, "conversations")
-    uid = F.when(F.col("turn") % 2 == 0, F.regexp_replace(F.md5(F.col("conv_id").cast("string")), _ID, "$1-$2-$3-$4-$5")).when(F.col("turn") % 5 == 0, F.lit("none"))
-    rows = c.select(F.struct(F.nullif("role", F.lit("user")).alias("role"), uid.alias("uid"), F.lit(None).cast("string").alias("gone")).alias("meta"))
+    uid = F.when(
+        F.col("turn") % 2 == 0, F.regexp_replace(F.md5(F.col("conv_id").cast("string")), _ID, "$1-$2-$3-$4-$5")
+    ).when(F.col("turn") % 5 == 0, F.lit("none"))
+    rows = c.select(
+        F.struct(F.nullif("role", F.lit("user")).alias("role"), uid.alias("uid"), F.lit(None).cast("string").alias("gone")).alias("meta")
+    )
     props = {"role": {"required": True}, "uid": {"format": "uuid"}, "gone": {"format": "uuid"}, "absent": {"required": True}}
     return _check(rows, "talk", {"meta": {"type": "object", "properties": props}}, lines=()).select(*_SHORT, "actual_value")
 
 
 def array_items(s, d):
     """Numbers in the elements of arrays, in range or not; and an array of which no element has one."""
-    turns = F.array_sort(F.collect_list(F.struct("turn", (F.char_length("text") / 100).alias("share"), F.lit(None).cast("double").alias("none"))))
+    turns = F.array_sort(
+        F.collect_list(F.struct("turn", (F.char_length("text") / 100).alias("share"), F.lit(None).cast("double").alias("none")))
+    )
     rows = _t(s, d, "conversations").groupBy("conv_id").agg(turns.alias("turns"))
     items = {"share": {"minimum": 0.2, "maximum": 1.5}, "none": {"minimum": 0}}
     return _check(rows, "talk", {"turns": {"type": "array", "items": items}}, lines=()).select(_SHORT)
@@ -419,7 +523,13 @@ def rules_across_fields(s, d):
 
 def validation_samples(s, d):
     """The first five failing rows of each clause, in row order."""
-    r = validate(_t(s, d, "orders"), {"id": "orders-1", "schema": {"o_orderstatus": {"enum": ["F", "O"]}, "o_orderpriority": {"pattern": "[1-4]"}, "o_totalprice": {"maximum": 200000}}})
+    r = validate(
+        _t(s, d, "orders"),
+        {
+            "id": "orders-1",
+            "schema": {"o_orderstatus": {"enum": ["F", "O"]}, "o_orderpriority": {"pattern": "[1-4]"}, "o_totalprice": {"maximum": 200000}}
+        }
+    )
     return r.select("check_id", F.array_join("sample_failing", ",").alias("samples"), "records_failing")
 
 
@@ -430,21 +540,34 @@ def attribution_per_check(s, d):
     """Two failing checks with seeds of their own: what each reaches downstream, and its likeliest changes upstream."""
     edges, _ = _edges(s, d)
     kinds = edges.withColumn("relationship", F.lit("WRITES"))
-    fails = s.createDataFrame([(c, c, "not_null", "FAIL", "", "", "CRITICAL", 1, [], "") for c in ("geo.region.required", "geo.nation.unique")], RESULT)
+    fails = s.createDataFrame(
+        [(c, c, "not_null", "FAIL", "", "", "CRITICAL", 1, [], "") for c in ("geo.region.required", "geo.nation.unique")],
+        RESULT
+    )
     seeds = s.createDataFrame(_LINEAGE_CHECKS, "check_id string, node string")
-    reg = s.createDataFrame([("geo-1", "maps", [("geo.nation.unique", "keys")])], "contract_id string, subscriber_id string, breaking_fields array<struct<field:string,reason:string>>")
+    reg = s.createDataFrame(
+        [("geo-1", "maps", [("geo.nation.unique", "keys")])],
+        "contract_id string, subscriber_id string, breaking_fields array<struct<field:string,reason:string>>"
+    )
     day = F.to_timestamp(F.lit("2024-01-10 00:00:00"))
     commits = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct().where("node not like 'customer%'")
     age = F.make_dt_interval((F.char_length("node") % 5).cast("int"))
     commits = commits.select("node", F.concat("node", F.lit(".sql")).alias("path"), (day - age).alias("committed"), day.alias("detected"))
     v = attribution.violations(fails, "geo-1", reg, kinds, seeds, commits, 2)
     worst = F.array_join(F.transform("blame_chain", lambda b: F.concat_ws("@", b["path"], b["score"].cast("string"))), ",")
-    return v.select("check_id", "contamination_depth", F.array_join("direct_nodes", ",").alias("direct"), F.size("transitive_nodes").alias("reached"), worst.alias("blame"), F.array_join("subscribers", ",").alias("subscribers"))
+    return v.select(
+        "check_id", "contamination_depth", F.array_join("direct_nodes", ",").alias("direct"),
+        F.size("transitive_nodes").alias("reached"), worst.alias("blame"),
+        F.array_join("subscribers", ",").alias("subscribers")
+    )
 
 
 def drift_results(s, d):
     l = _t(s, d, "lineitem")
-    stats = lambda flag: drift.column_stats(l.where(F.col("l_returnflag") == flag), {c: F.col(c) for c in ("l_quantity", "l_tax")} | {"late": F.year("l_shipdate")})
+    stats = lambda flag: drift.column_stats(
+        l.where(F.col("l_returnflag") == flag),
+        {c: F.col(c) for c in ("l_quantity", "l_tax")} | {"late": F.year("l_shipdate")}
+    )
     return drift.as_results(drift.drift(stats("N"), stats("R")), "lines").select(*_SHORT)
 
 
@@ -452,7 +575,9 @@ def prompt_quarantine(s, d):
     """Prompt envelopes of documents: what is too short, too long, missing, or has a key that it shouldn't."""
     t = _t(s, d, "documents")
     rows = t.select(
-        F.lpad(F.col("doc_id").cast("string"), 9, "0").substr(F.lit(1), F.when(F.col("doc_id") % 5 == 0, 4).otherwise(9)).alias("doc_id"), F.when(F.col("doc_id") % 7 > 0, F.col("source")).alias("source_path"),
+        F.lpad(F.col("doc_id").cast("string"), 9, "0").substr(
+            F.lit(1), F.when(F.col("doc_id") % 5 == 0, 4).otherwise(9)
+        ).alias("doc_id"), F.when(F.col("doc_id") % 7 > 0, F.col("source")).alias("source_path"),
         F.col("text").alias("content_preview"), F.when(F.col("doc_id") % 11 == 0, F.lit("x")).alias("note"),
     )
     good, bad = ai.validate_prompts(rows)
@@ -464,32 +589,55 @@ def event_migration(s, d):
     e = _t(s, d, "events")
     at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     fee = F.when(F.col("event_id") % 13 == 0, F.lit("none")).otherwise(F.lit("1.5"))
-    raw = e.select(F.concat(F.lit("agent-"), "user_id").alias("stream_id"), "event_type", F.to_json(F.struct(F.struct(fee.alias("fee_usd"), at.alias("created_at")).alias("order"))).alias("payload"), at.alias("recorded_at"), F.col("event_id").alias("line_no"))
+    raw = e.select(
+        F.concat(F.lit("agent-"), "user_id").alias("stream_id"), "event_type",
+        F.to_json(F.struct(F.struct(fee.alias("fee_usd"), at.alias("created_at")).alias("order"))).alias("payload"),
+        at.alias("recorded_at"), F.col("event_id").alias("line_no")
+    )
     good, _ = migrate.events(raw, "shop")
-    return good.select("event_id", "aggregate_id", "aggregate_type", "sequence_number", "occurred_at", F.try_variant_get("payload", "$.order.fee_usd", "double").alias("fee"))
+    return good.select(
+        "event_id", "aggregate_id", "aggregate_type", "sequence_number", "occurred_at",
+        F.try_variant_get("payload", "$.order.fee_usd", "double").alias("fee")
+    )
 
 
 def extraction_migration(s, d):
-    t = _t(s, d, "documents").select(F.when(F.col("doc_id") % 10 == 0, "doc123").otherwise(F.concat(F.lit("d"), "doc_id")).alias("doc_id"), F.col("source").alias("document_name"), (F.col("doc_id") % 4 / 4).alias("confidence_score"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"))
+    t = _t(s, d, "documents").select(
+        F.when(F.col("doc_id") % 10 == 0, "doc123").otherwise(F.concat(F.lit("d"), "doc_id")).alias("doc_id"),
+        F.col("source").alias("document_name"), (F.col("doc_id") % 4 / 4).alias("confidence_score"),
+        F.lit("2024-01-01T00:00:00Z").alias("timestamp")
+    )
     good, _ = migrate.extractions(t, "shop")
-    return good.select("doc_id", "source_path", F.col("extracted_facts")[0]["fact_id"].alias("fact_id"), F.col("extracted_facts")[0]["confidence"].alias("confidence"), F.size("entities").alias("entities"))
+    return good.select(
+        "doc_id", "source_path", F.col("extracted_facts")[0]["fact_id"].alias("fact_id"),
+        F.col("extracted_facts")[0]["confidence"].alias("confidence"), F.size("entities").alias("entities")
+    )
 
 
 def lineage_snapshot(s, d):
     """The last snapshot of a graph: nations of three regions are missing, and one relationship is unknown."""
     n = _t(s, d, "nation")
     node = F.struct(F.concat(F.lit("nation::"), "n_nationkey").alias("node_id"))
-    edge = F.struct(F.concat(F.lit("nation::"), F.lit(0)).alias("source"), F.concat(F.lit("nation::"), "n_nationkey").alias("target"), F.when(F.col("n_nationkey") == 4, "ODD").otherwise("READS").alias("relationship"))
+    edge = F.struct(
+        F.concat(F.lit("nation::"), F.lit(0)).alias("source"),
+        F.concat(F.lit("nation::"), "n_nationkey").alias("target"),
+        F.when(F.col("n_nationkey") == 4, "ODD").otherwise("READS").alias("relationship")
+    )
     snap = n.agg(F.collect_list(F.when(F.col("n_regionkey") < 2, node)).alias("nodes"), F.collect_list(edge).alias("edges"))
     snap = snap.select(F.lit(2).alias("taken"), F.lit("s2").alias("snapshot_id"), F.lit("a" * 40).alias("git_commit"), "nodes", "edges")
-    old = snap.select(F.lit(1).alias("taken"), F.lit(None).cast("string").alias("snapshot_id"), F.lit("x").alias("git_commit"), "nodes", "edges")
+    old = snap.select(
+        F.lit(1).alias("taken"), F.lit(None).cast("string").alias("snapshot_id"), F.lit("x").alias("git_commit"),
+        "nodes", "edges"
+    )
     return drivers.lineage_results(old.unionByName(snap), "taken", "graph").select(_SHORT)
 
 
 def quarantine_gate(s, d):
     r = results(s, d)
     rows = r.where(F.col("check_type").isin(*report.ROW_CHECKS))
-    return report.gate(r, "QUARANTINE").unionByName(report.gate(rows, "QUARANTINE")).unionByName(report.gate(r.where("status = 'PASS'"), "QUARANTINE"))
+    return report.gate(r, "QUARANTINE").unionByName(report.gate(rows, "QUARANTINE")).unionByName(
+        report.gate(r.where("status = 'PASS'"), "QUARANTINE")
+    )
 
 
 def migration_checklist(s, d):
@@ -498,7 +646,20 @@ def migration_checklist(s, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (validation_report, required_null_counts, unique_composite_key, pattern_and_format, enum_conformance, range_violations, temporal_order, arithmetic_identity, referential_integrity, sequence_monotonic, assign_sequence, pipeline_gate, health_score, status_counts, severity_rollup, top_failures, numeric_profile, structural_profile, dominant_pattern, shape_signature, shape_signature_documents, drift_by_day, violation_rate_trend, circuit_breaker, embedding_centroid_drift, byte_histogram, byte_histogram_documents, blast_radius_lookup, registry_gap, lineage_bfs, schema_diff_classify, blame_rank_topk, blame_rank_all_orders, quarantine_split, json_path_projection, uuid5_ids, explode_outer_flatten, event_projection, type_mix, snapshot_pair, rate_history, effective_mode, keyword_seeds, ambiguous_columns, drift_all_columns, rate_by_version, tiered_health, change_counts, migration_impact, sampled_statistics, upstream_bfs, first_of_repeats, next_baselines, uuid_and_time_formats, nested_fields, array_items, type_clauses, rules_across_fields, validation_samples, attribution_per_check, drift_results, prompt_quarantine, event_migration, extraction_migration, lineage_snapshot, quarantine_gate, migration_checklist)
+    for f in (
+        validation_report, required_null_counts, unique_composite_key, pattern_and_format, enum_conformance,
+        range_violations, temporal_order, arithmetic_identity, referential_integrity, sequence_monotonic,
+        assign_sequence, pipeline_gate, health_score, status_counts, severity_rollup, top_failures, numeric_profile,
+        structural_profile, dominant_pattern, shape_signature, shape_signature_documents, drift_by_day,
+        violation_rate_trend, circuit_breaker, embedding_centroid_drift, byte_histogram, byte_histogram_documents,
+        blast_radius_lookup, registry_gap, lineage_bfs, schema_diff_classify, blame_rank_topk, blame_rank_all_orders,
+        quarantine_split, json_path_projection, uuid5_ids, explode_outer_flatten, event_projection, type_mix,
+        snapshot_pair, rate_history, effective_mode, keyword_seeds, ambiguous_columns, drift_all_columns,
+        rate_by_version, tiered_health, change_counts, migration_impact, sampled_statistics, upstream_bfs,
+        first_of_repeats, next_baselines, uuid_and_time_formats, nested_fields, array_items, type_clauses,
+        rules_across_fields, validation_samples, attribution_per_check, drift_results, prompt_quarantine,
+        event_migration, extraction_migration, lineage_snapshot, quarantine_gate, migration_checklist
+    )
 }
 
 _PROFILE = "SELECT '{c}' column_name, count({c}) n, count(*) FILTER (WHERE {c} IS NULL) nulls, round(min({c})::DOUBLE,4) \"min\", round(max({c})::DOUBLE,4) \"max\", round(avg({c}),4) mean, round(quantile_cont({c}::DOUBLE,0.25),4) p25, round(quantile_cont({c}::DOUBLE,0.5),4) p50, round(quantile_cont({c}::DOUBLE,0.95),4) p95, round(stddev_pop({c}),4) stddev FROM orders"
@@ -506,15 +667,41 @@ _STRUCT = "SELECT '{c}' column_name, round(count(*) FILTER (WHERE {c} IS NULL) /
 _GOOD = "('click','view','purchase','signup')"
 ORACLES = {
     "validation_report": _ROWS + "SELECT * FROM res",
-    "required_null_counts": "SELECT count(*) total, count(*) FILTER (WHERE text IS NULL) text_nulls, count(*) FILTER (WHERE quality IS NULL) quality_nulls FROM documents LEFT JOIN labels USING (doc_id)",
-    "unique_composite_key": "SELECT count(*) groups, coalesce(sum(n),0)::BIGINT records_failing FROM (SELECT count(*) n FROM lineitem GROUP BY l_orderkey,l_linenumber HAVING count(*)>1)",
-    "pattern_and_format": "SELECT (SELECT count(*) FROM pages WHERE NOT regexp_matches(url,'^https?://[a-z0-9.-]+/')) bad_urls, (SELECT count(*) FROM customer WHERE NOT regexp_matches(c_name,'^Customer#[0-9]*[02468]$')) bad_names",
-    "enum_conformance": f"SELECT count(*) total, count(*) FILTER (WHERE NOT coalesce(event_type IN {_GOOD},false)) violations, round(count(*) FILTER (WHERE NOT coalesce(event_type IN {_GOOD},false))/greatest(count(*),1),6) rate, CASE WHEN count(*) FILTER (WHERE NOT coalesce(event_type IN {_GOOD},false))/greatest(count(*),1) > 0.05 THEN 'WARN' ELSE 'PASS' END status FROM events",
-    "range_violations": "SELECT (SELECT count(*) FROM lineitem WHERE NOT l_discount BETWEEN 0 AND 0.08) discounts, (SELECT count(*) FROM customer WHERE c_acctbal < 0) balances, (SELECT round(min(c_acctbal),2) FROM customer) least",
-    "temporal_order": "SELECT count(*) pairs, count(*) FILTER (WHERE l_shipdate < o_orderdate) records_failing FROM lineitem JOIN orders ON l_orderkey=o_orderkey",
+    "required_null_counts": (
+        "SELECT count(*) total, count(*) FILTER (WHERE text IS NULL) text_nulls, count(*) FILTER (WHERE quality IS NULL) "
+        "quality_nulls FROM documents LEFT JOIN labels USING (doc_id)"
+    ),
+    "unique_composite_key": (
+        "SELECT count(*) groups, coalesce(sum(n),0)::BIGINT records_failing FROM (SELECT count(*) n FROM lineitem GROUP BY "
+        "l_orderkey,l_linenumber HAVING count(*)>1)"
+    ),
+    "pattern_and_format": (
+        "SELECT (SELECT count(*) FROM pages WHERE NOT regexp_matches(url,'^https?://[a-z0-9.-]+/')) bad_urls, (SELECT "
+        "count(*) FROM customer WHERE NOT regexp_matches(c_name,'^Customer#[0-9]*[02468]$')) bad_names"
+    ),
+    "enum_conformance": (
+        f"SELECT count(*) total, count(*) FILTER (WHERE NOT coalesce(event_type IN {_GOOD},false)) violations, round(count(*) "
+        f"FILTER (WHERE NOT coalesce(event_type IN {_GOOD},false))/greatest(count(*),1),6) rate, CASE WHEN count(*) FILTER "
+        f"(WHERE NOT coalesce(event_type IN {_GOOD},false))/greatest(count(*),1) > 0.05 THEN 'WARN' ELSE 'PASS' END status "
+        f"FROM events"
+    ),
+    "range_violations": (
+        "SELECT (SELECT count(*) FROM lineitem WHERE NOT l_discount BETWEEN 0 AND 0.08) discounts, (SELECT count(*) FROM "
+        "customer WHERE c_acctbal < 0) balances, (SELECT round(min(c_acctbal),2) FROM customer) least"
+    ),
+    "temporal_order": (
+        "SELECT count(*) pairs, count(*) FILTER (WHERE l_shipdate < o_orderdate) records_failing FROM lineitem JOIN orders ON "
+        "l_orderkey=o_orderkey"
+    ),
     "arithmetic_identity": "SELECT count(*) \"rows\", count(*) FILTER (WHERE n_chars <> length(text)) records_failing FROM documents",
-    "referential_integrity": "SELECT l_returnflag, count(*) orphans FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderpriority <> '1-URGENT' AND o_orderkey=l_orderkey) GROUP BY 1",
-    "sequence_monotonic": "SELECT l_linenumber, count(*) breaks FROM (SELECT l_linenumber, lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber,l_partkey) p FROM lineitem) WHERE l_linenumber <> p+1 GROUP BY 1",
+    "referential_integrity": (
+        "SELECT l_returnflag, count(*) orphans FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderpriority <> "
+        "'1-URGENT' AND o_orderkey=l_orderkey) GROUP BY 1"
+    ),
+    "sequence_monotonic": (
+        "SELECT l_linenumber, count(*) breaks FROM (SELECT l_linenumber, lag(l_linenumber) OVER (PARTITION BY l_orderkey "
+        "ORDER BY l_linenumber,l_partkey) p FROM lineitem) WHERE l_linenumber <> p+1 GROUP BY 1"
+    ),
     "assign_sequence": "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts,event_id) sequence_number FROM events",
     "pipeline_gate": _ROWS + "SELECT CASE WHEN bool_or(severity IN ('CRITICAL','HIGH')) THEN 'BLOCK' ELSE 'PASS' END pipeline_action, 'ENFORCE' mode FROM res",
     "health_score": _ROWS + "SELECT round(greatest(0.0, least(100.0, 100.0*count(*) FILTER (WHERE status='PASS')/count(*) - 20*count(*) FILTER (WHERE severity='CRITICAL' AND status='FAIL'))),2)::DOUBLE health_score, count(*) total_checks, count(*) FILTER (WHERE severity='CRITICAL' AND status='FAIL') critical_fails FROM res",
@@ -523,41 +710,164 @@ ORACLES = {
     "top_failures": _ROWS + "SELECT * FROM res WHERE status <> 'PASS' ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 ELSE 99 END, records_failing DESC, check_id LIMIT 3",
     "numeric_profile": " UNION ALL ".join(_PROFILE.format(c=c) for c in ("o_totalprice", "o_custkey")),
     "structural_profile": " UNION ALL ".join(_STRUCT.format(c=c) for c in ("event_id", "user_id", "event_type", "value")),
-    "dominant_pattern": r"SELECT CASE WHEN regexp_matches(v,'^\d+$') THEN 'numeric_string' WHEN regexp_matches(v,'^\d{4}-\d{2}-\d{2}T') THEN 'iso8601_prefix' ELSE 'free_text' END pattern, count(*) n FROM (SELECT substr(c_name,10,40) v FROM customer) GROUP BY 1",
-    "shape_signature": "SELECT 'string(len=' || length(n_name) || ',sha8=' || substr(sha256(n_name),1,8) || ')' shape, count(*) n FROM nation GROUP BY 1",
-    "shape_signature_documents": "SELECT CASE WHEN text IS NULL THEN 'null' ELSE 'string(len=' || length(text) || ',sha8=' || substr(sha256(text),1,8) || ')' END shape, count(*) n FROM documents GROUP BY 1",
-    "drift_by_day": "WITH b AS (SELECT avg(value) bm, stddev_pop(value) bs FROM events WHERE ts < TIMESTAMP '2024-01-16'), t AS (SELECT ts::DATE::VARCHAR AS day, count(*) n, avg(value) m FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1) SELECT day, n, round(m,4) mean, round(abs(m-bm)/greatest(bs,1e-9),4) z, CASE WHEN abs(m-bm)/greatest(bs,1e-9)>3 THEN 'FAIL' WHEN abs(m-bm)/greatest(bs,1e-9)>2 THEN 'WARN' ELSE 'PASS' END status FROM t, b",
-    "violation_rate_trend": f"WITH t AS (SELECT ts::DATE::VARCHAR AS day, count(*) total, count(*) FILTER (WHERE NOT coalesce(event_type IN {_GOOD},false)) violations FROM events GROUP BY 1) SELECT day, total, violations, round(violations/total,6) rate, CASE WHEN violations/total > 0.2*1.5 THEN 'rising' WHEN violations/total < 0.2*0.5 THEN 'falling' ELSE 'stable' END trend FROM t",
-    "circuit_breaker": f"SELECT event_id, count(*) OVER w recent, count(*) OVER w >= 3 tripped FROM events WHERE event_type NOT IN {_GOOD} WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)",
-    "embedding_centroid_drift": "WITH e AS (SELECT label, unnest(embedding)::DOUBLE x, unnest(range(64)) p FROM embeddings), c AS (SELECT label, p, avg(x) m FROM e GROUP BY 1,2), a AS (SELECT p, avg(x) g FROM e GROUP BY 1) SELECT label, round(1 - sum(m*g)/(sqrt(sum(m*m))*sqrt(sum(g*g))+1e-12),6) drift FROM c JOIN a USING (p) GROUP BY 1",
-    "byte_histogram": "WITH b AS (SELECT r_regionkey, ascii(unnest(string_split(r_name,''))) AS byte FROM region), c AS (SELECT r_regionkey, byte, count(*) n FROM b GROUP BY 1,2) SELECT r_regionkey, byte, round(n/(sqrt(sum(n*n) OVER (PARTITION BY r_regionkey))+1e-9),6) share FROM c",
-    "byte_histogram_documents": "WITH h AS (SELECT doc_id, substr(hex(encode(coalesce(text,''))),1,100000) h FROM documents), b AS (SELECT doc_id, ('0x' || substr(h,p*2+1,2))::INT AS byte FROM (SELECT doc_id, h, unnest(range(0, length(h)//2)) p FROM h)), c AS (SELECT doc_id, byte, count(*) n FROM b GROUP BY 1,2) SELECT doc_id, byte, round(n/(sqrt(sum(n*n) OVER (PARTITION BY doc_id))+1e-9),6) share FROM c",
+    "dominant_pattern": (
+        r"SELECT CASE WHEN regexp_matches(v,'^\d+$') THEN 'numeric_string' WHEN regexp_matches(v,'^\d{4}-\d{2}-\d{2}T') THEN "
+        r"'iso8601_prefix' ELSE 'free_text' END pattern, count(*) n FROM (SELECT substr(c_name,10,40) v FROM customer) GROUP "
+        r"BY 1"
+    ),
+    "shape_signature": (
+        "SELECT 'string(len=' || length(n_name) || ',sha8=' || substr(sha256(n_name),1,8) || ')' shape, count(*) n FROM "
+        "nation GROUP BY 1"
+    ),
+    "shape_signature_documents": (
+        "SELECT CASE WHEN text IS NULL THEN 'null' ELSE 'string(len=' || length(text) || ',sha8=' || substr(sha256(text),1,8) "
+        "|| ')' END shape, count(*) n FROM documents GROUP BY 1"
+    ),
+    "drift_by_day": (
+        "WITH b AS (SELECT avg(value) bm, stddev_pop(value) bs FROM events WHERE ts < TIMESTAMP '2024-01-16'), t AS (SELECT "
+        "ts::DATE::VARCHAR AS day, count(*) n, avg(value) m FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1) SELECT "
+        "day, n, round(m,4) mean, round(abs(m-bm)/greatest(bs,1e-9),4) z, CASE WHEN abs(m-bm)/greatest(bs,1e-9)>3 THEN 'FAIL' "
+        "WHEN abs(m-bm)/greatest(bs,1e-9)>2 THEN 'WARN' ELSE 'PASS' END status FROM t, b"
+    ),
+    "violation_rate_trend": (
+        f"WITH t AS (SELECT ts::DATE::VARCHAR AS day, count(*) total, count(*) FILTER (WHERE NOT coalesce(event_type IN "
+        f"{_GOOD},false)) violations FROM events GROUP BY 1) SELECT day, total, violations, round(violations/total,6) rate, "
+        f"CASE WHEN violations/total > 0.2*1.5 THEN 'rising' WHEN violations/total < 0.2*0.5 THEN 'falling' ELSE 'stable' END "
+        f"trend FROM t"
+    ),
+    "circuit_breaker": (
+        f"SELECT event_id, count(*) OVER w recent, count(*) OVER w >= 3 tripped FROM events WHERE event_type NOT IN {_GOOD} "
+        f"WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)"
+    ),
+    "embedding_centroid_drift": (
+        "WITH e AS (SELECT label, unnest(embedding)::DOUBLE x, unnest(range(64)) p FROM embeddings), c AS (SELECT label, p, "
+        "avg(x) m FROM e GROUP BY 1,2), a AS (SELECT p, avg(x) g FROM e GROUP BY 1) SELECT label, round(1 - "
+        "sum(m*g)/(sqrt(sum(m*m))*sqrt(sum(g*g))+1e-12),6) drift FROM c JOIN a USING (p) GROUP BY 1"
+    ),
+    "byte_histogram": (
+        "WITH b AS (SELECT r_regionkey, ascii(unnest(string_split(r_name,''))) AS byte FROM region), c AS (SELECT "
+        "r_regionkey, byte, count(*) n FROM b GROUP BY 1,2) SELECT r_regionkey, byte, round(n/(sqrt(sum(n*n) OVER (PARTITION "
+        "BY r_regionkey))+1e-9),6) share FROM c"
+    ),
+    "byte_histogram_documents": (
+        "WITH h AS (SELECT doc_id, substr(hex(encode(coalesce(text,''))),1,100000) h FROM documents), b AS (SELECT doc_id, "
+        "('0x' || substr(h,p*2+1,2))::INT AS byte FROM (SELECT doc_id, h, unnest(range(0, length(h)//2)) p FROM h)), c AS "
+        "(SELECT doc_id, byte, count(*) n FROM b GROUP BY 1,2) SELECT doc_id, byte, round(n/(sqrt(sum(n*n) OVER (PARTITION BY "
+        "doc_id))+1e-9),6) share FROM c"
+    ),
     "blast_radius_lookup": _HITS + "SELECT check_id, subscriber_id, matched_field, reason FROM h WHERE k = 1",
     "registry_gap": _HITS + "SELECT DISTINCT check_id FROM f WHERE check_id NOT IN (SELECT check_id FROM h)",
-    "lineage_bfs": "WITH RECURSIVE e AS (SELECT 'region::'||n_regionkey s, 'nation::'||n_nationkey t FROM nation UNION ALL SELECT 'nation::'||c_nationkey, 'customer::'||c_custkey FROM customer), r(node,hops) AS (SELECT 'region::1', 0 UNION ALL SELECT t, hops+1 FROM r JOIN e ON node=s WHERE hops < 2) SELECT node, min(hops) hops FROM r GROUP BY 1",
-    "schema_diff_classify": "SELECT * FROM (VALUES ('a','COMPATIBLE','no_material_change'),('b','BREAKING','range_maximum_change'),('c','BREAKING','enum_value_removed'),('d','BREAKING','remove_field'),('e','BREAKING','add_required_field'),('f','COMPATIBLE','add_nullable_field'),('g','COMPATIBLE','no_material_change'),('g[].h','BREAKING','type_change'),('k','COMPATIBLE','enum_value_added')) v(path, verdict, taxonomy)",
-    "blame_rank_topk": "WITH x AS (SELECT o_custkey, o_orderkey, round(greatest(0.0, least(1.0, greatest(0.0, 1.0 - greatest(0, floor(date_diff('second', o_orderdate, TIMESTAMP '1998-08-02')/86400.0))*0.1) - (o_orderkey%3)*0.2)),6)::DOUBLE score FROM orders WHERE o_orderstatus='P'), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY score DESC, o_orderkey) rank FROM x) SELECT * FROM r WHERE rank <= 2",
-    "blame_rank_all_orders": "WITH x AS (SELECT o_custkey, o_orderkey, round(greatest(0.0, least(1.0, greatest(0.0, 1.0 - greatest(0, floor(date_diff('second', o_orderdate, TIMESTAMP '1998-08-02')/86400.0))*0.1) - (o_orderkey%3)*0.2)),6)::DOUBLE score FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY score DESC, o_orderkey) rank FROM x) SELECT * FROM r WHERE rank <= 2",
-    "quarantine_split": "SELECT CASE WHEN trim(text)='' THEN 'empty' WHEN length(text)>200 THEN 'long' WHEN role NOT IN ('user','assistant') THEN 'role' END reason, count(*) n FROM conversations WHERE trim(text)='' OR length(text)>200 OR role NOT IN ('user','assistant') GROUP BY 1",
-    "json_path_projection": "SELECT event_type, count(k) n, sum(k)::BIGINT total FROM (SELECT event_type, json_extract(props,'$.k')::BIGINT k FROM events) GROUP BY 1",
-    "explode_outer_flatten": "SELECT d.doc_id conv_id, c.turn fact_turn, c.role fact_role, length(c.text) fact_chars FROM documents d LEFT JOIN conversations c ON c.conv_id = d.doc_id",
-    "uuid5_ids": "WITH h AS (SELECT event_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('event:' || event_id)) x FROM events) SELECT event_id, substr(x,1,8)||'-'||substr(x,9,4)||'-5'||substr(x,14,3)||'-'||substr('89ab', (('0x'||substr(x,17,1))::INT % 4)+1, 1)||substr(x,18,3)||'-'||substr(x,21,12) uid FROM h",
+    "lineage_bfs": (
+        "WITH RECURSIVE e AS (SELECT 'region::'||n_regionkey s, 'nation::'||n_nationkey t FROM nation UNION ALL SELECT "
+        "'nation::'||c_nationkey, 'customer::'||c_custkey FROM customer), r(node,hops) AS (SELECT 'region::1', 0 UNION ALL "
+        "SELECT t, hops+1 FROM r JOIN e ON node=s WHERE hops < 2) SELECT node, min(hops) hops FROM r GROUP BY 1"
+    ),
+    "schema_diff_classify": (
+        "SELECT * FROM (VALUES "
+        "('a','COMPATIBLE','no_material_change'),('b','BREAKING','range_maximum_change'),('c','BREAKING','enum_value_removed'),('d','BREAKING','remove_field'),('e','BREAKING','add_required_field'),('f','COMPATIBLE','add_nullable_field'),('g','COMPATIBLE','no_material_change'),('g[].h','BREAKING','type_change'),('k','COMPATIBLE','enum_value_added')) "
+        "v(path, verdict, taxonomy)"
+    ),
+    "blame_rank_topk": (
+        "WITH x AS (SELECT o_custkey, o_orderkey, round(greatest(0.0, least(1.0, greatest(0.0, 1.0 - greatest(0, "
+        "floor(date_diff('second', o_orderdate, TIMESTAMP '1998-08-02')/86400.0))*0.1) - (o_orderkey%3)*0.2)),6)::DOUBLE "
+        "score FROM orders WHERE o_orderstatus='P'), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY score "
+        "DESC, o_orderkey) rank FROM x) SELECT * FROM r WHERE rank <= 2"
+    ),
+    "blame_rank_all_orders": (
+        "WITH x AS (SELECT o_custkey, o_orderkey, round(greatest(0.0, least(1.0, greatest(0.0, 1.0 - greatest(0, "
+        "floor(date_diff('second', o_orderdate, TIMESTAMP '1998-08-02')/86400.0))*0.1) - (o_orderkey%3)*0.2)),6)::DOUBLE "
+        "score FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY score DESC, o_orderkey) rank "
+        "FROM x) SELECT * FROM r WHERE rank <= 2"
+    ),
+    "quarantine_split": (
+        "SELECT CASE WHEN trim(text)='' THEN 'empty' WHEN length(text)>200 THEN 'long' WHEN role NOT IN ('user','assistant') "
+        "THEN 'role' END reason, count(*) n FROM conversations WHERE trim(text)='' OR length(text)>200 OR role NOT IN "
+        "('user','assistant') GROUP BY 1"
+    ),
+    "json_path_projection": (
+        "SELECT event_type, count(k) n, sum(k)::BIGINT total FROM (SELECT event_type, json_extract(props,'$.k')::BIGINT k "
+        "FROM events) GROUP BY 1"
+    ),
+    "explode_outer_flatten": (
+        "SELECT d.doc_id conv_id, c.turn fact_turn, c.role fact_role, length(c.text) fact_chars FROM documents d LEFT JOIN "
+        "conversations c ON c.conv_id = d.doc_id"
+    ),
+    "uuid5_ids": (
+        "WITH h AS (SELECT event_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('event:' || event_id)) x FROM "
+        "events) SELECT event_id, substr(x,1,8)||'-'||substr(x,9,4)||'-5'||substr(x,14,3)||'-'||substr('89ab', "
+        "(('0x'||substr(x,17,1))::INT % 4)+1, 1)||substr(x,18,3)||'-'||substr(x,21,12) uid FROM h"
+    ),
     "event_projection": "SELECT event_id id, json_extract(props,'$.k')::BIGINT k, len(json_keys(props))::INT AS \"keys\" FROM events",
     "type_mix": "SELECT 'NUMBER' kinds, count(json_extract(props,'$.k')) n, 'PASS' status FROM events",
-    "snapshot_pair": "WITH s AS (SELECT o_custkey, o_orderkey, o_orderdate, o_orderdate >= TIMESTAMP '1998-01-01' r FROM orders), c AS (SELECT o_custkey, count(*) a, count(*) FILTER (WHERE r) n FROM s GROUP BY 1), t AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)::INT nth, a FROM s JOIN c USING (o_custkey) WHERE r OR n < 2) SELECT o_custkey, o_orderkey, nth, CASE WHEN a < 2 THEN 'INSUFFICIENT_SNAPSHOTS' ELSE 'OK' END status FROM t WHERE nth <= 2",
-    "rate_history": f"WITH t AS (SELECT user_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) FILTER (WHERE NOT coalesce(event_type IN {_GOOD},false)) violations FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY hour DESC)::INT nth FROM t) SELECT * FROM r WHERE nth <= 24",
-    "effective_mode": "WITH r AS (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) n FROM events) SELECT user_id, CASE WHEN max(n) >= 3 THEN 'WARN' ELSE 'ENFORCE' END AS mode, max(n) most_recent FROM r GROUP BY 1",
-    "keyword_seeds": "WITH n AS (SELECT 'file::' || p_type || '/' || p_partkey node FROM part), k(check_id, w) AS (VALUES ('part.size.minimum','small'),('part.size.minimum','large'),('part.metal.enum','copper')), h AS (SELECT DISTINCT check_id, node FROM n JOIN k ON contains(lower(node), w)), r AS (SELECT *, row_number() OVER (PARTITION BY check_id ORDER BY node) i FROM h), o AS (SELECT DISTINCT node FROM n ORDER BY node LIMIT 8) SELECT check_id, node FROM r WHERE i <= 40 UNION ALL SELECT f, node FROM o, (VALUES ('part.size.minimum'),('part.metal.enum'),('part.other')) v(f) WHERE f NOT IN (SELECT check_id FROM h)",
-    "ambiguous_columns": "WITH p AS (SELECT 'id' column_name, 0.0 base, count(*) FILTER (WHERE doc_id IS NULL)/count(*) nf, count(DISTINCT doc_id) c FROM labels UNION ALL SELECT 'quality', 0, count(*) FILTER (WHERE quality IS NULL)/count(*), count(DISTINCT quality) FROM labels UNION ALL SELECT 'toxicity_version', 0, 0, 1 FROM labels UNION SELECT 'metadata', 2, count(*) FILTER (WHERE toxic IS NULL OR toxic = 0)/count(*), count(DISTINCT nullif(toxic,0)) FROM labels), s AS (SELECT DISTINCT column_name, (base + CASE WHEN nf > 0.4 THEN 1 ELSE 0 END + CASE WHEN c <= 1 THEN 0.5 ELSE 0 END + CASE WHEN length(column_name) <= 2 THEN 1.5 ELSE 0 END)::DOUBLE score FROM p) SELECT * FROM s WHERE score > 0",
-    "drift_all_columns": " UNION ALL ".join(f"SELECT '{c}' AS column, count({c}) FILTER (WHERE l_linestatus='O') n, round(avg({c}) FILTER (WHERE l_linestatus='O'),4) mean, round(abs(avg({c}) FILTER (WHERE l_linestatus='O')-avg({c}) FILTER (WHERE l_linestatus='F'))/greatest(stddev_pop({c}) FILTER (WHERE l_linestatus='F'),1e-9),6) z, 'PASS' status FROM lineitem" for c in _NUMBERS),
-    "rate_by_version": "WITH t AS (SELECT o_orderpriority, count(*) total, count(*) FILTER (WHERE NOT coalesce(o_orderstatus IN ('F','O'),false)) violations FROM orders GROUP BY 1) SELECT *, round(violations/total,6) rate, CASE WHEN violations/total > 0.3*1.5 THEN 'rising' WHEN violations/total < 0.3*0.5 THEN 'falling' ELSE 'stable' END trend, CASE WHEN violations/total > 0.05 THEN 'WARN' ELSE 'PASS' END status FROM t",
+    "snapshot_pair": (
+        "WITH s AS (SELECT o_custkey, o_orderkey, o_orderdate, o_orderdate >= TIMESTAMP '1998-01-01' r FROM orders), c AS "
+        "(SELECT o_custkey, count(*) a, count(*) FILTER (WHERE r) n FROM s GROUP BY 1), t AS (SELECT o_custkey, o_orderkey, "
+        "row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)::INT nth, a FROM s JOIN c "
+        "USING (o_custkey) WHERE r OR n < 2) SELECT o_custkey, o_orderkey, nth, CASE WHEN a < 2 THEN 'INSUFFICIENT_SNAPSHOTS' "
+        "ELSE 'OK' END status FROM t WHERE nth <= 2"
+    ),
+    "rate_history": (
+        f"WITH t AS (SELECT user_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) FILTER (WHERE NOT "
+        f"coalesce(event_type IN {_GOOD},false)) violations FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER "
+        f"(PARTITION BY user_id ORDER BY hour DESC)::INT nth FROM t) SELECT * FROM r WHERE nth <= 24"
+    ),
+    "effective_mode": (
+        "WITH r AS (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING "
+        "AND CURRENT ROW) n FROM events) SELECT user_id, CASE WHEN max(n) >= 3 THEN 'WARN' ELSE 'ENFORCE' END AS mode, max(n) "
+        "most_recent FROM r GROUP BY 1"
+    ),
+    "keyword_seeds": (
+        "WITH n AS (SELECT 'file::' || p_type || '/' || p_partkey node FROM part), k(check_id, w) AS (VALUES "
+        "('part.size.minimum','small'),('part.size.minimum','large'),('part.metal.enum','copper')), h AS (SELECT DISTINCT "
+        "check_id, node FROM n JOIN k ON contains(lower(node), w)), r AS (SELECT *, row_number() OVER (PARTITION BY check_id "
+        "ORDER BY node) i FROM h), o AS (SELECT DISTINCT node FROM n ORDER BY node LIMIT 8) SELECT check_id, node FROM r "
+        "WHERE i <= 40 UNION ALL SELECT f, node FROM o, (VALUES ('part.size.minimum'),('part.metal.enum'),('part.other')) "
+        "v(f) WHERE f NOT IN (SELECT check_id FROM h)"
+    ),
+    "ambiguous_columns": (
+        "WITH p AS (SELECT 'id' column_name, 0.0 base, count(*) FILTER (WHERE doc_id IS NULL)/count(*) nf, count(DISTINCT "
+        "doc_id) c FROM labels UNION ALL SELECT 'quality', 0, count(*) FILTER (WHERE quality IS NULL)/count(*), "
+        "count(DISTINCT quality) FROM labels UNION ALL SELECT 'toxicity_version', 0, 0, 1 FROM labels UNION SELECT "
+        "'metadata', 2, count(*) FILTER (WHERE toxic IS NULL OR toxic = 0)/count(*), count(DISTINCT nullif(toxic,0)) FROM "
+        "labels), s AS (SELECT DISTINCT column_name, (base + CASE WHEN nf > 0.4 THEN 1 ELSE 0 END + CASE WHEN c <= 1 THEN 0.5 "
+        "ELSE 0 END + CASE WHEN length(column_name) <= 2 THEN 1.5 ELSE 0 END)::DOUBLE score FROM p) SELECT * FROM s WHERE "
+        "score > 0"
+    ),
+    "drift_all_columns": " UNION ALL ".join(
+        f"SELECT '{c}' AS column, count({c}) FILTER (WHERE l_linestatus='O') n, round(avg({c}) FILTER (WHERE l_linestatus='O'),4) mean, round(abs(avg({c}) FILTER (WHERE l_linestatus='O')-avg({c}) FILTER (WHERE l_linestatus='F'))/greatest(stddev_pop({c}) FILTER (WHERE l_linestatus='F'),1e-9),6) z, 'PASS' status FROM lineitem" for c in _NUMBERS
+    ),
+    "rate_by_version": (
+        "WITH t AS (SELECT o_orderpriority, count(*) total, count(*) FILTER (WHERE NOT coalesce(o_orderstatus IN "
+        "('F','O'),false)) violations FROM orders GROUP BY 1) SELECT *, round(violations/total,6) rate, CASE WHEN "
+        "violations/total > 0.3*1.5 THEN 'rising' WHEN violations/total < 0.3*0.5 THEN 'falling' ELSE 'stable' END trend, "
+        "CASE WHEN violations/total > 0.05 THEN 'WARN' ELSE 'PASS' END status FROM t"
+    ),
     "tiered_health": _ROWS + "SELECT round(greatest(0.0, least(100.0, 100.0*count(*) FILTER (WHERE status='PASS')/count(*) - 20*count(*) FILTER (WHERE severity='CRITICAL' AND status='FAIL') - 10*count(*) FILTER (WHERE severity='HIGH' AND status='FAIL'))),2)::DOUBLE health_score, count(*) total_checks, count(*) FILTER (WHERE severity='CRITICAL' AND status='FAIL') critical_fails FROM res",
-    "change_counts": "SELECT * FROM (VALUES ('COMPATIBLE','no_material_change',2),('BREAKING','range_maximum_change',1),('BREAKING','enum_value_removed',1),('BREAKING','remove_field',1),('BREAKING','add_required_field',1),('COMPATIBLE','add_nullable_field',1),('BREAKING','type_change',1),('COMPATIBLE','enum_value_added',1)) v(verdict, taxonomy, n)",
-    "migration_impact": "SELECT * FROM (VALUES ('b','1 consumers read b'),('c','1 consumers read c'),('d','no registered consumer'),('e','no registered consumer'),('g[].h','1 consumers read g[].h')) v(path, failure_mode)",
-    "sampled_statistics": "SELECT count(o_totalprice) n, round(avg(o_totalprice),4) mean, round(stddev_pop(o_totalprice),4) stddev FROM orders WHERE ('0x' || substr(md5(o_orderkey::VARCHAR),1,6))::INT % 100 < 5",
-    "upstream_bfs": "WITH c AS (SELECT c_custkey k, c_nationkey n, n_regionkey r FROM customer JOIN nation ON c_nationkey=n_nationkey WHERE c_acctbal < 0) SELECT 'customer::'||k node, 0 hops FROM c UNION SELECT 'nation::'||n, 1 FROM c UNION SELECT 'region::'||r, 2 FROM c",
+    "change_counts": (
+        "SELECT * FROM (VALUES "
+        "('COMPATIBLE','no_material_change',2),('BREAKING','range_maximum_change',1),('BREAKING','enum_value_removed',1),('BREAKING','remove_field',1),('BREAKING','add_required_field',1),('COMPATIBLE','add_nullable_field',1),('BREAKING','type_change',1),('COMPATIBLE','enum_value_added',1)) "
+        "v(verdict, taxonomy, n)"
+    ),
+    "migration_impact": (
+        "SELECT * FROM (VALUES ('b','1 consumers read b'),('c','1 consumers read c'),('d','no registered consumer'),('e','no "
+        "registered consumer'),('g[].h','1 consumers read g[].h')) v(path, failure_mode)"
+    ),
+    "sampled_statistics": (
+        "SELECT count(o_totalprice) n, round(avg(o_totalprice),4) mean, round(stddev_pop(o_totalprice),4) stddev FROM orders "
+        "WHERE ('0x' || substr(md5(o_orderkey::VARCHAR),1,6))::INT % 100 < 5"
+    ),
+    "upstream_bfs": (
+        "WITH c AS (SELECT c_custkey k, c_nationkey n, n_regionkey r FROM customer JOIN nation ON c_nationkey=n_nationkey "
+        "WHERE c_acctbal < 0) SELECT 'customer::'||k node, 0 hops FROM c UNION SELECT 'nation::'||n, 1 FROM c UNION SELECT "
+        "'region::'||r, 2 FROM c"
+    ),
     "first_of_repeats": "SELECT min(doc_id) doc_id, count(*) copies FROM documents GROUP BY text",
-    "next_baselines": "WITH t AS (SELECT event_type, round(avg(value),4) m, round(greatest(stddev_pop(value),1e-9),4) s, count(value) n FROM events GROUP BY 1 HAVING count(value) >= 10) SELECT event_type AS column, m mean, s std, n, true fresh FROM t WHERE event_type <> 'click' UNION ALL SELECT * FROM (VALUES ('click',1.0::DOUBLE,2.0::DOUBLE,10,false),('gone',3.0,4.0,11,false))",
+    "next_baselines": (
+        "WITH t AS (SELECT event_type, round(avg(value),4) m, round(greatest(stddev_pop(value),1e-9),4) s, count(value) n "
+        "FROM events GROUP BY 1 HAVING count(value) >= 10) SELECT event_type AS column, m mean, s std, n, true fresh FROM t "
+        "WHERE event_type <> 'click' UNION ALL SELECT * FROM (VALUES "
+        "('click',1.0::DOUBLE,2.0::DOUBLE,10,false),('gone',3.0,4.0,11,false))"
+    ),
 }
 
 _CHECKS = "SELECT check_id, column_name, check_type, CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END status, CASE WHEN n > 0 THEN 'CRITICAL' ELSE 'LOW' END severity, n::BIGINT records_failing"

@@ -12,7 +12,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 REGISTRY = (
-    "contract_id string, subscriber_id string, subscriber_team string, fields_consumed array<string>, breaking_fields array<struct<field:string,reason:string>>, "
+    "contract_id string, subscriber_id string, subscriber_team string, fields_consumed array<string>, breaking_fields "
+    "array<struct<field:string,reason:string>>, "
     "validation_mode string, mode_upgraded_at string, registered_at string, contact string"
 )
 
@@ -32,7 +33,14 @@ def registry(spark: SparkSession, path: str) -> DataFrame:
     rows = []
     for s in read_yaml(spark, path).get("subscriptions", []):
         text = lambda k, s=s: None if s.get(k) is None else str(s[k])
-        rows.append((text("contract_id"), text("subscriber_id"), text("subscriber_team"), [str(x) for x in s.get("fields_consumed") or []], [(str(b.get("field")), str(b.get("reason", ""))) for b in s.get("breaking_fields") or []], text("validation_mode"), text("mode_upgraded_at"), text("registered_at"), text("contact")))
+        rows.append(
+            (
+                text("contract_id"), text("subscriber_id"), text("subscriber_team"),
+                [str(x) for x in s.get("fields_consumed") or []],
+                [(str(b.get("field")), str(b.get("reason", ""))) for b in s.get("breaking_fields") or []],
+                text("validation_mode"), text("mode_upgraded_at"), text("registered_at"), text("contact")
+            )
+        )
     return spark.createDataFrame(rows, REGISTRY)
 
 
@@ -88,7 +96,10 @@ def git_log(repo: str, paths: list[str], days: int = 14, most: int = 10, timeout
     for path in paths:
         for window in ([f"--since={days} days ago"], []):
             try:
-                r = subprocess.run(["git", "-C", repo, "log", f"-{most}", "--format=%H|%an|%ae|%aI|%s", *window, "--", path], capture_output=True, text=True, timeout=timeout, check=True)
+                r = subprocess.run(
+                    ["git", "-C", repo, "log", f"-{most}", "--format=%H|%an|%ae|%aI|%s", *window, "--", path],
+                    capture_output=True, text=True, timeout=timeout, check=True
+                )
             except (OSError, subprocess.SubprocessError):
                 break
             if lines := r.stdout.splitlines():

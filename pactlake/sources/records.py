@@ -45,10 +45,14 @@ def lenient(spark: SparkSession, path: str, literals: bool = False) -> tuple[Dat
 
     Kinds of issues: malformed_line, unexpected_line_type, skip_non_object_in_line_array.
     """
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.regexp_replace("value", "^﻿", "").alias("value")).where("trim(value) <> ''")
+    lines = spark.read.text(path).select(
+        F.monotonically_increasing_id().alias("line"), F.regexp_replace("value", "^﻿", "").alias("value")
+    ).where("trim(value) <> ''")
     parsed = lines.withColumn("v", F.try_parse_json("value"))
     if literals:
-        parsed = parsed.where("v is not null").unionByName(parsed.where("v is null").withColumn("v", F.try_parse_json(_from_literal(F.col("value")))))
+        parsed = parsed.where("v is not null").unionByName(
+            parsed.where("v is null").withColumn("v", F.try_parse_json(_from_literal(F.col("value"))))
+        )
     kind = F.upper(F.substring(F.schema_of_variant("v"), 1, 5))
     parsed = parsed.withColumn("kind", F.when(F.col("v").isNull(), "BAD").otherwise(kind))
     flat = parsed.where("kind = 'ARRAY'").select("line", F.expr("explode(cast(v as array<variant>))").alias("v"))
@@ -77,7 +81,10 @@ def summary(spark: SparkSession, path: str, fields: dict[str, str]) -> dict | No
     """Fields (name -> JSON path) of a report of another step, one JSON document; None if it isn't there or broken."""
     try:
         doc = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
-        row = doc.select(*[F.try_variant_get("v", p, "string").alias(n) for n, p in fields.items()], F.col("v").isNotNull().alias("__ok")).first()
+        row = doc.select(
+            *[F.try_variant_get("v", p, "string").alias(n) for n, p in fields.items()],
+            F.col("v").isNotNull().alias("__ok")
+        ).first()
     except AnalysisException:
         return None
     return {n: row[n] for n in fields} if row is not None and row["__ok"] else None

@@ -15,18 +15,27 @@ from ..session import cut
 def report(results: DataFrame, path: str, **header: str) -> None:
     """One JSON document: header, counts, and the array of results."""
     c = lambda s: F.count_if(F.col("status") == s)
-    doc = results.agg(F.count(F.lit(1)).alias("total_checks"), c("PASS").alias("passed"), c("FAIL").alias("failed"), c("WARN").alias("warned"), c("ERROR").alias("errored"), F.collect_list(F.struct(*results.columns)).alias("results"))
+    doc = results.agg(
+        F.count(F.lit(1)).alias("total_checks"), c("PASS").alias("passed"), c("FAIL").alias("failed"),
+        c("WARN").alias("warned"), c("ERROR").alias("errored"),
+        F.collect_list(F.struct(*results.columns)).alias("results")
+    )
     doc.select(*[F.lit(v).alias(k) for k, v in header.items()], "*").coalesce(1).write.mode("overwrite").json(path)
 
 
 #: Keys of the strict report, in order; fixed names.
-STRICT_KEYS = ("report_id", "contract_id", "snapshot_id", "run_timestamp", "total_checks", "passed", "failed", "warned", "errored", "results")
+STRICT_KEYS = (
+    "report_id", "contract_id", "snapshot_id", "run_timestamp", "total_checks", "passed", "failed", "warned", "errored",
+    "results"
+)
 
 
 def with_pipeline(report_: dict[str, Any], mode: str, action: str) -> dict[str, Any]:
     """The decision of the gate right after the id; the other keys as they were."""
     mode = (mode or "AUDIT").upper()
-    return {"report_id": report_.get("report_id"), "pipeline_action": action, "mode": mode} | {k: v for k, v in report_.items() if k not in ("report_id", "pipeline_action", "mode")}
+    return {"report_id": report_.get("report_id"), "pipeline_action": action, "mode": mode} | {
+        k: v for k, v in report_.items() if k not in ("report_id", "pipeline_action", "mode")
+    }
 
 
 def strict_report(report_: dict[str, Any], note: bool = False) -> dict[str, Any]:
@@ -38,7 +47,10 @@ def strict_report(report_: dict[str, Any], note: bool = False) -> dict[str, Any]
 def append_mode_transition(spark: SparkSession, path: str, requested: str, effective: str, check_ids: list[str], at: str) -> None:
     """One line in the log of modes, where a circuit breaker changed one."""
     row = [(at, requested, effective, check_ids)]
-    spark.createDataFrame(row, "run_timestamp string, runner_mode_requested string, runner_mode_effective string, circuit_breaker_check_ids array<string>").write.mode("append").json(path)
+    spark.createDataFrame(
+        row,
+        "run_timestamp string, runner_mode_requested string, runner_mode_effective string, circuit_breaker_check_ids array<string>"
+    ).write.mode("append").json(path)
 
 
 def json_document(spark: SparkSession, document: dict[str, Any], path: str) -> None:
@@ -48,7 +60,9 @@ def json_document(spark: SparkSession, document: dict[str, Any], path: str) -> N
 
 def append_centroid(drifted: DataFrame, path: str, at: Column, label: str = "default") -> None:
     """A run's centroid in the archive, a table of vectors by time."""
-    drifted.where("centroid is not null").select(F.lit(label).alias("label"), at.alias("taken_at"), "n", "centroid").write.mode("append").parquet(path)
+    drifted.where("centroid is not null").select(
+        F.lit(label).alias("label"), at.alias("taken_at"), "n", "centroid"
+    ).write.mode("append").parquet(path)
 
 
 def latest_centroid(spark: SparkSession, path: str, label: str = "default") -> list[float] | None:

@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def failure_windows(stream: DataFrame, key: str = "check_id", ts: str = "ts", hours: int = 1, slide: str = "10 minutes", limit: int = 3) -> DataFrame:
+def failure_windows(
+    stream: DataFrame, key: str = "check_id", ts: str = "ts", hours: int = 1, slide: str = "10 minutes", limit: int = 3
+) -> DataFrame:
     """Sliding windows with at least ``limit`` failures of a check; later data than ``hours`` is dropped."""
     span = f"{hours} hours"
-    return stream.withWatermark(ts, span).groupBy(F.window(ts, span, slide), key).agg(F.count(F.lit(1)).alias("failures")).where(F.col("failures") >= limit)
+    return stream.withWatermark(ts, span).groupBy(F.window(ts, span, slide), key).agg(
+        F.count(F.lit(1)).alias("failures")
+    ).where(F.col("failures") >= limit)
 
 
 def first_of(stream: DataFrame, keys: list[str], ts: str, late: str = "1 hour") -> DataFrame:
@@ -59,7 +63,9 @@ def sequence_gaps(stream: DataFrame, key: str, seq: str, idle: str | None = None
                 state.setTimeoutDuration(ms)
         yield pd.DataFrame(out, columns=[key, "expected", "found"])
 
-    return stream.select(key, seq).groupBy(key).applyInPandasWithState(steps, f"`{key}` {kind}, expected bigint, found bigint", "last bigint", "append", timeout)
+    return stream.select(key, seq).groupBy(key).applyInPandasWithState(
+        steps, f"`{key}` {kind}, expected bigint, found bigint", "last bigint", "append", timeout
+    )
 
 
 def _interval(text: str):
@@ -77,6 +83,8 @@ def baseline_updates(stream: DataFrame, metrics: dict[str, Column], path: str, c
         spark = batch.sparkSession
         kind = "column string, mean double, std double, n long, established_at timestamp"
         old = spark.read.schema(kind).parquet(f"{path}/version={n - 1}") if n else spark.createDataFrame([], kind)
-        history.next_baselines(drift.column_stats(batch, metrics), old, F.current_timestamp(), least).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={n}")
+        history.next_baselines(
+            drift.column_stats(batch, metrics), old, F.current_timestamp(), least
+        ).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={n}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
