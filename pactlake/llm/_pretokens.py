@@ -78,7 +78,9 @@ def by_tiktoken() -> PreTokens:
     import tiktoken
 
     ranks = {bytes([i]): i for i in range(256)}
-    has = [(k, tiktoken.Encoding(f"class {k}", pat_str=rf"\p{{{k}}}", mergeable_ranks=ranks, special_tokens={}).encode_ordinary) for k in "LN"]
+    has = [
+        (k, tiktoken.Encoding(f"class {k}", pat_str=rf"\p{{{k}}}", mergeable_ranks=ranks, special_tokens={}).encode_ordinary) for k in "LN"
+    ]
 
     def classify(c: int) -> str:
         return next((k for k, f in has if f(chr(c))), "")

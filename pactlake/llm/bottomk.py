@@ -93,7 +93,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = sketches([(t or "").encode() for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([to_text(x) for x in s]), pa.array([distinct(x) for x in s])], ["doc_id", "fingerprint", "n_distinct"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([to_text(x) for x in s]), pa.array([distinct(x) for x in s])],
+                ["doc_id", "fingerprint", "n_distinct"]
+            )
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fingerprint string, n_distinct double")
 
@@ -109,12 +112,18 @@ def merged(prints: DataFrame, key: str, k: int = K) -> DataFrame:
         for batch in batches:
             s = [from_text(t or "") for t in batch.column(1).to_pylist()]
             # the sign bit is turned, so that signed order is that of the hashes
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([(x ^ np.uint64(1 << 63)).view(np.int64) for x in s], pa.list_(pa.int64()))], ["key", "h"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([(x ^ np.uint64(1 << 63)).view(np.int64) for x in s], pa.list_(pa.int64()))],
+                ["key", "h"]
+            )
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = [np.sort(np.array(x, np.int64).view(np.uint64) ^ np.uint64(1 << 63)) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([to_text(x) for x in s], pa.string()), pa.array([distinct(x, k) for x in s], pa.float64())], [key, "fingerprint", "n_distinct"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([to_text(x) for x in s], pa.string()), pa.array([distinct(x, k) for x in s], pa.float64())],
+                [key, "fingerprint", "n_distinct"]
+            )
 
     kind = prints.schema[key].dataType.simpleString()
     found = map_arrow(prints.select(F.col(key).alias("key"), "fingerprint"), hashes, f"key {kind}, h array<long>")
@@ -123,7 +132,9 @@ def merged(prints: DataFrame, key: str, k: int = K) -> DataFrame:
     least = each.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("h"))).where(F.col("n") <= k)
     lists = least.groupBy("key").agg(F.collect_list("h").alias("h")).withColumnRenamed("key", "k")
     # keys whose texts have no shingles stay
-    every = keys.join(lists, F.col("key").eqNullSafe(F.col("k")), "left").select("key", F.coalesce("h", F.array().cast("array<long>")).alias("h"))
+    every = keys.join(lists, F.col("key").eqNullSafe(F.col("k")), "left").select(
+        "key", F.coalesce("h", F.array().cast("array<long>")).alias("h")
+    )
     return map_arrow(every, join, f"`{key}` {kind}, fingerprint string, n_distinct double")
 
 
@@ -160,12 +171,21 @@ def _compared(rows: list[tuple]) -> pa.RecordBatch:
     own, edited, after = every[0::3], every[1::3], every[2::3]
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[3]).hexdigest() for r in rows], pa.string()),
+            pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(
+                [hashlib.sha256(r[3]).hexdigest() for r in rows], pa.string()
+            ),
             pa.array([to_text(s) for s in own], pa.string()), pa.array([to_text(s) for s in edited], pa.string()),
-            pa.array([resemblance(a, b) for a, b in zip(own, edited, strict=True)], pa.float64()), pa.array([resemblance(a, b) for a, b in zip(own, after, strict=True)], pa.float64()),
-            pa.array([distinct(s) for s in own], pa.float64()), pa.array([containment(a, b) for a, b in zip(own, edited, strict=True)], pa.float64()),
+            pa.array(
+                [resemblance(a, b) for a, b in zip(own, edited, strict=True)], pa.float64()
+            ), pa.array([resemblance(a, b) for a, b in zip(own, after, strict=True)], pa.float64()),
+            pa.array([distinct(s) for s in own], pa.float64()), pa.array(
+                [containment(a, b) for a, b in zip(own, edited, strict=True)], pa.float64()
+            ),
+        ],
+        [
+            "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+            "n_distinct", "contained_in_edited"
         ],
-        ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_distinct", "contained_in_edited"],
     )
 
 
@@ -197,7 +217,11 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
     part = F.when(F.col("doc_id").isNull(), nulls).otherwise(_part(bounds, 0, max(1, len(bounds) - 1), fine)).cast("int")
     docs = docs.withColumn("part", part)
     # one row for each part comes to the driver
-    firsts = sorted((r.part, r.f.doc_id, r.f.h) for r in docs.groupBy("part").agg(F.min(F.struct(F.bitwise_not("doc_id").alias("order"), "h", "doc_id")).alias("f")).collect())
+    firsts = sorted(
+        (r.part, r.f.doc_id, r.f.h) for r in docs.groupBy("part").agg(
+            F.min(F.struct(F.bitwise_not("doc_id").alias("order"), "h", "doc_id")).alias("f")
+        ).collect()
+    )
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_distinct double, contained_in_edited double"
     if not firsts:
         return spark.createDataFrame([], schema)

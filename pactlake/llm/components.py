@@ -26,7 +26,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         e = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         j = e.join(_to_least(e), "u")
-        e = cut(j.select(F.col("u"), F.col("m").alias("v")).unionByName(j.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u > v").distinct())
+        e = cut(
+            j.select(F.col("u"), F.col("m").alias("v")).unionByName(
+                j.select(F.col("v").alias("u"), F.col("m").alias("v"))
+            ).where("u > v").distinct()
+        )
         release(edges.sparkSession)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:

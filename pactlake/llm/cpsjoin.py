@@ -72,7 +72,10 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 pool.append(pool_of(s).tobytes() if len(s) else b"")
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(pool, pa.binary())], ["doc_id", "n", "digest", "pool"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(pool, pa.binary())],
+            ["doc_id", "n", "digest", "pool"]
+        )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +85,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in slices(offs, SLICE):
             out += [s.tobytes() for s in shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])]
         names = [x for x in batch.schema.names if x != "text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(x)) for x in names), pa.array(out, pa.binary())], [*names, "shingles"])
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(batch.schema.get_field_index(x)) for x in names), pa.array(out, pa.binary())],
+            [*names, "shingles"]
+        )
 
 
 def _edges(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -154,9 +160,15 @@ def _trees(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     token = lambda c: F.expr(f"substring(pool, {4 * c + 1}, 4)")
     nodes = reps.select(F.col("doc"), F.explode(F.array(*[F.xxhash64(F.lit(t), token(c)) for t, c in enumerate(_ROOTS)])).alias("node"))
     leaves, rest = [], []
-    alike = F.expr(f"aggregate(sequence(0, {PROBE - 1}), 0, (n, i) -> n + cast(substring(pool, 4 * i + 1, 4) = substring(least_pool, 4 * i + 1, 4) as int)) >= {PLAUSIBLE * PROBE}")
+    alike = F.expr(
+        f"aggregate(sequence(0, {PROBE - 1}), 0, (n, i) -> n + cast(substring(pool, 4 * i + 1, 4) = substring(least_pool, "
+        f"4 * i + 1, 4) as int)) >= {PLAUSIBLE * PROBE}"
+    )
     for level in range(LEVELS):
-        size = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("doc").alias("least"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("members"))
+        size = nodes.groupBy("node").agg(
+            F.count("*").alias("n"), F.min("doc").alias("least"),
+            F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("members")
+        )
         size = cut(size.where("n > 1"))
         # trees often find the same members; one node for each set of members is enough
         small = size.where(F.col("n") <= LEAF).groupBy("n", "members").agg(F.min("node").alias("node"))
@@ -166,11 +178,28 @@ def _trees(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         large = nodes.join(big, "node")
         if level < LEVELS - 1:
-            least = big.join(reps.select(F.col("doc").alias("least"), F.col("pool").alias("least_pool")), "least").select("node", "least_pool")
-            large = cut(large.join(reps.select("doc", "pool"), "doc").join(least, "node").select("node", "doc", "least", "pool", alike.alias("alike")))
-            one = cut(large.groupBy("node").agg(F.avg(F.col("alike").cast("int")).alias("share")).where(F.col("share") >= SAME).select("node"))
+            least = big.join(
+                reps.select(F.col("doc").alias("least"), F.col("pool").alias("least_pool")), "least"
+            ).select("node", "least_pool")
+            large = cut(
+                large.join(reps.select("doc", "pool"), "doc").join(least, "node").select(
+                    "node", "doc", "least", "pool", alike.alias("alike")
+                )
+            )
+            one = cut(
+                large.groupBy("node").agg(F.avg(F.col("alike").cast("int")).alias("share")).where(F.col("share") >= SAME).select("node")
+            )
             rest.append(large.join(one, "node", "left_semi").select("least", "doc"))
-            child = F.explode(F.array(*[F.xxhash64(F.col("node"), F.lit(i), F.expr(f"substring(pool, 4 * cast(pmod(xxhash64(node, {i}), {POOL}) as int) + 1, 4)")) for i in range(BRANCHES)]))
+            child = F.explode(
+                F.array(
+                    *[
+                        F.xxhash64(
+                            F.col("node"), F.lit(i),
+                            F.expr(f"substring(pool, 4 * cast(pmod(xxhash64(node, {i}), {POOL}) as int) + 1, 4)")
+                        ) for i in range(BRANCHES)
+                    ]
+                )
+            )
             nodes = cut(large.join(one, "node", "left_anti").select("doc", child.alias("node")))
         else:
             rest.append(large.select("least", "doc"))
@@ -186,14 +215,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = cut(map_arrow(docs, _signatures, "doc_id long, n long, digest binary, pool binary"))
-    classes = cut(sig.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "pool")).alias("r")).select("digest", F.col("r.doc_id").alias("doc"), F.col("r.n").alias("n"), F.col("r.pool").alias("pool")))
+    classes = cut(
+        sig.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "pool")).alias("r")).select(
+            "digest", F.col("r.doc_id").alias("doc"), F.col("r.n").alias("n"), F.col("r.pool").alias("pool")
+        )
+    )
     reps = classes.select("doc", "n", "pool")
     leaves, rest = _trees(reps)
     sorted_leaves = leaves.join(reps.select("doc", "pool"), "doc").repartition(parts, "node").sortWithinPartitions("node", "doc")
     plausible = map_arrow(sorted_leaves.select("node", "doc", "pool"), _compare_pools, "a long, b long").unionByName(rest)
     families = components(plausible).withColumnsRenamed({"id": "doc", "component": "family"})
     sizes = families.join(reps.select("doc", "n"), "doc").groupBy("family").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    sizes = sizes.select("family", F.greatest(F.ceil(F.col("sets") / CHUNK_SETS), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+    sizes = sizes.select(
+        "family",
+        F.greatest(F.ceil(F.col("sets") / CHUNK_SETS), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int").alias("chunks")
+    )
     members = cut(families.join(sizes, "family").distinct())
     several = members.where("chunks > 1").limit(1).count() > 0
     # a doc_id may stand for several texts; then, and after chunks, components of groups can meet
@@ -204,10 +240,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if several:
         full = cut(full)
     own = F.pmod(F.xxhash64("doc"), F.col("chunks").cast("long")).cast("int")
-    dealt = full.withColumn("chunk", F.explode(F.when(F.col("doc") == F.col("family"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))))
+    dealt = full.withColumn(
+        "chunk",
+        F.explode(F.when(F.col("doc") == F.col("family"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own)))
+    )
 
     def confirm(parted: DataFrame) -> DataFrame:
-        return map_arrow(parted.select("part", "doc", "shingles").repartition(parts, "part").sortWithinPartitions("part", "doc"), _confirm, "a long, b long")
+        return map_arrow(
+            parted.select("part", "doc", "shingles").repartition(parts, "part").sortWithinPartitions("part", "doc"),
+            _confirm, "a long, b long"
+        )
 
     release(spark)
     links = confirm(dealt.withColumn("part", F.xxhash64("family", "chunk")))
@@ -218,16 +260,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         label = big.join(found, big.doc == found.id, "left").select("doc", "family", F.coalesce("component", "doc").alias("label"))
         apart = label.where("label <> family").select("doc", "family")
         turns = apart.groupBy("family").agg(F.ceil(F.count("*") / CHUNK_SETS).cast("int").alias("turns"))
-        odd = full.join(apart.select("doc"), "doc", "left_semi").join(turns, "family").withColumn("turn", F.pmod(F.xxhash64("doc"), F.col("turns").cast("long")).cast("int"))
+        odd = full.join(apart.select("doc"), "doc", "left_semi").join(turns, "family").withColumn(
+            "turn", F.pmod(F.xxhash64("doc"), F.col("turns").cast("long")).cast("int")
+        )
         odd = odd.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         against = dealt.where("chunks > 1").join(turns, "family").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
         cols = ["family", "chunk", "turn", "doc", "shingles"]
-        links = links.unionByName(confirm(odd.select(cols).unionByName(against.select(cols)).dropDuplicates(["family", "chunk", "turn", "doc"]).withColumn("part", F.xxhash64("family", "chunk", "turn"))))
+        links = links.unionByName(
+            confirm(
+                odd.select(cols).unionByName(against.select(cols)).dropDuplicates(["family", "chunk", "turn", "doc"]).withColumn(
+                    "part", F.xxhash64("family", "chunk", "turn")
+                )
+            )
+        )
     final = components(links) if several or shared else links.select(F.col("b").alias("id"), F.col("a").alias("component"))
     rep = classes.select("digest", "doc")
     out = sig.join(rep, "digest", "left").join(final, F.col("doc") == F.col("id"), "left")
     comp = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
+    return out.select(
+        "doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"),
+        F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept")
+    )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -241,8 +294,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     while at in cols or nth in cols:
         at, nth = at + "_", nth + "_"
     rows = docs.where("doc_id is not null").withColumn(at, F.xxhash64("doc_id", "text"))
-    found = near_duplicates(rows.select(F.col(at).alias("doc_id"), "text")).select(F.col("doc_id").alias(at), F.col("component_id").alias("of")).distinct()
+    found = near_duplicates(rows.select(F.col(at).alias("doc_id"), "text")).select(
+        F.col("doc_id").alias(at), F.col("component_id").alias("of")
+    ).distinct()
     ids = rows.groupBy(at).agg(F.min("doc_id").alias("id"))
     kept = found.join(ids, at).groupBy("of").agg(F.min(F.struct("id", at)).alias("r")).select(f"r.{at}")
-    one = rows.join(kept, at, "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(at).orderBy("text"))).where(F.col(nth) == 1).select(cols)
+    one = rows.join(kept, at, "left_semi").withColumn(
+        nth, F.row_number().over(Window.partitionBy(at).orderBy("text"))
+    ).where(F.col(nth) == 1).select(cols)
     return one.unionByName(docs.where("doc_id is null"))

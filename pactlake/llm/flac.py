@@ -153,8 +153,12 @@ def encode_payloads(data: np.ndarray, frames: np.ndarray) -> list[bytes]:
         sizes = at[a + 1 : b + 1] - at[a:b]
         seek = b"".join(struct.pack(">QQH", (i - a) * BLOCK, int(at[i] - at[a]), BLOCK) for i in range(a, b, SEEK_FRAMES))
         info = struct.pack(">HH", BLOCK, BLOCK) + int(sizes.min()).to_bytes(3, "big") + int(sizes.max()).to_bytes(3, "big")
-        info += ((RATE << 44) | (0 << 41) | (7 << 36) | (b - a) * BLOCK).to_bytes(8, "big") + hashlib.md5(pcm[a * BLOCK : b * BLOCK]).digest()
-        out.append(b"fLaC" + bytes([0]) + len(info).to_bytes(3, "big") + info + bytes([0x83]) + len(seek).to_bytes(3, "big") + seek + buf[at[a] : at[b]])
+        info += (
+            (RATE << 44) | (0 << 41) | (7 << 36) | (b - a) * BLOCK
+        ).to_bytes(8, "big") + hashlib.md5(pcm[a * BLOCK : b * BLOCK]).digest()
+        out.append(
+            b"fLaC" + bytes([0]) + len(info).to_bytes(3, "big") + info + bytes([0x83]) + len(seek).to_bytes(3, "big") + seek + buf[at[a] : at[b]]
+        )
     return out
 
 
@@ -168,7 +172,10 @@ def metadata(stream: bytes) -> tuple[dict, list[tuple[int, int]], int]:
         block, at = stream[at + 4 : at + 4 + n], at + 4 + n
         if kind == 0:
             packed = int.from_bytes(block[10:18], "big")
-            info = {"block": int.from_bytes(block[:2], "big"), "rate": packed >> 44, "channels": (packed >> 41 & 7) + 1, "bits": (packed >> 36 & 31) + 1, "samples": packed & (1 << 36) - 1, "md5": block[18:34]}
+            info = {
+                "block": int.from_bytes(block[:2], "big"), "rate": packed >> 44, "channels": (packed >> 41 & 7) + 1,
+                "bits": (packed >> 36 & 31) + 1, "samples": packed & (1 << 36) - 1, "md5": block[18:34]
+            }
         elif kind == 3:
             seek = [struct.unpack(">QQ", block[i : i + 16]) for i in range(0, len(block), 18)]
     return info, seek, at
@@ -252,7 +259,9 @@ def _decode(stream: bytes, at: int, info: dict, least: int) -> np.ndarray:
         lead = b.take(8)
         for _ in range(max(0, 8 - (lead ^ 0xFF).bit_length() - 1)):
             b.take(8)
-        n = {1: 192}.get(size) or (576 << (size - 2) if size < 6 else b.take(8) + 1 if size == 6 else b.take(16) + 1 if size == 7 else 256 << (size - 8))
+        n = {1: 192}.get(size) or (
+            576 << (size - 2) if size < 6 else b.take(8) + 1 if size == 6 else b.take(16) + 1 if size == 7 else 256 << (size - 8)
+        )
         if rate >= 12:
             b.take(8 if rate == 12 else 16)
         if b.take(8) != _scalar_crc(stream[at : b.pos // 8 - 1], 8):
@@ -382,7 +391,10 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in range(i, j):
                 pay[to[k - i] : to[k - i] + size[k]] = data[offs[k] : offs[k + 1]]
             media = encode_payloads(pay, padded[i:j] // BLOCK)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size[i:j]), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(i, j - i), pa.array(size[i:j]), pa.array(media, pa.binary())],
+                ["doc_id", "n_bytes", "media"]
+            )
 
 
 def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[np.ndarray]]]:
@@ -413,7 +425,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((size, sha.hexdigest(), zlib.crc32(p[-16:].tobytes()), len(m), hashlib.sha256(m).hexdigest(), said))
         c = list(zip(*rows, strict=True))
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, t) for v, t in zip(c, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), *(pa.array(v, t) for v, t in zip(c, kinds, strict=True))],
+            ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+        )
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,7 +436,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, (m, p) in enumerate(zip(streams, payloads, strict=True)):
             points = block_points(m)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([batch.column(0)[i].as_py()] * len(points), pa.int64()), *(pa.array(c) for c in zip(*points, strict=True)), pa.array([p[s : s + n].tobytes() for s, n, _ in points], pa.binary())],
+                [
+                    pa.array([batch.column(0)[i].as_py()] * len(points), pa.int64()),
+                    *(pa.array(c) for c in zip(*points, strict=True)),
+                    pa.array([p[s : s + n].tobytes() for s, n, _ in points], pa.binary())
+                ],
                 ["doc_id", "first_sample", "n_samples", "byte_offset", "pcm"],
             )
 
@@ -442,9 +461,16 @@ def stored(docs: DataFrame) -> DataFrame:
 
 def features(media: DataFrame) -> DataFrame:
     """Decode ``media``; lengths, digests and a feature of the samples, block by block."""
-    return map_arrow(media.select("doc_id", "n_bytes", "media"), _features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_arrow(
+        media.select("doc_id", "n_bytes", "media"), _features,
+        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
+        "media_sha256 string, feature string"
+    )
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
     """Decoded blocks with the sample and the byte of the stream at which each begins."""
-    return map_arrow(media.select("doc_id", "n_bytes", "media"), _blocks, "doc_id long, first_sample long, n_samples long, byte_offset long, pcm binary")
+    return map_arrow(
+        media.select("doc_id", "n_bytes", "media"), _blocks,
+        "doc_id long, first_sample long, n_samples long, byte_offset long, pcm binary"
+    )

@@ -38,9 +38,14 @@ _B = np.arange(256)
 #: Classes of bytes whose shares are statistics.
 CLASSES = {
     "lower": (_B >= 97) & (_B <= 122), "upper": (_B >= 65) & (_B <= 90), "digit": (_B >= 48) & (_B <= 57), "high": _B >= 128, "space": IS_SPACE, "line": _B == 10,
-    "stop": np.isin(_B, [33, 46, 63]), "comma": np.isin(_B, [44, 58, 59]), "symbol": np.isin(_B, [35, 36, 37, 38, 42, 43, 47, 60, 61, 62, 64, 92, 94, 95, 124, 126]), "bracket": np.isin(_B, [40, 41, 91, 93, 123, 125]),
+    "stop": np.isin(_B, [33, 46, 63]), "comma": np.isin(_B, [44, 58, 59]), "symbol": np.isin(
+        _B, [35, 36, 37, 38, 42, 43, 47, 60, 61, 62, 64, 92, 94, 95, 124, 126]
+    ), "bracket": np.isin(_B, [40, 41, 91, 93, 123, 125]),
 }
-NAMES = [*CLASSES, "bytes", "words", "word_bytes", "word_spread", "longest", "shouted", "capital", "bare", "closed", "distinct", "commonest", "novel", "lines", "line_bytes", "repeated_lines", "entropy"]
+NAMES = [
+    *CLASSES, "bytes", "words", "word_bytes", "word_spread", "longest", "shouted", "capital", "bare", "closed",
+    "distinct", "commonest", "novel", "lines", "line_bytes", "repeated_lines", "entropy"
+]
 
 
 def statistics(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -69,8 +74,12 @@ def statistics(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     first, last = (data[s], data[e - 1]) if len(s) else (np.zeros(0, np.uint8),) * 2
     mean = over_words(width)
     out |= {
-        "bytes": np.log1p(n), "words": np.log1p(count), "word_bytes": mean, "word_spread": np.sqrt(np.maximum(0, over_words(width.astype(float) ** 2) - mean**2)),
-        "shouted": over_words((upper[e] - upper[s] >= 2) & (upper[e] - upper[s] >= 0.6 * width)), "capital": over_words(CLASSES["upper"][first]), "bare": over_words(letters[e] == letters[s]), "closed": over_words(~alpha[last]),
+        "bytes": np.log1p(n), "words": np.log1p(count), "word_bytes": mean, "word_spread": np.sqrt(
+            np.maximum(0, over_words(width.astype(float) ** 2) - mean**2)
+        ),
+        "shouted": over_words(
+            (upper[e] - upper[s] >= 2) & (upper[e] - upper[s] >= 0.6 * width)
+        ), "capital": over_words(CLASSES["upper"][first]), "bare": over_words(letters[e] == letters[s]), "closed": over_words(~alpha[last]),
     }
     hashed = SpanHash(data)
     wh = hashed(s, e)
@@ -98,7 +107,11 @@ def statistics(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         k = int(keep.sum())
         rows[i, 4] = k
         rows[i, 5] = 1 - len(np.unique(hashed(starts[keep], ends[keep]))) / k if k else 0
-    out |= {"longest": np.log1p(rows[:, 0]), "distinct": rows[:, 1], "commonest": rows[:, 2], "novel": rows[:, 3], "lines": np.log1p(rows[:, 4]), "line_bytes": np.log1p(n / np.maximum(rows[:, 4], 1)), "repeated_lines": rows[:, 5], "entropy": rows[:, 6]}
+    out |= {
+        "longest": np.log1p(rows[:, 0]), "distinct": rows[:, 1], "commonest": rows[:, 2], "novel": rows[:, 3],
+        "lines": np.log1p(rows[:, 4]), "line_bytes": np.log1p(n / np.maximum(rows[:, 4], 1)),
+        "repeated_lines": rows[:, 5], "entropy": rows[:, 6]
+    }
     return np.stack([out[k] for k in NAMES], axis=1).astype(np.float32)
 
 
@@ -186,11 +199,15 @@ def in_test_fold(doc_id: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Forest:
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y is not null").where(~in_test_fold())
+    known = labels.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")
+    ).where("doc_id is not null and y is not null").where(~in_test_fold())
     known = known.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # at most ``rows`` pairs of numbers
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known.select("doc_id")), "doc_id")
-    x = map_arrow(picked.select("doc_id", "text"), _stats, "doc_id long, stats array<float>").groupBy("doc_id").agg(F.min("stats").alias("stats"))
+    x = map_arrow(
+        picked.select("doc_id", "text"), _stats, "doc_id long, stats array<float>"
+    ).groupBy("doc_id").agg(F.min("stats").alias("stats"))
     got = x.join(known, "doc_id").orderBy("doc_id").toPandas()
     return fit(np.array(got["stats"].tolist(), np.float32).reshape(-1, len(NAMES)), got["y"].to_numpy().astype(float))
 
@@ -201,9 +218,15 @@ def score(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = forest.scores(_of_batch(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
-
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text", in_test_fold().alias("held_out")), run, "doc_id long, held_out boolean, score double, predicted int")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(p), pa.array((p >= threshold).astype(np.int32))],
+                ["doc_id", "held_out", "score", "predicted"]
+            )
+
+    return map_arrow(
+        docs.select(F.col("doc_id").cast("long"), "text", in_test_fold().alias("held_out")), run,
+        "doc_id long, held_out boolean, score double, predicted int"
+    )
 
 
 def keep(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> DataFrame:

@@ -128,7 +128,10 @@ def entropy_rates(counted: DataFrame, goals: DataFrame, moments: tuple = (log_si
     """Newton's iterations on the dual. counted: source, size, n; goals: source, source_size, target."""
     k, top = len(moments), float(np.log(cap))
     words = F.col("size") * F.col("n")
-    stats = counted.agg(F.sum(words), *[F.sum(words * m(F.col("size"))) for m in moments], *[F.sum(words * m(F.col("size")) ** 2) for m in moments]).first()
+    stats = counted.agg(
+        F.sum(words), *[F.sum(words * m(F.col("size"))) for m in moments],
+        *[F.sum(words * m(F.col("size")) ** 2) for m in moments]
+    ).first()
     total = float(stats[0] or 0) or 1.0
     mean = [(stats[1 + j] or 0.0) / total for j in range(k)]
     spread = [float(np.sqrt(max((stats[1 + k + j] or 0.0) / total - mean[j] ** 2, 0))) for j in range(k)]
@@ -156,8 +159,14 @@ def entropy_rates(counted: DataFrame, goals: DataFrame, moments: tuple = (log_si
         open_, miss = F.col("lam").isNotNull(), F.col("given") - F.col("target")
         h = F.greatest(F.col("h"), F.col("source_size") * 1e-6)
         got = seen.agg(
-            F.max(F.when(open_, F.abs(miss) / F.col("target"))), *[F.sum(f"m{j}") for j in range(k)], *[F.sum(F.when(open_, F.col(f"b{j}") * miss / h)) for j in range(k)],
-            *[F.sum(F.col(f"c{i}_{j}") - F.when(open_, F.col(f"b{i}") * F.col(f"b{j}") / h).otherwise(0.0)) for i in range(k) for j in range(k)],
+            F.max(F.when(open_, F.abs(miss) / F.col("target"))), *[F.sum(f"m{j}") for j in range(k)], *[
+                F.sum(F.when(open_, F.col(f"b{j}") * miss / h)) for j in range(k)
+            ],
+            *[
+                F.sum(
+                    F.col(f"c{i}_{j}") - F.when(open_, F.col(f"b{i}") * F.col(f"b{j}") / h).otherwise(0.0)
+                ) for i in range(k) for j in range(k)
+            ],
         ).first()
         at = lambda a, n, got=got: np.array([x or 0.0 for x in got[a : a + n]])
         mu = np.array(out.mu)
@@ -170,17 +179,32 @@ def entropy_rates(counted: DataFrame, goals: DataFrame, moments: tuple = (log_si
         pull = miss
         for j in range(k):
             pull = pull + F.col(f"b{j}") * float(d_mu[j])
-        steps = seen.withColumn("step", F.when(open_, F.greatest(F.lit(-2.0), F.least(F.lit(2.0), -pull / h)))).select("source", "source_size", "target", "lam", "step")
+        steps = seen.withColumn(
+            "step", F.when(open_, F.greatest(F.lit(-2.0), F.least(F.lit(2.0), -pull / h)))
+        ).select("source", "source_size", "target", "lam", "step")
         # the dual at each length of the step, all in one pass
         duals = []
         for a in STEPS:
             e = F.col("lam") + a * F.col("step")
             for j in range(k):
                 e = e + F.lit(float(mu[j] + a * d_mu[j])) * phi[j]
-            duals.append(F.sum(F.col("q") * (F.when(e < top, F.exp(e)).otherwise(cap * (1 + e - top)) - (F.col("lam") + a * F.col("step")) * F.col("target") / F.col("source_size"))))
+            duals.append(
+                F.sum(
+                    F.col("q") * (
+                        F.when(e < top, F.exp(e)).otherwise(cap * (1 + e - top)) - (
+                            F.col("lam") + a * F.col("step")
+                        ) * F.col("target") / F.col("source_size")
+                    )
+                )
+            )
         full = [F.sum(F.when(~open_, F.col("q") * out.cap * phi[j])) for j in range(k)]
         tried = over(steps).agg(*duals, *full).first()
-        value = [(tried[i] or 0.0) + RIDGE * total / 2 * float(((mu + a * d_mu) ** 2).sum()) + float(((mu + a * d_mu) * np.array([x or 0.0 for x in tried[len(STEPS) :]])).sum()) for i, a in enumerate(STEPS)]
+        value = [
+            (tried[i] or 0.0) + RIDGE * total / 2 * float(((mu + a * d_mu) ** 2).sum()) + float(
+                ((mu + a * d_mu) * np.array([x or 0.0 for x in tried[len(STEPS) :]])).sum()
+            ) for i,
+            a in enumerate(STEPS)
+        ]
         best = STEPS[int(np.argmin(value))]
         out.mu = [float(x) for x in mu + best * d_mu]
         state = cut(steps.select("source", "source_size", "target", (F.col("lam") + best * F.col("step")).alias("lam")))
@@ -208,7 +232,9 @@ def _with_rates(df: DataFrame, goals: DataFrame, rates: Rates) -> DataFrame:
         name = F.broadcast(large.select("s"))
         small = goals.join(large.select(F.col("s").alias("t")), F.col("s").eqNullSafe(F.col("t")), "left_anti")
         df = one(df, F.broadcast(large)).unionByName(one(df.join(name, df.source.eqNullSafe(F.col("s")), "left_anti"), small))
-    df = df.withColumn("rate", rates.rate(F.col("size"))).withColumn("whole", F.floor(F.col("rate") + _NONE)).withColumn("part", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")))
+    df = df.withColumn("rate", rates.rate(F.col("size"))).withColumn("whole", F.floor(F.col("rate") + _NONE)).withColumn(
+        "part", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole"))
+    )
     return df.withColumn("v", _rank())
 
 
@@ -242,10 +268,16 @@ def plan(sized: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, moments: tu
     sources = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("rows"))
     goals = cut(targets(sources, weights, cap).select("source", "source_size", "rows", "target"))
     rates = entropy_rates(counted.where("size > 0"), goals.drop("rows"), moments, cap)
-    goals = goals.drop("source_size", "target").withColumnRenamed("source", "s").join(rates.goals, F.col("s").eqNullSafe(F.col("source"))).drop("s")
+    goals = goals.drop("source_size", "target").withColumnRenamed("source", "s").join(
+        rates.goals, F.col("s").eqNullSafe(F.col("source"))
+    ).drop("s")
     whole = counted.withColumnRenamed("source", "of").join(goals, F.col("of").eqNullSafe(F.col("source")))
-    whole = whole.withColumn("rate", rates.rate(F.col("size"))).groupBy("source").agg(F.sum(F.floor(F.col("rate") + _NONE) * F.col("size") * F.col("n")).alias("sure"))
-    goals = goals.withColumnRenamed("source", "s").join(whole, F.col("s").eqNullSafe(F.col("source"))).drop("s").withColumn("more", F.greatest(F.lit(0.0), F.col("target") - F.col("sure"))).drop("sure")
+    whole = whole.withColumn("rate", rates.rate(F.col("size"))).groupBy("source").agg(
+        F.sum(F.floor(F.col("rate") + _NONE) * F.col("size") * F.col("n")).alias("sure")
+    )
+    goals = goals.withColumnRenamed("source", "s").join(whole, F.col("s").eqNullSafe(F.col("source"))).drop("s").withColumn(
+        "more", F.greatest(F.lit(0.0), F.col("target") - F.col("sure"))
+    ).drop("sure")
     goals = cut(goals)
 
     every = _with_rates(sized.where("size > 0"), goals, rates)
@@ -255,19 +287,33 @@ def plan(sized: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, moments: tu
     run = Window.partitionBy("source").orderBy("bucket")
     filled = cut(filled.withColumn("upto", F.sum("words").over(run)))
     # buckets that fit wholly, then the documents of the next one
-    sure = filled.where("upto <= more").groupBy("source").agg(F.max("bucket").alias("b"), F.max("v").alias("last"), F.max("upto").alias("got"))
+    sure = filled.where("upto <= more").groupBy("source").agg(
+        F.max("bucket").alias("b"), F.max("v").alias("last"), F.max("upto").alias("got")
+    )
     edge = filled.where("upto > more").groupBy("source").agg(F.min("bucket").alias("edge")).withColumnRenamed("source", "s")
     at = filled.select("source", "bucket", (F.col("upto") - F.col("words")).alias("before")).withColumnRenamed("source", "s2")
     edge = cut(edge.join(at, F.col("s").eqNullSafe(F.col("s2")) & (F.col("edge") == F.col("bucket"))).select("s", "edge", "before"))
     edge = F.broadcast(edge) if _few(edge) else edge
-    inside = ranked.join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("edge"))).groupBy("source", "more", "before", "v").agg(F.sum("size").alias("words"))
-    inside = inside.withColumn("upto", F.col("before") + F.sum("words").over(Window.partitionBy("source").orderBy("v"))).where("upto <= more")
-    last = sure.select("source", "last", "got").unionByName(inside.groupBy("source").agg(F.max("v").alias("last"), F.max("upto").alias("got")))
+    inside = ranked.join(
+        edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("edge"))
+    ).groupBy("source", "more", "before", "v").agg(F.sum("size").alias("words"))
+    inside = inside.withColumn(
+        "upto", F.col("before") + F.sum("words").over(Window.partitionBy("source").orderBy("v"))
+    ).where("upto <= more")
+    last = sure.select("source", "last", "got").unionByName(
+        inside.groupBy("source").agg(F.max("v").alias("last"), F.max("upto").alias("got"))
+    )
     last = last.groupBy("source").agg(F.max("last").alias("last"), F.max("got").alias("got")).withColumnRenamed("source", "s")
-    goals = cut(goals.join(last, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumn("gap", F.col("more") - F.coalesce("got", F.lit(0))).drop("got"))
+    goals = cut(
+        goals.join(
+            last, F.col("source").eqNullSafe(F.col("s")), "left"
+        ).drop("s").withColumn("gap", F.col("more") - F.coalesce("got", F.lit(0))).drop("got")
+    )
 
     # documents that may still get one more copy: those of each size with the least key
-    open_ = _with_rates(sized.where("size > 0"), goals, rates).where(f"gap > 0 and size < 2 * gap and whole < {cap} and target > 0 and (v is null or last is null or v > last)")
+    open_ = _with_rates(sized.where("size > 0"), goals, rates).where(
+        f"gap > 0 and size < 2 * gap and whole < {cap} and target > 0 and (v is null or last is null or v > last)"
+    )
     alone = open_.groupBy("source", "gap", "size", "key").count().where("count = 1")
     each = alone.groupBy("source", "gap", "size").agg(F.min("key").alias("key"))
     kind = sized.schema["source"].dataType.simpleString()
@@ -286,14 +332,22 @@ def _copies(df: DataFrame, goals: DataFrame, rates: Rates) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, moments: tuple = (log_size,)) -> DataFrame:
     """doc_id, size, source_size, target, taken (and rate, copies) for each row."""
-    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size_of(F.col("text")).alias("size"), _key().alias("key")))
+    sized = cut(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size_of(F.col("text")).alias("size"), _key().alias("key"))
+    )
     out = _copies(sized, *plan(sized.drop("doc_id"), weights, cap, moments))
-    return out.select("doc_id", "size", F.col("source_size").cast("long"), F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("copies") * F.col("size")).cast("long").alias("taken"), "rate", "copies")
+    return out.select(
+        "doc_id", "size", F.col("source_size").cast("long"), F.coalesce("target", F.lit(0.0)).alias("target"),
+        (F.col("copies") * F.col("size")).cast("long").alias("taken"), "rate", "copies"
+    )
 
 
 def take(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, moments: tuple = (log_size,)) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), "source", size_of(F.col("text")).alias("size"), _key().alias("key"))
+    rows = docs.select(
+        F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), "source", size_of(F.col("text")).alias("size"),
+        _key().alias("key")
+    )
     goals, rates = plan(cut(rows.drop("doc")), weights, cap, moments)
     chosen = _copies(rows, goals, rates).where("copies > 0")
     return chosen.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")

@@ -25,7 +25,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .word_shuffle_bpe import encode_decode
 
-    return encode_decode(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return encode_decode(
+        _read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+        public_tokenizers.PATTERN
+    )
 
 
 def op2_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +77,10 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_near_dedup, op2_flac, op3_bottom_k, op4_token_counts, op5_quality, op6_pii, op7_mixing, op8_repeats, op9_byte_bpe, op10_warc)
+    for f in (
+        op1_near_dedup, op2_flac, op3_bottom_k, op4_token_counts, op5_quality, op6_pii, op7_mixing, op8_repeats,
+        op9_byte_bpe, op10_warc
+    )
 }
 
 _NEAR = r"""

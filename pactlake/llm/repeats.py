@@ -123,7 +123,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in slices(offs, SLICE):
             d, at, n, gram, own, twice = segments(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(gram.view(np.int64)), pa.array(own.view(np.int64)), pa.array(ids[i + d]), pa.array(rows[i + d]), pa.array(at.astype(np.int32)), pa.array(np.where(twice, -n, n).astype(np.int32))],
+                [
+                    pa.array(gram.view(np.int64)), pa.array(own.view(np.int64)), pa.array(ids[i + d]),
+                    pa.array(rows[i + d]), pa.array(at.astype(np.int32)),
+                    pa.array(np.where(twice, -n, n).astype(np.int32))
+                ],
                 ["gram", "own", "doc", "row", "at", "n"],
             )
 
@@ -143,7 +147,13 @@ def _resolve(batches: Iterator[pa.RecordBatch], shard: int = SHARD) -> Iterator[
     held = 0
 
     def out(kind, c, idx):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), kind, np.int32)), *(pa.array(c[k][idx]) for k in ("gram", "doc", "row", "at")), pa.array(np.abs(c["n"][idx]))], ["kind", "gram", "doc", "row", "at", "n"])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(len(idx), kind, np.int32)),
+                *(pa.array(c[k][idx]) for k in ("gram", "doc", "row", "at")), pa.array(np.abs(c["n"][idx]))
+            ],
+            ["kind", "gram", "doc", "row", "at", "n"]
+        )
 
     for batch in batches:
         if not batch.num_rows:
@@ -168,7 +178,9 @@ def _resolve(batches: Iterator[pa.RecordBatch], shard: int = SHARD) -> Iterator[
         if len(ready):
             yield out(FETCH, c, ready)
         # a minimizer is reported once, where its bytes come to be too many
-        size = np.bincount(group[firsts], weights=np.abs(n[firsts].astype(np.int64)) + LENGTH - 1, minlength=int(group[-1]) + 1).astype(np.int64)
+        size = np.bincount(
+            group[firsts], weights=np.abs(n[firsts].astype(np.int64)) + LENGTH - 1, minlength=int(group[-1]) + 1
+        ).astype(np.int64)
         old = np.zeros(len(size), np.int64)
         if not new_gram[0]:
             old[0] = held
@@ -191,7 +203,9 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush():
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["gram", "doc", "row", "at", "n", "bytes"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["gram", "doc", "row", "at", "n", "bytes"]
+        )
 
     for t in key_groups(batches, "row"):
         if t.num_rows < 2:
@@ -228,7 +242,10 @@ def _windows(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.
                 p = at[s] + k - (ends[s] - n[s])
                 b = o[d[s]] + p
                 own = _joined(gram, b, b + LENGTH)
-                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(ids[i + d[s]]), pa.array(rows[i + d[s]]), pa.array(p.astype(np.int32))], ["own", "doc", "row", "at"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own.view(np.int64)), pa.array(ids[i + d[s]]), pa.array(rows[i + d[s]]), pa.array(p.astype(np.int32))],
+                    ["own", "doc", "row", "at"]
+                )
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +257,10 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = batch.column("own").to_numpy()
         again = np.flatnonzero(np.concatenate([[last is not None and own[0] == last], own[1:] == own[:-1]]))
         last = own[-1]
-        yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(again)), batch.column("at").take(pa.array(again)), pa.array(np.ones(len(again), np.int32))], ["row", "at", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("row").take(pa.array(again)), batch.column("at").take(pa.array(again)), pa.array(np.ones(len(again), np.int32))],
+            ["row", "at", "n"]
+        )
 
 
 class _Shard:
@@ -330,7 +350,10 @@ def _repeats(shard: _Shard) -> pa.RecordBatch:
     final = r & np.concatenate([~r[1:] | (which[1:] != which[:-1]), [True]])
     a, b = np.flatnonzero(first), np.flatnonzero(final)
     s = which[a]
-    return pa.RecordBatch.from_arrays([pa.array(row[s]), pa.array((at[s] + place[a] - begin[s]).astype(np.int32)), pa.array((b - a + 1).astype(np.int32))], ["row", "at", "n"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(row[s]), pa.array((at[s] + place[a] - begin[s]).astype(np.int32)), pa.array((b - a + 1).astype(np.int32))],
+        ["row", "at", "n"]
+    )
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,7 +364,10 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush():
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         c = list(zip(*rows, strict=True)) or [[]] * 6
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(c, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(v, t) for v, t in zip(c, kinds, strict=True)],
+            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+        )
 
     for t in key_groups(batches, "row"):
         k = t.num_rows - 1
@@ -367,7 +393,10 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row."""
     # rows are numbered once, and stored with their texts
-    docs = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "repeats")
+    docs = stored(
+        docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"),
+        "repeats"
+    )
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = parts_for(docs.sparkSession, size)
     last = F.lit((1 << 63) - 1)
@@ -385,7 +414,10 @@ def remove_repeats(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     if len(hot):
         wanted = wanted.join(F.broadcast(hot_grams), "gram", "left_anti")
     wanted = wanted.select("row", F.lit(0).alias("step"), "gram", "doc", "at", "n", none("string").alias("text"))
-    bodies = docs.select("row", F.lit(1).alias("step"), none("long").alias("gram"), none("long").alias("doc"), none("int").alias("at"), none("int").alias("n"), "text")
+    bodies = docs.select(
+        "row", F.lit(1).alias("step"), none("long").alias("gram"), none("long").alias("doc"), none("int").alias("at"),
+        none("int").alias("n"), "text"
+    )
     both = wanted.unionByName(bodies).repartition(parts, "row").sortWithinPartitions("row", "step")
     fetched = map_arrow(both.drop("step"), _fetch, "gram long, doc long, row long, at int, n int, bytes binary")
     fetched = fetched.repartition(parts, "gram").sortWithinPartitions("gram")
@@ -401,4 +433,7 @@ def remove_repeats(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     marks = repeats.select("row", F.lit(0).alias("step"), "at", "n", none("long").alias("doc_id"), none("string").alias("text"))
     bodies = docs.select("row", F.lit(1).alias("step"), none("int").alias("at"), none("int").alias("n"), "doc_id", "text")
     every = marks.unionByName(bodies).repartition(parts, "row").sortWithinPartitions("row", "step")
-    return map_arrow(every.drop("step"), _remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string").drop("kept")
+    return map_arrow(
+        every.drop("step"), _remove,
+        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
+    ).drop("kept")

@@ -139,7 +139,10 @@ def signature(token: str) -> tuple[int, ...]:
     only = _NOT_DIGIT.sub("", token)
     digits = len(only)
     bucket = sum(digits >= b for b in _DIGIT_BUCKETS)
-    return (bucket, min(token.count("."), 4), int("@" in token), int(any(c.isalpha() for c in token)), int("-" in token), int("+" in token), int(bool(set(token) & set("_%/:#=$*&"))), int(14 <= digits <= 19 and luhn(only)))
+    return (
+        bucket, min(token.count("."), 4), int("@" in token), int(any(c.isalpha() for c in token)), int("-" in token),
+        int("+" in token), int(bool(set(token) & set("_%/:#=$*&"))), int(14 <= digits <= 19 and luhn(only))
+    )
 
 
 def likeness_key(token: str) -> str:
@@ -173,7 +176,9 @@ def _grouped(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out, i = [], 0
     while i < len(tokens):
         j = i
-        while j + 1 < len(tokens) and _NUMERIC.fullmatch(text[tokens[j][0] : tokens[j][1]]) and text[tokens[j][1] : tokens[j + 1][0]].strip("()") == " " and _NUMERIC.fullmatch(text[tokens[j + 1][0] : tokens[j + 1][1]]):
+        while j + 1 < len(tokens) and _NUMERIC.fullmatch(text[tokens[j][0] : tokens[j][1]]) and text[tokens[j][1] : tokens[j + 1][0]].strip("()") == " " and _NUMERIC.fullmatch(
+            text[tokens[j + 1][0] : tokens[j + 1][1]]
+        ):
             j += 1
         whole = (tokens[i][0], tokens[j][1])
         if j > i and GROUPED[0] <= len(_NOT_DIGIT.sub("", text[whole[0] : whole[1]])) <= GROUPED[1]:
@@ -332,7 +337,10 @@ def learn(docs: DataFrame, most: int = TRAIN_DOCS) -> Field:
     ids = d.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     nodes = map_arrow(d.join(F.broadcast(ids), "doc_id").select("text"), _contexts, "node array<int>")
     counted = nodes.groupBy("node").count().collect()
-    return fit(np.array([r["node"] for r in counted], np.int64).reshape(-1, len(SIZES) + 2 + LABELS + 1), np.array([r["count"] for r in counted], float))
+    return fit(
+        np.array([r["node"] for r in counted], np.int64).reshape(-1, len(SIZES) + 2 + LABELS + 1),
+        np.array([r["count"] for r in counted], float)
+    )
 
 
 def _agreement(agree: float, mates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -402,7 +410,9 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
                 rows.append((*n, hashlib.sha256(spell(base).encode()).hexdigest(), spell(sorted([*base, *added])), linked))
             c = list(zip(*rows, strict=True)) or [[]] * 7
             cols = [pa.array(v, pa.string() if i in (4, 5) else pa.int64()) for i, v in enumerate(c)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_linked"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *cols], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_linked"]
+            )
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_linked long"
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)

@@ -110,4 +110,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFra
 
     import pyarrow.compute  # noqa: F401
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_arrow(
+        docs.select(F.col("doc_id").cast("long"), "text"), count,
+        "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+    )

@@ -151,7 +151,10 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
             if got is not None:
                 none = pa.nulls(1, pa.binary())
                 lengths = pack(np.fromiter(map(len, got), np.int64, len(got)))
-                cols = [pa.array([block], pa.int64()), pa.nulls(1, pa.int32()), pa.array([ids.to_pylist()], _IDS), pa.array([squeeze(np.concatenate(got))], pa.binary()), none, pa.array([lengths], pa.binary()), none]
+                cols = [
+                    pa.array([block], pa.int64()), pa.nulls(1, pa.int32()), pa.array([ids.to_pylist()], _IDS),
+                    pa.array([squeeze(np.concatenate(got))], pa.binary()), none, pa.array([lengths], pa.binary()), none
+                ]
                 yield pa.RecordBatch.from_arrays(cols, NAMES)
                 return
             keys = [w.encode() for w in words]
@@ -192,7 +195,10 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
                     ids += got
                 counts.append(squeeze(np.array(n)))
                 flat.append(squeeze(np.array(ids)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.binary()), pa.array(flat, pa.binary())], ["block", "index", "count", "ids"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(counts, pa.binary()), pa.array(flat, pa.binary())],
+                ["block", "index", "count", "ids"]
+            )
 
     def assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
         """Of one block: its documents and its words' ids."""
@@ -214,7 +220,10 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
                 res[1].append(len(got))
                 res[2].append(hashlib.sha256(",".join(map(spelled.__getitem__, got)).encode()).hexdigest())
                 res[3].append(hashlib.sha256(b"".join(map(table.__getitem__, got))).hexdigest())
-        return pa.table([pa.array(c, t) for c, t in zip(res, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        return pa.table(
+            [pa.array(c, t) for c, t in zip(res, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)],
+            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        )
 
     ship(spark)
     bounded_batches(spark)

@@ -25,8 +25,14 @@ def awkward_rows():
     rows = [(i, t) for i, t in enumerate(prose)]
     rows += [(100 + i, t) for i, t in enumerate(prose[:4])]  # copies
     rows += [(200 + i, t.replace(t.split()[3], "Changed", 1)) for i, t in enumerate(prose)]  # near copies
-    rows += [(300, None), (301, ""), (302, " \t\n "), (303, "One two"), (304, "one TWO"), (305, "é" * 150), (306, "ab" * 400), (307, "x" * 30000), (308, "<|endoftext|> end <|endoftext|>")]
-    rows += [(309, "Call +1 (017) 555-7713 or a.b@c.example.org, 10.0.0.255; card 4539 1488 0343 6467."), (310, "\U0001f600 漢字 ԱՐ ՘ ½ ² 12345 's"), (311, prose[5] + " " + prose[6])]
+    rows += [
+        (300, None), (301, ""), (302, " \t\n "), (303, "One two"), (304, "one TWO"), (305, "é" * 150),
+        (306, "ab" * 400), (307, "x" * 30000), (308, "<|endoftext|> end <|endoftext|>")
+    ]
+    rows += [
+        (309, "Call +1 (017) 555-7713 or a.b@c.example.org, 10.0.0.255; card 4539 1488 0343 6467."),
+        (310, "\U0001f600 漢字 ԱՐ ՘ ½ ² 12345 's"), (311, prose[5] + " " + prose[6])
+    ]
     rows += [(None, prose[1]), (None, None), (5, prose[5]), (5, prose[5])]
     return rows
 
@@ -56,7 +62,10 @@ def test_keep_one_of_clashing_ids(spark):
     """A shared doc_id drops no text that is unlike the others; copies go, also under another id."""
     rng = random.Random(11)
     text = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)) for _ in range(4)]
-    every = [(1, text[0]), (1, text[1]), (1, text[1] + " more"), (2, text[1]), (2, text[2]), (3, text[3]), (3, text[3]), (4, ""), (4, ""), (5, None), (None, text[0])]
+    every = [
+        (1, text[0]), (1, text[1]), (1, text[1] + " more"), (2, text[1]), (2, text[2]), (3, text[3]), (3, text[3]),
+        (4, ""), (4, ""), (5, None), (None, text[0])
+    ]
     got = [tuple(r) for r in cpsjoin.keep_one(spark.createDataFrame(every, "doc_id long, text string")).collect()]
     short = sorted((repr(i), next((k for k, t in enumerate(text) if s and s.startswith(t)), s)) for i, s in got if s not in ("", None))
     assert short == [("1", 0), ("1", 1), ("2", 2), ("3", 3), ("None", 0)]
@@ -80,7 +89,10 @@ def test_near_duplicates_in_chunks(docs, rows, monkeypatch):
     spark = docs.sparkSession
     monkeypatch.setattr(cpsjoin, "CHUNK_SETS", 8)
     monkeypatch.setattr(cpsjoin, "LEAF", 4)
-    same(cpsjoin.near_duplicates(spark.createDataFrame(big, "doc_id long, text string")), ["doc_id", "n_shingles", "component_id", "kept"], brute.near_duplicates(big))
+    same(
+        cpsjoin.near_duplicates(spark.createDataFrame(big, "doc_id long, text string")),
+        ["doc_id", "n_shingles", "component_id", "kept"], brute.near_duplicates(big)
+    )
 
 
 def test_flac(docs, rows, empty):
@@ -111,7 +123,10 @@ def test_flac_is_stored(spark):
     good = flac.encode_payloads(pay, np.array([40]))[0]
     at = good.index(bytes([0x83])) + 4 + 18 + 8  # the second seek point's offset
     bad = good[:at] + (int.from_bytes(good[at : at + 8], "big") + 1).to_bytes(8, "big") + good[at + 8 :]
-    batch = lambda m: pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([7680], pa.int64()), pa.array([m], pa.binary())], ["doc_id", "n_bytes", "media"])
+    batch = lambda m: pa.RecordBatch.from_arrays(
+        [pa.array([1], pa.int64()), pa.array([7680], pa.int64()), pa.array([m], pa.binary())],
+        ["doc_id", "n_bytes", "media"]
+    )
     x = pay.astype(int) - 128
     said = f"frames=40 crossings={int(((x[1:] < 0) != (x[:-1] < 0)).sum())} energy={int((x * x).sum())} peak={int(np.abs(x).max())}"
     assert [r["feature"] for b in flac._features(iter([batch(good)])) for r in b.to_pylist()] == [said]
@@ -144,7 +159,9 @@ def test_merged_sketches(spark, rows):
 
 def test_bottom_k(docs, rows, empty, spark):
     plain = [(i, t) for i, t in rows if i is not None and i != 5] + [(5, rows[5][1])]
-    got = {r.doc_id: r for r in bottomk.edited_neighbours(spark.createDataFrame(plain, "doc_id long, text string").repartition(5)).collect()}
+    got = {
+        r.doc_id: r for r in bottomk.edited_neighbours(spark.createDataFrame(plain, "doc_id long, text string").repartition(5)).collect()
+    }
     order = sorted(plain, key=lambda r: -r[0])
     for k, (i, t) in enumerate(order):
         t, after = t or "", order[(k + 1) % len(order)][1] or ""
@@ -158,7 +175,11 @@ def test_bottom_k(docs, rows, empty, spark):
         assert (got[i].fingerprint, got[i].edited_fingerprint) == tuple(bottomk.to_text(np.array(x, np.uint64)) for x in least[:2])
         for said, other in ((got[i].near_edited, least[1]), (got[i].near_next, least[2])):
             union = sorted({*least[0], *other})[: bottomk.K]
-            assert said == (sum(h in least[0] and h in other for h in union) / len(union) if union and least[0] and other else float(not least[0] and not other))
+            assert said == (
+                sum(
+                    h in least[0] and h in other for h in union
+                ) / len(union) if union and least[0] and other else float(not least[0] and not other)
+            )
         assert got[i].n_distinct == (len(a) if len(a) < bottomk.K else (bottomk.K - 1) * 2.0**64 / (least[0][-1] + 1))
         assert len(a) < bottomk.K or abs(got[i].n_distinct / len(a) - 1) < 0.4
     assert bottomk.edited_neighbours(docs).count() == len(rows)
@@ -176,7 +197,10 @@ def test_token_counts(docs, rows, empty):
     path = P.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
     n = [len(tok.encode(t or "", add_special_tokens=False).ids) for _, t in rows]
-    same(token_counts.token_counts(docs, path), ["doc_id", "n_bytes", "n_tokens", "over_limit"], [(i, len((t or "").encode()), k, k > 1024) for (i, t), k in zip(rows, n, strict=True)])
+    same(
+        token_counts.token_counts(docs, path), ["doc_id", "n_bytes", "n_tokens", "over_limit"],
+        [(i, len((t or "").encode()), k, k > 1024) for (i, t), k in zip(rows, n, strict=True)]
+    )
     assert token_counts.token_counts(empty, path).count() == 0
     for s in random.Random(1).sample(sorted(token_counts.prove_whole_tokens(path)), 300):
         assert len(tok.encode(s, add_special_tokens=False).ids) == 1
@@ -245,12 +269,25 @@ def test_skip_edges_make_labels_agree(spark):
     for i in range(300):
         a, b = digits(3), digits(7)
         phone = f"+49 {a} {b}"
-        every.append((i, f"Call {phone} now. " + "word " * rng.randint(5, 40) + rng.choice([f"Or {phone} again.", f"Version {digits(1)}.{digits(1)} of it, twice {digits(4)}.", f"Mail x{i}@a.example.org or x{i}@a.example.org", f"Order {digits(3)} {digits(7)} of {digits(4)}-{digits(7)}."])))
+        every.append(
+            (
+                i,
+                f"Call {phone} now. " + "word " * rng.randint(5, 40) + rng.choice(
+                    [
+                        f"Or {phone} again.", f"Version {digits(1)}.{digits(1)} of it, twice {digits(4)}.",
+                        f"Mail x{i}@a.example.org or x{i}@a.example.org",
+                        f"Order {digits(3)} {digits(7)} of {digits(4)}-{digits(7)}."
+                    ]
+                )
+            )
+        )
     field = skipchain.learn(spark.createDataFrame(every, "doc_id long, text string"))
     assert field.agree > 1
     text = "Call +49 301 9018200 today. " + "word " * 200 + "Again 301 9018200, or 0301-9018200; " * 10 + "not 2024 nor 4.5."
     added, linked = field.added(text, skipchain.base_spans(text))
-    assert [text[s:e] for s, k, e in added] == ["301 9018200", "0301-9018200"] * 10 and {k for _, k, _ in added} == {skipchain.PHONE} and linked == 20
+    assert [
+        text[s:e] for s, k, e in added
+    ] == ["301 9018200", "0301-9018200"] * 10 and {k for _, k, _ in added} == {skipchain.PHONE} and linked == 20
     assert skipchain.Field(field.unary, field.chain, 0.0).added(text, skipchain.base_spans(text))[0] == []
     got = skipchain.find(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), field).collect()
     assert [(r.n_phone, r.n_linked) for r in sorted(got, key=lambda r: r.doc_id)] == [(1, 20), (0, 0)]
@@ -269,7 +306,9 @@ def test_messages_give_exact_marginals():
         hubs = int(of.max(initial=-1)) + 1
         total = np.zeros((n, labels))
         for y in np.ndindex(*[labels] * (n + hubs)):
-            e = sum(z[i, y[i]] for i in range(n)) + sum(chain[y[a], y[b]] for a, b in near) + agree * sum(y[i] == y[n + of[i]] for i in range(n) if of[i] >= 0)
+            e = sum(z[i, y[i]] for i in range(n)) + sum(chain[y[a], y[b]] for a, b in near) + agree * sum(
+                y[i] == y[n + of[i]] for i in range(n) if of[i] >= 0
+            )
             for i in range(n):
                 total[i, y[i]] += np.exp(e)
         got = skipchain.propagate(z, near, of, chain, agree, np.full(n, -1))
@@ -350,7 +389,10 @@ def test_repeats_of_one_period(spark, period):
     rng = random.Random(period)
     line = lambda: "".join(rng.choice("abcdefgh ") for _ in range(period - 1)) + "\n"
     every = [(1, "head " + line() * 5 + "tail"), (2, line() * 3), (3, line() * 2 + line())]
-    same(repeats.remove_repeats(spark.createDataFrame(every, "doc_id long, text string")), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], brute.repeats(every))
+    same(
+        repeats.remove_repeats(spark.createDataFrame(every, "doc_id long, text string")),
+        ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], brute.repeats(every)
+    )
 
 
 def test_repeats_of_hot_minimizers(spark, rows, monkeypatch):
@@ -370,7 +412,12 @@ def test_repeats_of_hot_minimizers(spark, rows, monkeypatch):
 
     sizes = []
     monkeypatch.setattr(repeats, "_repeats", lambda held: sizes.append(held.size))
-    table = pa.table({"gram": pa.array([k // 7 for k in range(140)], pa.int64()), "n": pa.array([69] * 140, pa.int32()), "bytes": pa.array([b"x" * 168] * 140, pa.binary())})
+    table = pa.table(
+        {
+            "gram": pa.array([k // 7 for k in range(140)], pa.int64()), "n": pa.array([69] * 140, pa.int32()),
+            "bytes": pa.array([b"x" * 168] * 140, pa.binary())
+        }
+    )
     list(repeats._sort_shards(iter(table.to_batches(max_chunksize=33)), shard=2000))
     assert len(sizes) > 5 and max(sizes) <= 2000
 
@@ -378,7 +425,11 @@ def test_repeats_of_hot_minimizers(spark, rows, monkeypatch):
 def test_warc(spark):
     long = "x" * 200 + "WARC/1.1\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\nWARC/1.1\r\nq"
     fake = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 0\r\n\r\n\r\n\r\n" * 3
-    pages = [(1, "u", long), (2, "a b\r\nX: y", None), (5, None, "y" * 100), (3, "z", "y" * 100), (None, "k", "y" * 100), (3, "z", "y" * 100), (7, "é", fake), (8, "é", fake), (9, "w", "\r\n\r\n"), (10, "w", "short"), (11, "w", "short")]
+    pages = [
+        (1, "u", long), (2, "a b\r\nX: y", None), (5, None, "y" * 100), (3, "z", "y" * 100), (None, "k", "y" * 100),
+        (3, "z", "y" * 100), (7, "é", fake), (8, "é", fake), (9, "w", "\r\n\r\n"), (10, "w", "short"),
+        (11, "w", "short")
+    ]
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     want, first, done = [], {}, set()
     for i, _, h in pages:
@@ -418,21 +469,29 @@ def test_pipeline(spark):
 def test_ranges_divided_by_width(spark, monkeypatch, coarse):
     monkeypatch.setattr(bottomk, "COARSE", coarse)
     rng = random.Random(coarse)
-    rows = [(int(2 ** (k / 5)), "".join(rng.choice("ab c") for _ in range(rng.randint(0, 40)))) for k in range(60, 200)] + [(-(1 << 63) + 5, "least"), ((1 << 63) - 1, "most")]
+    rows = [
+        (int(2 ** (k / 5)), "".join(rng.choice("ab c") for _ in range(rng.randint(0, 40)))) for k in range(60, 200)
+    ] + [(-(1 << 63) + 5, "least"), ((1 << 63) - 1, "most")]
     rows = list(dict(rows).items())
     order = sorted(rows, key=lambda r: -r[0])
     want = []
     for k, (i, t) in enumerate(order):
         after = order[(k + 1) % len(order)][1]
         want.append((i, brute.sha((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode())))
-    same(bottomk.edited_neighbours(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), ["doc_id", "edited_sha256"], want)
+    same(
+        bottomk.edited_neighbours(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)),
+        ["doc_id", "edited_sha256"], want
+    )
 
 
 def test_mixing_against_plain_dual(spark):
     """Targets by another water-filling, rates by halving on the dual, copies one by one."""
     rng = random.Random(4)
     share = {"a": 40, "b": 25, "c": 3, "d": 60, None: 12, "é": 6}
-    every = [(k, " ".join(["w"] * int(rng.lognormvariate(3, 1.2))), s) for s, n in share.items() for k in range(1000 * len(s or ""), 1000 * len(s or "") + n)]
+    every = [
+        (k, " ".join(["w"] * int(rng.lognormvariate(3, 1.2))), s) for s,
+        n in share.items() for k in range(1000 * len(s or ""), 1000 * len(s or "") + n)
+    ]
     every = [(k, *r[1:]) for k, r in enumerate(every)]
     df = spark.createDataFrame(every, "doc_id long, text string, source string").repartition(5)
     got = {r.doc_id: r for r in mixing.mix(df).collect()}
@@ -444,7 +503,9 @@ def test_mixing_against_plain_dual(spark):
     assert all(abs(got[i].target - goal[s]) < 1e-6 * goal[s] for i, s, _ in kept)
     assert any(goal[s] == 3 * size[s] for s in order)
     rate = brute.rates(docs, goal, 3, mixing.RIDGE)
-    assert len({round(r, 6) for r, (s, _) in zip(rate, docs, strict=True) if s == "a"}) > 5  # documents of one source have rates of their own
+    assert len(
+        {round(r, 6) for r, (s, _) in zip(rate, docs, strict=True) if s == "a"}
+    ) > 5  # documents of one source have rates of their own
     assert max(abs(got[i].rate - r) for (i, _, q), r in zip(kept, rate, strict=True) if q) < 1e-5
     keys = {r.doc_id: r.key for r in df.select("doc_id", mixing._key().alias("key")).collect()}
     want = brute.copies(docs, [keys[i] for i, _, _ in kept], [got[i].rate for i, _, _ in kept], goal, 3, mixing.FILL)
@@ -500,16 +561,28 @@ def test_results_stay_when_executors_change(spark, tmp_path, moving):
     plain = lambda: spark.read.parquet(str(tmp_path / "docs"))
     taken = {}
     for read in (plain, shuffled):
-        same(repeats.remove_repeats(read()), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], brute.repeats([r[:2] for r in every]))
+        same(
+            repeats.remove_repeats(read()), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+            brute.repeats([r[:2] for r in every])
+        )
         back = word_shuffle_bpe.encode_decode(read(), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
         same(back, ["doc_id", "decoded_sha256"], [(i, brute.sha(t.encode())) for i, t, _ in every])
-        pages = read().select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.element_at(F.split("text", "a"), 1), F.substring("text", 1, 90), F.when(F.col("doc_id") % 3 == 0, "WARC/1.1\r\nx").otherwise("")).alias("html"))
+        pages = read().select(
+            F.col("doc_id").alias("page_id"), F.lit("u").alias("url"),
+            F.concat(
+                F.element_at(F.split("text", "a"), 1), F.substring("text", 1, 90),
+                F.when(F.col("doc_id") % 3 == 0, "WARC/1.1\r\nx").otherwise("")
+            ).alias("html")
+        )
         html = {r.page_id: r.html for r in pages.collect()}
         first = {}
         for i, h in html.items():
             if len(h) >= 100:
                 first[h] = min(i, first.get(h, i))
-        want = [(i, len(h), brute.sha(h.encode()), *(("revisit", first[h]) if first.get(h, i) != i else ("response", None))) for i, h in html.items()]
+        want = [
+            (i, len(h), brute.sha(h.encode()), *(("revisit", first[h]) if first.get(h, i) != i else ("response", None))) for i,
+            h in html.items()
+        ]
         same(warc.archive_round_trip(pages), ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], want)
         taken[read] = sorted(map(tuple, mixing.take(read()).collect()))
         copies = {r.doc_id: r.copies for r in mixing.mix(read()).collect()}
@@ -535,7 +608,10 @@ def test_jump(spark, monkeypatch):
 def test_words_that_polynomials_confuse(spark):
     """Words of the Thue-Morse sequence, whose sums of powers are equal modulo 2^64, make unlike sets."""
     thue = lambda n, a, b: "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
-    every = [(10 * n + k, f"one two three four {thue(n, *pair)}") for n in (1024, 2048, 4096, 8192) for k, pair in enumerate((("a", "b"), ("b", "a")))]
+    every = [
+        (10 * n + k, f"one two three four {thue(n, *pair)}") for n in (1024, 2048, 4096, 8192) for k,
+        pair in enumerate((("a", "b"), ("b", "a")))
+    ]
     df = spark.createDataFrame(every, "doc_id long, text string")
     assert all(r.kept and r.n_shingles == 1 for r in cpsjoin.near_duplicates(df).collect())
     got = bottomk.fingerprints(df).collect()
@@ -615,7 +691,9 @@ def test_flac_of_other_writers():
     blocks = [wave[i : i + 192].tolist() for i in range(0, len(wave), 192)]
     blocks[4] = [v << 3 for v in blocks[4]]
     frames = [
-        written_frame(0, blocks[0], 33, coef=(28, -13)), written_frame(1, blocks[1], 34, coef=(20, 3, -9), parts=2), written_frame(2, blocks[2], 10, parts=3, escape=(0, 5)), written_frame(3, blocks[3], 1),
+        written_frame(0, blocks[0], 33, coef=(28, -13)), written_frame(
+            1, blocks[1], 34, coef=(20, 3, -9), parts=2
+        ), written_frame(2, blocks[2], 10, parts=3, escape=(0, 5)), written_frame(3, blocks[3], 1),
         written_frame(4, blocks[4], 12, wasted=3), written_frame(5, blocks[5], 32, coef=(15,), parts=1, escape=(1,)),
     ]
     want = np.concatenate(blocks)
@@ -635,7 +713,10 @@ def test_flac_of_other_writers():
     own = flac.encode_payloads(np.frombuffer(random.Random(3).randbytes(192 * 50), np.uint8), np.array([50]))[0]
     assert (flac.read_samples(own, 5000, 700) == flac.decode_stream(own)[5000:5700]).all()
     code, n = flac._number(np.array([0x7F, 0x80, 0xFFFF, 0x10000, 0x1FFFFF, 0x200000, 0x3FFFFFF, 0x4000000]))
-    assert n.tolist() == [1, 2, 3, 4, 4, 5, 5, 6] and all(code[i, : n[i]].tobytes() == chr(v).encode("utf-8", "surrogatepass") for i, v in enumerate([0x7F, 0x80, 0xFFFF, 0x10000]))
+    assert n.tolist() == [1, 2, 3, 4, 4, 5, 5, 6] and all(
+        code[i, : n[i]].tobytes() == chr(v).encode("utf-8", "surrogatepass") for i,
+        v in enumerate([0x7F, 0x80, 0xFFFF, 0x10000])
+    )
     with pytest.raises(ValueError):
         flac._number(np.array([1 << 31]))
 
