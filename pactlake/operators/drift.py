@@ -20,6 +20,38 @@ def column_stats(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
     return df.agg(*aggs).select(F.explode(F.array(*[f"s{i}" for i in range(len(metrics))])).alias("r")).select("r.*")
 
 
+#: Metrics of contracts by id: name -> Column. Others are registered by the caller.
+EXTRACTORS: dict[str, dict[str, Column | str]] = {}
+
+
+def register_extractors(contract_id: str, **metrics: Column | str) -> None:
+    """Metrics (columns or SQL) whose drift is watched for a contract."""
+    EXTRACTORS.setdefault(contract_id, {}).update(metrics)
+
+
+def contract_stats(df: DataFrame, contract_id: str) -> DataFrame:
+    """Statistics of a contract's registered metrics; of all numeric columns, with least and greatest, if it has none."""
+    found = EXTRACTORS.get(contract_id)
+    if found:
+        return column_stats(df, {k: F.expr(v) if isinstance(v, str) else v for k, v in sorted(found.items())})
+    return every_column_stats(df)
+
+
+def every_column_stats(df: DataFrame) -> DataFrame:
+    """column, mean, std, n, min, max of every numeric column in one pass (an extension)."""
+    names = [c for c, k in df.dtypes if k in ("tinyint", "smallint", "int", "bigint", "float", "double") or k.startswith("decimal")]
+    v = lambda c: F.col(c).cast("double")
+    rows = [
+        F.struct(
+            F.lit(c).alias("column"), F.avg(v(c)).alias("mean"), F.stddev_pop(v(c)).alias("std"), F.count(v(c)).alias("n"),
+            F.min(v(c)).alias("min"), F.max(v(c)).alias("max"),
+        ).alias(f"s{i}") for i, c in enumerate(names)
+    ]
+    if not rows:
+        return df.sparkSession.createDataFrame([], "column string, mean double, std double, n long, min double, max double")
+    return df.agg(*rows).select(F.explode(F.array(*[f"s{i}" for i in range(len(rows))])).alias("r")).select("r.*")
+
+
 def z_verdict(z: Column) -> Column:
     return F.when(z > 3, "FAIL").when(z > 2, "WARN").otherwise("PASS")
 

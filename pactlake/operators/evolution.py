@@ -76,3 +76,33 @@ def rename_candidates(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def snapshot_json(schema: dict[str, Any]) -> str:
     return json.dumps(schema, sort_keys=True)
+
+
+def human_line(field: Column) -> Column:
+    """One line for a field's clause (a struct as ``diff`` has it)."""
+    said = [
+        F.coalesce(field["type"], F.lit("any")), F.when(field["required"], "required"), F.when(field["unique"], "unique"),
+        F.concat(F.lit("format="), field["format"]), F.concat(F.lit("pattern="), field["pattern"]),
+        F.concat(F.lit("min="), field["minimum"].cast("string")), F.concat(F.lit("max="), field["maximum"].cast("string")),
+        F.concat(F.lit("enum="), F.array_join(field["enum"], "|")),
+    ]
+    return F.concat_ws(", ", *said)
+
+
+def lines(clauses: DataFrame) -> DataFrame:
+    """path and its human line."""
+    field = F.struct(*[c for c in clauses.columns if c != "path"])
+    return clauses.select("path", human_line(field).alias("line"))
+
+
+#: Types that hold all values of another; a change to them widens.
+WIDER = (("integer", "number"), ("integer", "string"), ("number", "string"), ("boolean", "string"))
+
+
+def widenings(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Fields whose new type holds all old values (an extension): path, from, to."""
+    j = old.select("path", F.col("type").alias("old_type")).join(new.select("path", F.col("type").alias("new_type")), "path")
+    wide = F.lit(False)
+    for a, b in WIDER:
+        wide = wide | ((F.col("old_type") == a) & (F.col("new_type") == b))
+    return j.where(wide)

@@ -129,3 +129,38 @@ def commit_scores(files: DataFrame, commits: DataFrame, detected: Column, snapsh
     return j.withColumn(
         "score", F.round(recency_score(detected, F.col("commit_time"), F.col("hops")), 6)
     ).dropDuplicates(["check_id", "commit_hash", "path"])
+
+
+#: Fixed limits of lists of consumers: of one table, and of a whole graph.
+CAP_CONSUMERS, CAP_GENERIC = 25, 15
+
+
+def pipeline_targets(edges: DataFrame) -> DataFrame:
+    """Distinct pipelines that something feeds, in order."""
+    return edges.where(F.startswith("target", F.lit("pipeline::"))).select(F.col("target").alias("pipeline")).distinct().orderBy("pipeline")
+
+
+def downstream_of(edges: DataFrame, table: str, cap: int = CAP_CONSUMERS) -> DataFrame:
+    """The first consumers of a table."""
+    return table_consumers(edges).where(F.col("table") == table).select("pipeline").limit(cap)
+
+
+def downstream_generic(edges: DataFrame, cap: int = CAP_GENERIC) -> DataFrame:
+    """The first consumers of anything, for contracts that lineage has no table of."""
+    return edges.where("relationship = 'CONSUMES'").select(F.col("target").alias("pipeline")).distinct().orderBy("pipeline").limit(cap)
+
+
+def lineage_section(consumers: DataFrame, instruction: str | None = None) -> dict:
+    """A contract's lineage part: its consumers (a bounded list), and a word on what to do with them."""
+    out = {"downstream": [{"id": r.pipeline} for r in consumers.limit(CAP_CONSUMERS).collect()]}
+    return out | ({"instruction": instruction} if instruction else {})
+
+
+def contract_seeds(contract: dict, edges: DataFrame) -> DataFrame:
+    """Nodes that a contract itself names: those of its lineage that the graph has."""
+    spark = edges.sparkSession
+    part = contract.get("lineage") or {}
+    named = [str(x.get("id")) for x in [*(part.get("downstream") or []), *(part.get("upstream") or [])]]
+    names = spark.createDataFrame([(n,) for n in named], "node string")
+    every = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct()
+    return every.join(F.broadcast(names), "node", "left_semi")

@@ -85,7 +85,9 @@ def structural_profile(df: DataFrame, columns: list[str] | None = None, exact: b
         F.struct(
             F.lit(c).alias("column_name"), F.lit(kinds[c]).alias("dtype"),
             F.coalesce(F.round(F.try_divide(F.count_if(F.col(c).isNull()), F.count(F.lit(1))), 6), F.lit(1.0)).alias("null_fraction"),
-            count(F.to_json(F.struct(c)) if kinds[c].startswith(("struct", "map", "array")) else F.col(c)).alias("cardinality"),
+            count(
+                F.when(F.col(c).isNotNull(), F.to_json(F.struct(c))) if kinds[c].startswith(("struct", "map", "array")) else F.col(c)
+            ).alias("cardinality"),
             F.count(F.lit(1)).alias("rows")
         ).alias(f"s_{c}") for c in columns
     ]
@@ -93,7 +95,7 @@ def structural_profile(df: DataFrame, columns: list[str] | None = None, exact: b
     if not exact:
         return out
     value = lambda c: (
-        F.to_json(F.struct(c)) if kinds[c].startswith(("struct", "map", "array")) else (
+        F.when(F.col(c).isNotNull(), F.to_json(F.struct(c))) if kinds[c].startswith(("struct", "map", "array")) else (
             F.col(c) + 0.0 if kinds[c] in ("float", "double") else F.col(c)
         ).cast("string")
     )
@@ -147,7 +149,8 @@ def suggest_clauses(df: DataFrame) -> dict[str, dict]:
     contract_type = lambda k: "integer" if k in (
         "tinyint", "smallint", "int", "bigint"
     ) else "number" if k in ("float", "double") or k.startswith("decimal") else "boolean" if k == "boolean" else "array" if k.startswith("array") else "object" if k.startswith(("struct", "map")) else "string"
-    for r in structural_profile(df, exact=True).collect():
+    shape = {r.column_name: r for r in structural_profile(df, exact=True).collect()}
+    for r in (shape[c] for c in df.columns):
         name, clause = r.column_name, {"type": contract_type(kinds[r.column_name]), "required": r.null_fraction == 0.0}
         if "confidence" in name and clause["type"] == "number":
             clause |= {"minimum": 0.0, "maximum": 1.0}
@@ -159,3 +162,43 @@ def suggest_clauses(df: DataFrame) -> dict[str, dict]:
             clause["enum"] = sorted(x[0] for x in df.select(name).where(F.col(name).isNotNull()).distinct().limit(10).collect())
         out[name] = clause
     return out
+
+
+#: Names of columns whose text is read as numbers.
+NUMERIC_NAMES = ("confidence", "_ms", "sequence", "_tokens")
+#: Values shown of a column.
+SHOWN = 5
+
+
+def is_numeric_name(name: str) -> bool:
+    return any(part in name if part in ("confidence", "sequence") else name.endswith(part) for part in NUMERIC_NAMES)
+
+
+def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """column_name, null_fraction, distinct, samples, and numbers of numeric columns (with the sample deviation).
+
+    Text columns whose name says that they are numbers are read so; ``dropped`` counts what can't be.
+    """
+    columns = columns or df.columns
+    kinds = dict(df.dtypes)
+    numeric = [c for c in columns if kinds[c] in ("tinyint", "smallint", "int", "bigint", "float", "double")
+               or kinds[c].startswith("decimal") or (kinds[c] == "string" and is_numeric_name(c))]
+    shape = structural_profile(df, columns).withColumnRenamed("cardinality", "distinct")
+    text = lambda c: F.when(
+        F.col(c).isNotNull(), F.to_json(F.struct(c))
+    ) if kinds[c].startswith(("struct", "map", "array")) else F.col(c).cast("string")
+    value = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), text(c).alias("v")) for c in columns]))
+    seen = df.select(value.alias("r")).select("r.*").where("v is not null").distinct()
+    first = seen.withColumn("k", F.row_number().over(Window.partitionBy("column_name").orderBy("v"))).where(F.col("k") <= SHOWN)
+    samples = first.groupBy("column_name").agg(F.array_sort(F.collect_list("v")).alias("samples"))
+    out = shape.join(samples, "column_name", "left")
+    if numeric:
+        numbers = numeric_profile(df, numeric, sample_std=True).drop("nulls")
+        out = out.join(numbers, "column_name", "left")
+    return out
+
+
+def optional_where_coerced(schema: dict[str, dict], profiled: DataFrame) -> dict[str, dict]:
+    """A suggested schema in which columns with values that can't be read are no longer required."""
+    junk = {r.column_name for r in profiled.where("dropped > 0").select("column_name").collect()}  # a row for each column
+    return {k: v | {"required": False} if k in junk else v for k, v in schema.items()}

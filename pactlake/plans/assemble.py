@@ -66,6 +66,22 @@ def _holds(name: str, column: str, holds: str, **more: Any) -> dict[str, Any]:
     return {"kind": "expression", "name": name, "column": column, "holds": holds, **more}
 
 
+#: Fixed kinds of entities.
+ENTITY_TYPES = ("PERSON", "ORG", "LOCATION", "DATE", "AMOUNT", "OTHER")
+
+
+def payload_rules(required: dict[str, list[str]], payload: str = "payload") -> list[dict[str, Any]]:
+    """A rule for each event type: its payload (a variant) has these keys (an extension)."""
+    return [
+        _holds(
+            f"payload.{kind}.required", payload,
+            f"event_type <> '{kind}' or (" + " and ".join(f"try_variant_get({payload}, '$.{k}', 'variant') is not null" for k in keys) + ")",
+            check_type="structural",
+        )
+        for kind, keys in required.items() if keys
+    ]
+
+
 #: Cross-field rules of the records an AI platform keeps (an extension), for ``rules`` of a contract.
 EXTENSION_RULES: dict[str, list[dict[str, Any]]] = {
     "intents": [
@@ -73,16 +89,19 @@ EXTENSION_RULES: dict[str, list[dict[str, Any]]] = {
         _holds("code_refs.confidence", "code_refs[].confidence", "forall(code_refs, r -> r.confidence between 0 and 1)", check_type="range")
     ],
     "verdicts": [
-        _holds("scores.range", "scores", "forall(map_values(scores), s -> s.score between 1 and 5)", check_type="range"),
+        _holds("scores.range", "scores", "forall(map_values(scores), s -> s.score between 1 and 5 and s.score = round(s.score))", check_type="range"),
         _holds(
             "overall_score.mean", "overall_score",
-            "abs(overall_score - aggregate(map_values(scores), 0D, (t, s) -> t + s.score * s.weight) / "
-            "aggregate(map_values(scores), 0D, (t, s) -> t + s.weight)) < 0.005",
+            "abs(overall_score - try_divide(aggregate(map_values(scores), 0D, (t, s) -> t + s.score * s.weight), "
+            "aggregate(map_values(scores), 0D, (t, s) -> t + s.weight))) < 0.005",
             check_type="arithmetic"
         ),
         _holds("verdict.enum", "overall_verdict", "overall_verdict in ('PASS', 'FAIL', 'WARN')", check_type="enum"),
     ],
     "extractions": [
+        _holds(
+            "entities.type.enum", "entities[].type", f"forall(entities, e -> e.type in {ENTITY_TYPES})", check_type="enum"
+        ),
         _holds(
             "entity_refs.reference", "extracted_facts[].entity_refs",
             "size(array_except(flatten(transform(extracted_facts, f -> f.entity_refs)), transform(entities, e -> e.entity_id))) = 0",

@@ -43,7 +43,8 @@ def lenient(spark: SparkSession, path: str, literals: bool = False) -> tuple[Dat
 
     With ``literals``, lines that aren't JSON but a Python literal (single quotes, None) are records, too.
 
-    Kinds of issues: malformed_line, unexpected_line_type, skip_non_object_in_line_array.
+    Issues are (line, kind, detail): malformed_line, unexpected_line_type, skip_non_object_in_line_array;
+    the detail is the begin of the text.
     """
     lines = spark.read.text(path).select(
         F.monotonically_increasing_id().alias("line"), F.regexp_replace("value", "^﻿", "").alias("value")
@@ -59,13 +60,36 @@ def lenient(spark: SparkSession, path: str, literals: bool = False) -> tuple[Dat
     inner = F.upper(F.substring(F.schema_of_variant("v"), 1, 6)) == "OBJECT"
     records = parsed.where("kind = 'OBJEC'").select("line", "v").unionByName(flat.where(inner))
     issues = (
-        parsed.where("kind = 'BAD'").select("line", F.lit("malformed_line").alias("kind"))
-        .unionByName(parsed.where("kind not in ('BAD', 'ARRAY', 'OBJEC')").select("line", F.lit("unexpected_line_type").alias("kind")))
-        .unionByName(flat.where(~inner).select("line", F.lit("skip_non_object_in_line_array").alias("kind")))
+        parsed.where("kind = 'BAD'").select("line", F.lit("malformed_line").alias("kind"), _begin("value"))
+        .unionByName(
+            parsed.where("kind not in ('BAD', 'ARRAY', 'OBJEC')").select(
+                "line", F.lit("unexpected_line_type").alias("kind"), _begin("value")
+            )
+        )
+        .unionByName(flat.where(~inner).select("line", F.lit("skip_non_object_in_line_array").alias("kind"), _begin("v")))
     )
     return records, issues
 
 
+#: Characters of an issue's detail.
+DETAIL = 120
+
+
+def _begin(column: str) -> Column:
+    return F.substring(F.col(column).cast("string"), 1, DETAIL).alias("detail")
+
+
+def whole_array(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(records, issues) of files that are one JSON array each; what isn't an object in it is an issue."""
+    files = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"), "value")
+    items = files.select(F.expr("posexplode(try_variant_get(v, '$', 'array<variant>'))").alias("line", "v"))
+    items = items.withColumn("line", F.col("line").cast("long"))
+    is_object = F.coalesce(F.upper(F.substring(F.schema_of_variant("v"), 1, 6)) == "OBJECT", F.lit(False))
+    bad = items.where(~is_object).select("line", F.lit("skip_non_object_in_array").alias("kind"), _begin("v"))
+    odd = files.where("v is null").select(F.lit(0).cast("long").alias("line"), F.lit("malformed_line").alias("kind"), _begin("value"))
+    return items.where(is_object), bad.unionByName(odd)
+
+
 def latest(spark: SparkSession, path: str) -> DataFrame:
     """The last record of a file that parses, as one variant."""
     records, _ = lenient(spark, path)
