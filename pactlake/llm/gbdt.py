@@ -48,6 +48,24 @@ NAMES = [
 ]
 
 
+def _lines(data: np.ndarray, offs: np.ndarray, hashed: SpanHash) -> tuple[np.ndarray, np.ndarray]:
+    """For each document the number of lines with anything on them, and the share of them that repeat another."""
+    d, breaks = len(offs) - 1, np.flatnonzero(data == 10)
+    of, own = np.searchsorted(offs, breaks, "right") - 1, np.arange(d)
+    begin, end = np.concatenate([offs[:-1], breaks + 1]), np.concatenate([breaks, offs[1:]])
+    begin = begin[np.lexsort((begin, np.concatenate([own, of])))]
+    by_end = np.lexsort((end, np.concatenate([of, own])))
+    doc, end = np.concatenate([of, own])[by_end], end[by_end]
+    some = end > begin
+    doc, h = doc[some], hashed(begin[some], end[some])
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    lines = np.bincount(doc, minlength=d)
+    return lines, np.where(lines > 0, 1 - np.bincount(doc[first], minlength=d) / np.maximum(lines, 1), 0)
+
+
 def statistics(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """One row of len(NAMES) for each document."""
     n = np.diff(offs)
@@ -83,9 +101,8 @@ def statistics(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     }
     hashed = SpanHash(data)
     wh = hashed(s, e)
-    breaks = np.flatnonzero(data == 10)
-    cut = np.searchsorted(breaks, offs)
-    rows = np.zeros((d, 7))
+    lines, repeated = _lines(data, offs, hashed)
+    rows = np.zeros((d, 5))
     for i in range(d):
         a, b = at[i], at[i + 1]
         if b > a:
@@ -100,17 +117,11 @@ def statistics(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
                 rows[i, 3] = 1
             p = np.bincount(data[offs[i] : offs[i + 1]], minlength=256) / n[i]
             p = p[p > 0]
-            rows[i, 6] = -(p * np.log2(p)).sum()
-        ends = np.concatenate([breaks[cut[i] : cut[i + 1]], [offs[i + 1]]])
-        starts = np.concatenate([[offs[i]], ends[:-1] + 1])
-        keep = ends > starts
-        k = int(keep.sum())
-        rows[i, 4] = k
-        rows[i, 5] = 1 - len(np.unique(hashed(starts[keep], ends[keep]))) / k if k else 0
+            rows[i, 4] = -(p * np.log2(p)).sum()
     out |= {
         "longest": np.log1p(rows[:, 0]), "distinct": rows[:, 1], "commonest": rows[:, 2], "novel": rows[:, 3],
-        "lines": np.log1p(rows[:, 4]), "line_bytes": np.log1p(n / np.maximum(rows[:, 4], 1)),
-        "repeated_lines": rows[:, 5], "entropy": rows[:, 6]
+        "lines": np.log1p(lines), "line_bytes": np.log1p(n / np.maximum(lines, 1)),
+        "repeated_lines": repeated, "entropy": rows[:, 4]
     }
     return np.stack([out[k] for k in NAMES], axis=1).astype(np.float32)
 
