@@ -14,6 +14,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import cut, shared_dir
+
+__all__ = [
+    "bounded_batches", "cut", "key_groups", "map_arrow", "parts_for", "raw", "release", "shared_dir", "ship", "slices", "stored", "stored_by",
+    "texts",
+]
+
 #: Bytes of one Arrow batch sent to a Python worker; keeps two workers of a
 #: 3 GB executor well inside its memory whatever the length of the texts.
 BATCH_BYTES = 8 << 20
@@ -54,30 +61,6 @@ def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is ``spark.checkpoint.dir`` where the cluster names one; only where it
-    is unset and the master is local, as in tests, a folder of this machine is used.
-    All lies below one folder of the application, which goes with its checkpoints.
-    """
-    sc = spark.sparkContext
-    found = sc._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get()
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if not named and not sc.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir is not set: no folder is shared with the executors")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pactlake-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder and drop the lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Written as a table in the shared folder, and read back.
 

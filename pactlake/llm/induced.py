@@ -14,9 +14,9 @@ of all, are sorted externally where a full suffix array would recurse on their
 names: runs of them are sorted by refining ties eight bytes at a time to that
 depth, written with their prefixes, and merged block by block.
 
-Text, types, runs and queues lie on disk; in memory are blocks of at most
-``in_memory`` tuples, whatever the length of the text (pages of the text that the
-system keeps in its cache are its own affair).
+Text, types, runs and queues beyond ``in_memory`` tuples lie on disk; in memory are
+blocks of at most so many, whatever the length of the text (pages of the text that
+the system keeps in its cache are its own affair).
 """
 
 from __future__ import annotations
@@ -27,16 +27,14 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Tuples of a queue kept in memory.
-IN_MEMORY = 1 << 19
+IN_MEMORY = 1 << 21
 
 
-def on_disk(shape, kind: str) -> np.ndarray:
-    """An array in a file of the task's own, gone with it."""
-    f = tempfile.TemporaryFile()
-    n = int(np.prod(shape))
-    if not n:
+def room(shape, kind: str, in_memory: int = IN_MEMORY) -> np.ndarray:
+    """Zeros; an array larger than so many tuples' positions lies in a file of the task's own, gone with it."""
+    if int(np.prod(shape)) * np.dtype(kind).itemsize <= 8 * in_memory:
         return np.zeros(shape, kind)
-    return np.memmap(f, kind, "w+", shape=shape)
+    return np.memmap(tempfile.TemporaryFile(), kind, "w+", shape=shape)
 
 
 class BucketQueue:
@@ -218,22 +216,22 @@ def _stars(text: Text, s_type: np.ndarray, in_memory: int) -> tuple[np.ndarray,
     if len(runs) > 1:
         kept = []
         for pos in runs:
-            key = on_disk((len(pos), width), "u1")
+            key = room((len(pos), width), "u1", in_memory)
             for i in range(0, len(pos), max(1, in_memory // 16)):
                 part = pos[i : i + max(1, in_memory // 16)]
                 key[i : i + len(part)] = text.t[part[:, None] + np.arange(width)]
-            disk = on_disk((len(pos),), "i8")
+            disk = room((len(pos),), "i8", in_memory)
             disk[:] = pos
             # prefixes count to the depth only
             key[:, text.depth :] = 0
             kept.append((disk, key))
         runs = None
         blocks = _merged(kept, in_memory)
-        out = on_disk((total,), "i8")
+        out = room((total,), "i8", in_memory)
     else:
         blocks = iter(runs)
         out = np.zeros(total, np.int64)
-    lcp, first, at, last = on_disk((total,), "u1") if total > in_memory else np.zeros(total, np.uint8), np.zeros(256, np.int64), 0, None
+    lcp, first, at, last = room((total,), "u1", in_memory), np.zeros(256, np.int64), 0, None
     for pos in blocks:
         out[at : at + len(pos)] = pos
         before = np.concatenate([[pos[0] if last is None else last], pos[:-1]])
@@ -280,11 +278,11 @@ def suffixes(t: np.ndarray, depth: int, in_memory: int = IN_MEMORY, counts: dict
         return
     if depth > 200:
         raise ValueError("common prefixes are kept in a byte")
-    held = on_disk((len(t) + depth + 16,), "u1")
+    held = room((len(t) + depth + 16,), "u1", in_memory)
     held[: len(t)] = t
     text = Text(held, depth)
     n = text.n
-    s_type = types(text.t[:n], on_disk((n,), "bool"), max(1, in_memory))
+    s_type = types(text.t[:n], room((n,), "bool", in_memory), max(1, in_memory))
     star, star_lcp, cut = _stars(text, s_type, in_memory)
 
     def blocks(key: int):

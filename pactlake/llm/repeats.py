@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from ._arrow import cut, key_groups, map_arrow, parts_for, raw, release, slices, stored, texts
 from ._bytes import chunks, mix
-from .induced import on_disk, suffixes
+from .induced import IN_MEMORY, room, suffixes
 
 LENGTH = 100
 GRAM = 32
@@ -264,18 +264,25 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Shard:
-    """Segments whose bytes wait in a file of the task's own; in memory are a few numbers for each."""
+    """Segments and their bytes, which go to a file of the task's own when they are many."""
 
     def __init__(self):
-        self.file, self.cols, self.size = tempfile.TemporaryFile(), [], 0
+        self.held, self.file, self.cols, self.size = [], None, [], 0
 
     def add(self, t: pa.Table) -> None:
         for b in t.column("bytes").chunks:
-            self.file.write(raw(b.cast(pa.large_binary()))[0].tobytes())
+            self.held.append(raw(b.cast(pa.large_binary()))[0].tobytes())
         self.cols.append(t.drop_columns(["bytes"]))
         self.size += int((t.column("n").to_numpy() + LENGTH - 1).sum())
+        if sum(map(len, self.held)) > 8 * IN_MEMORY:
+            self.file = self.file or tempfile.TemporaryFile()
+            self.file.write(b"".join(self.held))
+            self.held = []
 
     def bytes(self) -> np.ndarray:
+        if self.file is None:
+            return np.frombuffer(b"".join(self.held), np.uint8)
+        self.file.write(b"".join(self.held))
         self.file.flush()
         return np.memmap(self.file, np.uint8, "r", shape=(self.size,))
 
@@ -301,14 +308,14 @@ def _repeats(shard: _Shard) -> pa.RecordBatch:
     order = np.lexsort((at, row, doc))
     doc, row, at, n, came = doc[order], row[order], at[order], n[order], came[order]
     begin = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)  # places in body are in the order of the corpus
-    file, body = shard.bytes(), on_disk((shard.size,), "u1")
+    file, body = shard.bytes(), room((shard.size,), "u1")
     for a, b, k in zip(begin.tolist(), came.tolist(), (n + LENGTH - 1).tolist(), strict=True):
         body[a : a + k] = file[b : b + k]
     edge = np.zeros(len(body) + 1, np.int8)
     edge[begin] += 1
     np.add.at(edge, begin + n, -1)
     own = np.cumsum(edge[:-1], dtype=np.int8) > 0
-    repeat = on_disk((len(body),), "bool")
+    repeat = room((len(body),), "bool")
     carry: list[np.ndarray] = []
 
     def close():
