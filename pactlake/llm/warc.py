@@ -15,7 +15,9 @@ larger ones by rounds of joins. The digest of a piece that is as long as it says
 is taken where it is read, so only payloads that hold a magic are put together:
 a second read finds their pieces by content, as its splits may be others.
 
-Pages are numbered once, in a table of the shared folder that all later jobs read.
+Pages are known by their digest and page_id, so no row is numbered: a scan that is
+dealt out otherwise finds the same ones. Only rows that repeat a first page
+whole are told apart, within the job that writes them.
 
 Null html counts as empty. A null page_id writes a record without one and reads
 back as null; it ranks after all others as the first of equal payloads. Of rows
@@ -57,13 +59,19 @@ def write_warc(pages: DataFrame, path: str) -> None:
     """Archive files of every row of pages (page_id, url, html)."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("digest", F.sha2("html", 256)).withColumn("bytes", F.octet_length("html").cast("long"))
-    p = stored(p.withColumn("row", F.monotonically_increasing_id()), "pages")
-    # only digests are shuffled; the rows that revisit another are joined back, by broadcast if they are few
-    known = p.where(F.col("bytes") >= MIN_DUPLICATE).select("digest", "page_id", "row")
-    first = known.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct(F.col("page_id").isNull(), "page_id", "row")).alias("first")).where("n > 1")
-    again = cut(known.join(first, "digest").where("row <> first.row").select(F.col("row").alias("again"), F.col("first.page_id").alias("first_id")))
+    p = p.withColumn("bare", F.col("page_id").isNull()).withColumn("at", F.coalesce("page_id", F.lit(0)))
+    key = ["digest", "bare", "at"]
+    # only digests are shuffled, combined before; the rows that revisit another are joined back, by broadcast if they are few
+    known = cut(p.where(F.col("bytes") >= MIN_DUPLICATE).groupBy(*key).agg(F.count("*").alias("rows")))
+    first = known.groupBy("digest").agg(F.sum("rows").alias("n"), F.min(F.struct("bare", "at", "rows")).alias("first")).where("n > 1")
+    found = cut(known.join(first, "digest").where("bare <> first.bare or at <> first.at or first.rows > 1"))
+    own = (F.col("bare") == F.col("first.bare")) & (F.col("at") == F.col("first.at"))
+    again = found.select(*key, F.when(~F.col("first.bare"), F.col("first.at")).alias("first_id"), own.alias("own"))
     few = again.limit(FEW + 1).count() <= FEW
-    p = p.join(F.broadcast(again) if few else again, F.col("row") == F.col("again"), "left")
+    p = p.join(F.broadcast(again) if few else again, key, "left")
+    if not found.where(own).isEmpty():
+        p = p.where("own is null or not own").unionByName(_but_one(p.where("own"), key))
+    p = p.withColumn("again", F.col("own")).withColumn("row", F.monotonically_increasing_id())  # the row is only in the record's name
     revisit = F.col("again").isNotNull()
     uri = F.coalesce("url", F.lit("about:blank"))
     for c in [*range(33), 127]:
@@ -84,6 +92,18 @@ def write_warc(pages: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("lineSep", RECORD_END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
+def _but_one(same: DataFrame, key: list[str]) -> DataFrame:
+    """Rows equal in their key, of which one is a first (``own`` null) and the others revisit it.
+
+    One of each task is chosen, then one of these, so a row that repeats often is spread over its tasks.
+    """
+    here = same.withColumn("part", F.spark_partition_id())
+    here = here.withColumn("k", F.row_number().over(Window.partitionBy(*key, "part").orderBy("url")))
+    one = here.where("k = 1").withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("url", "part")))
+    every = one.unionByName(here.where("k > 1"))
+    return every.withColumn("own", F.when(F.col("k") > 1, True)).select(same.columns)
+
+
 def _field(name: str) -> Column:
     return F.nullif(F.regexp_extract("head", rf"(?:^|\r\n){name}: ([^\r]*)", 1), F.lit(""))
 
@@ -138,7 +158,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     placed = stored(placed.drop("before", "base", "split", "nth", "size").withColumn("next", F.col("at") + len(MAGIC) + F.col("span")).drop("span"), "placed")
     release(spark)
     reached = _reached(placed.select("file", "at", "next"))
-    records = placed.join(reached, ["file", "at"])
+    records = placed.join(reached.hint("merge"), ["file", "at"])
     broken = records.where("not whole").select("file", F.col("at").alias("record"))
     done = records.where("whole").drop("file", "h1", "h2", "whole", "at", "next")
     if broken.isEmpty():
@@ -220,7 +240,7 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     back = stored(read_warc(spark, path), "records")
     # a revisit has what its response holds: equal digests of equal payloads
     held = back.where((F.col("record_type") == "response") & (F.col("n") >= MIN_DUPLICATE)).groupBy("sha").agg(F.max("n").alias("held"))
-    out = back.join(held.withColumnRenamed("sha", "digest"), "digest", "left")
+    out = back.join(held.withColumnRenamed("sha", "digest").hint("merge"), "digest", "left")
     return out.select(
         "page_id", F.coalesce("n", "held").alias("payload_bytes"), F.coalesce(F.col("sha"), F.when(F.col("held").isNotNull(), F.col("digest"))).alias("payload_digest"), "record_type",
         F.when(F.col("record_type") == "revisit", F.col("refers_to")).alias("refers_to"),
