@@ -57,7 +57,10 @@ def _header(*lines: Column | str) -> Column:
 
 def write_warc(pages: DataFrame, path: str) -> None:
     """Archive files of every row of pages (page_id, url, html)."""
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    p = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
+        F.coalesce("html", F.lit("")).alias("html")
+    )
     p = p.withColumn("digest", F.sha2("html", 256)).withColumn("bytes", F.octet_length("html").cast("long"))
     p = p.withColumn("bare", F.col("page_id").isNull()).withColumn("at", F.coalesce("page_id", F.lit(0)))
     key = ["digest", "bare", "at"]
@@ -80,10 +83,16 @@ def write_warc(pages: DataFrame, path: str) -> None:
     opt = lambda name, v: F.coalesce(F.concat(F.lit(name + ": "), v.cast("string"), F.lit("\r\n")), F.lit(""))
     head = _header(
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
-        F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(":"), F.col("row").cast("string"), F.lit(">")),
+        F.concat(
+            F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(":"),
+            F.col("row").cast("string"), F.lit(">")
+        ),
         "WARC-Date: 2020-01-01T00:00:00Z",
         F.concat(F.lit("WARC-Target-URI: "), uri),
-        F.concat(opt("WARC-Page-ID", F.col("page_id")), opt("WARC-Refers-To-Page-ID", F.when(revisit, F.col("first_id"))), F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")),
+        F.concat(
+            opt("WARC-Page-ID", F.col("page_id")), opt("WARC-Refers-To-Page-ID", F.when(revisit, F.col("first_id"))),
+            F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")
+        ),
         F.concat(F.lit("WARC-Payload-Length: "), F.col("bytes").cast("string")),
         "Content-Type: application/http; msgtype=response",
         F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")),
@@ -126,7 +135,9 @@ def _body(head_and_end: Column, value: str, end: int) -> Column:
 
 def _headers() -> list[Column]:
     return [
-        _field("WARC-Page-ID").try_cast("bigint").alias("page_id"), _field("WARC-Type").alias("record_type"), F.regexp_replace(_field("WARC-Payload-Digest"), "^sha256:", "").alias("digest"),
+        _field("WARC-Page-ID").try_cast("bigint").alias("page_id"), _field("WARC-Type").alias("record_type"), F.regexp_replace(
+            _field("WARC-Payload-Digest"), "^sha256:", ""
+        ).alias("digest"),
         _field("WARC-Payload-Length").try_cast("bigint").alias("declared_bytes"), _field("WARC-Refers-To-Page-ID").try_cast("bigint").alias("refers_to"),
     ]
 
@@ -147,15 +158,23 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     read = _pieces(spark, path).withColumn("head", head)
     whole = F.coalesce(span == size, F.lit(False))
     n, sha = (F.when(whole, c).alias(name) for c, name in zip(_payload(), ("n", "sha"), strict=True))
-    narrow = stored(read.select("file", "split", "nth", *_content(), size.alias("size"), span.alias("span"), whole.alias("whole"), n, sha, *_headers()), "pieces")
+    narrow = stored(
+        read.select("file", "split", "nth", *_content(), size.alias("size"), span.alias("span"), whole.alias("whole"), n, sha, *_headers()),
+        "pieces"
+    )
     # a piece's own magic stands before it
     in_split = Window.partitionBy("file", "split").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     splits = narrow.groupBy("file", "split").agg((F.sum("size") + F.count("*") * len(MAGIC)).alias("all"))
     earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("base", F.coalesce(F.sum("all").over(earlier), F.lit(0)) - len(MAGIC)).drop("all")
     before = F.coalesce(F.sum(F.col("size") + len(MAGIC)).over(in_split), F.lit(0))
-    placed = narrow.withColumn("before", before).join(splits, ["file", "split"]).withColumn("at", F.col("base") + F.col("before")).where("at >= 0")
-    placed = stored(placed.drop("before", "base", "split", "nth", "size").withColumn("next", F.col("at") + len(MAGIC) + F.col("span")).drop("span"), "placed")
+    placed = narrow.withColumn("before", before).join(splits, ["file", "split"]).withColumn(
+        "at", F.col("base") + F.col("before")
+    ).where("at >= 0")
+    placed = stored(
+        placed.drop("before", "base", "split", "nth", "size").withColumn("next", F.col("at") + len(MAGIC) + F.col("span")).drop("span"),
+        "placed"
+    )
     release(spark)
     reached = _reached(placed.select("file", "at", "next"))
     records = placed.join(reached.hint("merge"), ["file", "at"])
@@ -165,13 +184,17 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         return done
     # pieces of one payload: a record's own and the unreached ones after it; files hold a bounded number of records
     owner = F.max(F.when(F.col("real"), F.col("at"))).over(Window.partitionBy("file").orderBy("at"))
-    marked = placed.select("file", "h1", "h2", "at").join(reached.withColumn("real", F.lit(True)), ["file", "at"], "left").withColumn("record", owner)
+    marked = placed.select("file", "h1", "h2", "at").join(
+        reached.withColumn("real", F.lit(True)), ["file", "at"], "left"
+    ).withColumn("record", owner)
     parts = cut(marked.join(broken, ["file", "record"], "left_semi").select("file", "h1", "h2", "at", "record"))
     wanted = parts.select("h1", "h2").distinct()
     few = wanted.limit(FEW + 1).count() <= FEW
     pieces = _pieces(spark, path).select(*_content(), "value").join(F.broadcast(wanted) if few else wanted, ["h1", "h2"], "left_semi")
     found = parts.join(pieces.groupBy("h1", "h2").agg(F.first("value").alias("value")), ["h1", "h2"])
-    joined = found.groupBy("file", "record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), MAGIC).alias("value"))
+    joined = found.groupBy("file", "record").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), MAGIC).alias("value")
+    )
     again = joined.withColumn("head", head)
     return done.unionByName(again.select(*_headers(), *_payload()))
 
@@ -242,6 +265,8 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     held = back.where((F.col("record_type") == "response") & (F.col("n") >= MIN_DUPLICATE)).groupBy("sha").agg(F.max("n").alias("held"))
     out = back.join(held.withColumnRenamed("sha", "digest").hint("merge"), "digest", "left")
     return out.select(
-        "page_id", F.coalesce("n", "held").alias("payload_bytes"), F.coalesce(F.col("sha"), F.when(F.col("held").isNotNull(), F.col("digest"))).alias("payload_digest"), "record_type",
+        "page_id", F.coalesce("n", "held").alias("payload_bytes"), F.coalesce(
+            F.col("sha"), F.when(F.col("held").isNotNull(), F.col("digest"))
+        ).alias("payload_digest"), "record_type",
         F.when(F.col("record_type") == "revisit", F.col("refers_to")).alias("refers_to"),
     )
