@@ -205,32 +205,31 @@ def _stars(text: Text, s_type: np.ndarray, in_memory: int) -> tuple[np.ndarray,
     """S* suffixes in order, their common prefixes with the one before, and where each first byte begins."""
     runs, total = [], 0
     width = -(-text.depth // 8) * 8
-    block = max(2, in_memory)
+    block, waiting, held, alone = max(2, in_memory), [], 0, np.zeros(0, np.int64)
+
+    def kept(pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A run and its prefixes, which count to the depth only."""
+        disk, key = room((len(pos),), "i8", in_memory), room((len(pos), width), "u1", in_memory)
+        for i in range(0, len(pos), max(1, in_memory // 16)):
+            part = pos[i : i + max(1, in_memory // 16)]
+            disk[i : i + len(part)] = part
+            key[i : i + len(part)] = text.t[part[:, None] + np.arange(width)]
+        key[:, text.depth :] = 0
+        return disk, key
+
     for a in range(0, text.n, block):
         b = min(text.n, a + block)
-        star = np.asarray(s_type[a:b]) & ~np.concatenate([[True if a == 0 else bool(s_type[a - 1])], np.asarray(s_type[a : b - 1])])
-        pos = np.flatnonzero(star) + a
-        if len(pos):
-            runs.append(text.sort(pos))
-            total += len(pos)
-    if len(runs) > 1:
-        kept = []
-        for pos in runs:
-            key = room((len(pos), width), "u1", in_memory)
-            for i in range(0, len(pos), max(1, in_memory // 16)):
-                part = pos[i : i + max(1, in_memory // 16)]
-                key[i : i + len(part)] = text.t[part[:, None] + np.arange(width)]
-            disk = room((len(pos),), "i8", in_memory)
-            disk[:] = pos
-            # prefixes count to the depth only
-            key[:, text.depth :] = 0
-            kept.append((disk, key))
-        runs = None
-        blocks = _merged(kept, in_memory)
-        out = room((total,), "i8", in_memory)
-    else:
-        blocks = iter(runs)
-        out = np.zeros(total, np.int64)
+        before = np.concatenate([[True if a == 0 else bool(s_type[a - 1])], np.asarray(s_type[a : b - 1])])
+        pos = np.flatnonzero(np.asarray(s_type[a:b]) & ~before) + a
+        if held and held + len(pos) > block:
+            runs.append(kept(text.sort(np.concatenate(waiting))))
+            waiting, held = [], 0
+        waiting.append(pos)
+        held, total = held + len(pos), total + len(pos)
+    if held:
+        alone = text.sort(np.concatenate(waiting))
+    blocks = _merged([*runs, kept(alone)], in_memory) if runs else iter([alone] if total else [])
+    out = room((total,), "i8", in_memory)
     lcp, first, at, last = room((total,), "u1", in_memory), np.zeros(256, np.int64), 0, None
     for pos in blocks:
         out[at : at + len(pos)] = pos
