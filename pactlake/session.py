@@ -1,4 +1,4 @@
-"""What iterative jobs need of a session: a folder that all executors see, and cutting lineage in it."""
+"""What iterative jobs need of a session: a folder that all executors see, cutting lineage in it, and clearing it."""
 
 from __future__ import annotations
 
@@ -12,17 +12,37 @@ def shared_dir(spark: SparkSession) -> str:
 
     It is ``spark.checkpoint.dir`` where the cluster names one; only where it
     is unset and the master is local, as in tests, a folder of this machine is used.
-    All lies below one folder of the application, which goes with its checkpoints.
+    All lies below one folder of the application, which is removed when the driver's JVM ends.
     """
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
-        return found.get()
+        at = found.get()
+        if sc.applicationId not in _CLEARED:
+            _files(spark, at).deleteOnExit(sc._jvm.org.apache.hadoop.fs.Path(at))
+            _CLEARED.add(sc.applicationId)
+        return at
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if not named and not sc.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir is not set: no folder is shared with the executors")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pactlake-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    return shared_dir(spark)
+
+
+#: Applications whose folder is marked for removal.
+_CLEARED: set[str] = set()
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, whichever it is."""
+    sc = spark.sparkContext
+    return sc._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(sc._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete stored tables whose readers are done."""
+    for p in paths:
+        _files(spark, p).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p), True)
 
 
 def cut(df: DataFrame) -> DataFrame:
