@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import moments
+from .sequences import sequence_gaps
+
+__all__ = ["baseline_updates", "failure_windows", "first_of", "quarantine_split", "sequence_gaps"]
+
 
 def failure_windows(
     stream: DataFrame, key: str = "check_id", ts: str = "ts", hours: int = 1, slide: str = "10 minutes", limit: int = 3
@@ -33,58 +38,15 @@ def quarantine_split(stream: DataFrame, bad: Column, good_path: str, bad_path: s
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def sequence_gaps(stream: DataFrame, key: str, seq: str, idle: str | None = None) -> DataFrame:
-    """(key, expected, found) wherever a key's numbers don't go on by one, across batches.
+def baseline_updates(stream: DataFrame, metrics: dict[str, Column], path: str, checkpoint: str, apart: int = moments.APART):
+    """A query that adds each batch's moments to the store at ``path``; ``moments.Store`` reads baselines of all batches there.
 
-    State is one number a key, dropped after ``idle`` (``1 day``) without rows, if
-    given; such a query has no last batch, so don't run it with availableNow.
-    Numbers are compared in order within a batch; one that comes late is a break.
+    A batch that is repeated after a failure replaces itself.
     """
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    ms = int(_interval(idle).total_seconds() * 1000) if idle else 0
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
-    kind = dict(stream.dtypes)[key]
-
-    def steps(k, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        got = pd.concat([f[[seq]] for f in frames])[seq].dropna().astype("int64").sort_values().to_numpy()
-        last, out = (state.get[0] if state.exists else None), []
-        for n in got:
-            if last is not None and n != last + 1:
-                out.append((k[0], last + 1, int(n)))
-            last = int(n)
-        if last is not None:
-            state.update((last,))
-            if ms:
-                state.setTimeoutDuration(ms)
-        yield pd.DataFrame(out, columns=[key, "expected", "found"])
-
-    return stream.select(key, seq).groupBy(key).applyInPandasWithState(
-        steps, f"`{key}` {kind}, expected bigint, found bigint", "last bigint", "append", timeout
-    )
-
-
-def _interval(text: str):
-    from datetime import timedelta
-
-    n, unit = text.split()
-    return timedelta(**{unit.rstrip("s") + "s": int(n)})
-
-
-def baseline_updates(stream: DataFrame, metrics: dict[str, Column], path: str, checkpoint: str, least: int = 10):
-    """A query that sets baselines from the first batches with enough values; each batch writes a new version of the state."""
-    from ..operators import drift, history
-
-    def merge(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        kind = "column string, mean double, std double, n long, established_at timestamp"
-        old = spark.read.schema(kind).parquet(f"{path}/version={n - 1}") if n else spark.createDataFrame([], kind)
-        history.next_baselines(
-            drift.column_stats(batch, metrics), old, F.current_timestamp(), least
-        ).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={n}")
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+
+    def learn(batch: DataFrame, n: int) -> None:
+        store = moments.Store(batch.sparkSession, path)
+        store.put(n, moments.moments(batch, metrics))
+        store.compact(apart)
+
+    return stream.writeStream.foreachBatch(learn).option("checkpointLocation", checkpoint)

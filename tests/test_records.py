@@ -10,7 +10,6 @@ from pactlake.operators import drift, history, lineage, migrate, project, regist
 from pactlake.plans import assemble
 from pactlake.plans.validate import validate
 from pactlake.sources import control, records
-from pactlake.streaming import enforce
 
 
 def variants(spark, *docs):
@@ -204,21 +203,3 @@ def test_graph_helpers(spark):
     assert s == {"a.py": ("h1", 0.6), "b.py": ("abcdef1", 0.35)}
     reached = spark.createDataFrame([("a", 0), ("c", 1), ("b", 1)], "node string, hops int")
     assert [r.node for r in lineage.nearest(reached, 2).collect()] == ["a", "b"]
-
-
-def test_streams_keep_state(spark, tmp_path):
-    src = tmp_path / "in"
-    for i, rows in enumerate([[("a", 1), ("a", 2), ("b", 5)], [("a", 4), ("b", 6)]]):
-        spark.createDataFrame(rows, "k string, n long").coalesce(1).write.mode("append").parquet(str(src / f"p={i}"))
-    stream = spark.readStream.schema("k string, n long, p int").option("maxFilesPerTrigger", 1).parquet(str(src))
-    q = enforce.sequence_gaps(stream, "k", "n").writeStream.format("memory").queryName("gaps").outputMode("append").option(
-        "checkpointLocation", str(tmp_path / "c1")
-    ).trigger(availableNow=True).start()
-    assert q.awaitTermination(60)
-    assert [tuple(r) for r in spark.table("gaps").collect()] in ([("a", 3, 4)], [("a", 5, 1), ("b", 7, 5)])
-    b = enforce.baseline_updates(
-        stream, {"n": F.col("n")}, str(tmp_path / "state"), str(tmp_path / "c2"), least=2
-    ).trigger(availableNow=True).start()
-    assert b.awaitTermination(60)
-    last = spark.read.parquet(str(tmp_path / "state" / "version=1")).first()
-    assert last.column == "n" and last.n in (2, 3)
