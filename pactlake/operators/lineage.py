@@ -87,32 +87,61 @@ def nearest(reached: DataFrame, cap: int = 80) -> DataFrame:
     return reached.orderBy("hops", "node").limit(cap)
 
 
-def node_words(node: Column) -> Column:
-    """The words of a node's id, in lower case."""
-    return F.array_distinct(F.split(F.lower(node), "[^a-z0-9]+"))
+#: Letters of the pieces by which keywords find nodes.
+GRAM = 3
 
 
-def keyword_seeds(failures: DataFrame, nodes: DataFrame, topics: DataFrame, cap: int = 24) -> DataFrame:
-    """(check_id, node): nodes whose id holds a word of a topic that the failure's names touch.
+def grams(text: Column, n: int = GRAM) -> Column:
+    """The distinct pieces of n letters of a text; a shorter text is one piece."""
+    places = F.sequence(F.lit(1), F.greatest(F.char_length(text) - n + 1, F.lit(1)))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(n))))
 
-    topics: (trigger, keyword). A keyword is a word of the id, or several of them
-    that follow one another: nodes are matched by their words, an equality that
-    Spark joins by shuffle or broadcast as sizes ask for. Where no node fits,
-    files and extraction nodes stand in, the first eight by id.
+
+def containing(texts: DataFrame, text: str, words: DataFrame, word: str) -> DataFrame:
+    """Pairs of rows of ``texts`` and ``words`` where the text contains the word, whatever stands around it.
+
+    No text is compared with every word: a word is looked up by that one of its pieces that the fewest texts hold, an
+    equality, and what shares it is confirmed on the whole word. Pieces are of GRAM letters; shorter words
+    have an index of their own length. Words come once, empty and null ones not at all.
+    """
+    out = None
+    lengths = {n: F.char_length(word) == n for n in range(1, GRAM)} | {GRAM: F.char_length(word) >= GRAM}
+    for n, fits in lengths.items():
+        asked = words.where(fits).select(F.col(word).alias("__w")).distinct().select("__w", F.explode(grams(F.col("__w"), n)).alias("__g"))
+        indexed = texts.select(F.explode(grams(F.col(text), n)).alias("__g"))
+        # pieces that no text holds aren't counted: their words are in no text
+        held = indexed.join(asked.select("__g").distinct(), "__g", "left_semi").groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
+        rarest = asked.join(held, "__g", "left").groupBy("__w").agg(
+            F.min_by("__g", F.struct(F.coalesce("__n", F.lit(0)), "__g")).alias("__g")
+        )
+        hit = texts.withColumn("__g", F.explode(grams(F.col(text), n))).join(rarest, "__g").where(F.contains(F.col(text), F.col("__w")))
+        found = hit.drop("__g").join(words.withColumnRenamed(word, "__w"), "__w").withColumnRenamed("__w", word)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def keyword_seeds(failures: DataFrame, nodes: DataFrame, topics: DataFrame, cap: int = 24, named: DataFrame | None = None) -> DataFrame:
+    """(check_id, node): nodes whose id holds a keyword of a topic that the failure's names touch.
+
+    topics: (trigger, keyword). A keyword may stand anywhere in the id, within other words too. Where no node fits,
+    the nodes that the contract names (``named``) stand in; without these, files and extraction nodes, the first eight by id.
     """
     said = F.lower(F.concat_ws(" ", "check_id", "column_name"))
-    words = failures.join(topics, F.contains(said, F.col("trigger"))).select("check_id", F.lower("keyword").alias("keyword")).distinct()
-    words = words.withColumn("word", F.split("keyword", "[^a-z0-9]+")[0])
-    known = nodes.select("node_id").distinct().select("node_id", F.explode(node_words(F.col("node_id"))).alias("word")).where("word <> ''")
-    hit = known.join(words, "word").where(
-        F.contains(F.lower("node_id"), F.col("keyword"))
-    ).select("check_id", F.col("node_id").alias("node")).distinct()
+    asked = failures.select("check_id", said.alias("said")).distinct()
+    touched = containing(asked, "said", topics.select(F.lower("trigger").alias("trigger"), F.lower("keyword").alias("keyword")), "trigger")
+    words = touched.select("check_id", "keyword").distinct()
+    known = nodes.select(F.col("node_id").alias("node"), F.lower("node_id").alias("low")).where("node is not null").distinct()
+    hit = containing(known, "low", words, "keyword").select("check_id", "node").distinct()
     hit = hit.withColumn("k", F.row_number().over(Window.partitionBy("check_id").orderBy("node"))).where(F.col("k") <= cap).drop("k")
-    other = nodes.where(
-        F.startswith("node_id", F.lit("file::")) | F.contains(F.lower("node_id"), F.lit("extract"))
-    ).select(F.col("node_id").alias("node")).distinct().orderBy("node").limit(8)
-    bare = failures.select("check_id").distinct().join(hit.select("check_id").distinct(), "check_id", "left_anti")
-    return hit.unionByName(bare.crossJoin(F.broadcast(other)).select("check_id", "node"))
+    other = known.where(
+        F.startswith("node", F.lit("file::")) | F.contains("low", F.lit("extract"))
+    ).select("node").distinct().orderBy("node").limit(8)
+    every = failures.select("check_id").distinct()
+    for few in ([] if named is None else [named.select("node").where("node is not null").distinct().orderBy("node").limit(cap)]) + [other]:
+        bare = every.join(hit.select("check_id").distinct(), "check_id", "left_anti")
+        # at most ``cap`` stand-ins for each check that found none
+        hit = hit.unionByName(bare.crossJoin(F.broadcast(few)).select("check_id", "node"))
+    return hit
 
 
 def repo_path(node: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Running clauses: one aggregation for all row clauses, a plan each for the rest.
+"""Running clauses: one aggregation for all row clauses and quality lines, two scans for all unique keys, a plan each for the rest.
 
 k row clauses cost one scan, not k. A second scan finds samples of failing rows,
 the first few for each clause by row order; the ranking is limited within each
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import RESULT, SAMPLES, Clause, prefix_of
+from ..operators.ordered import with_previous
 from .clauses import compile_contract
 
 ORD = "__ord"
@@ -53,22 +54,24 @@ def _result(
     )
 
 
-def row_results(df: DataFrame, clauses: list[Clause], samples: bool = True) -> DataFrame:
-    aggs = []
+def row_results(df: DataFrame, clauses: list[Clause], samples: bool = True, lines: list[Clause] | None = None) -> DataFrame:
+    """Results of row clauses, and of quality lines (``lines``) over the same one aggregation."""
+    aggs, lines = [], lines or []
     for i, c in enumerate(clauses):
         p = c.params
         aggs.append(p.get("failing", F.count_if(F.coalesce(c.bad, F.lit(False)))).alias(f"f{i}"))
         aggs.append((F.count_if(c.applies) if c.applies is not None else F.count(F.lit(1))).alias(f"n{i}"))
         aggs += [p[k].alias(f"{k}{i}") for k in ("actual", "message") if isinstance(p.get(k), Column)]
+    aggs += _line_aggs(lines)
     one = df.agg(*aggs)
     made = lambda k, i, c: F.col(f"{k}{i}") if isinstance(c.params.get(k), Column) else None
     plain = lambda i, c: F.lit(c.params["message"]) if isinstance(c.params.get("message"), str) else made("message", i, c)
     rows = [
         _result(c, F.coalesce(F.col(f"f{i}"), F.lit(0)), F.col(f"n{i}"), made("actual", i, c), message=plain(i, c)) for i,
         c in enumerate(clauses)
-    ]
+    ] + _line_rows(lines)
     out = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*").where("status <> 'NONE'")
-    if not samples:
+    if not samples or not clauses:
         return out
     kinds = dict(df.select(*[c.sample.alias(f"s{i}") for i, c in enumerate(clauses)]).dtypes)
     listed = [c.sample if kinds[f"s{i}"].startswith("array") else F.array(c.sample) for i, c in enumerate(clauses)]
@@ -99,27 +102,81 @@ def duplicate_groups(df: DataFrame, keys: list[str]) -> DataFrame:
     return with_order(df).where(there).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(ORD).alias("first")).where("n > 1")
 
 
+def _exact(df: DataFrame, keys: list[str]) -> Column:
+    """A key as one text that only equal keys have; null where a part is null."""
+    kinds, parts = dict(df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).dtypes), []
+    for i, k in enumerate(keys):
+        c, kind = F.col(k), kinds[f"k{i}"]
+        if kind in ("float", "double"):
+            text = (c + 0.0).cast("string")  # -0.0 is 0.0
+        elif kind == "binary":
+            text = F.hex(c)
+        elif kind.startswith(("struct", "array", "map")):
+            text = F.when(c.isNotNull(), F.to_json(F.struct(c)))
+        else:
+            text = c.cast("string")
+        parts += [F.char_length(text).cast("string"), F.lit(":"), text]
+    return F.concat(*parts)
+
+
+def duplicate_keys(df: DataFrame, keys: list[list[str]]) -> DataFrame:
+    """(clause, key, n, first, shown) of the keys that several rows have, for any number of keys in two scans.
+
+    The first scan counts (clause, 64-bit hash), combined before the one shuffle; hashes met once are of keys
+    met once. Only rows whose hash came twice go into the second count, on whole keys. Rows with a null in a key are left out.
+    """
+    exact = [_exact(df, k) for k in keys]
+    hashes = F.array(*[
+        F.when(e.isNotNull(), F.struct(F.lit(i).alias("clause"), F.xxhash64(e).alias("hash"))) for i, e in enumerate(exact)
+    ])
+    twice = df.select(F.explode(F.array_compact(hashes)).alias("h")).groupBy("h.clause", "h.hash").agg(
+        F.count(F.lit(1)).alias("n")
+    ).where("n > 1").select("clause", "hash")
+    whole = F.array(*[
+        F.when(
+            e.isNotNull(),
+            F.struct(
+                F.lit(i).alias("clause"), F.xxhash64(e).alias("hash"), e.alias("key"),
+                F.concat_ws("|", *[F.col(c).cast("string") for c in k]).alias("shown")
+            )
+        ) for i, (k, e) in enumerate(zip(keys, exact, strict=True))
+    ])
+    again = with_order(df).select(ORD, F.explode(F.array_compact(whole)).alias("h")).select(ORD, "h.*")
+    # the side of hashes is as large as the repeated keys: Spark broadcasts it or shuffles both, as its size asks for
+    return again.join(twice, ["clause", "hash"], "left_semi").groupBy("clause", "key").agg(
+        F.count(F.lit(1)).alias("n"), F.min(ORD).alias("first"), F.min("shown").alias("shown")
+    ).where("n > 1")
+
+
+def unique_results(df: DataFrame, clauses: list[Clause]) -> DataFrame:
+    """Rows in groups with equal keys, and each clause's first groups: all clauses in two scans."""
+    found = duplicate_keys(df, [c.params["keys"] for c in clauses])
+    # the ranking is limited within each task before it is shuffled
+    totals = found.groupBy("clause").agg(F.sum("n").alias("f"))
+    top = found.withColumn("k", F.row_number().over(Window.partitionBy("clause").orderBy("first", "shown"))).where(F.col("k") <= SAMPLES)
+    shown = F.transform(F.array_sort(F.collect_list(F.struct("k", "shown"))), lambda x: x["shown"])
+    totals = totals.join(top.groupBy("clause").agg(shown.alias("samples")), "clause")
+    every = df.sparkSession.range(len(clauses)).select(F.col("id").cast("int").alias("clause"))
+    rows = every.join(totals, "clause", "left").withColumn("f", F.coalesce("f", F.lit(0)))
+    out = None
+    for i, c in enumerate(clauses):
+        actual = F.concat(F.lit(f"{c.said[0]}=['"), F.array_join("samples", "', '"), F.lit("']"))
+        row = _result(c, F.col("f"), F.lit(1), actual, F.coalesce("samples", _none()))
+        row = row.withField("message", F.lit(c.message)) if ".quality." in c.check_id else row
+        out = F.when(F.col("clause") == i, row) if out is None else out.when(F.col("clause") == i, row)
+    return rows.select(out.alias("r")).select("r.*")
+
+
 def unique_result(df: DataFrame, clause: Clause) -> DataFrame:
-    """Rows in groups with equal keys. The sum and the first groups come of one aggregation: both read the same exchange."""
-    keys = clause.params["keys"]
-    groups = duplicate_groups(df, keys)
-    ranked = groups.select("n", "first", F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("s"))
-    total = ranked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("f"), F.min("first"), F.min("s")).select("f")
-    list_ = F.transform(F.array_sort(F.collect_list(F.struct("first", "n", "s"))), lambda x: x["s"])
-    top = ranked.orderBy("first").limit(SAMPLES).agg(list_.alias("samples"))
-    shown = F.concat(F.lit(f"{clause.said[0]}=['"), F.array_join("samples", "', '"), F.lit("']"))
-    always = F.lit(clause.message) if ".quality." in clause.check_id else None
-    row = _result(clause, F.col("f"), F.lit(1), shown, F.coalesce("samples", _none()))
-    out = total.crossJoin(top).select(row.alias("r")).select("r.*")
-    return out.withColumn("message", always) if always is not None else out
+    return unique_results(df, [clause])
 
 
 def sequence_result(df: DataFrame, clause: Clause) -> DataFrame:
     """Within a group each value is the one before plus 1; uncastable values are left out."""
     p = clause.params
-    v = F.col(p["column"]).try_cast("bigint")
-    w = Window.partitionBy(*p["by"]).orderBy("v", ORD)
-    steps = with_order(df).withColumn("v", v).where("v is not null").withColumn("prev", F.lag("v").over(w))
+    by = [f"b{i}" for i in range(len(p["by"]))]
+    rows = with_order(df).select(*[F.col(c).alias(b) for b, c in zip(by, p["by"], strict=True)], F.col(p["column"]).try_cast("bigint").alias("v"), ORD)
+    steps = with_previous(rows.where("v is not null"), by, ["v", ORD], "v")
     broken = F.count_if(F.col("prev").isNotNull() & (F.col("v") != F.col("prev") + 1))
     return steps.agg(broken.alias("f"), F.count(F.lit(1)).alias("n")).select(
         _result(clause, F.col("f"), F.col("n")).alias("r")
@@ -134,22 +191,25 @@ def reference_result(df: DataFrame, clause: Clause) -> DataFrame:
     return orphans.agg(F.count(F.lit(1)).alias("f")).select(_result(clause, F.col("f"), F.lit(1)).alias("r")).select("r.*")
 
 
-def aggregate_results(df: DataFrame, clauses: list[Clause]) -> DataFrame:
-    """Quality lines on aggregates, all in one pass; no value at all is an error."""
-    aggs = [c.params[k].alias(f"{k}{i}") for i, c in enumerate(clauses) for k in ("agg", "shown", "each")]
+def _line_aggs(clauses: list[Clause]) -> list[Column]:
+    return [c.params[k].alias(f"q_{k}{i}") for i, c in enumerate(clauses) for k in ("agg", "shown", "each")]
+
+
+def _line_rows(clauses: list[Clause]) -> list[Column]:
+    """Quality lines on aggregates; no value at all is an error."""
     rows = []
     for i, c in enumerate(clauses):
-        a, limit = F.col(f"agg{i}"), F.lit(c.params["limit"])
+        a, limit = F.col(f"q_agg{i}"), F.lit(c.params["limit"])
         ok = {">=": a >= limit, "<=": a <= limit, ">": a > limit, "<": a < limit, "=": a == limit}[c.params["op"]]
-        shown = F.concat(F.lit(f"{c.said[0]}="), F.col(f"shown{i}"))
-        failing = F.when(ok, F.lit(0)).otherwise(F.greatest(F.col(f"each{i}").cast("long"), F.lit(1)))
+        shown = F.concat(F.lit(f"{c.said[0]}="), F.col(f"q_shown{i}"))
+        failing = F.when(ok, F.lit(0)).otherwise(F.greatest(F.col(f"q_each{i}").cast("long"), F.lit(1)))
         r = _result(c, failing, F.lit(1), shown).withField("actual_value", shown).withField("message", F.lit(c.message))
         none = r.withField("status", F.lit("ERROR")).withField("severity", F.lit("WARNING")).withField(
             "records_failing", F.lit(0).cast("long")
         )
         none = none.withField("actual_value", F.lit("no samples")).withField("message", F.lit(f"Cannot compute {c.message}: no values."))
         rows.append(F.when(a.isNull(), none).otherwise(r))
-    return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return rows
 
 
 def literal_results(df: DataFrame, rows: list[tuple]) -> DataFrame:
@@ -172,13 +232,12 @@ def error_results(df: DataFrame, clauses: list[Clause]) -> DataFrame:
 def run_clauses(df: DataFrame, clauses: list[Clause], samples: bool = True) -> DataFrame:
     parts = []
     by = lambda kind: [c for c in clauses if c.kind == kind]
-    if rows := by("row"):
-        parts.append(row_results(df, rows, samples))
-    parts += [unique_result(df, c) for c in by("unique")] + [sequence_result(df, c) for c in by("sequence")] + [
-        reference_result(df, c) for c in by("reference")
-    ]
-    if aggs := by("aggregate"):
-        parts.append(aggregate_results(df, aggs))
+    rows, lines = by("row"), by("aggregate")
+    if rows or lines:
+        parts.append(row_results(df, rows, samples, lines))
+    if unique := by("unique"):
+        parts.append(unique_results(df, unique))
+    parts += [sequence_result(df, c) for c in by("sequence")] + [reference_result(df, c) for c in by("reference")]
     if errors := by("error"):
         parts.append(error_results(df, errors))
     if not parts:
