@@ -27,9 +27,18 @@ def anchored(pattern: str) -> str:
 
 
 def parse_time(col: Column) -> Column:
-    """ISO-8601 text as a timestamp, null where it isn't one; without a zone it is UTC (the session's)."""
+    """ISO-8601 text as a timestamp, null where it isn't one; without a zone it is UTC, whatever the session's zone.
+
+    Columns of timestamps are the times that they are; those without a zone are UTC, too.
+    """
     s = col.cast("string")
-    return F.when(s.rlike(ISO_DATE_TIME), F.try_to_timestamp(s))
+    # Spark wants seconds before an offset
+    full = F.regexp_replace(s, r"^(.{10}[T ]\d{2}:\d{2})(Z|[+-]\d{2}:?\d{2})?$", "$1:00$2")
+    utc = F.when(F.char_length(s) == 10, F.concat(s, F.lit("T00:00:00+00:00"))).when(
+        s.rlike(r":\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})$"), full
+    ).otherwise(F.concat(full, F.lit("+00:00")))
+    # a timestamp's text is the session's wall time
+    return F.when(s.rlike(ISO_DATE_TIME), F.try_to_timestamp(F.when(F.typeof(col) == "timestamp", s).otherwise(utc)))
 
 
 def as_int(col: Column) -> Column:
@@ -94,7 +103,10 @@ def relative_to(col: Column, root: str) -> Column:
 
 
 def utc_z(col: Column) -> Column:
-    return F.date_format(parse_time(col), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """A time's text in UTC, to the second, whatever the session's zone: seconds since 1970 have none."""
+    since = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.unix_seconds(parse_time(col)))
+    wall = (F.lit("1970-01-01").cast("timestamp_ntz") + since).cast("string")
+    return F.concat(F.translate(F.substring(wall, 1, 19), " ", "T"), F.lit("Z"))
 
 
 def short_number(col: Column, digits: int) -> Column:

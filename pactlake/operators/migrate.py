@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import relative_to, strip_dirty, utc_z, uuid5
+from ..functions.text import parse_time, relative_to, strip_dirty, utc_z, uuid5
 
 #: Payload times that say when an event occurred, by preference; fixed values.
 AT_PRIORITY = {
@@ -34,7 +34,7 @@ def occurred_at(payload: Column, recorded: Column) -> Column:
     entries = F.filter(
         F.map_entries(payload),
         lambda e: F.endswith(e["key"], F.lit("_at")) & e["value"].rlike(_AWARE) & (
-            F.try_to_timestamp(e["value"]) <= F.try_to_timestamp(recorded)
+            parse_time(e["value"]) <= parse_time(recorded)
         )
     )
     ranked = F.array_sort(
@@ -114,7 +114,7 @@ def picked_time(times: Column, recorded: Column) -> Column:
     """The preferred time with a zone and not after ``recorded``; else ``recorded``."""
     fit = F.filter(
         times,
-        lambda t: t["v"].rlike(_AWARE) & F.coalesce(F.try_to_timestamp(t["v"]) <= F.try_to_timestamp(recorded), F.lit(False))
+        lambda t: t["v"].rlike(_AWARE) & F.coalesce(parse_time(t["v"]) <= parse_time(recorded), F.lit(False))
     )
     return utc_z(F.coalesce(F.try_element_at(F.array_sort(fit), F.lit(1))["v"], recorded))
 
@@ -146,7 +146,7 @@ def events(raw: DataFrame, namespace: str, service: str = "export", version: str
     if "line_no" not in raw.columns:
         same = Window.partitionBy("recorded_at", "stream_id", "event_type").orderBy(text)
         e = e.withColumn("line_no", F.row_number().over(same))
-    order = Window.partitionBy("aggregate_id").orderBy(F.try_to_timestamp("recorded_at"), "recorded_at", "line_no", text)
+    order = Window.partitionBy("aggregate_id").orderBy(parse_time(F.col("recorded_at")), "recorded_at", "line_no", text)
     e = e.withColumn("sequence_number", F.row_number().over(order).cast("long"))
     good, bad = split(e, {"usd": F.col("__w.error").isNotNull(), "recorded_at": utc_z(F.col("recorded_at")).isNull()})
     bad = bad.withColumn(

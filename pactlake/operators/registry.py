@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import field_token
+from ..functions.text import field_token, parse_time
 from ..model import ISO_DATE_TIME
 
 REQUIRED = (
@@ -20,22 +20,37 @@ def prefix_match(a: Column, b: Column) -> Column:
     return (a == b) | F.startswith(b, F.concat(a, F.lit("."))) | F.startswith(a, F.concat(b, F.lit(".")))
 
 
+def prefixes(field: Column, whole: bool = True) -> Column:
+    """The dotted prefixes of a field, ``a.b.c`` -> a, a.b, a.b.c; without ``whole`` only the proper ones."""
+    parts = F.split(field, r"\.")
+    n = F.size(parts) if whole else F.size(parts) - 1
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda k: F.array_join(F.slice(parts, F.lit(1), k), "."))
+
+
 def blast_radius(failures: DataFrame, registry: DataFrame) -> DataFrame:
     """failures (contract_id, check_id, column_name) x subscribers whose breaking fields match: the first match of each.
 
-    Fields may be comma-separated; ``*`` hits every subscriber of the contract. The
-    match runs within a contract, an equi-join; an empty field hits none.
+    Fields may be comma-separated; ``*`` hits every subscriber of the contract; an empty field hits none. Fields match
+    if they are equal or one is a dotted prefix of the other: each side meets the other's prefixes by equality, so no
+    field is compared with all of its contract's.
     """
     f = failures.select(
         "contract_id", "check_id", "column_name",
         F.explode(F.split(F.coalesce("column_name", F.lit("")), ",")).alias("raw")
     )
-    f = f.withColumn("failing", field_token(F.col("raw"))).where("failing <> ''")
+    f = f.withColumn("failing", field_token(F.col("raw"))).where("failing <> ''").drop("raw").distinct()
     r = registry.select("contract_id", "subscriber_id", F.posexplode("breaking_fields").alias("nth", "bf")).select(
         "contract_id", "subscriber_id", "nth", field_token(F.col("bf.field")).alias("breaking"),
         F.col("bf.reason").alias("reason")
     )
-    j = f.join(r, "contract_id").where((F.col("failing") == "*") | prefix_match(F.col("failing"), F.col("breaking")))
+    said = ["contract_id", "check_id", "column_name", "subscriber_id", "nth", "breaking", "reason"]
+    named = f.where("failing <> '*'")
+    on = ["contract_id", "field"]
+    up = named.withColumnRenamed("failing", "field").join(r.withColumn("field", F.explode(prefixes(F.col("breaking")))), on)
+    down = named.withColumn("field", F.explode(prefixes(F.col("failing"), False))).join(r.withColumn("field", F.col("breaking")), on)
+    every = f.where("failing = '*'").select("contract_id", "check_id", "column_name").join(r, "contract_id")
+    j = up.select(said).unionByName(down.select(said)).unionByName(every.select(said))
     return j.groupBy("contract_id", "check_id", "column_name", "subscriber_id").agg(F.min_by(F.struct("breaking", "reason"), "nth").alias("m")).select(
         "contract_id", "check_id", "column_name", "subscriber_id", F.col("m.breaking").alias("matched_field"),
         F.col("m.reason").alias("reason")
@@ -47,7 +62,7 @@ def gaps(failures: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def stale(registry: DataFrame, now: Column, days: int = 30) -> DataFrame:
-    old = F.col("mode_upgraded_at").isNull() | (F.col("mode_upgraded_at").cast("timestamp") < now - F.make_dt_interval(F.lit(days)))
+    old = F.col("mode_upgraded_at").isNull() | (parse_time(F.col("mode_upgraded_at")) < now - F.make_dt_interval(F.lit(days)))
     return registry.where((F.col("validation_mode") == "AUDIT") & old)
 
 

@@ -7,10 +7,13 @@ error result of its own; the other clauses run.
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass
+from decimal import Decimal
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +39,9 @@ def row_key(columns: list[str]) -> Column:
 
 
 def field_at(schema: T.StructType, path: str) -> T.DataType | None:
-    """The type of a dotted path, None where the schema has none."""
+    """The type of a column of that name, else of a dotted path; None where the schema has neither."""
+    if path in schema.fieldNames():
+        return schema[path].dataType
     kind: T.DataType = schema
     for name in path.split("."):
         if not isinstance(kind, T.StructType) or name not in kind.fieldNames():
@@ -54,10 +59,11 @@ class Field:
     prefix: str
     key: Column
     kind: T.DataType | None
+    name_of: str
 
     @property
     def col(self) -> Column:
-        return F.lit(None).cast("string") if self.kind is None else F.col(self.path)
+        return F.lit(None).cast("string") if self.kind is None else F.col(self.name_of)
 
     @property
     def name(self) -> str:
@@ -161,9 +167,26 @@ def _texts(f: Field) -> list[Clause]:
     return out
 
 
+def _allowed(f: Field) -> Column:
+    """Whether a value is one of the enum's, compared as what the column holds: numbers as numbers, booleans as booleans."""
+    values, name = f.spec["enum"], f.name
+    if name == "boolean":
+        known = {"true": True, "false": False}
+        return f.col.isin([known[str(v).lower()] for v in values if str(v).lower() in known])
+    numbers = [v for v in values if isinstance(v, (int, float)) and not isinstance(v, bool)]
+    numbers += [float(v) for v in values if isinstance(v, str) and re.fullmatch(_NUMBER, v.strip())]
+    if name in WHOLE:
+        return f.col.cast("bigint").isin([int(v) for v in numbers if v == int(v) and abs(v) < 1 << 63])
+    if name in ("float", "double"):
+        return f.col.isin([float(v) for v in numbers])
+    if name.startswith("decimal"):
+        return functools.reduce(Column.__or__, [f.col == F.lit(Decimal(str(v))) for v in numbers], F.lit(False))
+    return f.col.cast("string").isin([str(v) for v in values] + [str(v).lower() for v in values if isinstance(v, bool)])
+
+
 def _enum(f: Field) -> Clause:
     allowed = [str(v) for v in f.spec["enum"]]
-    inside = F.col(f.path).cast("string").isin(allowed) if f.kind is not None else F.lit(None)
+    inside = _allowed(f) if f.kind is not None else F.lit(None)
     if f.spec.get("null_is_bad"):
         expected = str(sorted(allowed))
         return f.clause(
@@ -256,14 +279,14 @@ def _elements(f: Field) -> list[Clause]:
 
 def field_clauses(path: str, spec: dict[str, Any], prefix: str, key: Column, schema: T.StructType) -> list[Clause]:
     """Clauses of one field; nested objects recurse, and array items range over elements."""
-    f = Field(path, spec, prefix, key, field_at(schema, path))
+    f = Field(path, spec, prefix, key, field_at(schema, path), f"`{path}`" if path in schema.fieldNames() else path)
     out = []
     if spec.get("required"):
         out.append(_required(f))
     if spec.get("type") in ("integer", "number") and "." not in path or (spec.get("check_type") and spec.get("type")):
         out.append(_type(f))
     if spec.get("unique"):
-        out.append(unique_clause(f"{prefix}.{path}.unique", path, [path], f.kind is None))
+        out.append(unique_clause(f"{prefix}.{path}.unique", path, [f.name_of], f.kind is None))
     out += _texts(f)
     if spec.get("enum"):
         out.append(_enum(f))
@@ -333,15 +356,42 @@ def quality_clause(line: str, prefix: str, columns: dict[str, Column]) -> Clause
     )
 
 
-def rule_clause(rule: dict[str, Any], cid: str, key: Column) -> Clause:
-    """A rule across fields: a row predicate, or uniqueness, order or reference."""
+#: Columns that hold whether a row meets an expression rule, by the rule's place.
+RULE = "__rule"
+
+
+def with_rules(df: DataFrame, contract: dict[str, Any]) -> DataFrame:
+    """Expression rules and derived columns, computed so that no row can end the job.
+
+    What can't be computed in a row (a division by zero, a text that is no number) is null there: such a rule doesn't
+    apply to the row. Spark fixes this when an expression is analysed, so its strict mode is off just then.
+    """
+    conf, mode = df.sparkSession.conf, "spark.sql.ansi.enabled"
+    found = {f"{RULE}{i}": r["holds"] for i, r in enumerate(contract.get("rules") or []) if r.get("kind") == "expression"}
+    found |= {f"{RULE}_{name}": e for name, e in (contract.get("derived") or {}).items()}
+    before = conf.get(mode)
+    conf.set(mode, "false")
+    try:
+        for name, holds in found.items():
+            try:
+                df = df.withColumn(name, holds() if callable(holds) else F.expr(holds))
+                df.schema  # noqa: B018  analysis only
+            except AnalysisException:
+                continue  # the clause says so
+    finally:
+        conf.set(mode, before)
+    return df
+
+
+def rule_clause(rule: dict[str, Any], cid: str, key: Column, computed: str | None = None) -> Clause:
+    """A rule across fields: a row predicate (``computed``: the column that holds it), or uniqueness, order or reference."""
     severity, column, kind = rule.get("severity", "CRITICAL"), rule.get("column", "*"), rule["kind"]
     if kind == "expression":
-        holds = rule["holds"]
-        failing = F.count_if(F.expr(f"not ({holds})"))
+        holds = F.col(computed) if computed else rule["holds"]() if callable(rule["holds"]) else F.expr(rule["holds"])
+        failing = F.count_if(~holds)
         params = {"failing": F.least(failing, F.lit(1))} if rule.get("first_only") else {}
         return Clause(
-            cid, column, rule.get("check_type", "custom"), rule.get("expected", "expression"), severity, bad=F.expr(f"not ({holds})"), applies=F.expr(f"({holds}) is not null"), sample=key,
+            cid, column, rule.get("check_type", "custom"), rule.get("expected", "expression"), severity, bad=~holds, applies=holds.isNotNull(), sample=key,
             empty=rule.get("empty", "PASS"), said=(
                 rule.get("said", "violations"), rule.get("ok", "ok")
             ), expected_ok=rule.get("expected_ok"), message=rule.get("message", ""), params=params,
@@ -364,17 +414,14 @@ def rule_clause(rule: dict[str, Any], cid: str, key: Column) -> Clause:
 def derived_columns(contract: dict[str, Any], df: DataFrame) -> dict[str, Column]:
     """Columns that quality lines may name: the data's own, and expressions of the contract (null where the data lacks their fields)."""
     out = {c: F.col(f"`{c}`") for c in df.columns}
-    for name, expression in (contract.get("derived") or {}).items():
-        try:
-            df.select(F.expr(expression)).schema  # noqa: B018  analysis only
-            out[name] = F.expr(expression)
-        except Exception:
-            out[name] = F.lit(None).cast("double")
+    for name in contract.get("derived") or {}:
+        computed = f"{RULE}_{name}"
+        out[name] = F.col(f"`{computed}`") if computed in df.columns else F.lit(None).cast("double")
     return out
 
 
 def compile_contract(contract: dict[str, Any], df: DataFrame) -> list[Clause]:
-    """All clauses of a contract for a DataFrame with its fields."""
+    """All clauses of a contract for a DataFrame with its fields, and with its rules' columns (``with_rules``)."""
     prefix, key = prefix_of(contract["id"]), row_key(df.columns)
     clauses: list[Clause] = []
     for name, spec in (contract.get("schema") or {}).items():
@@ -382,7 +429,8 @@ def compile_contract(contract: dict[str, Any], df: DataFrame) -> list[Clause]:
             clauses += _safe(f"{prefix}.{name}", name, lambda n=name, s=spec: field_clauses(n, s, prefix, key, df.schema))
     for i, rule in enumerate(contract.get("rules") or []):
         cid = f"{prefix}.{rule.get('name', i)}"
-        clauses += _safe(cid, rule.get("column", "*"), lambda r=rule, c=cid: [rule_clause(r, c, key)])
+        computed = f"{RULE}{i}" if f"{RULE}{i}" in df.columns else None
+        clauses += _safe(cid, rule.get("column", "*"), lambda r=rule, c=cid, k=computed: [rule_clause(r, c, key, k)])
     quality = contract.get("quality") or {}
     lines = quality.get("checks") or (quality.get("specification") or {}).get("checks") or []
     columns = derived_columns(contract, df)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..model import RESULT, SAMPLES, Clause, prefix_of
 from ..operators.ordered import with_previous
-from .clauses import compile_contract
+from .clauses import compile_contract, with_rules
 
 ORD = "__ord"
 
@@ -259,6 +259,7 @@ def validate(df: DataFrame, contract: dict, samples: bool = True) -> DataFrame:
             df,
             [(f"{prefix}.data.empty", "*", "volume", "WARN", "row_count=0", ">=1 record", "WARNING", 0, [], "No records in dataset.")]
         )
+    df = with_rules(df, contract)
     clauses = compile_contract(contract, df)
     if not clauses:
         return literal_results(

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import uuid5
-from .operators import ai, attribution, drift, evolution, history, lineage, migrate, profile, project, registry, report
+from .operators import ai, attribution, drift, evolution, history, lineage, migrate, moments, profile, project, registry, report, sketches
 from .plans import assemble, drivers
 from .model import RESULT
 from .plans.validate import duplicate_groups, validate
@@ -188,11 +189,19 @@ def structural_profile(s, d):
 
 
 def dominant_pattern(s, d):
-    return profile.pattern_counts(_t(s, d, "customer"), F.substring("c_name", 10, 40))
+    """The commonest class of ids, times, numbers, digests and texts, each column's own."""
+    e = _t(s, d, "events").select(
+        F.when(F.col("event_id") % 7 == 0, F.md5("props")).otherwise(F.regexp_replace(F.md5("props"), _ID, "$1-$2-$3-$4-$5")).alias("uid"),
+        F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "dd/MM/yyyy")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("at"),
+        F.when(F.col("event_id") % 5 == 0, "none").otherwise(F.col("user_id").cast("string")).alias("number"), F.sha2("props", 256).alias("digest")
+    )
+    found = [profile.dominant_pattern(e, c).withColumn("column_name", F.lit(c)) for c in e.columns]
+    found += [profile.dominant_pattern(_t(s, d, t), c).withColumn("column_name", F.lit(c)) for t, c in (("customer", "c_name"), ("documents", "text"))]
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def shape_signature(s, d):
-    return profile.shape_samples(_t(s, d, "nation"), "n_name", 25)
+    return profile.shape_samples(_t(s, d, "nation"), "n_name", None)
 
 
 def shape_signature_documents(s, d):
@@ -299,14 +308,7 @@ def schema_diff_classify(s, d):
 
 
 def blame_rank_topk(s, d):
-    o = _t(s, d, "orders").where("o_orderstatus = 'P'").select(
-        "o_custkey", "o_orderkey", F.col("o_orderdate").cast("timestamp").alias("committed"),
-        F.to_timestamp(F.lit("1998-08-02 00:00:00")).alias("detected"),
-        (F.col("o_orderkey") % 3).cast("int").alias("hops")
-    )
-    return lineage.rank_blame(o, "o_custkey", "detected", "committed", "hops", "o_orderkey", 2).select(
-        "o_custkey", "o_orderkey", "score", F.col("rank").cast("long").alias("rank")
-    )
+    return blame_rank_all_orders(s, d)
 
 
 def blame_rank_all_orders(s, d):
@@ -711,9 +713,11 @@ ORACLES = {
     "numeric_profile": " UNION ALL ".join(_PROFILE.format(c=c) for c in ("o_totalprice", "o_custkey")),
     "structural_profile": " UNION ALL ".join(_STRUCT.format(c=c) for c in ("event_id", "user_id", "event_type", "value")),
     "dominant_pattern": (
-        r"SELECT CASE WHEN regexp_matches(v,'^\d+$') THEN 'numeric_string' WHEN regexp_matches(v,'^\d{4}-\d{2}-\d{2}T') THEN "
-        r"'iso8601_prefix' ELSE 'free_text' END pattern, count(*) n FROM (SELECT substr(c_name,10,40) v FROM customer) GROUP "
-        r"BY 1"
+        "SELECT 'uid' column_name, 'uuid_like' pattern, count(*) FILTER (WHERE event_id % 7 <> 0) n FROM events WHERE props IS NOT NULL UNION ALL "
+        "SELECT 'at', 'iso8601_prefix', count(*) FILTER (WHERE event_id % 3 <> 0) FROM events WHERE ts IS NOT NULL UNION ALL "
+        "SELECT 'number', 'numeric_string', count(user_id) FILTER (WHERE event_id % 5 <> 0) FROM events UNION ALL "
+        "SELECT 'digest', 'hex64_like', count(props) FROM events UNION ALL SELECT 'c_name', 'free_text', count(c_name) FROM customer UNION ALL "
+        "SELECT 'text', 'free_text', count(*) FROM documents WHERE NOT regexp_matches(text, '(?i)^([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[0-9a-f]{64}|[0-9]+)$|^[0-9]{4}-[0-9]{2}-[0-9]{2}T')"
     ),
     "shape_signature": (
         "SELECT 'string(len=' || length(n_name) || ',sha8=' || substr(sha256(n_name),1,8) || ')' shape, count(*) n FROM "
@@ -770,7 +774,7 @@ ORACLES = {
     "blame_rank_topk": (
         "WITH x AS (SELECT o_custkey, o_orderkey, round(greatest(0.0, least(1.0, greatest(0.0, 1.0 - greatest(0, "
         "floor(date_diff('second', o_orderdate, TIMESTAMP '1998-08-02')/86400.0))*0.1) - (o_orderkey%3)*0.2)),6)::DOUBLE "
-        "score FROM orders WHERE o_orderstatus='P'), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY score "
+        "score FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY score "
         "DESC, o_orderkey) rank FROM x) SELECT * FROM r WHERE rank <= 2"
     ),
     "blame_rank_all_orders": (
@@ -963,3 +967,115 @@ UNION ALL SELECT 'PASS', 'QUARANTINE'""",
 WITH b(path, t) AS (VALUES ('b','range_maximum_change'),('c','enum_value_removed'),('d','remove_field'),('e','add_required_field'),('g[].h','type_change'))
 SELECT path, 0 nth, '[REQUIRED] Tell subscribers (' || path || ', ' || t || '): billing' item FROM b UNION ALL SELECT path, 1, '[REQUIRED] Write and test the migration before deploying' FROM b UNION ALL SELECT path, 2, '[REQUIRED] Validate again after the migration' FROM b""",
 }
+
+
+def merged_baselines(s, d):
+    """Moments of each day, joined to those of all days."""
+    days = moments.moments(_t(s, d, "events").withColumn("day", F.to_date("ts")), {"value": "value"}, ["event_type", "day"])
+    return moments.baselines(days.drop("column").withColumnRenamed("event_type", "column"), 10).select(
+        "column", "n", *[F.round(c, 4).alias(c) for c in ("mean", "std", "min", "max")]
+    )
+
+
+def incremental_profile(s, d):
+    """A profile of events from the sketches of its days; its quantiles and cardinalities against exact ones."""
+    e = _t(s, d, "events").withColumn("day", F.to_date("ts"))
+    columns = ["event_id", "user_id", "event_type", "value", "props"]
+    found = sketches.profile(sketches.sketch(e, columns, ["day"]).drop("day")).persist()
+    asked = found.collect()  # a row for each column
+    exact = []
+    for r in asked:
+        c = F.col(r.column_name)
+        near = F.lit(True)
+        for q in (0.25, 0.5, 0.75, 0.95, 0.99):
+            if r[f"p{int(q * 100)}"] is not None:
+                v = F.lit(r[f"p{int(q * 100)}"])
+                off = F.lit(sketches.RANK) * F.count(c)
+                near = near & (F.count_if(c < v) <= F.lit(q) * F.count(c) + off) & (F.count_if(c <= v) >= F.lit(q) * F.count(c) - off)
+        many = F.abs(F.count_distinct(c) - r.cardinality) <= 4 * sketches.CARDINALITY * F.count_distinct(c)
+        exact.append(F.struct(F.lit(r.column_name).alias("column_name"), near.alias("ranks_near"), many.alias("distinct_near")))
+    checked = e.agg(F.array(*exact).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    return found.join(checked, "column_name").select(
+        "column_name", "rows", "nulls", "n", "min", "max", F.round("mean", 3).alias("mean"), F.round("stddev", 3).alias("stddev"), "ranks_near", "distinct_near"
+    )
+
+
+_ADDRESSES = [("url", "ther"), ("url", "ample.org"), ("url", "ab"), ("page", "=1"), ("never", "http"), ("url", "nowhere"), ("page", "#TOP")]
+
+
+def keyword_seeds_within_words(s, d):
+    """Addresses that hold a keyword anywhere, within longer words too; a check that no topic touches gets stand-ins."""
+    nodes = _t(s, d, "pages").select(F.concat(F.lit("file::"), "url", F.lit("/"), "page_id").alias("node_id"))
+    fails = s.createDataFrame([("pages.url.pattern", "Url"), ("pages.page.unique", "page_id"), ("pages.other", "html")], "check_id string, column_name string")
+    return lineage.keyword_seeds(fails, nodes, s.createDataFrame(_ADDRESSES, "trigger string, keyword string"), 200_000)
+
+
+def breaking_prefixes(s, d):
+    """Fields of parts against fields that consumers name, whole or as prefixes of either: hits by brand and consumer."""
+    path = F.concat_ws(".", F.lower("p_brand"), F.lower("p_type"), F.split("p_name", " ")[0], F.concat(F.lit("s"), F.col("p_size").cast("string")))
+    p = _t(s, d, "part").withColumn("path", path)
+    fails = p.select(F.col("p_brand").alias("contract_id"), F.col("p_partkey").cast("string").alias("check_id"), F.col("path").alias("column_name"))
+    cut_at = lambda n: F.array_join(F.slice(F.split("path", r"\."), 1, n), ".")
+    named = p.groupBy(F.col("p_brand").alias("contract_id"), F.concat(F.lit("c"), F.col("p_size").cast("string")).alias("subscriber_id")).agg(
+        F.min(F.concat("path", F.lit(".deep"))).alias("below"), F.max("path").alias("same"), F.max(cut_at(3)).alias("above")
+    )
+    fields = F.array(*[F.struct(F.col(c).alias("field"), F.lit(c).alias("reason")) for c in ("below", "same", "above")])
+    hits = registry.blast_radius(fails, named.select("contract_id", "subscriber_id", fields.alias("breaking_fields")))
+    return hits.groupBy("contract_id", "subscriber_id", "reason").agg(F.count(F.lit(1)).alias("hits"), F.min("matched_field").alias("field"))
+
+
+def typed_enums(s, d):
+    """Enums of whole numbers, of fractions and of booleans."""
+    l = _t(s, d, "lineitem").withColumn("cheap", F.col("l_extendedprice") < 30000).withColumn("never", F.lit(False))
+    enums = {"l_linenumber": [1, 2, 3], "l_discount": [0, 0.05, 0.1], "l_quantity": ["1", 2.0, 50], "cheap": [True], "never": [True, "false"]}
+    return _check(l, "lines", {k: {"enum": v} for k, v in enums.items()}, lines=()).select(_SHORT)
+
+
+def rules_that_fail_in_rows(s, d):
+    """Rules that can't be computed in some rows don't apply to these; a clause that can't be is alone."""
+    e = _t(s, d, "events").withColumn("left", F.col("user_id") % 3).withColumn("code", F.when(F.col("event_id") % 4 > 0, F.col("event_id").cast("string")).otherwise("none"))
+    rules = [
+        {"kind": "expression", "name": "share", "holds": "6 / left > 3"}, {"kind": "expression", "name": "code", "holds": "cast(code as int) % 5 <> 0"},
+        {"kind": "expression", "name": "gone", "holds": "nowhere > 1"}
+    ]
+    return _check(e, "events", {"value": {"required": True}}, rules).select(_SHORT)
+
+
+_MORE = (merged_baselines, incremental_profile, keyword_seeds_within_words, breaking_prefixes, typed_enums, rules_that_fail_in_rows)
+QUERIES |= {f.__name__: f for f in _MORE}
+
+_RULE = "SELECT '{}' check_id, '{}' column_name, '{}' check_type, CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END status, CASE WHEN n > 0 THEN 'CRITICAL' ELSE 'LOW' END severity, n::BIGINT records_failing FROM (SELECT count(*) FILTER (WHERE {}) n FROM {})"
+_EXACT = "SELECT '{c}' column_name, count(*) \"rows\", count(*) FILTER (WHERE {c} IS NULL) nulls, count({v}) n, min({v})::DOUBLE \"min\", max({v})::DOUBLE \"max\", round(avg({v}),3) mean, round(stddev_pop({v}),3) stddev, true ranks_near, true distinct_near FROM events"
+ORACLES |= {
+    "merged_baselines": (
+        "SELECT event_type AS column, count(value) n, round(avg(value),4) mean, round(stddev_pop(value),4) std, round(min(value),4) \"min\", "
+        "round(max(value),4) \"max\" FROM events GROUP BY 1 HAVING count(value) >= 10"
+    ),
+    "incremental_profile": " UNION ALL ".join(
+        _EXACT.format(c=c, v=c if c in ("event_id", "user_id", "value") else "NULL::DOUBLE") for c in ("event_id", "user_id", "event_type", "value", "props")
+    ),
+    "keyword_seeds_within_words": (
+        "WITH n AS (SELECT 'file::' || url || '/' || page_id node FROM pages), k(check_id, w) AS (VALUES ('pages.url.pattern','ther'),"
+        "('pages.url.pattern','ample.org'),('pages.url.pattern','ab'),('pages.url.pattern','nowhere'),('pages.page.unique','=1'),('pages.page.unique','#top'),('pages.url.pattern','=1'),('pages.url.pattern','#top'),('pages.other','=1'),('pages.other','#top')), "
+        "h AS (SELECT DISTINCT check_id, node FROM n JOIN k ON contains(lower(node), w)), o AS (SELECT DISTINCT node FROM n ORDER BY node LIMIT 8) "
+        "SELECT check_id, node FROM h UNION ALL SELECT f, node FROM o, (VALUES ('pages.url.pattern'),('pages.page.unique'),('pages.other')) v(f) WHERE f NOT IN (SELECT check_id FROM h)"
+    ),
+    "breaking_prefixes": (
+        "WITH p AS (SELECT *, lower(p_brand)||'.'||lower(p_type)||'.'||split_part(p_name,' ',1)||'.s'||p_size path FROM part), "
+        "r AS (SELECT p_brand, 'c'||p_size subscriber_id, min(path||'.deep') below, max(path) same, max(array_to_string(string_split(path,'.')[1:3],'.')) above FROM p GROUP BY ALL), "
+        "x AS (SELECT p_brand, subscriber_id, 0 nth, below bf, 'below' reason FROM r UNION ALL SELECT p_brand, subscriber_id, 1, same, 'same' FROM r UNION ALL SELECT p_brand, subscriber_id, 2, above, 'above' FROM r), "
+        "h AS (SELECT x.p_brand contract_id, p_partkey, subscriber_id, arg_min((bf, reason), nth) m FROM p JOIN x ON p.p_brand = x.p_brand AND (path = bf OR starts_with(bf, path||'.') OR starts_with(path, bf||'.')) GROUP BY ALL) "
+        "SELECT contract_id, subscriber_id, m[2] reason, count(*) hits, min(m[1]) field FROM h GROUP BY ALL"
+    ),
+    "typed_enums": " UNION ALL ".join(
+        _RULE.format(f"lines.{c}.enum", c, "enum", bad, "lineitem") for c, bad in (
+            ("l_linenumber", "l_linenumber NOT IN (1,2,3)"), ("l_discount", "l_discount NOT IN (0,0.05::DOUBLE,0.1::DOUBLE)"), ("l_quantity", "l_quantity NOT IN (1,2,50)"),
+            ("cheap", "NOT l_extendedprice < 30000"), ("never", "false")
+        )
+    ),
+    "rules_that_fail_in_rows": " UNION ALL ".join([
+        _RULE.format("events.value.required", "value", "not_null", "value IS NULL", "events"), _RULE.format("events.share", "*", "custom", "user_id % 3 > 0 AND NOT 6 / (user_id % 3) > 3", "events"),
+        _RULE.format("events.code", "*", "custom", "event_id % 4 > 0 AND event_id % 5 = 0", "events"), "SELECT 'events.gone', '*', 'custom', 'ERROR', 'WARNING', 0",
+        "SELECT 'events.quality.row_count', '*', 'volume', CASE WHEN count(*) > 0 THEN 'PASS' ELSE 'FAIL' END, CASE WHEN count(*) > 0 THEN 'LOW' ELSE 'CRITICAL' END, CASE WHEN count(*) > 0 THEN 0 ELSE 1 END FROM events"
+    ])
+}
