@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut
+from . import versions
 
 
 def report(results: DataFrame, path: str, **header: str) -> None:
@@ -73,7 +73,10 @@ def latest_centroid(spark: SparkSession, path: str, label: str = "default") -> l
 
 
 def load_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A state table; an empty one where there is none yet."""
+    """A state table: its newest version, or a plain table; an empty one where there is none yet."""
+    found = versions.newest(spark, path, schema)
+    if found is not None:
+        return found
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException:
@@ -90,8 +93,8 @@ def quarantine(bad: DataFrame, path: str, run_id: str) -> None:
 
 
 def state(table: DataFrame, path: str) -> None:
-    """A keyed state table and when it was written; stored apart first, so it may have been read from the same path."""
-    cut(table.drop("written_at").withColumn("written_at", F.current_timestamp())).write.mode("overwrite").parquet(path)
+    """A keyed state table and when it was written, as a new version: readers have the old one until it is whole."""
+    versions.write(table.drop("written_at").withColumn("written_at", F.current_timestamp()), path)
 
 
 def dbt_tests(contract: dict[str, Any]) -> dict[str, Any]:

@@ -14,7 +14,7 @@ from pactlake import queries
 from pactlake.functions.text import recency_score, relative_to, slug, uuid5
 from pactlake.operators import ai, attribution, drift, evolution, lineage, migrate, profile, registry, report
 from pactlake.plans.validate import validate
-from pactlake.sources import control, records, sinks
+from pactlake.sources import control, records, sinks, versions
 from pactlake.streaming import enforce
 
 U = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
@@ -249,7 +249,8 @@ def test_sources_and_sinks(spark, tmp_path, people):
         sinks.quarantine(people, str(tmp_path / "q"), "r1")
     assert spark.read.parquet(str(tmp_path / "q")).count() == 4
     sinks.state(people, str(tmp_path / "s"))
-    sinks.state(spark.read.parquet(str(tmp_path / "s")), str(tmp_path / "s"))
+    sinks.state(versions.newest(spark, str(tmp_path / "s")), str(tmp_path / "s"))
+    assert versions.versions(spark, str(tmp_path / "s")) == [0, 1] and versions.newest(spark, str(tmp_path / "s")).count() == 4
     assert sinks.dbt_tests(CONTRACT)["models"][0]["columns"][0]["tests"] == ["not_null", "unique"]
 
 
