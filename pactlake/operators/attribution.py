@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import parse_time
 from . import lineage, registry
 
 #: Fixed limits of an entry's lists.
@@ -39,11 +40,13 @@ def first_nodes(reached: DataFrame, keep: Column, name: str, cap: int) -> DataFr
 
 def violations(
     results: DataFrame, contract_id: str, subscriptions: DataFrame, edges: DataFrame, seeds: DataFrame,
-    commits: DataFrame, depth: int = 2
+    commits: DataFrame, depth: int = 2, contract_seeds: DataFrame | None = None
 ) -> DataFrame:
     """One row for each failing check.
 
-    seeds: (check_id, node); commits: (node, path, committed, detected). The
+    seeds: (check_id, node); a check without any starts at the nodes that its contract names (``contract_seeds``), else at
+    the first targets of edges. commits: (node, path, committed, detected), and commit_hash and author
+    where they are known, which the chain then names. The
     subscribers are the blast radius, lineage only enriches it; upstream nodes
     give candidates for blame, nearer and more recent commits first.
     """
@@ -52,11 +55,12 @@ def violations(
     )
     hits = registry.blast_radius(fails.select("contract_id", "check_id", "column_name"), subscriptions)
     consumers = hits.groupBy("check_id").agg(F.array_sort(F.collect_set("subscriber_id")).alias("subscribers"))
-    starts = seeds.join(fails.select("check_id"), "check_id", "left_semi").select("check_id", "node").distinct()
+    starts = seeds_with_fallback(fails, seeds, contract_seeds, edges)
     down = lineage.reach(starts, lineage.forward_edges(edges), depth, by=("check_id",)).where("hops > 0")
     up = lineage.reach(starts, lineage.reverse_edges(edges), depth, by=("check_id",))
+    named = [c for c in ("commit_hash", "author") if c in commits.columns]
     ranked = lineage.rank_blame(up.join(commits, "node"), "check_id", "detected", "committed", "hops", "path", CAP_BLAME)
-    ranked = ranked.groupBy("check_id").agg(F.array_sort(F.collect_list(F.struct("rank", "path", "score"))).alias("blame_chain"))
+    ranked = ranked.groupBy("check_id").agg(F.array_sort(F.collect_list(F.struct("rank", "path", "score", *named))).alias("blame_chain"))
     direct = first_nodes(down, F.col("hops") == 1, "direct_nodes", CAP_NODES)
     transitive = first_nodes(down, F.lit(True), "transitive_nodes", CAP_NODES)
     pipelines = first_nodes(down, F.startswith("node", F.lit("pipeline::")), "pipelines", CAP_PIPELINES)
@@ -68,7 +72,14 @@ def violations(
     for name in ("direct_nodes", "transitive_nodes", "pipelines"):
         out = out.withColumn(name, F.coalesce(name, none))
     out = out.withColumn("contamination_depth", F.coalesce("deepest", F.lit(0))).drop("deepest")
-    return out.withColumn("registry_warning", F.when(F.col("subscribers").isNull(), "NO_SUBSCRIBERS_REGISTERED"))
+    return blame_summary(out.withColumn("registry_warning", F.when(F.col("subscribers").isNull(), "NO_SUBSCRIBERS_REGISTERED")))
+
+
+def commits_of(nodes: DataFrame, log: DataFrame, detected: Column) -> DataFrame:
+    """Commits of the files that nodes name, as ``violations`` takes them: log is ``sources.git.log``."""
+    files = nodes.select(F.col("node"), lineage.repo_path(F.col("node")).alias("path")).where("path is not null").distinct()
+    found = log.select("path", "commit_hash", "author", parse_time(F.col("commit_time")).alias("committed"))
+    return files.join(found, "path").withColumn("detected", detected)
 
 
 def blame_summary(violations_: DataFrame) -> DataFrame:

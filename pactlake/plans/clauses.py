@@ -394,7 +394,7 @@ def rule_clause(rule: dict[str, Any], cid: str, key: Column, computed: str | Non
             cid, column, rule.get("check_type", "custom"), rule.get("expected", "expression"), severity, bad=~holds, applies=holds.isNotNull(), sample=key,
             empty=rule.get("empty", "PASS"), said=(
                 rule.get("said", "violations"), rule.get("ok", "ok")
-            ), expected_ok=rule.get("expected_ok"), message=rule.get("message", ""), params=params,
+            ), expected_ok=rule.get("expected_ok"), message=rule.get("message", f"{column}: {rule.get('expected', 'the rule')} doesn't hold in {{n}} records."), params=params,
         )
     if kind == "unique":
         return unique_clause(cid, column, rule["keys"], severity=severity)

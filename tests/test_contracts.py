@@ -370,7 +370,7 @@ def test_reports_and_documents(spark, tmp_path, raw):
     assert json.loads(spark.read.text(str(tmp_path / "impact")).first()[0])["contract_id"] == "c"
     assert report.evolution_documents(
         changes.where("path = 'b'"), hits, "c", "o", "n", "t"
-    )[1]["rollback_plan"]["summary"] == "No rollback required."
+    )[1]["rollback_plan"]["steps"] == []
     sinks.append_mode_transition(spark, str(tmp_path / "modes"), "ENFORCE", "WARN", ["k"], "t")
     assert spark.read.json(str(tmp_path / "modes")).first().runner_mode_effective == "WARN"
     assert report.gate(r, "QUARANTINE").first().pipeline_action == "BLOCK" and report.gate(
