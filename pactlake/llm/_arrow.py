@@ -75,9 +75,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def stored_by(df: DataFrame, name: str, key: str, parts: int) -> DataFrame:
     """As ``stored``, in buckets of ``key``: groups of it are read where they are, without another shuffle.
 
-    Buckets are a table's; its name leaves the catalog at once, its files stay in the shared folder.
+    Buckets are a table's; its name leaves the catalog at once, its files stay in the shared folder. Spark allows only so
+    many of them: beyond that a bucket holds several parts' groups, which readers take one after another.
     """
     spark = df.sparkSession
+    parts = min(parts, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     table = f"{name}_{uuid.uuid4().hex}"
     df.write.bucketBy(parts, key).option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
     out = spark.table(table)

@@ -244,3 +244,17 @@ def test_bits():
         bits, places = token_links.Bits.at(at, size), np.arange(size)
         assert bits.places().tolist() == at.tolist()
         assert bits.rank(places).tolist() == [int((at < p).sum()) for p in places]
+
+
+def test_more_blocks_than_buckets(spark, monkeypatch):
+    """Where Spark allows fewer buckets than there are parts, a bucket holds several blocks."""
+    from pactlake.llm import word_shuffle_bpe
+
+    monkeypatch.setattr(word_shuffle_bpe, "BLOCK_WORDS", 50)
+    run = lambda: got(word_shuffle_bpe.encode_decode(docs(spark, awkward_rows()), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN))
+    want = run()
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "2")
+    try:
+        assert run() == want
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.maxBuckets")
