@@ -291,20 +291,15 @@ def lineage_bfs(s, d):
     return lineage.reach(r.where("r_regionkey = 1").select(F.concat(F.lit("region::"), "r_regionkey").alias("node")), edges, 2)
 
 
-OLD = {
-    "a": {"type": "string", "required": True}, "b": {"type": "number", "minimum": 0, "maximum": 1},
-    "c": {"type": "string", "enum": ["x", "y"]}, "d": {"type": "integer"},
-    "g": {"type": "array", "items": {"h": {"type": "string"}}}, "k": {"type": "string", "enum": ["x"]}
-}
-NEW = {
-    "a": {"type": "string", "required": True}, "b": {"type": "number", "minimum": 0, "maximum": 100},
-    "c": {"type": "string", "enum": ["x"]}, "e": {"type": "string", "required": True}, "f": {"type": "string"},
-    "g": {"type": "array", "items": {"h": {"type": "integer"}}}, "k": {"type": "string", "enum": ["x", "z"]}
-}
-
-
 def schema_diff_classify(s, d):
-    return evolution.diff(evolution.flatten(s, OLD), evolution.flatten(s, NEW))
+    """Two versions of a clause for every customer, made of the orders with even and with odd keys: what changed between them."""
+    price = F.col("o_totalprice")
+    clause = _t(s, d, "orders").groupBy((F.col("o_orderkey") % 2).alias("side"), F.concat(F.lit("customer."), "o_custkey").alias("path")).agg(
+        F.when(F.max(price) > 400000, "number").otherwise("integer").alias("type"), (F.count(F.lit(1)) > 5).alias("required"),
+        F.floor(F.min(price) / 200000).cast("double").alias("minimum"), F.floor(F.max(price) / 200000).cast("double").alias("maximum"),
+        F.array_sort(F.collect_set("o_orderstatus")).alias("enum")
+    )
+    return evolution.diff(*[clause.where(F.col("side") == k).drop("side") for k in (0, 1)])
 
 
 def blame_rank_topk(s, d):
@@ -422,10 +417,11 @@ def change_counts(s, d):
 
 
 def migration_impact(s, d):
+    """Breaking changes and who reads the field: the segments of customers in debt have subscribed to theirs."""
     changes = schema_diff_classify(s, d)
-    reg = s.createDataFrame(
-        [("c", "billing", [("b", "bounds"), ("c", "codes")]), ("c", "search", [("g", "items")])],
-        "contract_id string, subscriber_id string, breaking_fields array<struct<field:string,reason:string>>"
+    field = F.struct(F.concat(F.lit("customer."), "c_custkey").alias("field"), F.lit("debt").alias("reason"))
+    reg = _t(s, d, "customer").where("c_acctbal < 0").select(
+        F.lit("c").alias("contract_id"), F.col("c_mktsegment").alias("subscriber_id"), F.array(field).alias("breaking_fields")
     )
     fails = changes.where("verdict = 'BREAKING'").select(
         F.lit("c").alias("contract_id"), F.col("path").alias("check_id"), F.col("path").alias("column_name")
@@ -766,11 +762,6 @@ ORACLES = {
         "'nation::'||c_nationkey, 'customer::'||c_custkey FROM customer), r(node,hops) AS (SELECT 'region::1', 0 UNION ALL "
         "SELECT t, hops+1 FROM r JOIN e ON node=s WHERE hops < 2) SELECT node, min(hops) hops FROM r GROUP BY 1"
     ),
-    "schema_diff_classify": (
-        "SELECT * FROM (VALUES "
-        "('a','COMPATIBLE','no_material_change'),('b','BREAKING','range_maximum_change'),('c','BREAKING','enum_value_removed'),('d','BREAKING','remove_field'),('e','BREAKING','add_required_field'),('f','COMPATIBLE','add_nullable_field'),('g','COMPATIBLE','no_material_change'),('g[].h','BREAKING','type_change'),('k','COMPATIBLE','enum_value_added')) "
-        "v(path, verdict, taxonomy)"
-    ),
     "blame_rank_topk": (
         "WITH x AS (SELECT o_custkey, o_orderkey, round(greatest(0.0, least(1.0, greatest(0.0, 1.0 - greatest(0, "
         "floor(date_diff('second', o_orderdate, TIMESTAMP '1998-08-02')/86400.0))*0.1) - (o_orderkey%3)*0.2)),6)::DOUBLE "
@@ -847,15 +838,6 @@ ORACLES = {
         "CASE WHEN violations/total > 0.05 THEN 'WARN' ELSE 'PASS' END status FROM t"
     ),
     "tiered_health": _ROWS + "SELECT round(greatest(0.0, least(100.0, 100.0*count(*) FILTER (WHERE status='PASS')/count(*) - 20*count(*) FILTER (WHERE severity='CRITICAL' AND status='FAIL') - 10*count(*) FILTER (WHERE severity='HIGH' AND status='FAIL'))),2)::DOUBLE health_score, count(*) total_checks, count(*) FILTER (WHERE severity='CRITICAL' AND status='FAIL') critical_fails FROM res",
-    "change_counts": (
-        "SELECT * FROM (VALUES "
-        "('COMPATIBLE','no_material_change',2),('BREAKING','range_maximum_change',1),('BREAKING','enum_value_removed',1),('BREAKING','remove_field',1),('BREAKING','add_required_field',1),('COMPATIBLE','add_nullable_field',1),('BREAKING','type_change',1),('COMPATIBLE','enum_value_added',1)) "
-        "v(verdict, taxonomy, n)"
-    ),
-    "migration_impact": (
-        "SELECT * FROM (VALUES ('b','1 consumers read b'),('c','1 consumers read c'),('d','no registered consumer'),('e','no "
-        "registered consumer'),('g[].h','1 consumers read g[].h')) v(path, failure_mode)"
-    ),
     "sampled_statistics": (
         "SELECT count(o_totalprice) n, round(avg(o_totalprice),4) mean, round(stddev_pop(o_totalprice),4) stddev FROM orders "
         "WHERE ('0x' || substr(md5(o_orderkey::VARCHAR),1,6))::INT % 100 < 5"
@@ -963,9 +945,6 @@ UNION ALL SELECT * FROM (VALUES ('graph.snapshot_id.required', 'snapshot_id', 'n
 SELECT CASE WHEN bool_or(severe AND NOT of_rows) THEN 'BLOCK' WHEN bool_or(severe) THEN 'QUARANTINE' ELSE 'PASS' END pipeline_action, 'QUARANTINE' AS mode FROM s
 UNION ALL SELECT CASE WHEN bool_or(severe AND NOT of_rows) THEN 'BLOCK' WHEN bool_or(severe) THEN 'QUARANTINE' ELSE 'PASS' END, 'QUARANTINE' FROM s WHERE check_type IN ('not_null','format','pattern','enum','accepted_values','range','temporal','arithmetic','custom')
 UNION ALL SELECT 'PASS', 'QUARANTINE'""",
-    "migration_checklist": """
-WITH b(path, t) AS (VALUES ('b','range_maximum_change'),('c','enum_value_removed'),('d','remove_field'),('e','add_required_field'),('g[].h','type_change'))
-SELECT path, 0 nth, '[REQUIRED] Tell subscribers (' || path || ', ' || t || '): billing' item FROM b UNION ALL SELECT path, 1, '[REQUIRED] Write and test the migration before deploying' FROM b UNION ALL SELECT path, 2, '[REQUIRED] Validate again after the migration' FROM b""",
 }
 
 
@@ -1079,3 +1058,18 @@ ORACLES |= {
         "SELECT 'events.quality.row_count', '*', 'volume', CASE WHEN count(*) > 0 THEN 'PASS' ELSE 'FAIL' END, CASE WHEN count(*) > 0 THEN 'LOW' ELSE 'CRITICAL' END, CASE WHEN count(*) > 0 THEN 0 ELSE 1 END FROM events"
     ])
 }
+
+_CHANGES = """
+WITH v AS (SELECT o_orderkey % 2 side, 'customer.' || o_custkey path, CASE WHEN max(o_totalprice) > 400000 THEN 'number' ELSE 'integer' END t, count(*) > 5 req, floor(min(o_totalprice) / 200000) mn, floor(max(o_totalprice) / 200000) mx, list(DISTINCT o_orderstatus) en FROM orders GROUP BY ALL),
+o AS (SELECT * FROM v WHERE side = 0), n AS (SELECT * FROM v WHERE side = 1),
+x AS (SELECT coalesce(o.path, n.path) path, CASE WHEN o.path IS NULL AND n.req THEN 'add_required_field' WHEN o.path IS NULL THEN 'add_nullable_field' WHEN n.path IS NULL THEN 'remove_field' WHEN o.t <> n.t THEN 'type_change' WHEN o.mx <> n.mx THEN 'range_maximum_change' WHEN o.mn <> n.mn THEN 'range_minimum_change'
+ WHEN NOT list_has_all(n.en, o.en) THEN 'enum_value_removed' WHEN NOT list_has_all(o.en, n.en) THEN 'enum_value_added' ELSE 'no_material_change' END taxonomy FROM o FULL JOIN n ON o.path = n.path),
+c AS (SELECT path, CASE WHEN taxonomy IN ('add_nullable_field', 'enum_value_added', 'no_material_change') THEN 'COMPATIBLE' ELSE 'BREAKING' END verdict, taxonomy FROM x),
+b AS (SELECT * FROM c WHERE verdict = 'BREAKING')
+"""
+ORACLES |= {
+    "schema_diff_classify": _CHANGES + "SELECT * FROM c", "change_counts": _CHANGES + "SELECT verdict, taxonomy, count(*) n FROM c GROUP BY ALL",
+    "migration_impact": _CHANGES + "SELECT path, CASE WHEN c_custkey IS NULL THEN 'no registered consumer' ELSE '1 consumers read ' || path END failure_mode FROM b LEFT JOIN customer ON path = 'customer.' || c_custkey AND c_acctbal < 0",
+    "migration_checklist": _CHANGES + """SELECT path, 0 nth, '[REQUIRED] Tell subscribers (' || path || ', ' || taxonomy || '): billing' item FROM b UNION ALL SELECT path, 1, '[REQUIRED] Write and test the migration before deploying' FROM b
+UNION ALL SELECT path, 2, '[REQUIRED] Validate again after the migration' FROM b UNION ALL SELECT NULL, k, i FROM (VALUES (0, '[OK] No breaking change between these versions'), (1, '[RECOMMENDED] Check models and consumers if enums or types were widened')) w(k, i) WHERE NOT EXISTS (SELECT 1 FROM b)"""
+}
