@@ -12,7 +12,9 @@ doc_id order. Documents are dealt out by doc_id ranges, and the first document
 of each range is also sent to the range before it, so a text is shuffled once
 and no window over all rows is needed. Null texts count as empty. Rows with a
 null doc_id come last in that order; rows with equal doc_ids are ordered by a
-hash of their texts, then by them. Other columns are ignored.
+hash of their texts, then by them. Rows without an id, or with an id that many
+rows share, are dealt out by ranges of that hash: only rows that are equal in id
+and text stay together. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._arrow import map_arrow, parts_for
+from ._arrow import cut, map_arrow, parts_for
 from ._bytes import shingle_sets
 
 K = 128
@@ -189,16 +191,26 @@ def _compared(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _part(bounds: list[int], lo: int, hi: int, fine: int):
-    """The part of a doc_id among descending bounds[lo..hi], by halving; ``fine`` equal widths within neighbours."""
+def _by_hash(ways: int):
+    """One of ``ways`` ranges of h, ascending."""
+    return F.shiftright((F.shiftright("h", 48) + 32768) * ways, 16).cast("int")
+
+
+def _part(bounds: list[int], heavy: list[int], lo: int, hi: int, fine: int):
+    """The part of a doc_id among descending bounds[lo..hi], by halving; ``fine`` equal widths within neighbours.
+
+    A bound that is the id of many rows has ``heavy`` parts of its own, by ranges of h, before those of its range.
+    """
     if hi - lo > 1:
         mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") > bounds[mid], _part(bounds, lo, mid, fine)).otherwise(_part(bounds, mid, hi, fine))
-    if fine == 1 or len(bounds) < 2:
-        return F.lit(lo * fine)
+        return F.when(F.col("doc_id") > bounds[mid], _part(bounds, heavy, lo, mid, fine)).otherwise(_part(bounds, heavy, mid, hi, fine))
+    first = lo * fine + sum(heavy[:lo])
     top, low = bounds[lo], bounds[lo + 1]
     share = (F.lit(top).cast("double") - F.col("doc_id")) / max(1.0, float(top) - float(low)) * fine
-    return F.lit(lo * fine) + F.greatest(F.lit(0), F.least(F.lit(fine - 1), F.floor(share).cast("int")))
+    rest = F.lit(first + heavy[lo])
+    if fine > 1:
+        rest = rest + F.greatest(F.lit(0), F.least(F.lit(fine - 1), F.floor(share).cast("int")))
+    return F.when(F.col("doc_id") == top, F.lit(first) + _by_hash(heavy[lo])).otherwise(rest) if heavy[lo] else rest
 
 
 def edited_neighbours(docs: DataFrame) -> DataFrame:
@@ -206,34 +218,43 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("h", F.xxhash64("text"))
-    got = docs.agg(F.sum(F.octet_length("text")), F.min("doc_id"), F.max("doc_id")).first()
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_distinct double, contained_in_edited double"
+    got = docs.agg(
+        F.sum(F.octet_length("text")), F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull()),
+        F.percentile_approx("doc_id", [i / COARSE for i in range(1, COARSE)] or [0.5], 10000)
+    ).first()
+    if not got[3]:
+        return spark.createDataFrame([], schema)
     parts = parts_for(spark, got[0] or 0)
     # coarse ranges of about equal rows, and equal widths within them: one part for each shuffle partition or more
     coarse = min(parts, COARSE)
     fine = -(-parts // coarse)
-    middle = docs.agg(F.percentile_approx("doc_id", [i / coarse for i in range(1, coarse)] or [0.5], 10000)).first()[0]
-    bounds = sorted({got[1], *(middle or []), got[2]} - {None}, reverse=True)
-    nulls = max(1, len(bounds) - 1) * fine  # the part of null ids, the last
-    part = F.when(F.col("doc_id").isNull(), nulls).otherwise(_part(bounds, 0, max(1, len(bounds) - 1), fine)).cast("int")
-    docs = docs.withColumn("part", part)
-    # one row for each part comes to the driver
-    firsts = sorted(
-        (r.part, r.f.doc_id, r.f.h) for r in docs.groupBy("part").agg(
-            F.min(F.struct(F.bitwise_not("doc_id").alias("order"), "h", "doc_id")).alias("f")
-        ).collect()
-    )
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_distinct double, contained_in_edited double"
-    if not firsts:
-        return spark.createDataFrame([], schema)
-    # the first row of a part is the next one of the last row of the part before; that of the first part, of the last row of all
-    n = firsts[-1][0] + 1
-    ids, hashes, before = [0] * n, [0] * n, [-1] * n
-    for i, (p, doc, h) in enumerate(firsts):
-        ids[p], hashes[p], before[p] = doc or 0, h, firsts[i - 1][0]
-    at = lambda values, kind: F.element_at(F.lit(values).cast(f"array<{kind}>"), F.col("part") + 1)
-    is_first = (F.col("h") == at(hashes, "bigint")) & (F.col("doc_id").isNull() | (F.col("doc_id") == at(ids, "bigint")))
-    copied = docs.where(is_first).withColumn("part", at(before, "int")).withColumn("copy", F.lit(True))
-    every = docs.withColumn("copy", F.lit(False)).unionByName(copied)
+    middle = (got[5] or [])[COARSE // coarse - 1 :: COARSE // coarse]
+    part, n = F.lit(0), 0
+    if got[1] is not None:
+        bounds = sorted({got[1], *middle, got[2]}, reverse=True)
+        often = [middle.count(b) for b in bounds]  # an id at several of the quantiles fills as many ranges
+        heavy = [m * fine if m > 1 else 0 for m in often]
+        part = _part([*bounds, bounds[-1] - 1], heavy, 0, len(bounds), fine)
+        n = len(bounds) * fine + sum(heavy)
+    # rows without an id come last, by ranges of h
+    ways = min(1 << 16, -(-parts * got[4] // got[3]))
+    if ways:
+        part = F.when(F.col("doc_id").isNull(), F.lit(n) + _by_hash(ways)).otherwise(part)
+    n += ways
+    docs = docs.withColumn("part", part.cast("int"))
+    # the first row of a part is the next one of the last row of the part before; that of the first part, of the last row of all.
+    # A row of three numbers for each part: no more than the tasks that the driver schedules
+    firsts = docs.groupBy("part").agg(F.min(F.struct(F.bitwise_not("doc_id").alias("order"), "h", "doc_id")).alias("f"))
+    every_part = Window.partitionBy(F.lit(0))
+    before = F.coalesce(F.lag("part").over(every_part.orderBy("part")), F.max("part").over(every_part)).alias("before")
+    firsts = cut(firsts.select("part", "f.doc_id", "f.h", before))
+    on = ["part", "h"]
+    same = [F.col(f"d.{c}") == F.col(f"f.{c}") for c in on] + [F.col("d.doc_id").eqNullSafe(F.col("f.doc_id"))]
+    copied = docs.alias("d").join(F.broadcast(firsts).alias("f"), [*same], "inner").select(
+        F.col("before").alias("part"), "d.doc_id", "d.h", "d.text"
+    ).groupBy("part", "doc_id", "h").agg(F.min("text").alias("text"))  # of repeated rows one
+    every = docs.select("part", "doc_id", "h", "text", F.lit(False).alias("copy")).unionByName(copied.withColumn("copy", F.lit(True)))
     order = [F.col("part"), F.col("copy"), F.col("doc_id").desc_nulls_last(), F.col("h"), F.col("text")]
     dealt = every.repartitionById(n, "part").sortWithinPartitions(*order)
     return map_arrow(dealt.select("part", "doc_id", "text", "copy"), _pair, schema)

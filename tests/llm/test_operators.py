@@ -484,6 +484,25 @@ def test_ranges_divided_by_width(spark, monkeypatch, coarse):
     )
 
 
+def test_hot_and_missing_ids(spark):
+    rng = random.Random(9)
+    text = lambda: "".join(rng.choice("ab c\u00e9") for _ in range(rng.randint(0, 60)))
+    rows = [(None, text()) for _ in range(700)] + [(7, text()) for _ in range(700)] + [(7, "same rows")] * 40 + [(None, None)] * 3
+    rows += [(rng.randint(-1000, 1000), text()) for _ in range(600)] + [(-1001, text()) for _ in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    hashed = df.selectExpr("doc_id", "coalesce(text, '') t", "xxhash64(coalesce(text, '')) h").collect()
+    order = sorted(hashed, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h, r.t))
+    want = []
+    for k, r in enumerate(order):
+        t, after = r.t, order[(k + 1) % len(order)].t
+        want.append((r.doc_id, brute.sha((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode())))
+    got = bottomk.edited_neighbours(df)
+    same(got, ["doc_id", "edited_sha256"], want)
+    tasks = got.select("doc_id", F.spark_partition_id().alias("p")).groupBy("doc_id").agg(F.countDistinct("p").alias("n"))
+    spread = {r.doc_id: r.n for r in tasks.collect()}
+    assert min(spread[None], spread[7]) > 1
+
+
 def test_mixing_against_plain_dual(spark):
     """Targets by another water-filling, rates by halving on the dual, copies one by one."""
     rng = random.Random(4)
