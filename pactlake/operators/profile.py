@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,16 +99,23 @@ def structural_profile(df: DataFrame, columns: list[str] | None = None, exact: b
     out = df.agg(*aggs).select(F.explode(F.array(*[F.col(f"s_{c}") for c in columns])).alias("r")).select("r.*")
     if not exact:
         return out
-    value = lambda c: (
-        F.when(F.col(c).isNotNull(), F.to_json(F.struct(c))) if kinds[c].startswith(("struct", "map", "array")) else (
-            F.col(c) + 0.0 if kinds[c] in ("float", "double") else F.col(c)
-        ).cast("string")
-    )
-    long = df.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), value(c).alias("v")) for c in columns])).alias("r")
-    ).select("r.*")
-    counted = long.where("v is not null").distinct().groupBy("column_name").agg(F.count(F.lit(1)).alias("exact"))
-    return out.join(counted, "column_name", "left").withColumn("cardinality", F.coalesce("exact", F.lit(0))).select(out.columns)
+    # a column's scan reads that column alone, and each grouping is combined before its shuffle
+    counted = [
+        df.select(_as_text(df, c, signless=True).alias("v")).where("v is not null").distinct().agg(
+            F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("exact")
+        ) for c in columns
+    ]
+    return out.join(reduce(DataFrame.unionAll, counted), "column_name", "left").withColumn(
+        "cardinality", F.coalesce("exact", F.lit(0))
+    ).select(out.columns)
+
+
+def _as_text(df: DataFrame, c: str, signless: bool = False) -> Column:
+    """A column's values as text, nested ones as JSON; ``signless`` makes -0.0 and 0.0 one value."""
+    kind = dict(df.dtypes)[c]
+    if kind.startswith(("struct", "map", "array")):
+        return F.when(F.col(c).isNotNull(), F.to_json(F.struct(c)))
+    return (F.col(c) + 0.0 if signless and kind in ("float", "double") else F.col(c)).cast("string")
 
 
 def pattern_counts(df: DataFrame, value: Column) -> DataFrame:
@@ -143,13 +155,23 @@ def confidence_flags(df: DataFrame, column: str) -> DataFrame:
     return one.withColumn("flags", flags)
 
 
+#: Distinct values of a text column that is an enum, at most.
+ENUM = 10
+
+
 def suggest_clauses(df: DataFrame) -> dict[str, dict]:
-    """A schema from profiles: one small row for each column comes to the driver."""
+    """A schema from profiles: one small row for each column comes to the driver.
+
+    One scan sketches all columns. Text columns whose sketch leaves it open that they are enums have their values
+    gathered by a second scan, all at once: at most about twice ENUM for each.
+    """
     kinds, out = dict(df.dtypes), {}
     contract_type = lambda k: "integer" if k in (
         "tinyint", "smallint", "int", "bigint"
     ) else "number" if k in ("float", "double") or k.startswith("decimal") else "boolean" if k == "boolean" else "array" if k.startswith("array") else "object" if k.startswith(("struct", "map")) else "string"
-    shape = {r.column_name: r for r in structural_profile(df, exact=True).collect()}
+    shape = {r.column_name: r for r in structural_profile(df).collect()}
+    few = [c for c in df.columns if kinds[c] == "string" and 0 < shape[c].cardinality <= 2 * ENUM]
+    values = df.agg(*[F.collect_set(c).alias(c) for c in few]).first().asDict() if few else {}
     for r in (shape[c] for c in df.columns):
         name, clause = r.column_name, {"type": contract_type(kinds[r.column_name]), "required": r.null_fraction == 0.0}
         if "confidence" in name and clause["type"] == "number":
@@ -158,8 +180,8 @@ def suggest_clauses(df: DataFrame) -> dict[str, dict]:
             clause |= {"format": "uuid"}
         if name.endswith("_at"):
             clause["format"] = "date-time"
-        if clause["type"] == "string" and 0 < r.cardinality <= 10:
-            clause["enum"] = sorted(x[0] for x in df.select(name).where(F.col(name).isNotNull()).distinct().limit(10).collect())
+        if 0 < len(values.get(name, ())) <= ENUM:
+            clause["enum"] = sorted(values[name])
         out[name] = clause
     return out
 
@@ -174,8 +196,28 @@ def is_numeric_name(name: str) -> bool:
     return any(part in name if part in ("confidence", "sequence") else name.endswith(part) for part in NUMERIC_NAMES)
 
 
+def least_values(df: DataFrame, columns: list[str], k: int = SHOWN) -> DataFrame:
+    """(column_name, v, k): the ``k`` least distinct values of each column as text.
+
+    A task sends on no more than ``k`` values of a column, whatever it reads.
+    """
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {c: pa.array([], pa.string()) for c in columns}
+        for batch in batches:
+            for c, v in zip(columns, batch.columns, strict=True):
+                both = pa.chunked_array([held[c], v.cast(pa.string())]).unique().drop_null()
+                held[c] = both.take(pc.array_sort_indices(both)[:k])
+        names = pa.array([c for c in columns for _ in held[c]], pa.string())
+        yield pa.RecordBatch.from_arrays([names, pa.concat_arrays(held.values())], ["column_name", "v"])
+
+    text = df.select(*[_as_text(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
+    seen = text.mapInArrow(least, "column_name string, v string").distinct()
+    return seen.withColumn("k", F.row_number().over(Window.partitionBy("column_name").orderBy("v"))).where(F.col("k") <= k)
+
+
 def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """column_name, null_fraction, distinct, samples, and numbers of numeric columns (with the sample deviation).
+    """column_name, null_fraction, distinct, samples (the least values as text), and numbers of numeric columns (with the sample deviation).
 
     Text columns whose name says that they are numbers are read so; ``dropped`` counts what can't be.
     """
@@ -184,12 +226,7 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     numeric = [c for c in columns if kinds[c] in ("tinyint", "smallint", "int", "bigint", "float", "double")
                or kinds[c].startswith("decimal") or (kinds[c] == "string" and is_numeric_name(c))]
     shape = structural_profile(df, columns).withColumnRenamed("cardinality", "distinct")
-    text = lambda c: F.when(
-        F.col(c).isNotNull(), F.to_json(F.struct(c))
-    ) if kinds[c].startswith(("struct", "map", "array")) else F.col(c).cast("string")
-    value = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), text(c).alias("v")) for c in columns]))
-    seen = df.select(value.alias("r")).select("r.*").where("v is not null").distinct()
-    first = seen.withColumn("k", F.row_number().over(Window.partitionBy("column_name").orderBy("v"))).where(F.col("k") <= SHOWN)
+    first = least_values(df, columns)
     samples = first.groupBy("column_name").agg(F.array_sort(F.collect_list("v")).alias("samples"))
     out = shape.join(samples, "column_name", "left")
     if numeric:

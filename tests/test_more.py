@@ -69,6 +69,35 @@ def test_column_profile(spark):
     ) == {"some_confidence": {"required": False}, "n": {"required": True}}
 
 
+def test_profiles_make_no_row_of_a_value(spark):
+    rows = [(f"k{i % 40:02d}", i % 12 if i % 5 else None, -0.0 if i % 2 else 0.0, ["a"] if i % 2 else None, "red" if i % 3 else "") for i in range(900)]
+    df = spark.createDataFrame(rows, "name string, n int, zero double, tags array<string>, colour string").repartition(6)
+    least = profile.least_values(df, df.columns)
+    assert "Generate" not in least._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in least.collect():
+        got.setdefault(r.column_name, []).append(r.v)
+    assert {k: sorted(v) for k, v in got.items()} == {
+        "name": [f"k{i:02d}" for i in range(5)], "n": ["0", "1", "10", "11", "2"], "zero": ["-0.0", "0.0"], "tags": ['{"tags":["a"]}'],
+        "colour": ["", "red"]
+    }
+    exact = profile.structural_profile(df, exact=True)
+    assert {r.column_name: r.cardinality for r in exact.collect()} == {"name": 40, "n": 12, "zero": 1, "tags": 1, "colour": 2}
+    s = profile.suggest_clauses(df)
+    assert s["colour"]["enum"] == ["", "red"] and "enum" not in s["name"] and not s["n"]["required"]
+    none = df.limit(0)
+    assert {r.samples for r in profile.column_profile(none).collect()} == {None} and "enum" not in profile.suggest_clauses(none)["colour"]
+
+
+def test_byte_histogram_of_rows(spark):
+    df = spark.createDataFrame([(1, "aab"), (2, None), (3, ""), (4, "\u00e9" * 30000), (1, "b")], "k int, t string")
+    h = drift.byte_histogram(df, "k", "t")
+    assert "Exchange" not in h._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.k, r.byte, round(r.share, 6)) for r in h.collect())
+    half = round(25000 / (2 * 25000.0**2) ** 0.5, 6)
+    assert got == [(1, 97, round(2 / 5**0.5, 6)), (1, 98, round(1 / 5**0.5, 6)), (1, 98, 1.0), (4, 0xA9, half), (4, 0xC3, half)]
+
+
 def test_clauses_in_words(spark):
     old = evolution.flatten(spark, {"a": {"type": "integer", "required": True, "minimum": 1}, "b": {"type": "string", "enum": ["x", "y"]}})
     new = evolution.flatten(spark, {"a": {"type": "number"}, "b": {"type": "integer"}})
