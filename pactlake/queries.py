@@ -1020,7 +1020,46 @@ def rules_that_fail_in_rows(s, d):
     return _check(e, "events", {"value": {"required": True}}, rules).select(_SHORT)
 
 
-_MORE = (merged_baselines, incremental_profile, keyword_seeds_within_words, breaking_prefixes, typed_enums, rules_that_fail_in_rows)
+def column_profile(s, d):
+    """Orders, columns with whole numbers and texts: least values, and numbers with the sample deviation."""
+    r = profile.column_profile(_t(s, d, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
+    return r.select(
+        "column_name", "null_fraction", F.array_join("samples", "|").alias("samples"), "n", "min", "max", F.round("mean", 3).alias("mean"), F.round("stddev", 3).alias("stddev")
+    )
+
+
+def suggested_clauses(s, d):
+    """Clauses that the events suggest, as rows."""
+    found = profile.suggest_clauses(_t(s, d, "events").withColumn("seen_at", F.col("ts").cast("string")).withColumn("kind_id", F.col("event_type")))
+    rows = [(k, c["type"], c["required"], c.get("format"), "|".join(c["enum"]) if "enum" in c else None) for k, c in found.items()]
+    return s.createDataFrame(rows, "column_name string, type string, required boolean, format string, enum string")
+
+
+def graph_tables(s, d):
+    """Lines of orders as edges from orders to parts: orders of one status and large parts are no nodes, one relationship is unknown."""
+    kinds = F.array(*[F.lit(k) for k in ("READS", "WRITES", "CALLS", "IMPORTS", "PRODUCES", "CONSUMES", "ODD")])
+    edges = _t(s, d, "lineitem").select(
+        F.concat(F.lit("order::"), "l_orderkey").alias("source"), F.concat(F.lit("part::"), "l_partkey").alias("target"), F.get(kinds, F.col("l_linenumber") - 1).alias("relationship")
+    )
+    orders = _t(s, d, "orders").where("o_orderstatus <> 'P'").select(F.concat(F.lit("order::"), "o_orderkey").alias("node_id"))
+    return drivers.graph_results(edges, orders.unionByName(_t(s, d, "part").where("p_size < 40").select(F.concat(F.lit("part::"), "p_partkey").alias("node_id"))), "graph").select(
+        *_SHORT, F.array_join("sample_failing", "|").alias("samples")
+    )
+
+
+def migration_blast_radius(s, d):
+    """Breaking changes of customers' clauses, and what lies below: their nation, its region, and pipelines of suppliers in debt there."""
+    edge = lambda t, a, b, kind: t.select(a.alias("source"), b.alias("target"), F.lit(kind).alias("relationship"))
+    name = lambda kind, c: F.concat(F.lit(f"{kind}::"), c)
+    c, n, sup = _t(s, d, "customer"), _t(s, d, "nation"), _t(s, d, "supplier").where("s_acctbal < 0")
+    edges = edge(c, name("customer", "c_custkey"), name("nation", "c_nationkey"), "PRODUCES").unionByName(
+        edge(n, name("nation", "n_nationkey"), name("region", "n_regionkey"), "WRITES")
+    ).unionByName(edge(sup, name("nation", "s_nationkey"), name("pipeline", "s_suppkey"), "CONSUMES"))
+    touched = c.where("c_acctbal > 1000").select(F.concat(F.lit("customer."), "c_custkey").alias("path"), name("customer", "c_custkey").alias("node"))
+    return report.lineage_impact(schema_diff_classify(s, d), touched, edges, 3)
+
+
+_MORE = (merged_baselines, incremental_profile, keyword_seeds_within_words, breaking_prefixes, typed_enums, rules_that_fail_in_rows, column_profile, suggested_clauses, graph_tables, migration_blast_radius)
 QUERIES |= {f.__name__: f for f in _MORE}
 
 _RULE = "SELECT '{}' check_id, '{}' column_name, '{}' check_type, CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END status, CASE WHEN n > 0 THEN 'CRITICAL' ELSE 'LOW' END severity, n::BIGINT records_failing FROM (SELECT count(*) FILTER (WHERE {}) n FROM {})"
@@ -1073,3 +1112,34 @@ ORACLES |= {
     "migration_checklist": _CHANGES + """SELECT path, 0 nth, '[REQUIRED] Tell subscribers (' || path || ', ' || taxonomy || '): billing' item FROM b UNION ALL SELECT path, 1, '[REQUIRED] Write and test the migration before deploying' FROM b
 UNION ALL SELECT path, 2, '[REQUIRED] Validate again after the migration' FROM b UNION ALL SELECT NULL, k, i FROM (VALUES (0, '[OK] No breaking change between these versions'), (1, '[RECOMMENDED] Check models and consumers if enums or types were widened')) w(k, i) WHERE NOT EXISTS (SELECT 1 FROM b)"""
 }
+
+_COLUMN = "SELECT '{c}' column_name, round(count(*) FILTER (WHERE {c} IS NULL) / count(*), 6) null_fraction, (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT {c}::VARCHAR v FROM orders WHERE {c} IS NOT NULL ORDER BY v LIMIT 5)) samples, {n} FROM orders"
+_NUMBERS = "count({c}) n, min({c})::DOUBLE \"min\", max({c})::DOUBLE \"max\", round(avg({c}),3) mean, round(stddev_samp({c}),3) stddev"
+_SUGGESTED = "SELECT '{c}' column_name, '{t}' AS type, count(*) = count({v}) required, {f} format, CASE WHEN '{t}' = 'string' AND count(DISTINCT {v}) BETWEEN 1 AND 10 THEN (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT {v}::VARCHAR v FROM events WHERE {v} IS NOT NULL)) END AS enum FROM events"
+_GRAPH = "SELECT 'graph.{i}' check_id, '{c}' column_name, '{k}' check_type, CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END status, CASE WHEN n > 0 THEN 'CRITICAL' ELSE 'LOW' END severity, n::BIGINT records_failing, {s} samples FROM f"
+ORACLES |= {
+    "column_profile": " UNION ALL ".join(
+        _COLUMN.format(c=c, n=_NUMBERS.format(c=c) if c.endswith("key") else "NULL::BIGINT n, NULL::DOUBLE \"min\", NULL::DOUBLE \"max\", NULL::DOUBLE mean, NULL::DOUBLE stddev")
+        for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    ),
+    "suggested_clauses": " UNION ALL ".join(
+        _SUGGESTED.format(c=c, v=v, t=t, f=f) for c, v, t, f in (
+            ("event_id", "event_id", "integer", "NULL"), ("ts", "ts", "string", "NULL"), ("user_id", "user_id", "integer", "NULL"), ("event_type", "event_type", "string", "NULL"),
+            ("value", "value", "number", "NULL"), ("props", "props", "string", "NULL"), ("seen_at", "ts", "string", "'date-time'"), ("kind_id", "event_type", "string", "'uuid'")
+        )
+    ),
+    "graph_tables": """
+WITH e AS (SELECT 'order::' || l_orderkey || '->part::' || l_partkey shown, l_linenumber = 7 odd, l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') a, l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 40) b FROM lineitem),
+g AS (SELECT count(*) FILTER (WHERE a) a, count(*) FILTER (WHERE b) b, count(*) FILTER (WHERE odd) odd, count(*) FILTER (WHERE a OR b) ab FROM e)
+""" + " UNION ALL ".join(
+        "SELECT * FROM (WITH f AS (SELECT {} n FROM g) {})".format(n, _GRAPH.format(i=i, c=c, k=k, s=s)) for n, i, c, k, s in (
+            ("a", "edges.source.reference", "source", "referential", "''"), ("b", "edges.target.reference", "target", "referential", "''"),
+            ("odd", "edges.relationship.enum", "relationship", "enum", "''"),
+            ("ab + odd", "edges.endpoints", "edges[*].source,target", "referential", "(SELECT string_agg(shown, '|' ORDER BY shown) FROM (SELECT shown FROM e WHERE a OR b ORDER BY shown LIMIT 5))")
+        )
+    ),
+    "migration_blast_radius": _CHANGES + """
+, k AS (SELECT s_nationkey, count(DISTINCT s_suppkey) pipes FROM supplier WHERE s_acctbal < 0 GROUP BY 1)
+SELECT path, taxonomy, CASE WHEN c_custkey IS NULL THEN 0 ELSE 2 + coalesce(pipes, 0) END::BIGINT n_nodes, CASE WHEN c_custkey IS NULL THEN 0 ELSE coalesce(pipes, 0) END::BIGINT n_pipelines, CASE WHEN c_custkey IS NULL THEN 0 ELSE 2 END::INT hops
+FROM b LEFT JOIN customer ON path = 'customer.' || c_custkey AND c_acctbal > 1000 LEFT JOIN k ON s_nationkey = c_nationkey"""
+}
