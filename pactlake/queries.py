@@ -1114,12 +1114,12 @@ UNION ALL SELECT path, 2, '[REQUIRED] Validate again after the migration' FROM b
 }
 
 _COLUMN = "SELECT '{c}' column_name, round(count(*) FILTER (WHERE {c} IS NULL) / count(*), 6) null_fraction, (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT {c}::VARCHAR v FROM orders WHERE {c} IS NOT NULL ORDER BY v LIMIT 5)) samples, {n} FROM orders"
-_NUMBERS = "count({c}) n, min({c})::DOUBLE \"min\", max({c})::DOUBLE \"max\", round(avg({c}),3) mean, round(stddev_samp({c}),3) stddev"
+_NUMBER_STATS = "count({c}) n, min({c})::DOUBLE \"min\", max({c})::DOUBLE \"max\", round(avg({c}),3) mean, round(stddev_samp({c}),3) stddev"
 _SUGGESTED = "SELECT '{c}' column_name, '{t}' AS type, count(*) = count({v}) required, {f} format, CASE WHEN '{t}' = 'string' AND count(DISTINCT {v}) BETWEEN 1 AND 10 THEN (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT {v}::VARCHAR v FROM events WHERE {v} IS NOT NULL)) END AS enum FROM events"
 _GRAPH = "SELECT 'graph.{i}' check_id, '{c}' column_name, '{k}' check_type, CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END status, CASE WHEN n > 0 THEN 'CRITICAL' ELSE 'LOW' END severity, n::BIGINT records_failing, {s} samples FROM f"
 ORACLES |= {
     "column_profile": " UNION ALL ".join(
-        _COLUMN.format(c=c, n=_NUMBERS.format(c=c) if c.endswith("key") else "NULL::BIGINT n, NULL::DOUBLE \"min\", NULL::DOUBLE \"max\", NULL::DOUBLE mean, NULL::DOUBLE stddev")
+        _COLUMN.format(c=c, n=_NUMBER_STATS.format(c=c) if c.endswith("key") else "NULL::BIGINT n, NULL::DOUBLE \"min\", NULL::DOUBLE \"max\", NULL::DOUBLE mean, NULL::DOUBLE stddev")
         for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     ),
     "suggested_clauses": " UNION ALL ".join(

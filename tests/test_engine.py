@@ -1,11 +1,13 @@
 """Operators on small frames, with nulls, empty inputs and errors."""
 
+import ast
 import collections
 import datetime
 import hashlib
 import json
 import math
 import uuid
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,6 +146,17 @@ def test_texts_of_documents(spark, tmp_path):
     assert sorted(shapes) == sorted(collections.Counter(map(shape, texts)).items())
 
 
+def test_names_of_queries_stand_for_one_thing(spark):
+    """A name of the module that is bound again changes the queries that already use it."""
+    bound = collections.Counter()
+    for n in ast.parse(Path(queries.__file__).read_text()).body:
+        named = n.targets if isinstance(n, ast.Assign) else [n]
+        bound.update(x for x in (getattr(t, "id", getattr(t, "name", None)) for t in named) if x)
+    assert [x for x, n in bound.items() if n > 1] == []
+    found = queries.QUERIES["drift_all_columns"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.column for r in found) == ["l_discount", "l_extendedprice", "l_linenumber", "l_quantity", "l_tax"] and {r.status for r in found} == {"PASS"}
+
+
 def test_registry(spark):
     reg = spark.createDataFrame(
         [
