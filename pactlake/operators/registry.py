@@ -33,25 +33,25 @@ def blast_radius(failures: DataFrame, registry: DataFrame) -> DataFrame:
 
     Fields may be comma-separated; ``*`` hits every subscriber of the contract; an empty field hits none. Fields match
     if they are equal or one is a dotted prefix of the other: each side meets the other's prefixes by equality, so no
-    field is compared with all of its contract's.
+    field is compared with all of its contract's. A field that many failures name is matched once, and its matches go
+    to each of them afterwards.
     """
-    f = failures.select(
-        "contract_id", "check_id", "column_name",
-        F.explode(F.split(F.coalesce("column_name", F.lit("")), ",")).alias("raw")
-    )
+    f = failures.select("contract_id", "column_name").where("column_name is not null").distinct()
+    f = f.select("contract_id", "column_name", F.explode(F.split("column_name", ",")).alias("raw"))
     f = f.withColumn("failing", field_token(F.col("raw"))).where("failing <> ''").drop("raw").distinct()
     r = registry.select("contract_id", "subscriber_id", F.posexplode("breaking_fields").alias("nth", "bf")).select(
         "contract_id", "subscriber_id", "nth", field_token(F.col("bf.field")).alias("breaking"),
         F.col("bf.reason").alias("reason")
     )
-    said = ["contract_id", "check_id", "column_name", "subscriber_id", "nth", "breaking", "reason"]
+    said = ["contract_id", "column_name", "subscriber_id", "nth", "breaking", "reason"]
     named = f.where("failing <> '*'")
     on = ["contract_id", "field"]
     up = named.withColumnRenamed("failing", "field").join(r.withColumn("field", F.explode(prefixes(F.col("breaking")))), on)
     down = named.withColumn("field", F.explode(prefixes(F.col("failing"), False))).join(r.withColumn("field", F.col("breaking")), on)
-    every = f.where("failing = '*'").select("contract_id", "check_id", "column_name").join(r, "contract_id")
+    every = f.where("failing = '*'").select("contract_id", "column_name").join(r, "contract_id")
     j = up.select(said).unionByName(down.select(said)).unionByName(every.select(said))
-    return j.groupBy("contract_id", "check_id", "column_name", "subscriber_id").agg(F.min_by(F.struct("breaking", "reason"), "nth").alias("m")).select(
+    first = j.groupBy("contract_id", "column_name", "subscriber_id").agg(F.min_by(F.struct("breaking", "reason"), "nth").alias("m"))
+    return failures.select("contract_id", "check_id", "column_name").distinct().join(first, ["column_name", "contract_id"]).select(
         "contract_id", "check_id", "column_name", "subscriber_id", F.col("m.breaking").alias("matched_field"),
         F.col("m.reason").alias("reason")
     )

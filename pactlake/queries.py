@@ -995,12 +995,14 @@ def breaking_prefixes(s, d):
     p = _t(s, d, "part").withColumn("path", path)
     fails = p.select(F.col("p_brand").alias("contract_id"), F.col("p_partkey").cast("string").alias("check_id"), F.col("path").alias("column_name"))
     cut_at = lambda n: F.array_join(F.slice(F.split("path", r"\."), 1, n), ".")
-    named = p.groupBy(F.col("p_brand").alias("contract_id"), F.concat(F.lit("c"), F.col("p_size").cast("string")).alias("subscriber_id")).agg(
+    # texts' extremes are found by sorting: distinct ones and counts first, which are hashed
+    named = p.select("p_brand", "p_size", "path").distinct().groupBy(F.col("p_brand").alias("contract_id"), F.concat(F.lit("c"), F.col("p_size").cast("string")).alias("subscriber_id")).agg(
         F.min(F.concat("path", F.lit(".deep"))).alias("below"), F.max("path").alias("same"), F.max(cut_at(3)).alias("above")
     )
     fields = F.array(*[F.struct(F.col(c).alias("field"), F.lit(c).alias("reason")) for c in ("below", "same", "above")])
     hits = registry.blast_radius(fails, named.select("contract_id", "subscriber_id", fields.alias("breaking_fields")))
-    return hits.groupBy("contract_id", "subscriber_id", "reason").agg(F.count(F.lit(1)).alias("hits"), F.min("matched_field").alias("field"))
+    counted = hits.groupBy("contract_id", "subscriber_id", "reason", "matched_field").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("contract_id", "subscriber_id", "reason").agg(F.sum("n").alias("hits"), F.min("matched_field").alias("field"))
 
 
 def typed_enums(s, d):

@@ -111,6 +111,19 @@ def test_prefixes_meet_by_equality(spark):
     assert len(re.findall(r"Join Inner, \(\(?contract_id", plan)) == 3 and "startswith" not in plan.lower()
 
 
+def test_fields_that_many_failures_name_are_matched_once(spark):
+    f = spark.createDataFrame([("c", f"k{i}", "a.b") for i in range(50)] + [("c", "k0", "a.b"), ("c", None, "a.b"), ("c", "z", "q,*"), (None, "k0", "a.b")], "contract_id string, check_id string, column_name string")
+    r = spark.createDataFrame([("c", "s", [("x", "0"), ("a.b.c", "1"), ("a", "2")]), ("c", "t", [("a.b", "3")])],
+                              "contract_id string, subscriber_id string, breaking_fields array<struct<field:string,reason:string>>")
+    hits = registry.blast_radius(f, r)
+    want = {(k, s, n) for k in [*(f"k{i}" for i in range(50)), None] for s, n in (("s", "1"), ("t", "3"))} | {("z", "s", "0"), ("z", "t", "3")}
+    got = [(x.check_id, x.subscriber_id, x.reason) for x in hits.collect()]
+    assert len(got) == len(want) and set(got) == want
+    # first matches are sought for distinct fields, not for each failure that names them
+    sought = [x for x in hits._jdf.queryExecution().optimizedPlan().toString().splitlines() if "min_by" in x]
+    assert sought and not any("check_id" in x for x in sought)
+
+
 def test_profiles_of_parts_are_profiles_of_the_whole(spark, tmp_path):
     rows = [(i % 4, float((i * 7919) % 10007), f"v{i % 300}", None if i % 10 == 0 else i % 50) for i in range(20_000)]
     df = spark.createDataFrame([*rows, (0, float("nan"), None, None)], "day int, x double, s string, n int")
