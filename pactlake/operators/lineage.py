@@ -47,6 +47,69 @@ def reach(seeds: DataFrame, edges: DataFrame, depth: int, by: tuple[str, ...] =
     return seen
 
 
+def _classes(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Keys with equal sets of nodes as one class: (key, class), (class, node) once for each class, and (class, n, pipelines).
+
+    A class is known by its set's size and two sums of hashes. Where different sets met in one class, it would
+    hold more nodes than its size says, so that is checked and not left to chance.
+    """
+    rows = cut(rows.select(key, "node").where("node is not null").distinct())
+    marks = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit("again"), "node")).alias("y")]
+    found = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *marks)
+    found = cut(found.select(key, F.struct("n", "x", "y").alias("class")))
+    held = cut(rows.join(found, key).select("class", "node").distinct())
+    sizes = cut(held.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.startswith("node", F.lit("pipeline::"))).alias("pipelines")))
+    if not sizes.where("n <> class.n").isEmpty():
+        raise ValueError("different sets of nodes have the same hashes")
+    return found, held, sizes
+
+
+def counts_below(seeds: DataFrame, edges: DataFrame, depth: int, by: str) -> DataFrame:
+    """(by, n_nodes, n_pipelines, hops): how much ``reach`` would find beyond the seeds (by, node), without a row for each of it.
+
+    What a set of nodes leads to in one step depends on the set alone, so seeds that lead to the same set are one class from
+    there on: a hub's successors are listed once, not once for each seed above it. A step's nodes that an earlier step
+    had are subtracted: only nodes found in several steps are looked up for that. Work and memory grow with the distinct sets'
+    sizes; where no two seeds ever lead to the same set, that is as much as ``reach``.
+    """
+    start, held, _ = _classes(seeds, by)
+    levels, onward, sizes = [held], [], []
+    for _ in range(depth):
+        step = levels[-1].join(edges, F.col("node") == F.col("source")).select("class", F.col("target").alias("node"))
+        following, held, size = _classes(step.withColumnRenamed("class", "before"), "before")
+        if held.isEmpty():
+            break
+        levels.append(held)
+        onward.append(following)
+        sizes.append(size)
+    places = [h.select("node").distinct().select("node", F.lit(k).alias("step")) for k, h in enumerate(levels)]
+    several = cut(functools.reduce(DataFrame.unionByName, places).groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node"))
+    again = not several.isEmpty()
+    if not sizes:
+        return start.select(by, F.lit(0).cast("long").alias("n_nodes"), F.lit(0).cast("long").alias("n_pipelines"), F.lit(0).alias("hops")).limit(0)
+    # (class, step, n, pipelines): what is found from a class on, the last step's classes first; seeds have rows of their own only if nodes come again
+    total = None
+    for j in reversed(range(0 if again else 1, len(levels))):
+        parts = [sizes[j - 1].select("class", F.lit(j).alias("step"), "n", "pipelines")] if j else []
+        if total is not None:
+            parts.append(onward[j].join(total, "class").select(F.col("before").alias("class"), "step", "n", "pipelines"))
+        met, chain = [], levels[j].join(several, "node", "left_semi").withColumn("at", F.col("class"))
+        for k in range(j + 1, len(levels) if again else 0):
+            chain = chain.join(onward[k - 1].select(F.col("before").alias("at"), F.col("class").alias("next")), "at").drop("at").withColumnRenamed("next", "at")
+            met.append(chain.join(levels[k].select(F.col("class").alias("at"), "node"), ["at", "node"], "left_semi").select("class", "node", F.lit(k).alias("step")))
+        if met:  # a node that comes again is no new one at its next time
+            first = functools.reduce(DataFrame.unionByName, met).groupBy("class", "node").agg(F.min("step").alias("step"))
+            parts.append(first.select("class", "step", F.lit(-1).alias("n"), F.when(F.startswith("node", F.lit("pipeline::")), -1).otherwise(0).alias("pipelines")))
+        total = functools.reduce(DataFrame.unionByName, parts).groupBy("class", "step").agg(F.sum("n").alias("n"), F.sum("pipelines").alias("pipelines"))
+        total = cut(total) if again else total
+    found = total.groupBy("class").agg(
+        F.sum("n").alias("n_nodes"), F.sum("pipelines").alias("n_pipelines"), F.max(F.when(F.col("n") > 0, F.col("step"))).alias("hops")
+    ).where("n_nodes > 0")
+    if not again:
+        found = onward[0].join(found, "class").drop("class").withColumnRenamed("before", "class")
+    return start.join(found, "class").select(by, "n_nodes", "n_pipelines", "hops")
+
+
 def table_consumers(edges: DataFrame) -> DataFrame:
     e = edges.where((F.col("relationship") == "CONSUMES") & F.startswith("source", F.lit("table::")))
     return e.select(F.col("source").alias("table"), F.col("target").alias("pipeline")).distinct().orderBy("table", "pipeline")
