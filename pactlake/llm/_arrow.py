@@ -14,30 +14,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import cut, shared_dir
+from ..session import bounded_batches, cut, shared_dir
 
 __all__ = [
     "bounded_batches", "cut", "key_groups", "map_arrow", "parts_for", "raw", "release", "shared_dir", "ship", "slices", "stored", "stored_by",
     "texts",
 ]
 
-#: Bytes of one Arrow batch sent to a Python worker; keeps two workers of a
-#: 3 GB executor well inside its memory whatever the length of the texts.
-BATCH_BYTES = 8 << 20
-BATCH_ROWS = 4096
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Limit the size of Arrow batches; a smaller setting of the session stays."""
-    for key, most in (
-        ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES),
-        ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
-    ):
-        now = int(str(spark.conf.get(key)).rstrip("b"))
-        if now <= 0 or now > most:
-            spark.conf.set(key, str(most))
-
-
 _SHIPPED: set[str] = set()
 
 

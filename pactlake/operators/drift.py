@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import short_number
+from ..session import bounded_batches
 
 
 def column_stats(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
@@ -162,11 +163,20 @@ def byte_histogram(df: DataFrame, key: str, text: str, most: int = 50_000) -> Da
     """The local embedding as rows: (key, byte, share) of a text's first ``most`` UTF-8 bytes, to length 1.
 
     Bytes are counted in Arrow batches, 256 counts a text: no row is made of a byte and nothing is shuffled. Each row is a text of its own.
+    A batch is bounded in bytes and rows, and its texts are read where they lie in it, so a worker's memory doesn't depend on the table.
     """
-
-    @F.pandas_udf("array<bigint>")
-    def counts(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.bincount(np.frombuffer(t, np.uint8), minlength=256) for t in texts])
+    bounded_batches(df.sparkSession)
+
+    @F.arrow_udf("array<int>")
+    def counts(texts: pa.Array) -> pa.Array:
+        col = texts.cast(pa.large_binary())
+        _, at, data = col.buffers()
+        at = np.frombuffer(at, np.int64)[col.offset : col.offset + len(col) + 1]
+        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        n = np.zeros((len(col), 256), np.int32)
+        for i in range(len(col)):
+            n[i] = np.bincount(data[at[i] : at[i + 1]], minlength=256)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, n.size + 1, 256, dtype=np.int32)), pa.array(n.reshape(-1)))
 
     n = counts(F.substring(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 1, most))
     norm = F.sqrt(F.aggregate("n", F.lit(0.0), lambda s, x: s + x.cast("double") * x)) + 1e-9

@@ -1,4 +1,4 @@
-"""What iterative jobs need of a session: a folder that all executors see, cutting lineage in it, and clearing it."""
+"""What jobs need of a session: a folder that all executors see, cutting lineage in it, and clearing it; Arrow batches of bounded size."""
 
 from __future__ import annotations
 
@@ -49,3 +49,20 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder and drop the lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Bytes of one Arrow batch sent to a Python worker; keeps two workers of a
+#: 3 GB executor well inside its memory whatever the length of the texts.
+BATCH_BYTES = 8 << 20
+BATCH_ROWS = 4096
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Limit the size of Arrow batches; a smaller setting of the session stays."""
+    for key, most in (
+        ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES),
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
+    ):
+        now = int(str(spark.conf.get(key)).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))

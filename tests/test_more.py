@@ -98,6 +98,23 @@ def test_byte_histogram_of_rows(spark):
     assert got == [(1, 97, round(2 / 5**0.5, 6)), (1, 98, round(1 / 5**0.5, 6)), (1, 98, 1.0), (4, 0xA9, half), (4, 0xC3, half)]
 
 
+def test_byte_histogram_in_bounded_batches(spark):
+    keys = [f"spark.sql.execution.arrow.max{k}PerBatch" for k in ("Bytes", "Records")]
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        for k in keys:
+            spark.conf.set(k, str(1 << 30))
+        rows = [(i, None if i % 7 == 0 else "ab\u00e9" * (i % 50)) for i in range(9000)]
+        h = drift.byte_histogram(spark.createDataFrame(rows, "k int, t string").coalesce(1), "k", "t")
+        # 256 counts are kept of each text of a batch, and all of the batch's texts
+        assert int(spark.conf.get(keys[0]).rstrip("b")) <= 8 << 20 and int(spark.conf.get(keys[1])) <= 4096
+        got = h.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("share"), 6).alias("low"), F.round(F.max("share"), 6).alias("high")).collect()
+        assert len(got) == sum(1 for i, t in rows if t) and {(r.n, r.low, r.high) for r in got} == {(4, 0.5, 0.5)}
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.set(k, v)
+
+
 def test_clauses_in_words(spark):
     old = evolution.flatten(spark, {"a": {"type": "integer", "required": True, "minimum": 1}, "b": {"type": "string", "enum": ["x", "y"]}})
     new = evolution.flatten(spark, {"a": {"type": "number"}, "b": {"type": "integer"}})
