@@ -159,11 +159,16 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + 1e-12)
 
 
-def byte_histogram(df: DataFrame, key: str, text: str, most: int = 50_000) -> DataFrame:
-    """The local embedding as rows: (key, byte, share) of a text's first ``most`` UTF-8 bytes, to length 1.
+#: Bytes of a text that are counted at once: counting makes eight bytes of each.
+PIECE = 1 << 16
+
+
+def byte_histogram(df: DataFrame, key: str, text: str, most: int | None = None) -> DataFrame:
+    """The local embedding as rows: (key, byte, share) of a text's UTF-8 bytes, or of its first ``most``, to length 1.
 
     Bytes are counted in Arrow batches, 256 counts a text: no row is made of a byte and nothing is shuffled. Each row is a text of its own.
-    A batch is bounded in bytes and rows, and its texts are read where they lie in it, so a worker's memory doesn't depend on the table.
+    A batch is bounded in bytes and rows, and its texts are read piece by piece where they lie in it, so a worker's memory is that of a
+    batch, or of the longest text, and doesn't depend on the table.
     """
     bounded_batches(df.sparkSession)
 
@@ -175,10 +180,12 @@ def byte_histogram(df: DataFrame, key: str, text: str, most: int = 50_000) -> Da
         data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
         n = np.zeros((len(col), 256), np.int32)
         for i in range(len(col)):
-            n[i] = np.bincount(data[at[i] : at[i + 1]], minlength=256)
+            for k in range(at[i], at[i + 1], PIECE):
+                n[i] += np.bincount(data[k : min(k + PIECE, at[i + 1])], minlength=256)
         return pa.ListArray.from_arrays(pa.array(np.arange(0, n.size + 1, 256, dtype=np.int32)), pa.array(n.reshape(-1)))
 
-    n = counts(F.substring(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 1, most))
+    whole = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+    n = counts(whole if most is None else F.substring(whole, 1, most))
     norm = F.sqrt(F.aggregate("n", F.lit(0.0), lambda s, x: s + x.cast("double") * x)) + 1e-9
     e = df.select(key, n.alias("n")).select(key, norm.alias("norm"), F.posexplode("n").alias("byte", "n")).where("n > 0")
     return e.select(key, "byte", (F.col("n") / F.col("norm")).alias("share"))

@@ -750,7 +750,7 @@ ORACLES = {
         "BY r_regionkey))+1e-9),6) share FROM c"
     ),
     "byte_histogram_documents": (
-        "WITH h AS (SELECT doc_id, substr(hex(encode(coalesce(text,''))),1,100000) h FROM documents), b AS (SELECT doc_id, "
+        "WITH h AS (SELECT doc_id, hex(encode(coalesce(text,''))) h FROM documents), b AS (SELECT doc_id, "
         "('0x' || substr(h,p*2+1,2))::INT AS byte FROM (SELECT doc_id, h, unnest(range(0, length(h)//2)) p FROM h)), c AS "
         "(SELECT doc_id, byte, count(*) n FROM b GROUP BY 1,2) SELECT doc_id, byte, round(n/(sqrt(sum(n*n) OVER (PARTITION BY "
         "doc_id))+1e-9),6) share FROM c"

@@ -9,6 +9,7 @@ import math
 import uuid
 from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +147,22 @@ def test_texts_of_documents(spark, tmp_path):
     assert sorted(shapes) == sorted(collections.Counter(map(shape, texts)).items())
 
 
+def test_whole_texts_of_documents(spark, tmp_path):
+    """Bytes beyond the first 50,000 count, in the query and in its SQL, and so does every piece of a text of many."""
+    texts = ["a" * 50_000 + "b" * 50_000, "c" * 49_999 + "\u00e9" + "\u20ac" * 20_000, "de" * 32_768 + "f", "short", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.byte): r.share for r in queries.QUERIES["byte_histogram_documents"](spark, str(tmp_path)).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        n = collections.Counter((t or "").encode())
+        want |= {(i, b): k / (math.sqrt(sum(v * v for v in n.values())) + 1e-9) for b, k in n.items()}
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    sql = duck.execute(f"SELECT doc_id, byte, share FROM ({queries.ORACLES['byte_histogram_documents']})").fetchall()
+    for rows in (got, {(k, b): x for k, b, x in sql}):
+        assert rows.keys() == want.keys() and all(abs(rows[k] - want[k]) < 1e-6 for k in want)
+
+
 def test_names_of_queries_stand_for_one_thing(spark):
     """A name of the module that is bound again changes the queries that already use it."""
     bound = collections.Counter()
